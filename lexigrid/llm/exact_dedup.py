@@ -58,7 +58,9 @@ def _settings(spark: SparkSession, **values: str):
 def _stream_state(digests_path: str, spark: SparkSession, schema, files_per_batch: int) -> DataFrame:
     """digest, keep (doc_id, file, row) and group_size out of the state that the stream leaves."""
     at = new_path(spark, "dedup-state")
-    names = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
+    store = "spark.sql.streaming.stateStore"
+    # without pre-allocation: a partition's store is small, and each would hold some MB of empty files
+    names = {f"{store}.providerClass": ROCKSDB, f"{store}.rocksdb.changelogCheckpointing.enabled": "true", f"{store}.rocksdb.allowFAllocate": "false"}
     with _settings(spark, **names):
         rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(digests_path)
         state = rows.groupBy("digest").agg(F.max(F.struct("doc_id", "file", "row")).alias("keep"), F.count(F.lit(1)).alias("n"))
