@@ -20,11 +20,12 @@ from heapq import heapify, heappop, heappush
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexigrid.llm._pieces import PIECES, PieceMemo, splitter
 from lexigrid.llm._shared import ship, table, tokenizer_path
 
 ENCODED = "doc_id long, n_tokens long, ids binary, decoded binary"
-#: Entries of a worker's memos.
-PIECES, PAIRS = 200_000, 200_000
+#: Entries of a worker's memo of pairs.
+PAIRS = 200_000
 _MIX = 0x9E3779B97F4A7C15
 _LOW = (1 << 64) - 1
 
@@ -49,13 +50,13 @@ class PerfectHash:
         for i, h in enumerate(hashes):
             groups.setdefault((h >> 32) % self.buckets, []).append(i)
         self.shift, free, slot_of = [0] * self.buckets, np.ones(n, bool), [0] * n
-        tries = np.arange(1, 4097, dtype="u8") * np.uint64(_MIX)
+        tries = np.arange(1, 513, dtype="u8") * np.uint64(_MIX)
         for b, own in sorted(groups.items(), key=lambda x: -len(x[1])):
             if len(own) == 1:
                 break
             low, start = np.array([hashes[i] for i in own], "u8"), 0
             while True:
-                shifts = tries + np.uint64(start * 4096 * _MIX & _LOW)
+                shifts = tries + np.uint64(start * 512 * _MIX & _LOW)
                 x = low[None, :] ^ shifts[:, None]
                 x ^= x >> np.uint64(29)
                 x *= np.uint64(0xBF58476D1CE4E5B9)
@@ -65,7 +66,7 @@ class PerfectHash:
                 good &= (ordered[:, 1:] != ordered[:, :-1]).all(1)
                 if good.any():
                     k = int(good.argmax())
-                    self.shift[b] = start * 4096 + k + 1
+                    self.shift[b] = start * 512 + k + 1
                     free[slots[k]] = False
                     for i, s in zip(own, slots[k].tolist()):
                         slot_of[i] = s
@@ -112,32 +113,11 @@ class _Pairs(dict):
         return r
 
 
-class _Pieces(dict):
-    """From a piece of text to its ids as bytes; a full memo becomes the older one and gives back what is asked for again."""
-
-    def __init__(self, codec: Codec):
-        super().__init__()
-        self.codec, self.older = codec, {}
-
-    def __missing__(self, piece: str) -> bytes:
-        out = self.older.get(piece)
-        if out is None:
-            out = self.codec.piece(piece.encode("utf-8", "replace"))
-        if len(self) >= PIECES:
-            self.older = dict(self)
-            self.clear()
-        if len(piece) <= 64:
-            self[piece] = out
-        return out
-
-
 class Codec:
-    def __init__(self, table: PerfectHash, pattern: str):
-        import regex
-
-        self.table, self.split = table, regex.compile(pattern).findall
+    def __init__(self, table: PerfectHash, pattern: str, limit: int = PIECES):
+        self.table, self.split = table, splitter(pattern)
         self.of = _Pairs(table.get)
-        self.pieces = _Pieces(self)
+        self.pieces = PieceMemo(lambda piece: self.piece(piece.encode("utf-8", "replace")), limit)
         self.tokens = dict(zip(table.ids, table.keys))
 
     def piece(self, data: bytes) -> bytes:

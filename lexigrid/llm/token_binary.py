@@ -21,17 +21,17 @@ from __future__ import annotations
 import json
 import os
 import zlib
+from array import array
 from dataclasses import dataclass
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexigrid.llm._pieces import PIECES, PieceMemo, latin_splitter
 from lexigrid.llm._shared import new_path, ship, table, tokenizer_path
 
 NULL_ID = -(2**63)
-#: Pre-tokens whose ids a worker keeps at hand; a full memo starts anew.
-MEMO = 250_000
 MANIFEST = "part int, name string, n_docs long, n_tokens long"
 
 
@@ -46,33 +46,35 @@ def _fs(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: printable Latin-1 characters for themselves, the others in order from U+0100."""
+    same = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = (b for b in range(256) if b not in same)
+    return {b: chr(b) for b in same} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class PieceEncoder:
-    """The tokenizers library behind a bounded memo of pre-tokens. Pieces are what the byte-level pattern splits a text into, so encoding them one by one gives the ids of the whole text."""
+    """The tokenizers library. Texts of Latin letters are split as the byte-level pattern splits them and each piece is encoded by the library's model, behind a bounded memo, which gives the ids of the whole text (tests hold every such character against the library). Other texts are encoded whole."""
 
-    def __init__(self, path: str, dtype: str, limit: int = MEMO):
+    def __init__(self, path: str, dtype: str, limit: int = PIECES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import public_tokenizers
-        import regex
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.split = regex.compile(public_tokenizers.PATTERN).findall
-        self.dtype, self.limit, self.memo = dtype, limit, {}
+        model, letters, kind = self.tok.model, _byte_letters(), "H" if dtype == "<u2" else "I"
+
+        def make(piece: str) -> bytes:
+            return array(kind, [t.id for t in model.tokenize(piece.encode("utf-8", "replace").decode("latin-1").translate(letters))]).tobytes()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
+        self.beyond, self.split = latin_splitter()
+        self.kind = kind
+        self.memo = PieceMemo(make, limit)
 
-        pieces = [self.split(t) for t in texts]
-        missing = set().union(*pieces) - self.memo.keys()
-        if len(self.memo) + len(missing) > self.limit:
-            self.memo, missing = {}, set().union(*pieces)
-        missing = list(missing)
-        for i in range(0, len(missing), 20_000):
-            part = missing[i : i + 20_000]
-            self.memo.update((p, np.array(e.ids, self.dtype).tobytes()) for p, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False)))
-        get = self.memo.__getitem__
-        return [b"".join(map(get, p)) for p in pieces]
+    def encode(self, text: str) -> bytes:
+        if self.beyond(text) is None:
+            return b"".join(map(self.memo.__getitem__, self.split(text)))
+        return array(self.kind, self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
 
 @lru_cache(maxsize=2)
@@ -108,7 +110,7 @@ def _write_partition(batches, folder: str, path: str, dtype: str, end_id: int):
     with fs.open_output_stream(f"{base}/{name}.bin") as ids, fs.open_output_stream(f"{base}/{name}.idx") as idx, fs.open_output_stream(f"{base}/{name}.ids") as docs:
         idx.write(np.array([0], "<u8").tobytes())
         for group in _groups(rows):
-            encoded = [e + end for e in encoder.encode([t for _, t in group])]
+            encoded = [encoder.encode(t) + end for _, t in group]
             ids.write(b"".join(encoded))
             stops = n_tokens + np.cumsum([len(e) // width for e in encoded], dtype="u8")
             idx.write(stops.astype("<u8").tobytes())

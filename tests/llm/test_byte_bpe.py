@@ -53,9 +53,8 @@ def test_long_pieces(both):
 
 
 def test_memo_turns_over(both, monkeypatch):
-    monkeypatch.setattr(E, "PIECES", 3)
     monkeypatch.setattr(E, "PAIRS", 3)
-    codec = E.Codec(both[0].table, public_tokenizers.PATTERN)
+    codec = E.Codec(both[0].table, public_tokenizers.PATTERN, limit=3)
     for _, t in edge_rows():
         assert np.frombuffer(codec.encode(t or ""), "<u4").tolist() == both[1].encode_ordinary(t or "")
 

@@ -41,7 +41,22 @@ def test_small_memo():
     path = tokenizer_path("byte_bpe_50k.json")
     texts = [t or "" for _, t in edge_rows()] * 2
     few, many = B.PieceEncoder(path, "<u2", limit=5), B.PieceEncoder(path, "<u2")
-    assert [few.encode([t])[0] for t in texts] == many.encode(texts)
+    assert [few.encode(t) for t in texts] == [many.encode(t) for t in texts]
+
+
+def test_pieces_against_whole_texts():
+    import sys
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(path)
+    tok.encode_special_tokens = True
+    enc = B.PieceEncoder(path, "<u4")
+    points = [chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c <= 0xDFFF]
+    texts = ["".join(points[i : i + 997]) for i in range(0, len(points), 997)] + [f"a{c}{c} b{c}1{c} {c}'s{c}\n" for c in points[:0x3100]]
+    for t, e in zip(texts, tok.encode_batch_fast(texts, add_special_tokens=False)):
+        assert np.frombuffer(enc.encode(t), "<u4").tolist() == e.ids, repr(t[:50])
 
 
 def test_query(spark, sf):
