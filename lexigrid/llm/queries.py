@@ -8,8 +8,10 @@ from importlib import import_module
 _WHERE = {
     "op1_chat_format": ("chat_format", None),
     "op2_token_binary": ("token_binary", None),
+    "op3_minhash_dedup": ("minhash_dedup", None),
     "op4_exact_dedup": ("exact_dedup", "OP4_SQL"),
     "op6_byte_bpe": ("byte_bpe", None),
+    "op8_embedding_dedup": ("embedding_dedup", None),
     "op9_source_mixing": ("source_mixing", "OP9_SQL"),
 }
 
