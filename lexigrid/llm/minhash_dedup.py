@@ -8,11 +8,15 @@ turn make the key of a band; documents that share a key are candidates.
 Candidates are star-shaped: in each bucket all members against the smallest id, so a bucket of
 any size gives as many pairs as members. Links are confirmed on the full shingle sets
 (`percent` of the union at least in the intersection). After the stars' components are known, a
-pair can matter only if its ends share a bucket and are in different components. Those pairs are
-looked at too: all of them in buckets of up to `small` members; in larger buckets those that
-share another band as well, which a pair at the threshold does with a chance over 0.9999.
-So no star hides a link. With the defaults (48 bands of 10) a pair at 0.85 shares some band with
-a chance of 0.99997; more similar pairs, more.
+pair can matter only if its ends share a bucket and are in different components. Such buckets are
+looked at again, by the members' sketches (a byte of each bin), in blocks of bounded size: first
+each member's `best` most similar partners outside its component, then, when the components that
+these join are known, all partners that are left. Only pairs whose sketches agree in no less than
+the threshold by four standard deviations are worth confirming, so no star hides a link, and no
+group's pairs are all written out.
+
+With the defaults (48 bands of 10) a pair at 0.85 shares some band with a chance of 0.99997, and
+its sketches pass with 0.99997; more similar pairs, more.
 
 Documents with equal sets (128-bit digest of the whole set and its size) are one representative
 throughout, so groups of copies cost one row each. Sets smaller than `least` shingles can only
@@ -40,7 +44,7 @@ from pyspark.sql import functions as F
 from lexigrid.llm._shared import forget, ship, table, written
 from lexigrid.llm.components import components
 
-SIGNED = "doc_id long, n_shingles long, set_id binary, bands array<long>"
+SIGNED = "doc_id long, n_shingles long, set_id binary, bands array<long>, sketch binary"
 SETS = "doc_id long, shingles binary"
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Words whose hashes a worker keeps; a full memo starts anew.
@@ -142,15 +146,18 @@ def _sign_partition(batches, width: int, bands: int, rows: int, least: int):
     from xxhash import xxh3_128_digest
 
     def out(held):
-        ids, n, digests, keys = zip(*held)
+        ids, n, digests, keys, sketches = zip(*held)
         offsets = np.cumsum([0, *map(len, keys)], dtype="i4")
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys)))], names=["doc_id", "n_shingles", "set_id", "bands"])
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys))), pa.array(sketches, pa.binary())], names=["doc_id", "n_shingles", "set_id", "bands", "sketch"])
 
     held, none = [], np.empty(0, "i8")
     for doc_id, text in _texts(batches):
         hashes = shingle_hashes(text, width)
-        keys = band_keys(signature(hashes, bands * rows), bands, rows) if len(hashes) >= least else none
-        held.append((doc_id, len(hashes), xxh3_128_digest(hashes.tobytes()), keys))
+        keys, sketch = none, b""
+        if len(hashes) >= least:
+            sig = signature(hashes, bands * rows)
+            keys, sketch = band_keys(sig, bands, rows), sig.astype("u1").tobytes()
+        held.append((doc_id, len(hashes), xxh3_128_digest(hashes.tobytes()), keys, sketch))
         if len(held) >= 4096:
             yield out(held)
             held = []
@@ -190,7 +197,7 @@ def _confirm_partition(batches, percent: int):
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
 
 
-def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands: int = 48, rows: int = 10, small: int = 64, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands: int = 48, rows: int = 10, best: int = 8, block: int = 1024, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs: components of links with percent * union <= 100 * intersection."""
     spark = docs.sparkSession
     ship(spark)
@@ -206,8 +213,13 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands
     tried = written(stars.select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
     links = written(_confirm(plain, tried, width, percent), "links")
     roots = components(links)
-    links = links.unionByName(written(_confirm(plain, _open_pairs(entries, crowded, roots, tried, fits, small), width, percent), "links"))
-    roots = components(links)
+    for most in (best, None):
+        pairs = _open_pairs(signed, entries, crowded, roots, tried, percent, bands, most, block)
+        if pairs.isEmpty():
+            break
+        tried = tried.unionByName(pairs)
+        links = links.unionByName(written(_confirm(plain, pairs, width, percent), "links"))
+        roots = components(links)
     alike = same.select("set_id", "n_shingles", "rep").join(roots, F.col("rep") == F.col("v"), "left").select("set_id", "n_shingles", F.least("rep", F.coalesce("root", "rep")).alias("root"))
     found = signed.select("doc_id", "n_shingles", "set_id").join(alike, ["set_id", "n_shingles"], "left")
     found = found.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
@@ -218,22 +230,58 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _open_pairs(entries: DataFrame, crowded: DataFrame, roots: DataFrame, tried: DataFrame, fits, small: int) -> DataFrame:
-    """(a, b), not tried yet, that share a bucket and are in different components."""
+def _open_pairs(signed: DataFrame, entries: DataFrame, crowded: DataFrame, roots: DataFrame, tried: DataFrame, percent: int, bands: int, most: int | None, block: int) -> DataFrame:
+    """(a, b), not tried yet, that share a bucket, are in different components and have sketches that may reach the threshold; most: only so many, the likeliest, for each member of a bucket."""
     placed = entries.join(crowded.select("band", "key", "m"), ["band", "key"]).join(roots, F.col("rep") == F.col("v"), "left")
     placed = written(placed.select("band", "key", "m", "rep", "n", F.coalesce("root", "rep").alias("root")), "placed")
     mixed = placed.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("band", "key")
-    placed = written(placed.join(mixed, ["band", "key"]), "open")
-    few = placed.filter(F.col("m") <= small).select("band", "key", F.lit(-1).alias("band2"), F.lit(0).cast("long").alias("key2"), "rep", "n", "root")
-    crowd = placed.filter(F.col("m") > small)
-    others = entries.select("rep", F.col("band").alias("band2"), F.col("key").alias("key2")).join(crowd.select("rep").distinct(), "rep", "left_semi")
-    many = crowd.join(others, "rep").filter("band2 <> band").select("band", "key", "band2", "key2", "rep", "n", "root")
-    cells = few.unionByName(many)
-    keys = ["band", "key", "band2", "key2"]
-    x = cells.select(*keys, F.col("rep").alias("a"), F.col("n").alias("an"), F.col("root").alias("ar"))
-    y = cells.select(*keys, F.col("rep").alias("b"), F.col("n").alias("bn"), F.col("root").alias("br"))
-    pairs = x.join(y, keys).filter((F.col("a") < F.col("b")) & (F.col("ar") != F.col("br")) & fits(F.col("an"), F.col("bn"))).select("a", "b").distinct()
-    return written(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+    sketches = signed.select(F.col("doc_id").alias("rep"), "sketch").filter("rep is not null and length(sketch) > 0").groupBy("rep").agg(F.min("sketch").alias("sketch"))
+    opened = placed.join(mixed, ["band", "key"]).withColumn("blocks", F.ceil(F.col("m") / block).cast("int"))
+    own = F.pmod(F.xxhash64("rep", "band"), F.col("blocks")).cast("int")
+    cells = opened.join(sketches, "rep").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = cells.select("band", "key", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), (F.col("own") > F.col("other")).alias("side"), "rep", "n", "root", "sketch")
+    pairs = cells.groupBy("band", "key", "b1", "b2").applyInArrow(lambda k, t: _alike(k, t, percent, bands, most), "a long, b long")
+    out = written(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+    forget(placed)
+    return out
+
+
+def _alike(key, tab, percent: int, bands: int, most: int | None):
+    """Pairs of a bucket's block, or of two of its blocks, for which this is the first band that they share."""
+    import numpy as np
+    import pyarrow as pa
+
+    band = key[0].as_py()
+    rep, n, root = (tab.column(c).to_numpy() for c in ("rep", "n", "root"))
+    sketch = np.frombuffer(b"".join(tab.column("sketch").to_pylist()), "u1").reshape(len(rep), -1)
+    side = tab.column("side").to_numpy(zero_copy_only=False) if key[2] != key[3] else None
+    bins = sketch.shape[1]
+    p = percent / 100
+    own = bins * (1 - np.exp(-n / bins))  # bins that a set of this size fills itself
+    values, sizes = np.unique(root, return_counts=True)
+    minor = np.flatnonzero(root != values[sizes.argmax()])  # each pair across components has one of these
+    found_a, found_b = [], []
+    step = max(1, (1 << 25) // (len(rep) * bins))
+    for at in range(0, len(minor), step):
+        x = minor[at : at + step]
+        equal = np.count_nonzero(sketch[x][:, None, :] == sketch[None, :, :], axis=2)
+        least = p - 4 * np.sqrt(p * (1 - p) / np.minimum(own[x][:, None], own[None, :]))  # equal bytes of unequal bins only add
+        good = (equal >= least * bins) & (root[x][:, None] != root[None, :])
+        good &= np.minimum(n[x][:, None], n[None, :]) * 100 >= np.maximum(n[x][:, None], n[None, :]) * percent
+        if side is not None:
+            good &= side[x][:, None] != side[None, :]
+        if most and good.shape[1] > most:
+            rank = np.where(good, -equal, 1)
+            good &= rank <= np.partition(rank, most - 1, axis=1)[:, most - 1 : most]
+        i, j = np.nonzero(good)
+        i = x[i]
+        if len(i):
+            shared = (sketch[i].reshape(len(i), bands, -1) == sketch[j].reshape(len(i), bands, -1)).all(2)
+            first = (shared.argmax(1) == band) if not most else np.ones(len(i), bool)
+            found_a.append(np.minimum(rep[i], rep[j])[first]), found_b.append(np.maximum(rep[i], rep[j])[first])
+    a, b = (np.concatenate(f) if f else np.empty(0, "i8") for f in (found_a, found_b))
+    pairs = np.unique(np.stack([a, b]), axis=1)
+    return pa.table({"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64())})
 
 
 def _confirm(plain: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:

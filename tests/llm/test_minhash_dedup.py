@@ -51,10 +51,10 @@ def variants(seed, n_base=12, copies=10):
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize("width,percent,seed,small", [(3, 85, 1, 64), (3, 85, 2, 2), (5, 80, 3, 64), (5, 80, 4, 2)])
-def test_against_all_pairs(spark, width, percent, seed, small):
+@pytest.mark.parametrize("width,percent,seed,best,block", [(3, 85, 1, 8, 1024), (3, 85, 2, 1, 4), (5, 80, 3, 8, 1024), (5, 80, 4, 1, 4)])
+def test_against_all_pairs(spark, width, percent, seed, best, block):
     rows = variants(seed)
-    assert held(M.near_duplicates(documents(spark, rows), width=width, percent=percent, small=small)) == brute(rows, width, percent)
+    assert held(M.near_duplicates(documents(spark, rows), width=width, percent=percent, best=best, block=block)) == brute(rows, width, percent)
 
 
 def test_edges(spark):
