@@ -1,8 +1,8 @@
 r"""Language-model scoring by a hidden Markov model.
 
 Counting: words of all training texts, summed in each task before the shuffle; the whole table of
-counts stays distributed. The `vocabulary` most frequent words (a fixed bound) are symbols of their
-own; all rarer ones share `classes` rare symbols by a hash, and a rare word's probability is its
+counts stays distributed. Tasks get the counts of the `listed` most frequent words (a fixed bound);
+the first `vocabulary` of them are symbols of their own; all other words share `classes` rare symbols by a hash, and a rare word's probability is its
 symbol's times the word's smoothed share of that symbol's tokens, so the distribution over all words
 is proper. The end of a text is a symbol of its own.
 
@@ -11,9 +11,11 @@ forward-backward over many texts at once (in pieces of `piece` tokens for long t
 distribution is then the transition out of a uniform state); partial sums are added in groups, and
 the driver, which holds matrices of a fixed size, smooths them into the next model.
 
+Texts are tokenised twice, to count and to write their symbols; training and scoring read the symbols.
+
 Scoring: the scaled forward recursion over the whole text gives its exact log10 likelihood. The
-tokens' own counts are looked up for the base score and for rare words: frequent words in each task,
-rare words by one join on the word, of (row, word, number) rows.
+tokens' own counts are looked up for the base score and for words without a symbol of their own:
+listed words in each task, all others by one join on the word, of (row, word, number) rows.
 
 Defined results
 * null text: empty, which is the end token alone.
@@ -35,6 +37,7 @@ from lexigrid.llm._shared import crc_mod, ship, table, written
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 VOCABULARY = 20_000
+LISTED = 200_000
 CLASSES = 64
 STATES = 12
 ITERATIONS = 4
@@ -73,12 +76,26 @@ def _count_partition(batches, most: int):
 
 
 class Symbols:
-    """word -> symbol: the frequent words in order, then the classes of rare ones; the end token is the last symbol."""
+    """Symbols are the first words of the list in order, then the classes of all other words, then the end token.
+
+    words, word_counts: the listed words; class_counts: (tokens, words) that each class has in training; ends: end tokens there."""
+
+    def __init__(self, words: list[bytes], word_counts, vocabulary: int, class_counts: list[tuple[int, int]], ends: int):
+        import numpy as np
 
-    def __init__(self, frequent: list[bytes], counts, classes: int):
-        self.frequent, self.counts, self.classes = frequent, counts, classes
-        self.end = len(frequent) + classes
+        self.words, self.vocabulary, self.classes = words, min(vocabulary, len(words)), len(class_counts)
+        self.word_counts = np.asarray(word_counts, "f8")
+        self.end = self.vocabulary + self.classes
         self.size = self.end + 1
+        self.counts = np.concatenate([self.word_counts[: self.vocabulary], [c for c, _ in class_counts], [ends]])
+        self.class_total = np.array([c + ALPHA * (v + 1) for c, v in class_counts])
+        self.kind = "<u2" if self.size <= 1 << 16 else "<u4"
+        own = np.arange(len(words))
+        other = np.array([self.vocabulary + self.class_of(w) for w in words[self.vocabulary :]], "i8")
+        self.symbol = np.concatenate([own[: self.vocabulary], other]).astype("i4")
+        # log10 of a listed word's share of its symbol
+        self.share = np.zeros(len(words))
+        self.share[self.vocabulary :] = np.log10((self.word_counts[self.vocabulary :] + ALPHA) / self.class_total[other - self.vocabulary])
         self._index = None
 
     def __getstate__(self):
@@ -87,19 +104,30 @@ class Symbols:
     @property
     def index(self) -> dict[bytes, int]:
         if self._index is None:
-            self._index = {w: i for i, w in enumerate(self.frequent)}
+            self._index = {w: i for i, w in enumerate(self.words)}
         return self._index
 
-    def rare(self, word: bytes) -> int:
-        return len(self.frequent) + zlib.crc32(word) % self.classes
+    def class_of(self, word: bytes) -> int:
+        return zlib.crc32(word) % self.classes
+
+    def of(self, tokens: list[bytes]):
+        """(symbols with the end, places in the list, tokens that aren't listed)."""
+        import numpy as np
 
-    def of(self, tokens: list[bytes]) -> list[int]:
         get = self.index.get
-        out = list(map(get, tokens))
-        if None in out:
-            out = [self.rare(w) if i is None else i for i, w in zip(out, tokens)]
-        out.append(self.end)
-        return out
+        found = list(map(get, tokens))
+        unlisted = []
+        if None in found:
+            unlisted = [w for i, w in zip(found, tokens) if i is None]
+            found = [-1 if i is None else i for i in found]
+        at = np.array(found, "i4") if found else np.empty(0, "i4")
+        out = np.empty(len(at) + 1, "i4")
+        out[:-1] = self.symbol[at] if len(self.words) else 0
+        out[-1] = self.end
+        if unlisted:
+            out[np.flatnonzero(at < 0)] = [self.vocabulary + self.class_of(w) for w in unlisted]
+            at = at[at >= 0]
+        return out, at, unlisted
 
 
 class Hmm:
@@ -140,32 +168,35 @@ class Hmm:
 
         n, most = batch.shape
         k = len(self.start)
-        uniform = np.full(k, 1 / k) @ self.trans
-        alphas, scales, lives = np.zeros((most, n, k)), np.ones((most, n)), []
-        emits = self.emit[batch]  # n, most, k
-        for t in range(most):
-            live = int(np.searchsorted(-lengths, -t, "left"))
-            lives.append(live)
-            a = np.where(first[:live, None], self.start, uniform) if t == 0 else alphas[t - 1, :live] @ self.trans
-            a = a * emits[:live, t]
-            c = a.sum(1)
-            alphas[t, :live], scales[t, :live] = a / c[:, None], c
-        beta, gammas = np.ones((n, k)), np.zeros((most, n, k))
+        trans, emits = self.trans.astype("f4"), self.emit.astype("f4")[batch.T]  # most, n, k
+        begin = np.where(first[:, None], self.start, np.full(k, 1 / k) @ self.trans).astype("f4")
+        alphas, scales, lives = np.zeros((most, n, k), "f4"), np.ones((most, n, 1), "f4"), np.searchsorted(-lengths, -np.arange(most), "left").tolist()
+        for t, live in enumerate(lives):
+            a = alphas[t, :live]
+            np.multiply(begin[:live] if t == 0 else alphas[t - 1, :live] @ trans, emits[t, :live], out=a)
+            np.sum(a, axis=1, keepdims=True, out=scales[t, :live])
+            a /= scales[t, :live]
+        beta, back = np.ones((n, k), "f4"), np.ascontiguousarray(trans.T)
+        moved = np.zeros((k, k))
         for t in range(most - 1, -1, -1):
             live = lives[t]
-            gammas[t, :live] = alphas[t, :live] * beta[:live]
+            x = emits[t, :live]
+            x *= beta[:live]
+            x /= scales[t, :live]
+            alphas[t, :live] *= beta[:live]  # now the share of each state
             if t:
-                x = emits[:live, t] * beta[:live] / scales[t, :live, None]
-                sums[1] += (alphas[t - 1, :live].T @ x) * self.trans
-                beta[:live] = x @ self.trans.T
-        sums[0] += gammas[0][first].sum(0)
+                # what was before the step: the last step's share is not yet multiplied
+                moved += alphas[t - 1, :live].T @ x
+                beta[:live] = x @ back
+        sums[0] += alphas[0][first].sum(0, dtype="f8")
+        sums[1] += moved * self.trans
         mask = np.arange(most)[:, None] < lengths[None, :]
-        at, g = batch.T[mask], gammas[mask]
+        at, g = batch.T[mask], alphas[mask]
         for j in range(k):
             sums[2][:, j] += np.bincount(at, g[:, j], minlength=len(self.emit))
 
 
-def _grouped(rows, budget: int = 60_000):
+def _grouped(rows, budget: int):
     """(row, symbols) pairs in padded arrays, in falling order of length; the cells of an array are bounded, long texts are alone."""
     import numpy as np
 
@@ -187,33 +218,33 @@ def _grouped(rows, budget: int = 60_000):
         yield pad(part)
 
 
-def _expect_partition(batches, model: Hmm, symbols: Symbols, piece: int):
+def _expect_partition(batches, model: Hmm, size: int, kind: str, piece: int):
     """One row for each slice of the symbols: the partition's expected counts."""
     import numpy as np
     import pyarrow as pa
 
     k = len(model.start)
-    sums = [np.zeros(k), np.zeros((k, k)), np.zeros((symbols.size, k))]
+    sums = [np.zeros(k), np.zeros((k, k)), np.zeros((size, k))]
     any_rows = False
-    held, size = [], 0
+    held, tokens = [], 0
 
     def work():
-        for first, batch, lengths in _grouped(held):
+        for first, batch, lengths in _grouped(held, 80_000):
             model.expected(batch, lengths, np.array(first, bool), sums)
 
     for batch in batches:
         for t in batch.column(0):
-            s = np.array(symbols.of(words(t.as_py())), "i4")
+            s = np.frombuffer(t.as_buffer(), kind)
             any_rows = True
             held += [(i == 0, s[i : i + piece]) for i in range(0, len(s), piece)]
-            size += len(s)
-            if size > 300_000:
+            tokens += len(s)
+            if tokens > 1_000_000:
                 work()
-                held, size = [], 0
+                held, tokens = [], 0
     work()
     if any_rows:
         step = 4096
-        rows = [(-1, np.concatenate([sums[0], sums[1].ravel()]).astype("f8").tobytes())] + [(i // step, sums[2][i : i + step].astype("f4").tobytes()) for i in range(0, symbols.size, step)]
+        rows = [(-1, np.concatenate([sums[0], sums[1].ravel()]).astype("f8").tobytes())] + [(i // step, sums[2][i : i + step].astype("f4").tobytes()) for i in range(0, size, step)]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["g", "a"])
 
 
@@ -241,7 +272,7 @@ def _add_slices(batches):
 
 
 def train(rows: DataFrame, symbols: Symbols, *, states: int = STATES, iterations: int = ITERATIONS, piece: int = PIECE) -> Hmm:
-    """rows: text. Each iteration is a pass over all of them; the sums are of a fixed size."""
+    """rows: symbols. Each iteration is a pass over all of them; the sums are of a fixed size."""
     import numpy as np
 
     spark = rows.sparkSession
@@ -249,8 +280,8 @@ def train(rows: DataFrame, symbols: Symbols, *, states: int = STATES, iterations
     unigram = np.asarray(symbols.counts, "f8") + ALPHA
     unigram /= unigram.sum()
     for _ in range(iterations):
-        shared = spark.sparkContext.broadcast((model, symbols))
-        parts = rows.select("text").mapInArrow(lambda b, s=shared: _expect_partition(b, *s.value, piece), "g int, a binary")
+        shared = spark.sparkContext.broadcast(model)
+        parts = rows.select("symbols").mapInArrow(lambda b, s=shared, size=symbols.size, kind=symbols.kind: _expect_partition(b, s.value, size, kind, piece), "g int, a binary")
         added = {r["g"]: np.frombuffer(r["a"], "f8") for r in parts.repartition("g").sortWithinPartitions("g").mapInArrow(_add_slices, "g int, a binary").collect()}
         if not added:
             break
@@ -263,78 +294,94 @@ def train(rows: DataFrame, symbols: Symbols, *, states: int = STATES, iterations
     return model
 
 
-def _score_partition(batches, model: Hmm, symbols: Symbols, n: int, v: int):
-    """For each row its forward score over symbols, the base score and number of its frequent tokens, and its rare words with their numbers."""
+ENCODED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, share double, symbols binary, rare_words array<binary>, rare_n array<int>"
+SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, share double, model double"
+
+
+def _encode_partition(batches, symbols: Symbols, n: int, v: int):
+    """For each row its symbols, the scores and number of its listed tokens and the end, and its other words with their numbers."""
     from collections import Counter
 
     import numpy as np
     import pyarrow as pa
 
-    log = np.log10((np.asarray(symbols.counts, "f8") + ALPHA) / (n + ALPHA * (v + 1)))  # of frequent words and the end
-    top, known = len(symbols.frequent), symbols.counts[symbols.end] > 0
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("model", pa.float64()), ("rare", pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())])))])
+    below = n + ALPHA * (v + 1)
+    log = np.log10((symbols.word_counts + ALPHA) / below)
+    end, known = float(np.log10((symbols.counts[-1] + ALPHA) / below)), int(symbols.counts[-1] > 0)
 
-    def work(held):
-        scores = np.zeros(len(held))
-        for rows, batch, lengths in _grouped([(i, h[2]) for i, h in enumerate(held)]):
-            scores[rows] = model.forward(batch, lengths)
-        out = []
-        for (row, doc_id, s, held_out, rare), score in zip(held, scores):
-            frequent = s[s < top]
-            out.append({"row": row, "doc_id": doc_id, "held_out": held_out, "n_tokens": len(s), "n_known": len(frequent) + int(known), "base": float(log[frequent].sum() + log[symbols.end]), "model": score / np.log(10), "rare": [{"word": w, "n": c} for w, c in rare.items()]})
-        return pa.RecordBatch.from_pylist(out, schema=schema)
+    def out(held):
+        row, doc_id, held_out, tokens, listed, base, share, data, rare = zip(*held)
+        offsets = pa.array(np.cumsum([0, *map(len, rare)], dtype="i4"))
+        names = pa.array([w for r in rare for w in r], pa.binary())
+        counts = pa.array([c for r in rare for c in r.values()], pa.int32())
+        cols = [pa.array(row, pa.int64()), pa.array(doc_id, pa.int64()), pa.array(held_out, pa.bool_()), pa.array(tokens, pa.int64()), pa.array(listed, pa.int64()), pa.array(base, pa.float64()), pa.array(share, pa.float64()), pa.array(data, pa.binary()), pa.ListArray.from_arrays(offsets, names), pa.ListArray.from_arrays(offsets, counts)]
+        return pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in ENCODED.split(", ")])
 
     held, size = [], 0
     for batch in batches:
-        cols = [batch.column(i).to_pylist() for i in (0, 1, 3)]
-        for row, doc_id, held_out, t in zip(*cols, batch.column(2)):
-            own = words(t.as_py())
-            s = np.array(symbols.of(own), "i4")
-            where = np.flatnonzero((s >= top) & (s < symbols.end))
-            held.append((row, doc_id, s, held_out, Counter([own[i] for i in where])))
+        ids = [batch.column(i).to_pylist() for i in (0, 1, 3)]
+        for row, doc_id, held_out, t in zip(*ids, batch.column(2)):
+            s, at, unlisted = symbols.of(words(t.as_py()))
+            held.append((row, doc_id, held_out, len(s), len(at) + known, float(log[at].sum()) + end, float(symbols.share[at].sum()), s.astype(symbols.kind).tobytes(), Counter(unlisted)))
             size += len(s)
-            if size > 300_000:
-                yield work(held)
+            if size > 500_000:
+                yield out(held)
                 held, size = [], 0
     if held:
-        yield work(held)
+        yield out(held)
+
+
+def _score_partition(batches, model: Hmm, kind: str):
+    """The rows with the model's log10 likelihood of their symbols in place of these."""
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        data = [np.frombuffer(x.as_buffer(), kind) for x in batch.column(7)]
+        scores = np.zeros(len(data))
+        for rows, padded, lengths in _grouped(list(enumerate(data)), 1_000_000):
+            scores[rows] = model.forward(padded, lengths)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:7], pa.array(scores / np.log(10))], names=[x.split()[0] for x in SCORED.split(", ")])
 
 
-def hmm_scores(docs: DataFrame, *, vocabulary: int = VOCABULARY, classes: int = CLASSES, states: int = STATES, iterations: int = ITERATIONS, piece: int = PIECE, distinct: int = 400_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def hmm_scores(docs: DataFrame, *, vocabulary: int = VOCABULARY, listed: int = LISTED, classes: int = CLASSES, states: int = STATES, iterations: int = ITERATIONS, piece: int = PIECE, distinct: int = 400_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs; learns from rows whose crc32(doc_id as text) mod 10 is not 0."""
     spark = docs.sparkSession
     ship(spark)
     rows = _plain(docs, doc_id, text)
     learn = rows.filter("not held_out").select("text")
     counts = learn.mapInArrow(lambda b: _count_partition(b, distinct), "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
-    counts = written(counts, "counts")
+    counts = written(counts.withColumn("class", F.pmod(F.crc32("word"), F.lit(classes)).cast("int")), "counts")
     ends = learn.count()
     told = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).collect()[0]
     n, v = told["n"] + ends, told["v"] + (ends > 0)
-    top = counts.orderBy(F.col("c").desc(), "word").limit(vocabulary).collect()  # a fixed bound
-    frequent = [bytes(r["word"]) for r in top]
-    last = top[-1] if top else None
-    rare = counts.filter((F.col("c") < last["c"]) | ((F.col("c") == last["c"]) & (F.col("word") > F.lit(last["word"])))) if last else counts
-    rare = rare.withColumn("class", F.pmod(F.crc32("word"), F.lit(classes)))
-    by_class = {r["class"]: (r["n"], r["v"]) for r in rare.groupBy("class").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
+    top = counts.orderBy(F.col("c").desc(), "word").limit(max(listed, vocabulary)).select("word", "c").collect()  # a fixed bound
+
+    def after(r):
+        return (F.col("c") < r["c"]) | ((F.col("c") == r["c"]) & (F.col("word") > F.lit(r["word"]))) if r else F.lit(True)
+
+    unnamed = counts.filter(after(top[min(vocabulary, len(top)) - 1] if top else None))  # words without a symbol of their own
+    by_class = {r["class"]: (r["n"], r["v"]) for r in unnamed.groupBy("class").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
     class_counts = [by_class.get(i, (0, 0)) for i in range(classes)]
-    symbols = Symbols(frequent, [r["c"] for r in top] + [c for c, _ in class_counts] + [ends], classes)
-    model = train(learn, symbols, states=states, iterations=iterations, piece=piece)
-    shared = spark.sparkContext.broadcast((model, symbols))
+    symbols = Symbols([bytes(r["word"]) for r in top], [r["c"] for r in top], vocabulary, class_counts, ends)
+    shared = spark.sparkContext.broadcast(symbols)
     numbered = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", "held_out")
-    part = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, model double, rare array<struct<word:binary,n:int>>"
-    scored = written(numbered.mapInArrow(lambda b: _score_partition(b, *shared.value, n, v), part), "scored")
-    found = scored.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n")
-    seen = rare.select("word", "c")
-    found = found.join(seen, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    encoded = written(numbered.mapInArrow(lambda b: _encode_partition(b, shared.value, n, v), ENCODED), "encoded")
+    model = train(encoded.filter("not held_out"), symbols, states=states, iterations=iterations, piece=piece)
+    best = spark.sparkContext.broadcast(model)
+    kind = symbols.kind
+    scored = encoded.select("row", "doc_id", "held_out", "n_tokens", "n_known", "base", "share", "symbols").mapInArrow(lambda b: _score_partition(b, best.value, kind), SCORED)
+    found = encoded.select("row", F.explode(F.arrays_zip("rare_words", "rare_n")).alias("r")).select("row", F.col("r.rare_words").alias("word"), F.col("r.rare_n").alias("n"))
+    unlisted = counts.filter(after(top[-1] if top else None)).select("word", "c")
+    found = found.join(unlisted, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     class_of = F.pmod(F.crc32("word"), F.lit(classes)).cast("int") + 1
-    class_total = F.element_at(F.array(*[F.lit(float(c + ALPHA * (w + 1))) for c, w in class_counts]), class_of)
+    class_total = F.element_at(F.array(*[F.lit(float(t)) for t in symbols.class_total]), class_of)
     share = F.log10((F.col("c") + ALPHA) / class_total) * F.col("n")
     base = F.log10((F.col("c") + ALPHA) / F.lit(n + ALPHA * (v + 1))) * F.col("n")
     sums = found.groupBy("row").agg(F.sum(base).alias("rare_base"), F.sum(share).alias("rare_share"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("rare_known"))
-    out = scored.drop("rare").join(sums, "row", "left")
+    out = scored.join(sums, "row", "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + zero("rare_known")).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + zero("rare_base")).alias("base_score"), (F.col("model") + zero("rare_share")).alias("score"))
+    return out.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + zero("rare_known")).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + zero("rare_base")).alias("base_score"), (F.col("model") + F.col("share") + zero("rare_share")).alias("score"))
 
 
 def op10_hmm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
