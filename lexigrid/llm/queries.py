@@ -12,6 +12,7 @@ _WHERE = {
     "op4_exact_dedup": ("exact_dedup", "OP4_SQL"),
     "op5_quality_classifier": ("quality_classifier", None),
     "op6_byte_bpe": ("byte_bpe", None),
+    "op7_pii_spans": ("pii_spans", None),
     "op8_embedding_dedup": ("embedding_dedup", None),
     "op9_source_mixing": ("source_mixing", "OP9_SQL"),
     "op10_hmm_scoring": ("hmm_scoring", None),

@@ -100,10 +100,11 @@ def _cut(items: DataFrame, ways: int = 256, levels: int = 3) -> float:
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
-    """docs' rows that the mix takes, each once; repeats are in mix_decisions' taken."""
+    """docs' rows that the mix takes, with their own columns, each as often as the mix takes it. Rows that share a doc_id are taken as often as the one among them that is taken most."""
     name = options.get("doc_id", "doc_id")
-    taken = mix_decisions(docs, **options).filter("taken > 0").select(F.col("doc_id").alias("_taken_id")).distinct()
-    return docs.join(taken, F.col(name).eqNullSafe(F.col("_taken_id")), "left_semi")
+    taken = mix_decisions(docs, **options).filter("taken > 0").groupBy(F.col("doc_id").alias("_taken_id")).agg(F.max(F.col("taken") / F.col("size")).cast("int").alias("_times"))
+    out = docs.join(taken, F.col(name).eqNullSafe(F.col("_taken_id")))
+    return out.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[docs[c] for c in docs.columns])
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

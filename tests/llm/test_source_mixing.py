@@ -1,4 +1,5 @@
 import hashlib
+from collections import Counter
 
 from lexigrid.llm import source_mixing as M
 
@@ -57,6 +58,9 @@ def test_against_queueing(spark):
     assert held(M.mix_decisions(df, slices=3)) == want
     kept = M.mix_documents(df)
     assert kept.columns == df.columns
+    times = {i: t // n for i, n, _, t in want if n and i is not None and i != 11}
+    got = Counter(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None and r["doc_id"] != 11)
+    assert got == {i: t for i, t in times.items() if t}
 
 
 def test_targets_are_met(spark):
