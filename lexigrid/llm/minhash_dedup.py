@@ -9,9 +9,9 @@ Candidates are star-shaped: in each bucket all members against the smallest id,
 any size gives as many pairs as members. Links are confirmed on the full shingle sets
 (`percent` of the union at least in the intersection). After the stars' components are known, a
 pair can matter only if its ends share a bucket and are in different components. Such buckets are
-looked at again, by the members' sketches (a byte of each bin), in blocks of bounded size: first
-each member's `best` most similar partners outside its component, then, when the components that
-these join are known, all partners that are left. Only pairs whose sketches agree in no less than
+looked at again, by the members' sketches (a byte of each bin), in blocks of bounded size: first, in
+a quarter of the bands, each member's `best` most similar partners outside its component, then, when
+the components that these join are known, all partners in all bands that are left. Only pairs whose sketches agree in no less than
 the threshold by four standard deviations are worth confirming, so no star hides a link, and no
 group's pairs are all written out.
 
@@ -211,14 +211,14 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands
     crowded = written(crowded.select("band", "key", "m", F.col("c.rep").alias("centre"), F.col("c.n").alias("cn")), "buckets")
     stars = entries.join(crowded, ["band", "key"]).filter((F.col("centre") < F.col("rep")) & fits(F.col("n"), F.col("cn")))
     tried = written(stars.select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
-    links = written(_confirm(plain, tried, width, percent), "links")
+    links = _confirm(plain, tried, width, percent)
     roots = components(links)
     for most in (best, None):
         pairs = _open_pairs(signed, entries, crowded, roots, tried, percent, bands, most, block)
         if pairs.isEmpty():
             break
         tried = tried.unionByName(pairs)
-        links = links.unionByName(written(_confirm(plain, pairs, width, percent), "links"))
+        links = links.unionByName(_confirm(plain, pairs, width, percent))
         roots = components(links)
     alike = same.select("set_id", "n_shingles", "rep").join(roots, F.col("rep") == F.col("v"), "left").select("set_id", "n_shingles", F.least("rep", F.coalesce("root", "rep")).alias("root"))
     found = signed.select("doc_id", "n_shingles", "set_id").join(alike, ["set_id", "n_shingles"], "left")
@@ -232,6 +232,8 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands
 
 def _open_pairs(signed: DataFrame, entries: DataFrame, crowded: DataFrame, roots: DataFrame, tried: DataFrame, percent: int, bands: int, most: int | None, block: int) -> DataFrame:
     """(a, b), not tried yet, that share a bucket, are in different components and have sketches that may reach the threshold; most: only so many, the likeliest, for each member of a bucket."""
+    if most:
+        entries = entries.filter(F.col("band") < max(1, bands // 4))
     placed = entries.join(crowded.select("band", "key", "m"), ["band", "key"]).join(roots, F.col("rep") == F.col("v"), "left")
     placed = written(placed.select("band", "key", "m", "rep", "n", F.coalesce("root", "rep").alias("root")), "placed")
     mixed = placed.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("band", "key")
@@ -292,7 +294,9 @@ def _confirm(plain: DataFrame, pairs: DataFrame, width: int, percent: int) -> Da
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
     both = pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y")
-    return both.mapInArrow(lambda b: _confirm_partition(b, percent), "a long, b long")
+    links = written(both.mapInArrow(lambda b: _confirm_partition(b, percent), "a long, b long"), "links")
+    forget(sets)
+    return links
 
 
 def _one_component(found: DataFrame) -> DataFrame:
