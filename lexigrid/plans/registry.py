@@ -1,11 +1,390 @@
-"""Registered queries of the engine's own operators."""
+"""Registered queries of the engine's own operators over the driver tables, with their SQL."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexigrid.functions import text as T
+from lexigrid.operators import anchoring, audit, evaluation, extraction, probes, prompts, retrieval, routing
+from lexigrid.sources import io
+
+_QUERIES: dict = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _values(spark: SparkSession, rows, schema: str) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+def _sql_values(rows, columns: str) -> str:
+    lit = lambda v: "NULL" if v is None else ("true" if v else "false") if isinstance(v, bool) else str(v) if isinstance(v, (int, float)) else "'" + v.replace("'", "''") + "'"
+    return "(VALUES " + ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows) + f") AS v({columns})"
+
+
+_TOKENS = r"regexp_extract_all({c}, '[\p{{L}}\p{{N}}_]+(?:[''’][\p{{L}}\p{{N}}_]+)?')"
+_FOLDED = "replace(lower({c}), 'ß', 'ss')"
+_NORM = "trim(regexp_replace(replace(lower(replace({c}, '…', '...')), 'ß', 'ss'), '\\s+', ' ', 'g'))"
+
+_BM25 = f"""
+toks AS (SELECT doc_id, unnest({_TOKENS.format(c='text')}) AS raw FROM documents),
+post AS (SELECT doc_id, {_FOLDED.format(c='raw')} AS term, count(*) AS tf FROM toks GROUP BY ALL),
+dl AS (SELECT doc_id, len({_TOKENS.format(c='text')})::BIGINT AS dl FROM documents),
+st AS (SELECT count(*)::DOUBLE AS n, avg(dl) AS avgdl FROM dl),
+raw AS (SELECT term, count(*) AS df, ln(st.n - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM post, st GROUP BY term, st.n),
+idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
+qt AS (SELECT item_id, unnest({_TOKENS.format(c='text')}) AS raw FROM benchmark),
+q AS (SELECT item_id, {_FOLDED.format(c='raw')} AS term, count(*) AS qtf FROM qt GROUP BY ALL),
+sc AS (SELECT q.item_id, p.doc_id, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / st.avgdl))) AS score
+       FROM q JOIN post p USING (term) JOIN idf USING (term) JOIN dl ON dl.doc_id = p.doc_id, st GROUP BY ALL),
+al AS (SELECT b.item_id, d.doc_id, coalesce(sc.score, 0) AS score FROM benchmark b CROSS JOIN documents d LEFT JOIN sc ON sc.item_id = b.item_id AND sc.doc_id = d.doc_id),
+top AS (SELECT * FROM (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM al) WHERE rank <= 5)"""
+
+
+def _top(spark, d):
+    return retrieval.bm25_topk(_t(spark, d, "documents"), _t(spark, d, "benchmark"))
+
+
+@_query(f"WITH {_BM25} SELECT item_id, doc_id, round(score, 6) AS score, rank FROM top")
+def bm25_topk(spark, d):
+    return _top(spark, d).select("item_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+@_query(f"WITH {_BM25} SELECT term, df, round(idf, 6) AS idf FROM idf")
+def bm25_idf(spark, d):
+    docs = _t(spark, d, "documents")
+    return retrieval.term_idf(retrieval.postings(docs), docs.count()).select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+@_query(f"WITH {_BM25} SELECT doc_id, dl FROM dl")
+def bm25_docstats(spark, d):
+    return retrieval.doc_stats(_t(spark, d, "documents"))
+
+
+_COS = """pairs AS (SELECT q.vec_id AS query_id, v.vec_id, v.embedding AS a, q.embedding AS b FROM embeddings v JOIN embeddings q ON q.vec_id % 100 = 0),
+el AS (SELECT query_id, vec_id, unnest(a)::DOUBLE AS x, unnest(b)::DOUBLE AS y FROM pairs),
+sim AS (SELECT query_id, vec_id, sum(x * y) / (sqrt(sum(x * x)) * sqrt(sum(y * y))) AS similarity FROM el GROUP BY ALL),
+dtop AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 9) DESC, vec_id) AS rank FROM sim) WHERE rank <= 5)"""
+
+
+def _dense(spark, d):
+    v = _t(spark, d, "embeddings")
+    return retrieval.dense_topk(v, v.filter("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"))
+
+
+@_query(f"WITH {_COS} SELECT query_id, vec_id, round(similarity, 6) AS similarity, rank FROM dtop")
+def dense_topk(spark, d):
+    return _dense(spark, d).select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), "rank")
+
+
+@_query(f"""WITH {_BM25}, {_COS},
+l AS (SELECT item_id AS query_id, doc_id AS vec_id, score, rank AS lexical_rank FROM top WHERE item_id % 100 = 0),
+b AS (SELECT query_id, vec_id, score, lexical_rank, similarity, rank AS dense_rank FROM l FULL OUTER JOIN dtop USING (query_id, vec_id))
+SELECT query_id, vec_id, concat_ws('+', CASE WHEN lexical_rank IS NOT NULL THEN 'bm25' END, CASE WHEN dense_rank IS NOT NULL THEN 'dense' END) AS sources,
+  row_number() OVER (PARTITION BY query_id ORDER BY lexical_rank NULLS LAST, dense_rank) AS position FROM b""")
+def hybrid_merge(spark, d):
+    lexical = _top(spark, d).filter("item_id % 100 = 0").withColumnsRenamed({"item_id": "query_id", "doc_id": "vec_id"})
+    return retrieval.hybrid_merge(lexical, _dense(spark, d), query_id="query_id", id="vec_id").select("query_id", "vec_id", "sources", "position")
+
+
+@_query(f"""WITH {_BM25}, r AS (SELECT item_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score / dl DESC, rank) AS r, score / dl AS s FROM top JOIN dl USING (doc_id))
+SELECT item_id, round(max(CASE WHEN r = 1 THEN s END), 6) AS top_1, round(max(CASE WHEN r = 2 THEN s END), 6) AS top_2, round(max(CASE WHEN r = 1 THEN s END) - max(CASE WHEN r = 2 THEN s END), 6) AS margin FROM r GROUP BY item_id""")
+def rerank_signal(spark, d):
+    hits = _top(spark, d).withColumnRenamed("rank", "first_rank").join(retrieval.doc_stats(_t(spark, d, "documents")), "doc_id").withColumn("model", F.col("score") / F.col("dl"))
+    out = retrieval.rerank_signal(retrieval.rerank(hits, "model", query_id="item_id", tie="first_rank"), "model", query_id="item_id")
+    return out.select("item_id", *[F.round(c, 6).alias(c) for c in ("top_1", "top_2", "margin")])
+
+
+_GOLD = """gold AS (SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON position(array_to_string(list_slice(string_split(b.text, ' '), 1, 8), ' ') IN d.text) > 0),
+ev AS (SELECT g.item_id, count(*) AS n_gold, count(t.rank) AS n_hits FROM gold g LEFT JOIN top t ON t.item_id = g.item_id AND t.doc_id = g.doc_id GROUP BY g.item_id)"""
+
+
+def _gold(spark, d):
+    """item_id, doc_id: documents that hold an item's first eight words, found by equal word n-grams at spaces."""
+    start = F.array_join(F.slice(F.split("text", " "), 1, 8), " ")
+    return _t(spark, d, "benchmark").select("item_id", start.alias("start")).join(_t(spark, d, "documents"), F.col("text").contains(F.col("start"))).select("item_id", "doc_id")
+
+
+@_query(f"WITH {_BM25}, {_GOLD} SELECT item_id, n_gold, n_hits, round(n_hits / n_gold::DOUBLE, 6) AS recall, n_hits > 0 AS any_gold, n_hits = n_gold AS all_gold FROM ev")
+def gold_recall(spark, d):
+    return evaluation.gold_recall(_gold(spark, d), _top(spark, d), ["doc_id"]).withColumn("recall", F.round("recall", 6))
+
+
+@_query(f"WITH {_BM25}, {_GOLD} SELECT count(*) AS n_items, sum(n_hits)::BIGINT AS hits, sum(n_gold)::BIGINT AS gold, round(avg(n_hits / n_gold::DOUBLE), 6) AS macro_recall, round(sum(n_hits)::DOUBLE / sum(n_gold), 6) AS micro_recall FROM ev")
+def recall_macro_micro(spark, d):
+    out = evaluation.recall_summary(evaluation.gold_recall(_gold(spark, d), _top(spark, d), ["doc_id"]))
+    return out.withColumns({c: F.round(c, 6) for c in ("macro_recall", "micro_recall")})
+
+
+_SUFFIX = "CASE WHEN {c} LIKE '%ies' AND length({c}) >= 7 THEN substr({c}, 1, length({c}) - 3) || 'y' WHEN {c} LIKE '%ing' AND length({c}) >= 7 THEN substr({c}, 1, length({c}) - 3) WHEN {c} LIKE '%ed' AND length({c}) >= 6 THEN substr({c}, 1, length({c}) - 2) WHEN {c} LIKE '%es' AND length({c}) >= 6 THEN substr({c}, 1, length({c}) - 2) WHEN {c} LIKE '%s' AND length({c}) >= 5 THEN substr({c}, 1, length({c}) - 1) ELSE {c} END"
+_VOCAB = f"""atk AS (SELECT doc_id, unnest({_TOKENS.format(c=_NORM.format(c='text'))}) AS tok FROM documents),
+vocab AS (SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, {_SUFFIX.format(c='tok')} AS term FROM atk) GROUP BY term)"""
+
+
+@_query(f"WITH {_VOCAB} SELECT term, df FROM vocab")
+def anchor_vocab(spark, d):
+    return anchoring.vocabulary(_t(spark, d, "documents"))
+
+
+_STOP = ", ".join(f"'{w}'" for w in (*anchoring.STOPWORDS, *anchoring.FRAME_TERMS))
+
+
+@_query(f"""WITH {_BM25}, {_VOCAB},
+bt AS (SELECT item_id, unnest({_TOKENS.format(c=_NORM.format(c='text'))}) AS tok FROM benchmark),
+ca AS (SELECT DISTINCT item_id, {_SUFFIX.format(c='tok')} AS anchor FROM bt WHERE tok NOT IN ({_STOP}) AND NOT regexp_matches(tok, '[0-9]') AND length(tok) >= 4),
+an AS (SELECT * FROM (SELECT item_id, anchor, df IS NULL AS oov, ln((SELECT n FROM st) / (1 + coalesce(df, 0))) AS idf FROM ca LEFT JOIN vocab ON vocab.term = {_SUFFIX.format(c='anchor')}) WHERE idf >= 2.0),
+cx AS (SELECT DISTINCT top.item_id, {_SUFFIX.format(c='tok')} AS anchor FROM top JOIN atk USING (doc_id)),
+ag AS (SELECT an.item_id, count(*) AS n_anchors, count(cx.anchor) AS n_covered, count(*) FILTER (oov) AS n_oov, sum(idf) AS total, sum(CASE WHEN cx.anchor IS NULL THEN 0 ELSE idf END) AS got
+       FROM an LEFT JOIN cx ON cx.item_id = an.item_id AND cx.anchor = an.anchor GROUP BY an.item_id)
+SELECT item_id, n_anchors, n_covered, n_oov, round(n_covered::DOUBLE / n_anchors, 6) AS coverage, round(got / total, 6) AS idf_coverage FROM ag""")
+def anchor_coverage(spark, d):
+    docs = _t(spark, d, "documents")
+    found = anchoring.anchors(_t(spark, d, "benchmark"), anchoring.vocabulary(docs), docs.count())
+    contexts = _top(spark, d).select("item_id", "doc_id").join(docs.select("doc_id", "text"), "doc_id")
+    out = anchoring.coverage(found, contexts)
+    return out.withColumns({c: F.round(c, 6) for c in ("coverage", "idf_coverage")})
+
+
+_PAIRS = """p AS (SELECT a.conv_id, a.turn, a.text AS response, u.text AS context FROM conversations a JOIN conversations u ON u.conv_id = a.conv_id AND u.turn = a.turn - 1 WHERE a.role = 'assistant')"""
+
+
+def _pairs(spark, d):
+    c = _t(spark, d, "conversations")
+    before = c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("context"))
+    return c.filter("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("response")).join(before, ["conv_id", "turn"])
+
+
+@_query(f"""WITH {_PAIRS}, w AS (SELECT conv_id, turn, regexp_extract_all({_NORM.format(c='response')}, '[\\p{{L}}\\p{{N}}]+') AS a, regexp_extract_all({_NORM.format(c='context')}, '[\\p{{L}}\\p{{N}}]+') AS b FROM p),
+n AS (SELECT *, least(8, greatest(len(a), 1)) AS k FROM w),
+sa AS (SELECT DISTINCT conv_id, turn, array_to_string(list_slice(a, i, i + k - 1), ' ') AS g FROM (SELECT *, unnest(generate_series(1, greatest(len(a) - k + 1, 1))) AS i FROM n WHERE len(a) > 0)),
+sb AS (SELECT DISTINCT conv_id, turn, array_to_string(list_slice(b, i, i + k - 1), ' ') AS g FROM (SELECT *, unnest(generate_series(1, greatest(len(b) - k + 1, 1))) AS i FROM n WHERE len(b) > 0)),
+h AS (SELECT sa.conv_id, sa.turn, count(*) AS total, count(sb.g) AS hit FROM sa LEFT JOIN sb ON sb.conv_id = sa.conv_id AND sb.turn = sa.turn AND sb.g = sa.g GROUP BY ALL)
+SELECT n.conv_id, n.turn, round(coalesce(hit::DOUBLE / total, 0), 6) AS echo FROM n LEFT JOIN h ON h.conv_id = n.conv_id AND h.turn = n.turn""")
+def echo_ratio(spark, d):
+    return _pairs(spark, d).select("conv_id", "turn", F.round(T.overlap_ratio(F.col("response"), F.col("context")), 6).alias("echo"))
+
+
+_RESPONSES = [(1, "I cannot answer from the given context"), (2, "**i cannot  ANSWER from the given context.**"), (3, "I cannot answer from the given context. Sorry"), (4, "The rent is due [1]. I cannot answer from the given context. But the lessor"), (5, ""), (6, "12 34"), (7, "The lessor pays 在 the rent."), (8, "no!!!! aaaa"), (9, None), (10, "Short heading"), (11, "A line that ends, so it is a sentence.")]
+
+
+@_query("WITH r AS (SELECT * FROM " + _sql_values(_RESPONSES, "item_id, response") + r"""),
+n AS (SELECT item_id, coalesce(response, '') AS raw, trim(regexp_replace(lower(coalesce(response, '')), '\s+', ' ', 'g')) AS t FROM r),
+k AS (SELECT *, position('i cannot answer from the given context' IN t) > 0 AS there, len(regexp_extract_all(replace(t, 'i cannot answer from the given context', ' '), '\p{L}\p{L}+')) AS rest FROM n)
+SELECT item_id, CASE WHEN NOT there AND rest = 0 THEN 'empty' WHEN there AND rest < 2 THEN 'abstained' WHEN there THEN 'mixed' ELSE 'answered' END AS response_class,
+  CASE WHEN trim(raw) = 'I cannot answer from the given context' THEN 'abstained' ELSE 'answered' END AS legacy_class,
+  trim(raw) = '' OR (NOT regexp_matches(trim(raw), '[.;:?!]$') AND len(string_split_regex(trim(raw), '\s+')) <= 12) AS heading_like,
+  len(regexp_extract_all(raw, '[一-鿿぀-ヿ가-힯Ѐ-ӿ؀-ۿ]'))::INT AS n_foreign FROM k""")
+def response_checks(spark, d):
+    r = _values(spark, _RESPONSES, "item_id int, response string")
+    c = F.col("response")
+    return r.select("item_id", T.classify_response(c).alias("response_class"), T.classify_response_legacy(c).alias("legacy_class"), T.heading_like(c).alias("heading_like"), F.size(T.unexpected_script(c)).alias("n_foreign"))
+
+
+@_query("SELECT doc_id, len(list_distinct(regexp_extract_all(text, '!!!!+|\\.\\.\\.\\.+|----+|====+|____+|\\*\\*\\*\\*+|####+|    +')))::INT AS n_runs FROM documents WHERE regexp_matches(text, '!!!!|\\.\\.\\.\\.|----|====|____|\\*\\*\\*\\*|####|    ')")
+def repeat_runs(spark, d):
+    c = F.filter(T.repeated_runs(F.col("text")), lambda r: F.substring(r, 1, 1).isin("!", ".", "-", "=", "_", "*", "#", " "))
+    return _t(spark, d, "documents").select("doc_id", F.size(c).alias("n_runs")).filter("n_runs > 0")
+
+
+@_query("SELECT ch, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[^\\x00-\\x7F]')) AS ch FROM documents) GROUP BY ch")
+def unicode_histogram(spark, d):
+    return extraction.unicode_histogram(_t(spark, d, "documents"))
+
+
+@_query("SELECT doc_id, substr(sha256(text), 1, 16) AS text_digest, n_chars FROM documents")
+def public_trace(spark, d):
+    return io.public_view(_t(spark, d, "documents").select("doc_id", "text", "n_chars"), "text")
+
+
+_TERMS = [("the",), ("of the",), ("license",), ("Zzzxq",)]
+
+
+@_query("WITH v0 AS (SELECT * FROM " + _sql_values(_TERMS, "term") + f"""), d AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all({_NORM.format(c='text')}, '[\\p{{L}}\\p{{N}}]+'), ' ') || ' ' AS w FROM documents)
+SELECT term, count(d.doc_id) AS n_chunks FROM v0 LEFT JOIN d ON position(' ' || lower(term) || ' ' IN d.w) > 0 GROUP BY term""")
+def term_occurrences(spark, d):
+    return probes.term_occurrences(_t(spark, d, "documents"), _values(spark, _TERMS, "term string"))
+
+
+_PROBES = [("p1", "term_absent", "Zzzxq"), ("p2", "term_absent", "the"), ("p3", "standard_absent", "src0"), ("p4", "standard_absent", "src99")]
+
+
+@_query("SELECT probe_id, basis, ok FROM " + _sql_values([("p1", "term_absent", True), ("p2", "term_absent", False), ("p3", "standard_absent", False), ("p4", "standard_absent", True)], "probe_id, basis, ok"))
+def probe_verify(spark, d):
+    return probes.verify_probes(_values(spark, _PROBES, "probe_id string, basis string, value string"), _t(spark, d, "documents"))
+
+
+@_query("""WITH w AS (SELECT doc_id, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS t FROM documents),
+s AS (SELECT doc_id, t, unnest(generate_series(0, len(t) - 1, 224)) AS token_start FROM w WHERE len(t) > 0)
+SELECT doc_id, token_start::INT AS token_start, least(token_start + 256, len(t))::INT AS token_end, t[token_start + 1] AS first_token FROM s""")
+def fixed_windows(spark, d):
+    tokens = _t(spark, d, "documents").select("doc_id", F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)).alias("tokens"))
+    return extraction.fixed_windows(tokens).select("doc_id", "token_start", "token_end", F.col("tokens")[0].alias("first_token"))
+
+
+_CROSS = """WITH r AS (SELECT l.doc_id, CASE WHEN quality = 1 THEN 'answer' ELSE 'abstain' END AS expected, CASE WHEN n_chars < 300 THEN 'escalate' WHEN regexp_matches(text, '!!|%%%') THEN 'abstain' ELSE 'answer' END AS decision FROM labels l JOIN documents USING (doc_id))"""
+
+
+def _routed_labels(spark, d):
+    rows = _t(spark, d, "labels").join(_t(spark, d, "documents").select("doc_id", "n_chars", "text"), "doc_id")
+    decision = F.when(F.col("n_chars") < 300, "escalate").when(F.col("text").rlike("!!|%%%"), "abstain").otherwise("answer")
+    return rows.select("doc_id", F.when(F.col("quality") == 1, "answer").otherwise("abstain").alias("expected"), decision.alias("decision"), "quality", "n_chars")
+
+
+@_query(_CROSS + "SELECT count(*) AS n, count(*) FILTER (decision = 'answer') AS n_answer, count(*) FILTER (decision = 'abstain') AS n_abstain, count(*) FILTER (decision = 'escalate') AS n_escalate, round(avg((decision = expected)::INT), 6) AS agreement, count(*) FILTER (expected = 'answer' AND decision <> 'answer') AS over_abstention FROM r")
+def routing_metrics(spark, d):
+    return evaluation.routing_metrics(_routed_labels(spark, d)).withColumn("agreement", F.round("agreement", 6))
+
+
+@_query(_CROSS + """SELECT count(*) FILTER (expected = 'answer' AND decision = 'answer') AS answer_answer, count(*) FILTER (expected = 'abstain' AND decision = 'answer') AS abstain_answer, count(*) FILTER (expected = 'abstain' AND decision = 'abstain') AS abstain_abstain,
+round(count(*) FILTER (expected = 'abstain' AND decision = 'abstain')::DOUBLE / count(*) FILTER (decision = 'abstain'), 6) AS abstention_precision, round(count(*) FILTER (expected = 'abstain' AND decision = 'answer')::DOUBLE / count(*) FILTER (expected = 'abstain'), 6) AS unsafe_answer_rate, NULL::DOUBLE AS escalation_recall FROM r""")
+def selective_risk(spark, d):
+    out = evaluation.selective_risk(_routed_labels(spark, d))
+    return out.select("answer_answer", "abstain_answer", "abstain_abstain", F.round("abstention_precision", 6).alias("abstention_precision"), F.round("unsafe_answer_rate", 6).alias("unsafe_answer_rate"), "escalation_recall")
+
+
+@_query("""WITH r AS (SELECT n_chars AS s, quality FROM labels JOIN documents USING (doc_id)) SELECT (SELECT count(*) FROM r WHERE quality = 1) AS n_pos, (SELECT count(*) FROM r WHERE quality = 0) AS n_neg,
+round((SELECT avg(CASE WHEN p.s > n.s THEN 1.0 WHEN p.s = n.s THEN 0.5 ELSE 0 END)::DOUBLE FROM r p, r n WHERE p.quality = 1 AND n.quality = 0), 6) AS auc""")
+def auc_rank(spark, d):
+    return evaluation.auc(_routed_labels(spark, d), "n_chars", "quality").withColumn("auc", F.round("auc", 6))
+
+
+@_query("""SELECT threshold, quality, count(*) FILTER (n_chars < threshold) AS fired, count(n_chars) AS evaluable FROM labels JOIN documents USING (doc_id), (VALUES (100.0::DOUBLE), (500.0::DOUBLE), (2000.0::DOUBLE)) t(threshold) GROUP BY ALL""")
+def threshold_sweep(spark, d):
+    return evaluation.threshold_rates(_routed_labels(spark, d), "n_chars", "quality", [100, 500, 2000])
+
+
+@_query("""WITH c AS (SELECT source, count(*)::DOUBLE AS n, count(*) FILTER (lang = 'en')::DOUBLE AS k FROM documents GROUP BY source HAVING count(*) >= 30), z AS (SELECT *, 1.959963984540054 AS z, k / n AS p FROM c)
+SELECT source, round((p + z*z/(2*n) - z*sqrt(p*(1-p)/n + z*z/(4*n*n))) / (1 + z*z/n), 6) AS lo, round((p + z*z/(2*n) + z*sqrt(p*(1-p)/n + z*z/(4*n*n))) / (1 + z*z/n), 6) AS hi FROM z""")
+def wilson(spark, d):
+    by = _t(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).cast("double").alias("n"), F.count_if(F.col("lang") == "en").cast("double").alias("k")).filter("n >= 30")
+    lo, hi = evaluation.wilson_columns(F.col("k"), F.col("n"))
+    return by.select("source", F.round(lo, 6).alias("lo"), F.round(hi, 6).alias("hi"))
+
+
+@_query()
+def clopper_pearson(spark, d):
+    return _values(spark, [(k, n, *evaluation.clopper_pearson(k, n)) for k, n in ((0, 7), (1, 7), (7, 7), (19, 19), (9, 17))], "hits int, n int, lo double, hi double")
+
+
+def _signals(spark, d):
+    c = F.col("response")
+    rows = _pairs(spark, d).select(F.concat_ws(":", "conv_id", "turn").alias("item_id"), "response", "context")
+    return rows.select("item_id", F.lit(1).alias("n_records"), T.heading_like(F.col("context")).alias("all_headings"), c.isNotNull().alias("generated"), T.classify_response(c).alias("response_class"), F.lit(None).cast("boolean").alias("audit_passed"), F.lit(None).cast("boolean").alias("grounding_passed"), T.unexpected_script(c).alias("foreign"), T.repeated_runs(c).alias("runs"), T.overlap_ratio(c, F.col("context")).alias("echo_ratio"))
+
+
+_FOUR = "|".join(c * 4 for c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789äöüßñéèêçóíáú !,;:-_#")  # RE2 has no references back
+_ROUTE = f"""WITH {_PAIRS}, s AS (SELECT conv_id, turn, trim(context) = '' OR (NOT regexp_matches(trim(context), '[.;:?!]$') AND len(string_split_regex(trim(context), '\\s+')) <= 12) AS head, len(regexp_extract_all(response, '\\p{{L}}\\p{{L}}+')) = 0 AS nothing, regexp_matches(response, '{_FOUR}') AS runs FROM p)"""
+
+
+@_query(_ROUTE + "SELECT conv_id || ':' || turn AS item_id, CASE WHEN head OR nothing THEN 'abstain' WHEN runs THEN 'escalate' ELSE 'answer' END AS decision, CASE WHEN head THEN 'retrieval_normative' WHEN nothing THEN 'response_present' WHEN runs THEN 'no_degenerate_decoding' END AS triggering_gate FROM s")
+def route_full(spark, d):
+    return routing.evaluate_gates(_signals(spark, d), routing.default_gates()).select("item_id", "decision", "triggering_gate")
+
+
+@_query(_ROUTE + "SELECT conv_id || ':' || turn AS item_id, CASE WHEN head THEN 'abstain' ELSE 'answer' END AS decision FROM s")
+def route_pre(spark, d):
+    return routing.evaluate_gates(_signals(spark, d), routing.default_gates(), stage="retrieval").select("item_id", "decision")
+
+
+@_query()
+def ablation_lattice(spark, d):
+    gates = routing.default_gates()
+    return routing.ablation_lattice(routing.evaluate_gates(_signals(spark, d), gates), gates)
+
+
+@_query()
+def gate_leave_one_out(spark, d):
+    gates = routing.default_gates()
+    return routing.gate_contributions(routing.evaluate_gates(_signals(spark, d), gates), gates)
+
+
+_ECHO = [("a", 0.2), ("b", 0.5), ("c", 0.962963), ("d", None)]
+
+
+def _swept(spark):
+    decide = lambda v, t: F.when(v.isNull(), "abstain").when(v < t, "answer").otherwise("escalate")
+    return routing.sweep(_values(spark, _ECHO, "item_id string, echo double"), "echo", decide, 0.85)
+
+
+@_query("SELECT threshold::DOUBLE AS threshold, n_answer::BIGINT AS n_answer, flips FROM " + _sql_values([(0.0, 0, 0), (0.2, 0, 0), (0.2 + 1e-9, 1, 1), (0.5, 1, 0), (0.5 + 1e-9, 2, 1), (0.85, 2, 0), (0.962963, 2, 0), (0.962963 + 1e-9, 3, 1), (1.0, 3, 0)], "threshold, n_answer, flips"))
+def threshold_flips(spark, d):
+    return _swept(spark).select("threshold", "n_answer", "flips")
+
+
+@_query("SELECT (0.5 + 1e-9)::DOUBLE AS lo, 0.962963::DOUBLE AS hi")
+def stable_interval(spark, d):
+    return routing.stable_interval(_swept(spark), 0.85)
+
+
+_CITED = [(1, "Intro. [1] the lessor must keep the leased asset in good repair [2] the lessor must keep the leased asset in good repair [3] short one [9] nothing like this was ever said in it [2] some other words that nobody has written there"), (2, "no markers here")]
+_CONTEXT = [(1, 1, "the lessor must keep the leased asset in good repair at all times"), (1, 2, "the lessee pays rent in advance for each month"), (1, 3, "termination of the contract"), (2, 1, "x")]
+
+
+@_query("SELECT item_id, segment_no, cited_rank, attribution FROM " + _sql_values([(1, 0, 1, "supported"), (1, 1, 2, "misattributed"), (1, 2, 3, "too_short"), (1, 3, 9, "unknown_rank"), (1, 4, 2, "unverified")], "item_id, segment_no, cited_rank, attribution"))
+def citation_attribution(spark, d):
+    out = audit.audit_citations(_values(spark, _CITED, "item_id int, response string"), _values(spark, _CONTEXT, "item_id int, rank int, text string"))
+    return out.select("item_id", "segment_no", "cited_rank", "attribution")
+
+
+_REFS = [(1, "As SS 9 2/3 says, and 4/1/2 too. See 7/7 of SS8 and 8/8. SS44 1/1")]
+_CLAUSES = [(1, "SS9", "2/3", "lease"), (1, "SS9", "4/1/2/5", "cites 12/45")]
+_INDEX = [("SS9", "2/3"), ("SS9", "4/1/2/5"), ("SS8", "8/8"), ("SS9", "7/7")]
+
+
+@_query("SELECT item_id, standard, path, status FROM " + _sql_values([(1, "SS9", "2/3", "exact"), (1, "SS9", "4/1/2", "ancestor"), (1, "SS9", "7/7", "outside_context"), (1, "SS8", "8/8", "outside_context"), (1, "SS44", "1/1", "unknown_standard")], "item_id, standard, path, status"))
+def grounding_status(spark, d):
+    refs = audit.clause_references(_values(spark, _REFS, "item_id int, response string"))
+    return audit.ground(refs, _values(spark, _CLAUSES, "item_id int, standard string, clause string, text string"), _values(spark, _INDEX, "standard string, path string")).select("item_id", "standard", "path", "status")
+
+
+_PAGES = [("SS9", 1, "Contents\n1. Scope\n2. Rent"), ("SS9", 2, "1. Scope\n1/1 This standard covers leases of pro-\nperty [see item\n2/2 below] in full.\na) first point\n12\nb) second point"), ("SS9", 3, "2. Rent\n2/1 Rent is due; see clause\n1/1 above.\n2/1 Repeated id.\n3. Date of Issuance of the Standard\n9/9 never seen")]
+_RECORDS = [("1", None, 0, "Scope"), ("1", None, 1, "Scope"), ("1/1", None, 0, "This standard covers leases of property [see item 2/2 below] in full."), ("1/1", "a", 1, "first point"), ("1/1", "b", 2, "second point"), ("2", None, 0, "Rent"), ("2", None, 1, "Rent"), ("2/1", None, 0, "Rent is due; see clause 1/1 above."), ("2/1", None, 1, "Repeated id.")]
+
+
+def _records(spark):
+    return extraction.parse_clauses(extraction.normalise_lines(_values(spark, _PAGES, "standard_id string, page int, text string").filter("page > 1 or text not like 'Contents%'")))
+
+
+_FIRST = [r for i, r in enumerate(_RECORDS) if i not in (1, 6)]
+
+
+@_query("SELECT clause_id, sub_clause_id, occurrence_index, text FROM " + _sql_values(_FIRST, "clause_id, sub_clause_id, occurrence_index, text"))
+def clause_parse(spark, d):
+    return _records(spark).select("clause_id", "sub_clause_id", "occurrence_index", "text")
+
+
+@_query("SELECT chunk_id, bm25_text FROM " + _sql_values([(f"clause:SS9:{c}{':' + s if s else ''}:occurrence:{o}", f"Leases.\nSS9 section {c[0]} clause {c} {s or ''} {t}") for c, s, o, t in _FIRST], "chunk_id, bm25_text"))
+def sac_enrich(spark, d):
+    return extraction.sac_enrich(extraction.clause_chunks(_records(spark)), _values(spark, [("SS9", "Leases.")], "standard_id string, summary string")).select("chunk_id", "bm25_text")
+
+
+@_query(f"""WITH {_BM25}, l AS (SELECT item_id, rank, '[' || rank || '] ' || source || chr(10) || text AS b FROM top JOIN documents USING (doc_id)),
+c AS (SELECT item_id, string_agg(b, chr(10) || chr(10) ORDER BY rank) AS context, count(*) AS n_records FROM l GROUP BY item_id)
+SELECT c.item_id, n_records, md5('Excerpts:' || chr(10) || context || chr(10) || 'Question: ' || b.text) AS prompt_md5 FROM c JOIN benchmark b USING (item_id)""")
+def prompt_render(spark, d):
+    ranked = _top(spark, d).join(_t(spark, d, "documents").select("doc_id", F.col("source").alias("label"), "text"), "doc_id")
+    items = prompts.context_text(ranked).join(_t(spark, d, "benchmark").select("item_id", F.col("text").alias("question")), "item_id").withColumn("gold_answer", F.lit(" "))
+    variants = _values(spark, [("v1", prompts.SYSTEM, "Excerpts:\n{context}\nQuestion: {question}")], "variant string, system string, template string")
+    return prompts.leak_guard(prompts.render(items, variants)).select("item_id", "n_records", F.md5("user_prompt").alias("prompt_md5"))
+
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
