@@ -71,6 +71,24 @@ def ship(spark: SparkSession) -> None:
     sc._lexigrid_shipped = True
 
 
+def tidy(batches):
+    """The batches of a partition; then what the worker has freed goes back to the machine, as workers live on and share an executor's memory with it."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    try:
+        yield from batches
+    finally:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # not this C library
+            pass
+
+
 def crc_mod(col: str, n: int):
     """crc32 of an id written as decimal text, modulo n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % n

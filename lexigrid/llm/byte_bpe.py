@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigrid.llm._pieces import PIECES, PieceMemo, splitter
-from lexigrid.llm._shared import ship, table, tokenizer_path
+from lexigrid.llm._shared import ship, table, tidy, tokenizer_path
 
 ENCODED = "doc_id long, n_tokens long, ids binary, decoded binary"
 #: Entries of a worker's memo of pairs.
@@ -201,7 +201,7 @@ def bpe_encode(docs: DataFrame, *, ranks: str | None = None, pattern: str | None
     shared = spark.sparkContext.broadcast(PerfectHash(read_ranks(ranks or tokenizer_path("byte_bpe_multi_50k.tiktoken"))))
     pattern = pattern or public_tokenizers.PATTERN
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").cast("binary").alias("text"))
-    return rows.mapInArrow(lambda b: _encode_partition(b, shared, pattern, decoded), ENCODED)
+    return rows.mapInArrow(lambda b: tidy(_encode_partition(b, shared, pattern, decoded)), ENCODED)
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,7 +60,7 @@ def _stream_state(digests_path: str, spark: SparkSession, schema, files_per_batc
     at = new_path(spark, "dedup-state")
     store = "spark.sql.streaming.stateStore"
     # without pre-allocation: a partition's store is small, and each would hold some MB of empty files
-    names = {f"{store}.providerClass": ROCKSDB, f"{store}.rocksdb.changelogCheckpointing.enabled": "true", f"{store}.rocksdb.allowFAllocate": "false"}
+    names = {f"{store}.providerClass": ROCKSDB, f"{store}.rocksdb.changelogCheckpointing.enabled": "true", f"{store}.rocksdb.allowFAllocate": "false", f"{store}.rocksdb.boundedMemoryUsage": "true", f"{store}.rocksdb.maxMemoryUsageMB": "200"}
     with _settings(spark, **names):
         rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(digests_path)
         state = rows.groupBy("digest").agg(F.max(F.struct("doc_id", "file", "row")).alias("keep"), F.count(F.lit(1)).alias("n"))

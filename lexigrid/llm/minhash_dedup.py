@@ -41,7 +41,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrid.llm._shared import forget, ship, table, written
+from lexigrid.llm._shared import forget, ship, table, tidy, written
 from lexigrid.llm.components import components
 
 SIGNED = "doc_id long, n_shingles long, set_id binary, bands array<long>, sketch binary"
@@ -151,6 +151,7 @@ def _sign_partition(batches, width: int, bands: int, rows: int, least: int):
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys))), pa.array(sketches, pa.binary())], names=["doc_id", "n_shingles", "set_id", "bands", "sketch"])
 
     held, none = [], np.empty(0, "i8")
+    _words.clear()  # what a task before has left
     for doc_id, text in _texts(batches):
         hashes = shingle_hashes(text, width)
         keys, sketch = none, b""
@@ -203,7 +204,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands
     ship(spark)
     least = math.ceil(percent / (100 - percent)) if percent < 100 else 1 << 62  # below, only equal sets reach it
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").cast("binary").alias("text"))
-    signed = written(plain.mapInArrow(lambda b: _sign_partition(b, width, bands, rows, least), SIGNED), "signed")
+    signed = written(plain.mapInArrow(lambda b: tidy(_sign_partition(b, width, bands, rows, least)), SIGNED), "signed")
     same = written(signed.filter("n_shingles > 0 and doc_id is not null").groupBy("set_id", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")), "same")
     entries = written(same.filter("size(bands) > 0").select("rep", F.col("n_shingles").alias("n"), F.posexplode("bands").alias("band", "key")), "entries")
     crowded = entries.groupBy("band", "key").agg(F.min(F.struct("rep", "n")).alias("c"), F.count(F.lit(1)).alias("m")).filter("m > 1")
@@ -290,11 +291,11 @@ def _confirm(plain: DataFrame, pairs: DataFrame, width: int, percent: int) -> Da
     """Those of the pairs whose full sets are as similar as asked for."""
     ends = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     wanted = plain.join(ends, "doc_id", "left_semi")
-    sets = written(wanted.mapInArrow(lambda b: _set_partition(b, width), SETS), "sets")
+    sets = written(wanted.mapInArrow(lambda b: tidy(_set_partition(b, width)), SETS), "sets")
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
     both = pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y")
-    links = written(both.mapInArrow(lambda b: _confirm_partition(b, percent), "a long, b long"), "links")
+    links = written(both.mapInArrow(lambda b: tidy(_confirm_partition(b, percent)), "a long, b long"), "links")
     forget(sets)
     return links
 

@@ -27,7 +27,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrid.llm._shared import crc_mod, new_path, ship, table, written
+from lexigrid.llm._shared import crc_mod, ship, table, tidy, written
 
 WIDTH = 256
 GAMMA = 0.03
@@ -196,7 +196,7 @@ def text_statistics(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     """doc_id and x, NAMES' values, for each row; a written table."""
     ship(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").cast("binary").alias("text"))
-    return written(rows.mapInArrow(_stats_partition, STATS), "stats")
+    return written(rows.mapInArrow(lambda b: tidy(_stats_partition(b)), STATS), "stats")
 
 
 def fit(stats: DataFrame, labels: DataFrame) -> Model:
@@ -223,7 +223,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id"
     known = labels.select(F.col(label_id).cast("long").alias("doc_id"), F.col(label).alias("y"))
     held_out = crc_mod("doc_id", 3) == 1
     model = fit(stats, known.filter(~held_out) if hold_out else known)
-    out = stats.mapInArrow(lambda b: _score_partition(b, model), "doc_id long, score double")
+    out = stats.mapInArrow(lambda b: tidy(_score_partition(b, model)), "doc_id long, score double")
     return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
