@@ -212,21 +212,24 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands
     crowded = written(crowded.select("band", "key", "m", F.col("c.rep").alias("centre"), F.col("c.n").alias("cn")), "buckets")
     stars = entries.join(crowded, ["band", "key"]).filter((F.col("centre") < F.col("rep")) & fits(F.col("n"), F.col("cn")))
     tried = written(stars.select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
-    links = _confirm(plain, tried, width, percent)
+    members = entries.join(crowded.select("band", "key"), ["band", "key"]).select(F.col("rep").alias("doc_id")).distinct()
+    wanted = plain.join(members, "doc_id", "left_semi")  # the one time that texts are shuffled
+    sets = written(wanted.mapInArrow(lambda b: tidy(_set_partition(b, width)), SETS), "sets")
+    links = _confirm(sets, tried, percent)
     roots = components(links)
     for most in (best, None):
         pairs = _open_pairs(signed, entries, crowded, roots, tried, percent, bands, most, block)
         if pairs.isEmpty():
             break
         tried = tried.unionByName(pairs)
-        links = links.unionByName(_confirm(plain, pairs, width, percent))
+        links = links.unionByName(_confirm(sets, pairs, percent))
         roots = components(links)
     alike = same.select("set_id", "n_shingles", "rep").join(roots, F.col("rep") == F.col("v"), "left").select("set_id", "n_shingles", F.least("rep", F.coalesce("root", "rep")).alias("root"))
     found = signed.select("doc_id", "n_shingles", "set_id").join(alike, ["set_id", "n_shingles"], "left")
     found = found.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
     if not signed.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").isEmpty():
         found = _one_component(written(found, "repeated"))
-    for df in (entries, crowded, tried):
+    for df in (entries, crowded, tried, sets):
         forget(df)
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
@@ -287,17 +290,12 @@ def _alike(key, tab, percent: int, bands: int, most: int | None):
     return pa.table({"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64())})
 
 
-def _confirm(plain: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+def _confirm(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs whose full sets are as similar as asked for."""
-    ends = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    wanted = plain.join(ends, "doc_id", "left_semi")
-    sets = written(wanted.mapInArrow(lambda b: tidy(_set_partition(b, width)), SETS), "sets")
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
     both = pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y")
-    links = written(both.mapInArrow(lambda b: tidy(_confirm_partition(b, percent)), "a long, b long"), "links")
-    forget(sets)
-    return links
+    return written(both.mapInArrow(lambda b: tidy(_confirm_partition(b, percent)), "a long, b long"), "links")
 
 
 def _one_component(found: DataFrame) -> DataFrame:
