@@ -114,7 +114,7 @@ ev AS (SELECT g.item_id, count(*) AS n_gold, count(t.rank) AS n_hits FROM gold g
 
 
 def _gold(spark, d):
-    """item_id, doc_id: documents that hold an item's first eight words, found by equal word n-grams at spaces."""
+    """item_id, doc_id: documents that hold an item's first eight words as a substring; the items are a stated query set, sent to all documents."""
     start = F.array_join(F.slice(F.split("text", " "), 1, 8), " ")
     return _t(spark, d, "benchmark").select("item_id", start.alias("start")).join(_t(spark, d, "documents"), F.col("text").contains(F.col("start"))).select("item_id", "doc_id")
 
