@@ -33,4 +33,5 @@ def components(links: DataFrame, *, rounds: int = 200) -> DataFrame:
             break
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
+    forget(both)
     return roots.select("v", "root")

@@ -19,13 +19,11 @@ Defined results
 
 from __future__ import annotations
 
-from contextlib import contextmanager
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrid.llm._shared import new_path, table, written
+from lexigrid.llm._shared import new_path, settings, table, written
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -43,25 +41,13 @@ def _located(docs: DataFrame) -> DataFrame:
         return written(docs, "located")
 
 
-@contextmanager
-def _settings(spark: SparkSession, **values: str):
-    before = {k: spark.conf.get(k, None) for k in values}
-    for k, v in values.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
-
-
 def _stream_state(digests_path: str, spark: SparkSession, schema, files_per_batch: int) -> DataFrame:
     """digest, keep (doc_id, file, row) and group_size out of the state that the stream leaves."""
     at = new_path(spark, "dedup-state")
     store = "spark.sql.streaming.stateStore"
     # without pre-allocation: a partition's store is small, and each would hold some MB of empty files
     names = {f"{store}.providerClass": ROCKSDB, f"{store}.rocksdb.changelogCheckpointing.enabled": "true", f"{store}.rocksdb.allowFAllocate": "false", f"{store}.rocksdb.boundedMemoryUsage": "true", f"{store}.rocksdb.maxMemoryUsageMB": "200"}
-    with _settings(spark, **names):
+    with settings(spark, **names):
         rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(digests_path)
         state = rows.groupBy("digest").agg(F.max(F.struct("doc_id", "file", "row")).alias("keep"), F.count(F.lit(1)).alias("n"))
         query = state.writeStream.format("noop").outputMode("update").option("checkpointLocation", at).trigger(availableNow=True).start()

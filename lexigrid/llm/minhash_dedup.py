@@ -10,10 +10,12 @@ any size gives as many pairs as members. Links are confirmed on the full shingle
 (`percent` of the union at least in the intersection). After the stars' components are known, a
 pair can matter only if its ends share a bucket and are in different components. Such buckets are
 looked at again, by the members' sketches (a byte of each bin), in blocks of bounded size: first, in
-a quarter of the bands, each member's `best` most similar partners outside its component, then, when
-the components that these join are known, all partners in all bands that are left. Only pairs whose sketches agree in no less than
-the threshold by four standard deviations are worth confirming, so no star hides a link, and no
-group's pairs are all written out.
+a quarter of the bands, each member's `best` most similar partners outside its component. Then, when
+the components that these join are known, all pairs in all bands that are left: members with a
+partner whose sketch may reach the threshold get their full sets, and each block confirms its
+pairs where they meet and writes out only links that join components, fewer than it has members.
+Only pairs whose sketches agree in no less than the threshold by four standard deviations are worth
+confirming, so no star hides a link, and no group's pairs are written out.
 
 With the defaults (48 bands of 10) a pair at 0.85 shares some band with a chance of 0.99997, and
 its sketches pass with 0.99997; more similar pairs, more.
@@ -46,6 +48,9 @@ from lexigrid.llm.components import components
 
 SIGNED = "doc_id long, n_shingles long, set_id binary, bands array<long>, sketch binary"
 SETS = "doc_id long, shingles binary"
+CELLS = "band int, key long, b1 int, b2 int, side boolean, rep long, n long, root long, sketch binary"
+#: Shingles in a block of a bucket: eight bytes each.
+BLOCK_SHINGLES = 1 << 20
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Words whose hashes a worker keeps; a full memo starts anew.
 MEMO = 400_000
@@ -206,67 +211,68 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").cast("binary").alias("text"))
     signed = written(plain.mapInArrow(lambda b: tidy(_sign_partition(b, width, bands, rows, least)), SIGNED), "signed")
     same = written(signed.filter("n_shingles > 0 and doc_id is not null").groupBy("set_id", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")), "same")
-    entries = written(same.filter("size(bands) > 0").select("rep", F.col("n_shingles").alias("n"), F.posexplode("bands").alias("band", "key")), "entries")
-    crowded = entries.groupBy("band", "key").agg(F.min(F.struct("rep", "n")).alias("c"), F.count(F.lit(1)).alias("m")).filter("m > 1")
-    fits = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
-    crowded = written(crowded.select("band", "key", "m", F.col("c.rep").alias("centre"), F.col("c.n").alias("cn")), "buckets")
-    stars = entries.join(crowded, ["band", "key"]).filter((F.col("centre") < F.col("rep")) & fits(F.col("n"), F.col("cn")))
+    entries = same.filter("size(bands) > 0").select("rep", F.col("n_shingles").alias("n"), F.posexplode("bands").alias("band", "key"))
+    buckets = entries.groupBy("band", "key").agg(F.min(F.struct("rep", "n")).alias("c"), F.count(F.lit(1)).alias("m"), F.sum("n").alias("total")).filter("m > 1")
+    buckets = written(buckets.select("band", "key", "m", "total", F.col("c.rep").alias("centre"), F.col("c.n").alias("cn")), "buckets")
+    crowded = written(entries.join(buckets, ["band", "key"]), "crowded")  # entries of buckets with one member end here
+    forget(buckets)
+    fits = F.least("n", "cn") * 100 >= F.greatest("n", "cn") * percent
+    stars = crowded.filter((F.col("centre") < F.col("rep")) & fits)
     tried = written(stars.select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
-    members = entries.join(crowded.select("band", "key"), ["band", "key"]).select(F.col("rep").alias("doc_id")).distinct()
+    members = crowded.select(F.col("rep").alias("doc_id")).distinct()
     wanted = plain.join(members, "doc_id", "left_semi")  # the one time that texts are shuffled
     sets = written(wanted.mapInArrow(lambda b: tidy(_set_partition(b, width)), SETS), "sets")
     links = _confirm(sets, tried, percent)
     roots = components(links)
-    for most in (best, None):
-        pairs = _open_pairs(signed, entries, crowded, roots, tried, percent, bands, most, block)
-        if pairs.isEmpty():
-            break
-        tried = tried.unionByName(pairs)
-        links = links.unionByName(_confirm(sets, pairs, percent))
+    cells, placed = _open_cells(signed, crowded.filter(F.col("band") < max(1, bands // 4)), roots, block)
+    likely = cells.groupBy("band", "key", "b1", "b2").applyInArrow(lambda k, t: _likeliest(k, t, percent, best), "a long, b long")
+    likely = written(likely.distinct().join(tried, ["a", "b"], "left_anti"), "likely")
+    forget(placed)
+    if not likely.isEmpty():
+        links = links.unionByName(_confirm(sets, likely, percent))
+        roots = components(links)
+    cells, placed = _open_cells(signed, crowded, roots, block)
+    ends = written(cells.groupBy("band", "key", "b1", "b2").applyInArrow(lambda k, t: _open_ends(k, t, percent, bands), CELLS), "ends")
+    forget(placed)
+    if not ends.isEmpty():
+        full = ends.join(sets, ends["rep"] == sets["doc_id"]).drop("doc_id")
+        more = full.groupBy("band", "key", "b1", "b2").applyInArrow(lambda k, t: _joining(k, t, percent, bands), "a long, b long")
+        links = links.unionByName(written(more, "links"))
         roots = components(links)
     alike = same.select("set_id", "n_shingles", "rep").join(roots, F.col("rep") == F.col("v"), "left").select("set_id", "n_shingles", F.least("rep", F.coalesce("root", "rep")).alias("root"))
     found = signed.select("doc_id", "n_shingles", "set_id").join(alike, ["set_id", "n_shingles"], "left")
     found = found.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
     if not signed.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").isEmpty():
         found = _one_component(written(found, "repeated"))
-    for df in (entries, crowded, tried, sets):
+    for df in (crowded, tried, likely, ends, sets):
         forget(df)
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _open_pairs(signed: DataFrame, entries: DataFrame, crowded: DataFrame, roots: DataFrame, tried: DataFrame, percent: int, bands: int, most: int | None, block: int) -> DataFrame:
-    """(a, b), not tried yet, that share a bucket, are in different components and have sketches that may reach the threshold; most: only so many, the likeliest, for each member of a bucket."""
-    if most:
-        entries = entries.filter(F.col("band") < max(1, bands // 4))
-    placed = entries.join(crowded.select("band", "key", "m"), ["band", "key"]).join(roots, F.col("rep") == F.col("v"), "left")
-    placed = written(placed.select("band", "key", "m", "rep", "n", F.coalesce("root", "rep").alias("root")), "placed")
+def _open_cells(signed: DataFrame, crowded: DataFrame, roots: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """Members of the buckets that hold several components, by blocks of a bucket and pairs of these: rows as in CELLS; and the written table that they are read from. A block has about `block` members and BLOCK_SHINGLES shingles at most."""
+    placed = crowded.join(roots, F.col("rep") == F.col("v"), "left")
+    placed = written(placed.select("band", "key", "m", "total", "rep", "n", F.coalesce("root", "rep").alias("root")), "placed")
     mixed = placed.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("band", "key")
     sketches = signed.select(F.col("doc_id").alias("rep"), "sketch").filter("rep is not null and length(sketch) > 0").groupBy("rep").agg(F.min("sketch").alias("sketch"))
-    opened = placed.join(mixed, ["band", "key"]).withColumn("blocks", F.ceil(F.col("m") / block).cast("int"))
+    blocks = F.ceil(F.greatest(F.col("m") / block, F.col("total") / BLOCK_SHINGLES)).cast("int")
+    opened = placed.join(mixed, ["band", "key"]).withColumn("blocks", blocks)
     own = F.pmod(F.xxhash64("rep", "band"), F.col("blocks")).cast("int")
     cells = opened.join(sketches, "rep").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.select("band", "key", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), (F.col("own") > F.col("other")).alias("side"), "rep", "n", "root", "sketch")
-    pairs = cells.groupBy("band", "key", "b1", "b2").applyInArrow(lambda k, t: _alike(k, t, percent, bands, most), "a long, b long")
-    out = written(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-    forget(placed)
-    return out
+    return cells.select("band", "key", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), (F.col("own") > F.col("other")).alias("side"), "rep", "n", "root", "sketch"), placed
 
 
-def _alike(key, tab, percent: int, bands: int, most: int | None):
-    """Pairs of a bucket's block, or of two of its blocks, for which this is the first band that they share."""
+def _alike(key, tab, percent: int):
+    """(x, equal, good) for some members x at a time: how many sketch bytes they have in common with each member, and which of these are partners in another component that may reach the threshold. Each pair across components is seen from one end at least."""
     import numpy as np
-    import pyarrow as pa
 
-    band = key[0].as_py()
-    rep, n, root = (tab.column(c).to_numpy() for c in ("rep", "n", "root"))
-    sketch = np.frombuffer(b"".join(tab.column("sketch").to_pylist()), "u1").reshape(len(rep), -1)
+    rep, n, root, sketch = _columns(tab)
     side = tab.column("side").to_numpy(zero_copy_only=False) if key[2] != key[3] else None
     bins = sketch.shape[1]
     p = percent / 100
     own = bins * (1 - np.exp(-n / bins))  # bins that a set of this size fills itself
     values, sizes = np.unique(root, return_counts=True)
     minor = np.flatnonzero(root != values[sizes.argmax()])  # each pair across components has one of these
-    found_a, found_b = [], []
     step = max(1, (1 << 25) // (len(rep) * bins))
     for at in range(0, len(minor), step):
         x = minor[at : at + step]
@@ -276,20 +282,86 @@ def _alike(key, tab, percent: int, bands: int, most: int | None):
         good &= np.minimum(n[x][:, None], n[None, :]) * 100 >= np.maximum(n[x][:, None], n[None, :]) * percent
         if side is not None:
             good &= side[x][:, None] != side[None, :]
-        if most and good.shape[1] > most:
+        yield x, equal, good
+
+
+def _columns(tab):
+    import numpy as np
+
+    rep, n, root = (tab.column(c).to_numpy() for c in ("rep", "n", "root"))
+    return rep, n, root, np.frombuffer(b"".join(tab.column("sketch").to_pylist()), "u1").reshape(len(rep), -1)
+
+
+def _likeliest(key, tab, percent: int, most: int):
+    """Pairs of each member with its `most` likeliest partners."""
+    import numpy as np
+    import pyarrow as pa
+
+    rep, found = tab.column("rep").to_numpy(), [np.empty((2, 0), "i8")]
+    for x, equal, good in _alike(key, tab, percent):
+        if good.shape[1] > most:
             rank = np.where(good, -equal, 1)
             good &= rank <= np.partition(rank, most - 1, axis=1)[:, most - 1 : most]
         i, j = np.nonzero(good)
         i = x[i]
-        if len(i):
-            shared = (sketch[i].reshape(len(i), bands, -1) == sketch[j].reshape(len(i), bands, -1)).all(2)
-            first = (shared.argmax(1) == band) if not most else np.ones(len(i), bool)
-            found_a.append(np.minimum(rep[i], rep[j])[first]), found_b.append(np.maximum(rep[i], rep[j])[first])
-    a, b = (np.concatenate(f) if f else np.empty(0, "i8") for f in (found_a, found_b))
-    pairs = np.unique(np.stack([a, b]), axis=1)
+        found.append(np.stack([np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])]))
+    pairs = np.unique(np.concatenate(found, axis=1), axis=1)
     return pa.table({"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64())})
 
 
+def _early(sketch, x, good, band: int, bands: int):
+    """good without the pairs that share two bands before this one, by their bytes: there they are looked at. One alone may be a chance of bytes."""
+    import numpy as np
+
+    i, j = np.nonzero(good)
+    if band > 1 and len(i):
+        rows = sketch.shape[1] // bands
+        a, b = sketch[x[i], : band * rows], sketch[j, : band * rows]
+        shared = (a.reshape(len(i), band, rows) == b.reshape(len(i), band, rows)).all(2).sum(1)
+        good[i[shared > 1], j[shared > 1]] = False
+    return good
+
+
+def _open_ends(key, tab, percent: int, bands: int):
+    """Those members of a cell that have a pair to be confirmed in it."""
+    import numpy as np
+
+    _, _, _, sketch = _columns(tab)
+    ends = np.zeros(tab.num_rows, bool)
+    for x, _, good in _alike(key, tab, percent):
+        good = _early(sketch, x, good, key[0].as_py(), bands)
+        ends[x] |= good.any(1)
+        ends |= good.any(0)
+    return tab.select([f.split()[0] for f in CELLS.split(", ")]).take(np.flatnonzero(ends))
+
+
+def _joining(key, tab, percent: int, bands: int):
+    """Confirmed links of a cell that join components; a pair within a component that such links have made by then isn't looked at."""
+    import numpy as np
+    import pyarrow as pa
+
+    rep, _, root, sketch = _columns(tab)
+    sets = [np.frombuffer(s.as_buffer(), "u8") for s in tab.column("shingles")]
+    _, root = np.unique(root, return_inverse=True)
+    found_a, found_b = [], []
+    for x, _, good in _alike(key, tab, percent):
+        good = _early(sketch, x, good, key[0].as_py(), bands)
+        for i, ok in zip(x, good):
+            j = np.flatnonzero(ok & (root != root[i]))
+            if not len(j):
+                continue
+            own, sizes = sets[i], np.array([len(sets[k]) for k in j])
+            theirs = np.concatenate([sets[k] for k in j])
+            at = np.searchsorted(own, theirs)
+            at[at == len(own)] = 0
+            both = np.add.reduceat((own[at] == theirs).astype("i8"), np.r_[0, np.cumsum(sizes)[:-1]])
+            for k in j[100 * both >= percent * (len(own) + sizes - both)]:
+                if root[k] != root[i]:
+                    root[root == root[k]] = root[i]
+                    found_a.append(min(rep[i], rep[k])), found_b.append(max(rep[i], rep[k]))
+    return pa.table({"a": pa.array(found_a, pa.int64()), "b": pa.array(found_b, pa.int64())})
+
+
 def _confirm(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs whose full sets are as similar as asked for."""
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))

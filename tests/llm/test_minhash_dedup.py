@@ -57,6 +57,21 @@ def test_against_all_pairs(spark, width, percent, seed, best, block):
     assert held(M.near_duplicates(documents(spark, rows), width=width, percent=percent, best=best, block=block)) == brute(rows, width, percent)
 
 
+@pytest.mark.parametrize("block", [1024, 32])
+def test_one_group_around_the_threshold(spark, block):
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(200):
+        words = list(base)
+        for _ in range(rng.choice((2, 3, 4, 5, 6))):
+            words[rng.randrange(120)] = f"x{rng.randrange(9)}"
+        rows.append((i, " ".join(words)))
+    want = brute(rows, 5, 80)
+    assert len({c for _, _, c in want}) > 20
+    assert held(M.near_duplicates(documents(spark, rows), best=1, block=block)) == want
+
+
 def test_edges(spark):
     rows = edge_rows() + [(100 + i, "one hot text that many have") for i in range(50)]
     df = clashing(documents(spark, rows))
