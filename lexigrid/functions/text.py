@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,8 +44,6 @@ def normalise_udf():
     """normalise with NFKC and full Unicode case folding, in Arrow batches."""
     import unicodedata
 
-    import pandas as pd
-
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
         table = str.maketrans(FOLDS | {"…": "..."})
@@ -130,8 +129,8 @@ def classify_response_legacy(c: Column) -> Column:
 
 def heading_like(c: Column, most: int = 12) -> Column:
     """Blank, or without final punctuation and at most `most` words."""
-    text = F.trim(_or_empty(c))
-    return (text == "") | (~text.rlike(r"[.;:?!]$") & (F.size(F.split(text, r"\s+")) <= most))
+    text = collapse(_or_empty(c))
+    return (text == "") | (~text.rlike(r"[.;:?!]$") & (F.size(words(text)) <= most))
 
 
 def text_digest(c: Column) -> Column:
@@ -151,4 +150,43 @@ def clause_label(standard: Column, clause: Column, sub: Column, occurrence: Colu
 
 
 def normalise_standard(c: Column) -> Column:
-    return F.concat(F.lit("SS"), F.regexp_extract(c, r"(\d+)", 1))
+    """SS and the number, without leading zeros; null without digits."""
+    digits = F.regexp_replace(c, r"\D", "")
+    return F.when(digits != "", F.concat(F.lit("SS"), digits.cast("int").cast("string")))
+
+
+def summary_issues(c: Column, least: int = 20) -> Column:
+    """What is wrong with a generated summary: the first three make it invalid, a fused term only asks for a look."""
+    text = _or_empty(c)
+    found = [
+        F.when(F.length(F.trim(text)) < least, F.concat(F.lit("too_short:"), F.length(F.trim(text)).cast("string"), F.lit("_chars"))),
+        F.when(text.rlike(r"([^\n])\1{3,}"), "repeated_character_run"),
+        F.when(text.rlike(FOREIGN), "unexpected_script_detected"),
+        F.when(text.rlike(r"[a-z][A-Z]"), "possible_fused_term_mixed_case:NEEDS_HUMAN_REVIEW"),
+    ]
+    return F.array_compact(F.array(*found))
+
+
+def summary_valid(c: Column, least: int = 20) -> Column:
+    return F.size(F.filter(summary_issues(c, least), lambda x: ~x.startswith("possible_fused"))) == 0
+
+
+def clean_summary(c: Column) -> Column:
+    """Without emphasis marks, white space collapsed."""
+    return collapse(F.regexp_replace(F.regexp_replace(_or_empty(c), r"\*\*(.*?)\*\*", "$1"), r"(?U)(?<!\w)\*(.*?)\*(?!\w)", "$1"))
+
+
+def slash_first_tokens(c: Column) -> Column:
+    """Anchor tokens with slash numerals kept whole, for comparison with anchor_tokens, which splits them."""
+    return F.regexp_extract_all(normalise(c), F.lit(r"(?U)\d+(?:/\d+)+|\w+(?:['’]\w+)?"), F.lit(0))
+
+
+def nfc_udf():
+    """Canonical composition, in Arrow batches."""
+    import unicodedata
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+
+    return run

@@ -8,7 +8,13 @@ from pyspark.sql import functions as F
 from lexigrid.functions import text as T
 
 MARKER = r"\[(\d{1,2})\]"
-PATH = r"(?<![\d/])(\d+(?:/\d+){1,3})\b"
+#: A standard's token and a cue word, both optional, before a path; and a standard named in prose.
+REFERENCE = r"(?i)(?:(SS\s?\d{1,2})\s*)?(?:(?:§|\bitems?\b|\bclauses?\b|\bparagraphs?\b|\bparas?\b\.?|\bsections?\b)\s*(?:no\.?\s*)?)?(\d+(?:/\d+){1,3})\b"
+STANDARD_PROSE = r"(?i)Shari.?ah\s+Standard\s+No\.?\s*\(?(\d{1,2})\)?"
+LOOKBACK, LOOKAHEAD = 60, 48
+FAILING = ("unknown_rank", "misattributed", "corrupted")
+ATTRIBUTIONS = ("unknown_rank", "too_short", "supported", "misattributed", "corrupted", "unverified")
+STATUSES = ("grounded_in_context", "outside_context", "unknown_standard", "unresolvable")
 MIN_WORDS, SUPPORT = 6, 0.5
 
 
@@ -41,33 +47,71 @@ def audit_citations(responses: DataFrame, context: DataFrame, *, id: str = "item
     return out.withColumn("attribution", attribution)
 
 
+def audit_summary(responses: DataFrame, segments: DataFrame, *, id: str = "item_id", text: str = "response") -> DataFrame:
+    """One row a response: cited_ranks (distinct, first cited first), out_of_range, n_segments, n_failing, a count of each attribution, uncited_attempt, passed."""
+    a = F.col("attribution")
+    ordered = lambda keep: F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(keep, F.struct("segment_no", "cited_rank")))), lambda x: x["cited_rank"]))
+    by = segments.groupBy(id).agg(ordered(F.lit(True)).alias("cited_ranks"), ordered(a == "unknown_rank").alias("out_of_range"), F.count(F.lit(1)).alias("n_segments"), F.count_if(a.isin(*FAILING)).alias("n_failing"), *[F.count_if(a == x).alias(f"n_{x}") for x in ATTRIBUTIONS])
+    attempt = T.classify_response(F.col(text)).isin("answered", "mixed")
+    out = responses.select(id, attempt.alias("attempt")).join(by, id, "left")
+    none = F.array().cast("array<int>")
+    out = out.withColumns({c: F.coalesce(c, none) for c in ("cited_ranks", "out_of_range")} | {c: F.coalesce(c, F.lit(0)) for c in ("n_segments", "n_failing", *[f"n_{x}" for x in ATTRIBUTIONS])})
+    out = out.withColumn("uncited_attempt", F.col("attempt") & (F.col("n_segments") == 0)).drop("attempt")
+    return out.withColumn("passed", (F.col("n_failing") == 0) & ~F.col("uncited_attempt"))
+
+
 def clause_references(responses: DataFrame, *, id: str = "item_id", text: str = "response") -> DataFrame:
-    """id, ref_no, standard, path: slash paths (at most four levels) with the standard named right before them, else the last one named before, else none."""
+    """id, ref_no, char_offset, standard, qualified, path: slash paths of two to four levels.
+
+    A path belongs to the standard right before it, else to one named in prose within LOOKAHEAD characters after it, else to the last
+    one within LOOKBACK characters before it, else to none."""
     c = F.coalesce(F.col(text), F.lit(""))
-    pairs = F.arrays_zip(F.split(c, PATH, -1).alias("before"), F.regexp_extract_all(c, F.lit(PATH), F.lit(1)).alias("path"))
+    found = F.arrays_zip(F.split(c, REFERENCE, -1).alias("before"), *[F.regexp_extract_all(c, F.lit(REFERENCE), F.lit(g)).alias(n) for g, n in enumerate(("whole", "own", "path"))])
+
+    def with_neighbours(z):  # a match has three characters at least, so 20 of them hold what is looked at
+        piece = lambda x: F.concat(x["before"], F.coalesce(x["whole"], F.lit("")))
+        joined = lambda start, n: F.array_join(F.transform(F.slice(z, start, n), piece), "")
+        behind = lambda x, i: F.concat(joined(F.greatest(i - 19, F.lit(1)), F.least(i, F.lit(20))), x["before"])
+        offset = lambda x, i: F.aggregate(F.slice(z, F.lit(1), i), F.lit(0), lambda s, y: s + F.length(piece(y))) + F.length(x["before"]) + F.length(x["whole"]) - F.length(x["path"])
+        return F.transform(z, lambda x, i: F.struct(F.right(behind(x, i), F.lit(LOOKBACK)).alias("near"), F.left(joined(i + 2, F.lit(20)), F.lit(LOOKAHEAD)).alias("ahead"), x["own"].alias("own"), x["path"].alias("path"), offset(x, i).alias("offset")))
 
-    def with_lookback(z):  # a piece has three characters at least, so 20 pieces hold the 60 looked back on
-        piece = lambda x: F.concat(x["before"], x["path"])
-        before = lambda x, i: F.concat(F.array_join(F.transform(F.slice(z, F.greatest(i - 19, F.lit(1)), F.least(i, F.lit(20))), piece), ""), x["before"])
-        return F.transform(z, lambda x, i: F.struct(F.right(before(x, i), F.lit(60)).alias("near"), x["path"].alias("path")))
+    rows = responses.select(F.col(id), F.posexplode(T.let(found, with_neighbours)).alias("ref_no", "p")).filter("p.path is not null")
+    named = [F.col("p.own"), F.regexp_extract("p.ahead", STANDARD_PROSE, 1), F.regexp_extract("p.near", r"(?is)^.*\bSS\s?(\d{1,2})\b", 1)]
+    standard = F.coalesce(*[F.when(n != "", T.normalise_standard(n)) for n in named])
+    return rows.select(id, "ref_no", F.col("p.offset").alias("char_offset"), standard.alias("standard"), standard.isNotNull().alias("qualified"), F.col("p.path").alias("path"))
 
-    rows = responses.select(F.col(id), F.posexplode(T.let(pairs, with_lookback)).alias("ref_no", "p")).filter("p.path is not null")
-    near = F.col("p.near")
-    token = F.regexp_extract(near, r"(?i)^.*\bSS\s?(\d{1,2})\b", 1)
-    return rows.select(id, "ref_no", F.when(token != "", F.concat(F.lit("SS"), token)).alias("standard"), F.col("p.path").alias("path"))
+
+def clause_index(records: DataFrame, *, standard: str = "standard_id", clause: str = "clause_id") -> DataFrame:
+    """standard, path of all clauses and their ancestors."""
+    return records.select(F.col(standard).alias("standard"), F.explode(T.ancestors(F.col(clause))).alias("path")).filter("standard <> ''").distinct()
 
 
 def ground(references: DataFrame, context: DataFrame, index: DataFrame | None = None, *, id: str = "item_id") -> DataFrame:
-    """Status of each reference: exact, ancestor or verbatim in the context, else outside_context, unknown_standard or unresolvable by the corpus index (standard, path)."""
-    paths = context.select(id, F.col("standard").alias("cs"), F.explode(T.ancestors(F.col("clause"))).alias("cp"), "clause", "text")
-    same = F.col("standard").isNull() | (F.col("standard") == F.col("cs"))
+    """status and resolved_via of each reference: grounded_in_context (exact, ancestor or verbatim_in_context), else by the corpus index (standard, path) outside_context, unknown_standard or unresolvable.
+
+    context: id, standard, clause, text. Texts count for verbatim whatever their standard; paths without a standard don't count."""
+    paths = context.select(id, F.when(F.col("standard") != "", F.col("standard")).alias("cs"), "clause", "text", T.ancestors(F.col("clause")).alias("cps"))
+    same = F.col("cs").isNotNull() & (F.col("standard").isNull() | (F.col("standard") == F.col("cs")))
     met = references.join(paths, [id], "left")
-    flags = met.groupBy(id, "ref_no", "standard", "path").agg(F.max(same & (F.col("clause") == F.col("path"))).alias("exact"), F.max(same & (F.col("cp") == F.col("path"))).alias("ancestor"), F.max(same & F.col("text").contains(F.col("path"))).alias("verbatim"))
-    status = F.when(F.col("exact"), "exact").when(F.col("ancestor"), "ancestor").when(F.col("verbatim"), "verbatim")
+    keys = [id, "ref_no", "standard", "path"]
+    any_of = lambda c: F.coalesce(F.max(c), F.lit(False))
+    flags = met.groupBy(*keys).agg(any_of(same & (F.col("clause") == F.col("path"))).alias("exact"), any_of(same & F.array_contains("cps", F.col("path"))).alias("ancestor"), any_of(F.col("text").contains(F.col("path"))).alias("verbatim"))
+    shown = F.when(F.col("exact"), "exact").when(F.col("ancestor"), "ancestor").when(F.col("verbatim"), "verbatim_in_context")
     if index is None:
-        return flags.select(id, "ref_no", "standard", "path", status.otherwise("outside_context").alias("status"))
-    known = F.broadcast(index.select(F.col("standard").alias("ks")).distinct())
-    full = index.select(F.col("standard").alias("fs"), F.explode(T.ancestors(F.col("path"))).alias("fp")).distinct()
-    out = flags.join(known, F.col("standard") == F.col("ks"), "left").join(full, (F.col("standard") == F.col("fs")) & (F.col("path") == F.col("fp")), "left")
-    status = status.when(F.col("standard").isNotNull() & F.col("ks").isNull(), "unknown_standard").when(F.col("fp").isNotNull(), "outside_context").otherwise("unresolvable")
-    return out.select(id, "ref_no", "standard", "path", status.alias("status"))
+        return flags.select(*keys, F.when(shown.isNotNull(), "grounded_in_context").otherwise("outside_context").alias("status"), F.coalesce(shown, F.lit("no_corpus_index")).alias("resolved_via"))
+    full = clause_index(index, standard="standard", clause="path").select(F.col("standard").alias("fs"), F.col("path").alias("fp"))
+    known = full.select(F.col("fs").alias("ks")).distinct()
+    full = full.unionByName(full.select(F.lit(None).cast("string").alias("fs"), "fp").distinct())  # a reference without a standard meets any
+    out = flags.join(known, F.col("standard") == F.col("ks"), "left").join(full, F.col("standard").eqNullSafe(F.col("fs")) & (F.col("path") == F.col("fp")), "left")
+    unknown, listed = F.col("standard").isNotNull() & F.col("ks").isNull(), F.col("fp").isNotNull()
+    status = F.when(shown.isNotNull(), "grounded_in_context").when(unknown, "unknown_standard").when(listed, "outside_context").otherwise("unresolvable")
+    via = F.coalesce(shown, F.when(unknown, "standard_not_in_corpus").when(listed, "corpus_exact").otherwise("no_match"))
+    return out.select(*keys, status.alias("status"), via.alias("resolved_via"))
+
+
+def grounding_summary(responses: DataFrame, grounded: DataFrame, *, id: str = "item_id") -> DataFrame:
+    """One row a response: n_references, n_distinct (by standard and path), a count of each status, passed (nothing outside the context)."""
+    s = F.col("status")
+    by = grounded.groupBy(id).agg(F.count(F.lit(1)).alias("n_references"), F.size(F.collect_set(F.struct("standard", "path"))).cast("long").alias("n_distinct"), *[F.count_if(s == x).alias(f"n_{x}") for x in STATUSES])
+    out = responses.select(id).join(by, id, "left").na.fill(0, ["n_references", "n_distinct", *[f"n_{x}" for x in STATUSES]])
+    return out.withColumn("passed", F.col("n_references") == F.col("n_grounded_in_context"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,12 +89,65 @@ def clopper_pearson(hits: int, n: int, alpha: float = 0.05, steps: int = 200) ->
     return lower, upper
 
 
-def auc(rows: DataFrame, score: str, label: str) -> DataFrame:
-    """One row: n_pos, n_neg, auc (ties one half; null if a side is empty). Scores are counted first; ranks come from running sums over distinct scores."""
-    counts = rows.filter(F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    out = counts.withColumn("won", F.col("pos") * (below + F.col("neg") / 2)).agg(F.coalesce(F.sum("pos"), F.lit(0)).alias("n_pos"), F.coalesce(F.sum("neg"), F.lit(0)).alias("n_neg"), F.sum("won").alias("won"))
-    return out.select("n_pos", "n_neg", F.try_divide("won", F.col("n_pos").cast("double") * F.col("n_neg")).alias("auc"))
+def exact_intervals(counts: DataFrame, *, hits: str = "hits", n: str = "n") -> DataFrame:
+    """counts with point, lo, hi, width, informative (width at most 0.2). Intervals of distinct (hits, n) are found in Arrow batches."""
+    @F.pandas_udf("struct<lo: double, hi: double>")
+    def bounds(k: pd.Series, m: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([clopper_pearson(int(a), int(b)) for a, b in zip(k, m)], columns=["lo", "hi"])
+
+    pairs = counts.select(hits, n).distinct().filter(F.col(n) > 0).withColumn("_b", bounds(hits, n))
+    out = counts.join(pairs, [hits, n], "left").withColumns({"point": F.try_divide(F.col(hits).cast("double"), F.col(n)), "lo": F.col("_b.lo"), "hi": F.col("_b.hi")}).drop("_b")
+    return out.withColumn("width", F.col("hi") - F.col("lo")).withColumn("informative", F.col("width") <= 0.2)
+
+
+def evaluation_labels(items: DataFrame, routed: DataFrame, *, id: str = "item_id", vocabulary: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """Items joined with their decision: matches_expected and scholar_validated; a value outside a column's vocabulary raises."""
+    allowed = {"expected_behavior": ("answer", "abstain", "escalate")} | (vocabulary or {})
+    out = items.join(routed.select(id, "decision"), id, "left")
+    for name, values in allowed.items():
+        out = out.withColumn(name, F.when(F.col(name).isin(*values), F.col(name)).otherwise(F.raise_error(F.concat(F.lit(f"unknown {name}: "), F.coalesce(name, F.lit("null"))))))
+    return out.withColumns({"matches_expected": F.coalesce(F.col("decision") == F.col("expected_behavior"), F.lit(False)), "scholar_validated": F.coalesce(F.col("verification_basis") == "qualified_scholar_review", F.lit(False))})
+
+
+def routing_rates(routed: DataFrame, scores: DataFrame | None = None, *, id: str = "item_id", expected: str = "expected", decision: str = "decision") -> DataFrame:
+    """routing_metrics with coverage, abstention_rate, escalation_rate (0 without items) and, with scores of gold_recall, macro and micro recall (null where undefined)."""
+    out = routing_metrics(routed, expected=expected, decision=decision)
+    rate = lambda c: F.coalesce(F.try_divide(F.col(c).cast("double"), F.col("n")), F.lit(0.0))
+    out = out.withColumns({"coverage": rate("n_answer"), "abstention_rate": rate("n_abstain"), "escalation_rate": rate("n_escalate")})
+    if scores is None:
+        return out
+    own = scores.join(routed.select(id), id, "left_semi")
+    told = own.agg(F.coalesce(F.sum("n_gold"), F.lit(0)).alias("n_gold"), F.coalesce(F.sum("n_hits"), F.lit(0)).alias("n_hits"), F.count_if("any_gold").alias("n_any_gold"), F.count_if("all_gold").alias("n_all_gold"), F.avg("recall").alias("macro_recall"), F.try_divide(F.sum("n_hits").cast("double"), F.sum("n_gold")).alias("micro_recall"))
+    return out.crossJoin(told)  # one row each
+
+
+def gate_histogram(routed: DataFrame, *, gate: str = "triggering_gate") -> DataFrame:
+    """triggering_gate (none where nothing triggered), n."""
+    return routed.groupBy(F.coalesce(F.col(gate), F.lit("none")).alias("triggering_gate")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def metrics_from_traces(traces: DataFrame) -> DataFrame:
+    """routing_metrics of stored traces (decision, evaluation struct with expected_behavior); a trace without an evaluation raises."""
+    told = F.when(F.col("evaluation").isNull() | F.col("evaluation.expected_behavior").isNull(), F.raise_error(F.lit("trace without evaluation"))).otherwise(F.col("evaluation.expected_behavior"))
+    return routing_metrics(traces.select(told.alias("expected"), "decision"))
+
+
+def auc(rows: DataFrame, score: str, label: str, *, by: str | None = None) -> DataFrame:
+    """One row (one for each value of `by`): n_pos, n_neg, auc (ties one half; null if a side is empty). Scores are counted first.
+
+    Running sums over distinct scores go in two steps: within blocks of scores that a sort's range partitions make, then the blocks'
+    sums, one row a block; no task holds all scores."""
+    keys = [by] if by else []
+    counts = rows.filter(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double"))).groupBy(*keys, F.col(score).cast("double").alias("s")).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
+    exponent = F.when(F.col("s") == 0, 0).otherwise(F.signum("s") * (F.floor(F.log2(F.least(F.abs("s"), F.lit(1.7e308))) * 64) + 100_000))  # blocks in the order of scores, about 1.1 % wide
+    counts = counts.withColumn("block", F.coalesce(exponent, F.lit(0)).cast("long"))
+    sums = counts.groupBy(*keys, "block").agg(F.sum("neg").alias("block_neg"))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*keys, "block", F.coalesce(F.sum("block_neg").over(before(Window.partitionBy(*keys).orderBy("block"))), F.lit(0)).alias("below_block"))
+    inner = F.coalesce(F.sum("neg").over(before(Window.partitionBy(*keys, "block").orderBy("s"))), F.lit(0))
+    met = counts.withColumn("inner", inner).join(sums, [*keys, "block"])
+    out = met.withColumn("won", F.col("pos") * (F.col("below_block") + F.col("inner") + F.col("neg") / 2)).groupBy(*keys).agg(F.coalesce(F.sum("pos"), F.lit(0)).alias("n_pos"), F.coalesce(F.sum("neg"), F.lit(0)).alias("n_neg"), F.sum("won").alias("won"))
+    return out.select(*keys, "n_pos", "n_neg", F.try_divide("won", F.col("n_pos").cast("double") * F.col("n_neg")).alias("auc"))
 
 
 def threshold_rates(rows: DataFrame, score: str, label: str, thresholds: list[float]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexigrid.functions import text as T
+
 #: The line grammar.
 SECTION = r"^(\d+)\.\s+(.+)$"
 CLAUSE = r"^(\d+(?:/\d+)+)\s*(.*)$"
@@ -12,41 +14,154 @@ BULLET = r"^([a-z]\)|\((?:[a-z]|[ivxlcdm]+)\))\s+(.+)$"
 PAGE_NUMBER = r"^\d{1,4}$"
 CUE = r"(?i)\b(?:see|items?|clauses?|paras?\.?|paragraphs?|sections?)\s*$"
 CONTINUATION = r"^(?:[,.;:\]\)]|(?:and|or|above|below|should)\b)"
+HEADER = r"(?i)^Shari[’']ah Standard No\.\s*\(\d+\)"
+STATEMENT = r"(?i)^Statement of the Standard$"
+DOT_LEADER = r"\.{3,}\s*\d+\s*$"
+TYPOGRAPHIC = "–‘’“”…"
 BACK_MATTER = r"(?i)^(?:\d+\.\s+)?Date of Issuance of (?:the )?Standard\b"
 
 
-def normalise_lines(pages: DataFrame) -> DataFrame:
-    """standard_id, page, line_no, line out of standard_id, page, text: soft hyphens go, white space collapses, blank lines and page numbers drop."""
-    rows = pages.select("standard_id", "page", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    rows = rows.withColumn("line", F.trim(F.regexp_replace(F.replace("line", F.lit("­"), F.lit("")), r"(?U)\s+", " ")))
-    return rows.filter((F.col("line") != "") & ~F.col("line").rlike(PAGE_NUMBER))
+def normalise_lines(pages: DataFrame, *, nfc: bool = False) -> DataFrame:
+    """standard_id, page, line_no, line out of standard_id, page, text: soft hyphens go, white space collapses, blank lines drop. nfc composes characters first, in Arrow batches."""
+    text = T.nfc_udf()(F.col("text")) if nfc else F.col("text")
+    rows = pages.select("standard_id", "page", F.posexplode(F.split(text, "\r\n|[\n\r\x0b\x0c]")).alias("line_no", "line"))
+    rows = rows.withColumn("line", F.trim(F.regexp_replace(F.replace("line", F.lit("\u00ad"), F.lit("")), r"(?U)\s+", " ")))
+    return rows.filter(F.col("line") != "")
 
 
-def parse_clauses(lines: DataFrame) -> DataFrame:
-    """standard_id, record_no, section_id, clause_id, sub_clause_id, occurrence_index, source_page, text.
+def empty_pages(pages: DataFrame) -> DataFrame:
+    """standard_id, page of pages without a line."""
+    return pages.select("standard_id", "page").distinct().join(normalise_lines(pages).select("standard_id", "page").distinct(), ["standard_id", "page"], "left_anti")
+
+
+def _numbered(line):
+    return line.rlike(SECTION) & ~line.rlike(CLAUSE)
+
+
+def contents_pages(lines: DataFrame) -> DataFrame:
+    """standard_id, page, n_entries of pages built like a table of contents: its heading, and a subject line, two dot leaders or four numbered entries."""
+    line = F.col("line")
+    by = lines.groupBy("standard_id", "page").agg(
+        F.bool_or(F.lower(line) == "contents").alias("headed"), F.bool_or(F.lower(line).startswith("subject page")).alias("subject"),
+        F.count_if(line.rlike(DOT_LEADER)).alias("leaders"), F.count_if(_numbered(line)).alias("n_entries"),
+    )
+    return by.filter(F.col("headed") & (F.col("subject") | (F.col("leaders") >= 2) | (F.col("n_entries") >= 4))).select("standard_id", "page", "n_entries")
+
+
+def scan_lines(lines: DataFrame) -> DataFrame:
+    """Every line with where it stands: in_toc (a contents page before the start), starts (lines of section 1 seen so far), over (back matter reached), ignored, stated (the statement heading was seen before)."""
+    toc = contents_pages(lines).select("standard_id", "page", F.lit(True).alias("_toc"))
+    w = Window.partitionBy("standard_id").orderBy("page", "line_no").rowsBetween(Window.unboundedPreceding, 0)
+    line = F.col("line")
+    rows = lines.join(toc, ["standard_id", "page"], "left").withColumn("_toc", F.coalesce("_toc", F.lit(False)))
+    begins = ~F.col("_toc") & (F.regexp_extract(line, SECTION, 1) == "1") & ~line.rlike(CLAUSE)
+    rows = rows.withColumns({"started": F.coalesce(F.max(begins).over(w), F.lit(False)), "stated": F.coalesce(F.max(~F.col("_toc") & line.rlike(STATEMENT)).over(w), F.lit(False))})
+    rows = rows.withColumns({"in_toc": F.col("_toc") & ~F.col("started"), "over": F.coalesce(F.max(F.col("started") & line.rlike(BACK_MATTER)).over(w), F.lit(False))})
+    ignored = line.rlike(HEADER) | line.rlike(PAGE_NUMBER) | line.isin("Statement of the Standard", "Contents")
+    return rows.withColumn("ignored", ignored).drop("_toc")
+
+
+def normative_lines(lines: DataFrame) -> DataFrame:
+    """standard_id, page, line_no, line from section 1 to the back matter, without running headers and page numbers."""
+    return scan_lines(lines).filter("started and not over and not ignored").select("standard_id", "page", "line_no", "line")
+
+
+def normative_start(lines: DataFrame) -> DataFrame:
+    """standard_id, start_page, reason, back_matter_page; nulls where there is none."""
+    rows = scan_lines(lines)
+    at = F.min(F.when(F.col("started"), F.struct("page", "line_no", "stated")))
+    out = rows.groupBy("standard_id").agg(at.alias("at"), F.min(F.when(F.col("over"), F.col("page"))).alias("back_matter_page"))
+    reason = F.when(F.col("at.stated"), "statement_of_standard_then_section_1").when(F.col("at").isNotNull(), "section_1_fallback")
+    return out.select("standard_id", F.col("at.page").alias("start_page"), reason.alias("reason"), "back_matter_page")
+
+
+def page_texts(lines: DataFrame) -> DataFrame:
+    """standard_id, page, text: the normative lines of each page, joined again."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"])
+    return normative_lines(lines).groupBy("standard_id", "page").agg(F.array_join(ordered, "\n").alias("text"))
+
 
-    A line opens a record unless an open bracket, a reference cue at the end of the line before, or a continuation marker says that it goes on; bullets take the ids of the record they stand in. Text starts at section 1 and ends at the back matter."""
+def _opened(lines: DataFrame) -> DataFrame:
+    """Normative lines with the candidate's text and id, why a numbered line goes on instead of opening a record, and whether it opens one. Depth and the line before run across pages."""
+    rows = normative_lines(lines)
     w = Window.partitionBy("standard_id").orderBy("page", "line_no")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     line = F.col("line")
-    first = F.regexp_extract(line, SECTION, 1) == "1"
-    rows = lines.withColumn("started", F.max(first.cast("int")).over(upto)).withColumn("over", F.max(((F.col("started") == 1) & line.rlike(BACK_MATTER)).cast("int")).over(upto))
-    rows = rows.filter("started = 1 and over = 0")
     count = lambda c: F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))
     rows = rows.withColumn("sum", F.sum(count("[") - count("]")).over(upto)).withColumn("depth", F.col("sum") - F.least(F.lit(0), F.min("sum").over(upto)))
-    body = F.when(line.rlike(CLAUSE), F.regexp_extract(line, CLAUSE, 2)).when(line.rlike(SECTION), F.regexp_extract(line, SECTION, 2)).when(line.rlike(BULLET), F.regexp_extract(line, BULLET, 2))
-    goes_on = (F.coalesce(F.lag("depth").over(w), F.lit(0)) > 0) | F.coalesce(F.lag("line").over(w), F.lit("")).rlike(CUE) | F.coalesce(body, F.lit("")).rlike(CONTINUATION)
-    rows = rows.withColumns({"body": body, "opens": body.isNotNull() & ~goes_on})
-    clause = F.when(line.rlike(CLAUSE), F.regexp_extract(line, CLAUSE, 1)).when(line.rlike(SECTION), F.regexp_extract(line, SECTION, 1))
-    rows = rows.withColumns({"own": F.when(F.col("opens"), clause), "sub": F.when(F.col("opens") & clause.isNull(), F.regexp_replace(F.regexp_extract(line, BULLET, 1), r"[()]", ""))})
-    rows = rows.withColumns({"clause_id": F.last("own", ignorenulls=True).over(upto), "record_no": F.sum(F.col("opens").cast("int")).over(upto), "part": F.when(F.col("opens"), F.col("body")).otherwise(line)})
+    own = F.when(line.rlike(CLAUSE), F.regexp_extract(line, CLAUSE, 1)).when(line.rlike(SECTION), F.regexp_extract(line, SECTION, 1))
+    body = F.when(line.rlike(CLAUSE), F.regexp_extract(line, CLAUSE, 2)).when(line.rlike(SECTION), F.regexp_extract(line, SECTION, 2))
+    reason = (
+        F.when(own.isNull(), None).when(F.coalesce(F.lag("depth").over(w), F.lit(0)) > 0, "inside_unclosed_square_bracket")
+        .when(F.coalesce(F.lag("line").over(w), F.lit("")).rlike(CUE), "preceding_line_ends_with_citation_cue").when(body.rlike(CONTINUATION), "continuation_marker_after_identifier")
+    )
+    rows = rows.withColumns({"candidate": own, "reason": reason}).withColumn("own", F.when(F.col("reason").isNull(), F.col("candidate")))
+    rows = rows.withColumn("clause_id", F.last("own", ignorenulls=True).over(upto))
+    bullet = F.col("own").isNull() & F.col("clause_id").isNotNull() & line.rlike(BULLET)
+    rows = rows.withColumns({"sub": F.when(bullet, F.regexp_extract(line, BULLET, 1)), "body": F.when(F.col("own").isNotNull(), body).when(bullet, F.regexp_extract(line, BULLET, 2))})
+    return rows.withColumn("opens", F.col("body").isNotNull())
+
+
+def wrapped_references(lines: DataFrame) -> DataFrame:
+    """standard_id, page, line_no, candidate, reason of numbered lines that go on a citation."""
+    return _opened(lines).filter("reason is not null").select("standard_id", "page", "line_no", "candidate", "reason")
+
+
+def unparsed_numeric(lines: DataFrame) -> DataFrame:
+    """standard_id, page, line_no of lines that begin with a digit while no record is open."""
+    return _opened(lines).filter(F.col("clause_id").isNull() & F.col("line").rlike(r"^\d")).select("standard_id", "page", "line_no")
+
+
+def parse_clauses(lines: DataFrame) -> DataFrame:
+    """standard_id, record_no, section_id, clause_id, sub_clause_id, occurrence_index, source_page, text.
+
+    A numbered line opens a record unless an open bracket, a reference cue at the end of the line before, or a continuation marker
+    says that it goes on; bullets take the ids of the record they stand in. Text starts at section 1 and ends at the back matter;
+    records without text drop."""
+    upto = Window.partitionBy("standard_id").orderBy("page", "line_no").rowsBetween(Window.unboundedPreceding, 0)
+    rows = _opened(lines).filter("clause_id is not null")
+    rows = rows.withColumns({"record_no": F.sum(F.col("opens").cast("int")).over(upto), "part": F.coalesce("body", "line")})
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "line_no", "part"))), lambda x: x["part"]), "\x01")
-    text = F.replace(F.regexp_replace(joined, "-\x01(?=[a-z])", ""), F.lit("\x01"), F.lit(" "))
-    out = rows.groupBy("standard_id", "record_no").agg(F.first("clause_id").alias("clause_id"), F.max("sub").alias("sub_clause_id"), F.min("page").alias("source_page"), F.trim(text).alias("text")).filter("text <> ''")
+    text = F.replace(F.regexp_replace(joined, r"-\x01(?=\p{Ll})", ""), F.lit("\x01"), F.lit(" "))
+    out = rows.groupBy("standard_id", "record_no").agg(F.max("clause_id").alias("clause_id"), F.max("sub").alias("sub_clause_id"), F.min("page").alias("source_page"), F.trim(text).alias("text")).filter("text <> ''")
     order = Window.partitionBy("standard_id", "clause_id").orderBy("record_no")
     return out.select("standard_id", "record_no", F.split("clause_id", "/")[0].alias("section_id"), "clause_id", "sub_clause_id", (F.row_number().over(order) - 1).alias("occurrence_index"), "source_page", "text")
 
 
+def duplicate_clauses(records: DataFrame) -> DataFrame:
+    """standard_id, clause_id, occurrence_count of ids that occur more than once."""
+    return records.groupBy("standard_id", "clause_id").agg(F.count(F.lit(1)).alias("occurrence_count")).filter("occurrence_count > 1")
+
+
+def record_diagnostics(records: DataFrame, *, short: int = 5, long: int = 700) -> DataFrame:
+    """The records' ids with n_words, short, long, replacement characters and control characters."""
+    n = F.size(F.regexp_extract_all("text", F.lit(r"(?U)\S+"), F.lit(0)))
+    bad = F.length("text") - F.length(F.replace("text", F.lit("\ufffd"), F.lit("")))
+    keys = [c for c in ("standard_id", "section_id", "clause_id", "occurrence_index", "sub_clause_id", "source_page") if c in records.columns]
+    return records.select(*keys, n.alias("n_words"), (n < short).alias("short"), (n > long).alias("long"), bad.alias("n_replacement"), F.col("text").rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F]").alias("has_control"))
+
+
+def codepoint_histogram(records: DataFrame, *, text: str = "text") -> DataFrame:
+    """codepoint (U+hex), kind (typographic or other), n of characters beyond ASCII, replacement characters apart."""
+    ch = F.col("ch")
+    own = unicode_histogram(records, text=text).filter(ch != "\ufffd")
+    point = F.conv(F.hex(F.encode(ch, "UTF-32")), 16, 16)
+    return own.select(F.concat(F.lit("U+"), F.lpad(point, F.greatest(F.lit(4), F.length(point)), F.lit("0"))).alias("codepoint"), F.when(F.lit(TYPOGRAPHIC).contains(ch), "typographic").otherwise("other").alias("kind"), "n")
+
+
+def extraction_report(lines: DataFrame, records: DataFrame) -> DataFrame:
+    """One row a standard: n_records, n_sub_clauses, sections, start and back-matter page, n_toc_pages, and failures (empty: the report passes)."""
+    toc = scan_lines(lines).filter("in_toc").groupBy("standard_id").agg(F.count_distinct("page").alias("n_toc_pages"), F.collect_set("page").alias("_pages"))
+    sections = F.transform(F.sort_array(F.transform(F.collect_set("section_id"), lambda x: x.cast("int"))), lambda x: x.cast("string"))
+    seen = records.join(toc.select("standard_id", "_pages"), "standard_id", "left")
+    listed = F.coalesce(F.array_contains("_pages", F.col("source_page")), F.lit(False)) | F.col("text").rlike(DOT_LEADER)
+    by = seen.groupBy("standard_id").agg(F.count(F.lit(1)).alias("n_records"), F.count("sub_clause_id").alias("n_sub_clauses"), sections.alias("sections"), F.bool_or(listed).alias("_toc"), F.bool_or(F.col("text").rlike(BACK_MATTER)).alias("_back"))
+    out = normative_start(lines).join(toc.drop("_pages"), "standard_id", "left").join(by, "standard_id", "left")
+    failures = F.array_compact(F.array(F.when(F.col("start_page").isNull(), "normative_body_start_not_detected"), F.when(F.col("_toc"), "toc_like_record_emitted"), F.when(F.col("_back"), "back_matter_record_emitted")))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return out.select("standard_id", "start_page", "reason", "back_matter_page", zero("n_toc_pages"), zero("n_records"), zero("n_sub_clauses"), "sections", failures.alias("failures"))
+
+
 def clause_chunks(records: DataFrame) -> DataFrame:
     """One chunk a record: chunk_id and bm25_text with the ids in front."""
     sub = F.coalesce(F.col("sub_clause_id"), F.lit(""))

@@ -35,17 +35,27 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 5, *, id: str = "doc
     stats = doc_stats(docs, id=id, text=text)
     told = stats.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).collect()[0]
     posts = postings(docs, id=id, text=text)
+    return _rank(posts, stats, term_idf(posts, told["n"]), told["avgdl"], queries, k, id, query_id, query)
+
+
+def _rank(posts, stats, idf, avgdl, queries, k, id, query_id, query):
     asked = queries.select(F.col(query_id), F.explode(T.bm25_tokens(F.col(query))).alias("term")).groupBy(query_id, "term").agg(F.count(F.lit(1)).alias("qtf"))
-    idf = term_idf(posts, told["n"])
     hits = posts.join(asked, "term").join(idf, "term").join(stats, id)
-    gain = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(told["avgdl"] or 1.0)))
+    gain = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl or 1.0)))
     scored = hits.groupBy(query_id, id).agg(F.sum(gain).alias("score"))
-    first = F.broadcast(docs.select(id).orderBy(id).limit(2 * k))
+    first = F.broadcast(stats.select(id).orderBy(id).limit(2 * k))
     filler = queries.select(query_id).crossJoin(first).join(scored, [query_id, id], "left_anti").withColumn("score", F.lit(0.0))
     order = Window.partitionBy(query_id).orderBy(F.round("score", 9).desc(), id)
     return scored.unionByName(filler).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def bm25_search(index: tuple[DataFrame, DataFrame, DataFrame], queries: DataFrame, k: int = 5, *, id: str = "doc_id", query_id: str = "item_id", query: str = "text") -> DataFrame:
+    """bm25_topk over a stored index (postings, stats, idf): documents are not read again."""
+    posts, stats, idf = index
+    told = stats.agg(F.avg("dl").alias("avgdl")).collect()[0]
+    return _rank(posts, stats, idf, told["avgdl"], queries, k, id, query_id, query)
+
+
 def cosine(a, b):
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, v: s + v)
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))

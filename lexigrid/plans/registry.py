@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigrid.functions import text as T
-from lexigrid.operators import anchoring, audit, evaluation, extraction, probes, prompts, retrieval, routing
+from lexigrid.operators import anchoring, answering, audit, evaluation, extraction, probes, prompts, retrieval, routing
 from lexigrid.sources import io
 
 _QUERIES: dict = {}
@@ -143,13 +143,16 @@ def anchor_vocab(spark, d):
 _STOP = ", ".join(f"'{w}'" for w in (*anchoring.STOPWORDS, *anchoring.FRAME_TERMS))
 
 
-@_query(f"""WITH {_BM25}, {_VOCAB},
+_COVER = f"""{_VOCAB},
 bt AS (SELECT item_id, unnest({_TOKENS.format(c=_NORM.format(c='text'))}) AS tok FROM benchmark),
 ca AS (SELECT DISTINCT item_id, {_SUFFIX.format(c='tok')} AS anchor FROM bt WHERE tok NOT IN ({_STOP}) AND NOT regexp_matches(tok, '[0-9]') AND length(tok) >= 4),
 an AS (SELECT * FROM (SELECT item_id, anchor, df IS NULL AS oov, ln((SELECT n FROM st) / (1 + coalesce(df, 0))) AS idf FROM ca LEFT JOIN vocab ON vocab.term = {_SUFFIX.format(c='anchor')}) WHERE idf >= 2.0),
 cx AS (SELECT DISTINCT top.item_id, {_SUFFIX.format(c='tok')} AS anchor FROM top JOIN atk USING (doc_id)),
 ag AS (SELECT an.item_id, count(*) AS n_anchors, count(cx.anchor) AS n_covered, count(*) FILTER (oov) AS n_oov, sum(idf) AS total, sum(CASE WHEN cx.anchor IS NULL THEN 0 ELSE idf END) AS got
-       FROM an LEFT JOIN cx ON cx.item_id = an.item_id AND cx.anchor = an.anchor GROUP BY an.item_id)
+       FROM an LEFT JOIN cx ON cx.item_id = an.item_id AND cx.anchor = an.anchor GROUP BY an.item_id)"""
+
+
+@_query(f"""WITH {_BM25}, {_COVER}
 SELECT item_id, n_anchors, n_covered, n_oov, round(n_covered::DOUBLE / n_anchors, 6) AS coverage, round(got / total, 6) AS idf_coverage FROM ag""")
 def anchor_coverage(spark, d):
     docs = _t(spark, d, "documents")
@@ -186,7 +189,7 @@ n AS (SELECT item_id, coalesce(response, '') AS raw, trim(regexp_replace(lower(c
 k AS (SELECT *, position('i cannot answer from the given context' IN t) > 0 AS there, len(regexp_extract_all(replace(t, 'i cannot answer from the given context', ' '), '\p{L}\p{L}+')) AS rest FROM n)
 SELECT item_id, CASE WHEN NOT there AND rest = 0 THEN 'empty' WHEN there AND rest < 2 THEN 'abstained' WHEN there THEN 'mixed' ELSE 'answered' END AS response_class,
   CASE WHEN trim(raw) = 'I cannot answer from the given context' THEN 'abstained' ELSE 'answered' END AS legacy_class,
-  trim(raw) = '' OR (NOT regexp_matches(trim(raw), '[.;:?!]$') AND len(string_split_regex(trim(raw), '\s+')) <= 12) AS heading_like,
+  trim(raw) = '' OR (NOT regexp_matches(trim(raw), '[.;:?!]$') AND len(regexp_extract_all(t, '[\p{L}\p{N}]+')) <= 12) AS heading_like,
   len(regexp_extract_all(raw, '[一-鿿぀-ヿ가-힯Ѐ-ӿ؀-ۿ]'))::INT AS n_foreign FROM k""")
 def response_checks(spark, d):
     r = _values(spark, _RESPONSES, "item_id int, response string")
@@ -210,21 +213,25 @@ def public_trace(spark, d):
     return io.public_view(_t(spark, d, "documents").select("doc_id", "text", "n_chars"), "text")
 
 
-_TERMS = [("the",), ("of the",), ("license",), ("Zzzxq",)]
+_TERMS = [("the",), ("of the",), ("license",), ("e.g.",), ("Zzzxq",)]
 
 
-@_query("WITH v0 AS (SELECT * FROM " + _sql_values(_TERMS, "term") + f"""), d AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all({_NORM.format(c='text')}, '[\\p{{L}}\\p{{N}}]+'), ' ') || ' ' AS w FROM documents)
-SELECT term, count(d.doc_id) AS n_chunks FROM v0 LEFT JOIN d ON position(' ' || lower(term) || ' ' IN d.w) > 0 GROUP BY term""")
+@_query("WITH v0 AS (SELECT * FROM " + _sql_values(_TERMS, "term") + f"""), d AS (SELECT doc_id, {_NORM.format(c='text')} AS w FROM documents)
+SELECT term, count(d.doc_id) AS n_chunks FROM v0 LEFT JOIN d ON regexp_matches(d.w, '(^|[^\\p{{L}}\\p{{N}}_])' || regexp_escape(lower(term)) || '($|[^\\p{{L}}\\p{{N}}_])') GROUP BY term""")
 def term_occurrences(spark, d):
     return probes.term_occurrences(_t(spark, d, "documents"), _values(spark, _TERMS, "term string"))
 
 
-_PROBES = [("p1", "term_absent", "Zzzxq"), ("p2", "term_absent", "the"), ("p3", "standard_absent", "src0"), ("p4", "standard_absent", "src99")]
+_TERM, _STD, _CL, _CROSS_STD = probes.BASES
+_PROBES = [("p1", _TERM, "Zzzxq", 0, None, None, None), ("p2", _TERM, "the", None, None, None, None), ("p3", _STD, None, None, None, ["src0"], None), ("p4", _STD, None, None, None, ["src99"], None), ("p5", _CL, None, None, None, ["src0"], "nowhere"), ("p6", _CROSS_STD, None, None, None, ["src0", "src1"], None), ("p7", _CROSS_STD, None, None, None, ["src0", "src0"], None), ("p8", _TERM, "Zzzxq", 3, None, None, None)]
+_FAILED = {"p2": "term occurs in the corpus", "p3": "standard is indexed", "p7": "fewer than two standards", "p8": "stored occurrences differ"}
 
 
-@_query("SELECT probe_id, basis, ok FROM " + _sql_values([("p1", "term_absent", True), ("p2", "term_absent", False), ("p3", "standard_absent", False), ("p4", "standard_absent", True)], "probe_id, basis, ok"))
+@_query("SELECT probe_id, basis, failures FROM " + _sql_values([(p[0], p[1], _FAILED.get(p[0], "")) for p in _PROBES], "probe_id, basis, failures"))
 def probe_verify(spark, d):
-    return probes.verify_probes(_values(spark, _PROBES, "probe_id string, basis string, value string"), _t(spark, d, "documents"))
+    schema = "probe_id string, basis string, term string, occurrences long, of_chunks long, standards array<string>, clause string"
+    out = probes.verify_probes(_values(spark, _PROBES, schema), _t(spark, d, "documents"), standard="source", clause="lang")
+    return out.select("probe_id", "basis", F.array_join("failures", "; ").alias("failures"))
 
 
 @_query("""WITH w AS (SELECT doc_id, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS t FROM documents),
@@ -280,6 +287,17 @@ def clopper_pearson(spark, d):
     return _values(spark, [(k, n, *evaluation.clopper_pearson(k, n)) for k, n in ((0, 7), (1, 7), (7, 7), (19, 19), (9, 17))], "hits int, n int, lo double, hi double")
 
 
+@_query()
+def exact_intervals(spark, d):
+    by = _t(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("lang") == "en").alias("hits"))
+    return evaluation.exact_intervals(by)
+
+
+@_query(_CROSS + "SELECT count(*) FILTER (decision = 'answer')::DOUBLE / count(*) AS coverage, count(*) FILTER (decision = 'abstain')::DOUBLE / count(*) AS abstention_rate, count(*) FILTER (decision = 'escalate')::DOUBLE / count(*) AS escalation_rate FROM r")
+def routing_rates(spark, d):
+    return evaluation.routing_rates(_routed_labels(spark, d)).select("coverage", "abstention_rate", "escalation_rate")
+
+
 def _signals(spark, d):
     c = F.col("response")
     rows = _pairs(spark, d).select(F.concat_ws(":", "conv_id", "turn").alias("item_id"), "response", "context")
@@ -287,7 +305,7 @@ def _signals(spark, d):
 
 
 _FOUR = "|".join(c * 4 for c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789äöüßñéèêçóíáú !,;:-_#")  # RE2 has no references back
-_ROUTE = f"""WITH {_PAIRS}, s AS (SELECT conv_id, turn, trim(context) = '' OR (NOT regexp_matches(trim(context), '[.;:?!]$') AND len(string_split_regex(trim(context), '\\s+')) <= 12) AS head, len(regexp_extract_all(response, '\\p{{L}}\\p{{L}}+')) = 0 AS nothing, regexp_matches(response, '{_FOUR}') AS runs FROM p)"""
+_ROUTE = f"""WITH {_PAIRS}, s AS (SELECT conv_id, turn, trim(context) = '' OR (NOT regexp_matches(trim(context), '[.;:?!]$') AND len(regexp_extract_all({_NORM.format(c='context')}, '[\\p{{L}}\\p{{N}}]+')) <= 12) AS head, len(regexp_extract_all(response, '\\p{{L}}\\p{{L}}+')) = 0 AS nothing, regexp_matches(response, '{_FOUR}') AS runs FROM p)"""
 
 
 @_query(_ROUTE + "SELECT conv_id || ':' || turn AS item_id, CASE WHEN head OR nothing THEN 'abstain' WHEN runs THEN 'escalate' ELSE 'answer' END AS decision, CASE WHEN head THEN 'retrieval_normative' WHEN nothing THEN 'response_present' WHEN runs THEN 'no_degenerate_decoding' END AS triggering_gate FROM s")
@@ -300,6 +318,11 @@ def route_pre(spark, d):
     return routing.evaluate_gates(_signals(spark, d), routing.default_gates(), stage="retrieval").select("item_id", "decision")
 
 
+@_query(_ROUTE + "SELECT CASE WHEN head THEN 'retrieval_normative' WHEN nothing THEN 'response_present' WHEN runs THEN 'no_degenerate_decoding' ELSE 'none' END AS triggering_gate, count(*) AS n FROM s GROUP BY ALL")
+def gate_histogram(spark, d):
+    return evaluation.gate_histogram(routing.evaluate_gates(_signals(spark, d), routing.default_gates()))
+
+
 @_query()
 def ablation_lattice(spark, d):
     gates = routing.default_gates()
@@ -340,36 +363,146 @@ def citation_attribution(spark, d):
     return out.select("item_id", "segment_no", "cited_rank", "attribution")
 
 
-_REFS = [(1, "As SS 9 2/3 says, and 4/1/2 too. See 7/7 of SS8 and 8/8. SS44 1/1")]
-_CLAUSES = [(1, "SS9", "2/3", "lease"), (1, "SS9", "4/1/2/5", "cites 12/45")]
+_REFS = [(1, "As SS 9 2/3 says, and 4/1/2 too. See 7/7 of SS8 and 8/8. SS44 1/1"), (2, "Under item no. 6/4 of Shari'ah Standard No. (05), SS08 1/2/3/4/5/6"), (3, None), (4, "2/3 and 8/8")]
+_CLAUSES = [(1, "SS9", "2/3", "lease"), (1, "SS9", "4/1/2/5", "cites 12/45"), (2, "SS8", None, "quotes 6/4 whole"), (4, None, "2/3", None), (4, "SS9", "2/3/1", "x")]
 _INDEX = [("SS9", "2/3"), ("SS9", "4/1/2/5"), ("SS8", "8/8"), ("SS9", "7/7")]
+_GROUNDED = [
+    (1, 8, "SS9", "2/3", "grounded_in_context", "exact"), (1, 22, "SS9", "4/1/2", "grounded_in_context", "ancestor"), (1, 37, "SS9", "7/7", "outside_context", "corpus_exact"), (1, 52, "SS8", "8/8", "outside_context", "corpus_exact"),
+    (1, 62, "SS44", "1/1", "unknown_standard", "standard_not_in_corpus"), (2, 15, "SS5", "6/4", "grounded_in_context", "verbatim_in_context"), (2, 55, "SS8", "1/2/3/4", "unresolvable", "no_match"), (2, 63, "SS8", "5/6", "unresolvable", "no_match"),
+    (4, 0, None, "2/3", "grounded_in_context", "ancestor"), (4, 8, None, "8/8", "outside_context", "corpus_exact"),
+]
 
 
-@_query("SELECT item_id, standard, path, status FROM " + _sql_values([(1, "SS9", "2/3", "exact"), (1, "SS9", "4/1/2", "ancestor"), (1, "SS9", "7/7", "outside_context"), (1, "SS8", "8/8", "outside_context"), (1, "SS44", "1/1", "unknown_standard")], "item_id, standard, path, status"))
-def grounding_status(spark, d):
+def _grounded(spark):
     refs = audit.clause_references(_values(spark, _REFS, "item_id int, response string"))
-    return audit.ground(refs, _values(spark, _CLAUSES, "item_id int, standard string, clause string, text string"), _values(spark, _INDEX, "standard string, path string")).select("item_id", "standard", "path", "status")
+    own = audit.ground(refs, _values(spark, _CLAUSES, "item_id int, standard string, clause string, text string"), _values(spark, _INDEX, "standard string, path string"))
+    return own.join(refs.select("item_id", "ref_no", "char_offset"), ["item_id", "ref_no"])
 
 
-_PAGES = [("SS9", 1, "Contents\n1. Scope\n2. Rent"), ("SS9", 2, "1. Scope\n1/1 This standard covers leases of pro-\nperty [see item\n2/2 below] in full.\na) first point\n12\nb) second point"), ("SS9", 3, "2. Rent\n2/1 Rent is due; see clause\n1/1 above.\n2/1 Repeated id.\n3. Date of Issuance of the Standard\n9/9 never seen")]
-_RECORDS = [("1", None, 0, "Scope"), ("1", None, 1, "Scope"), ("1/1", None, 0, "This standard covers leases of property [see item 2/2 below] in full."), ("1/1", "a", 1, "first point"), ("1/1", "b", 2, "second point"), ("2", None, 0, "Rent"), ("2", None, 1, "Rent"), ("2/1", None, 0, "Rent is due; see clause 1/1 above."), ("2/1", None, 1, "Repeated id.")]
+@_query("SELECT item_id, char_offset, standard, path, status, resolved_via FROM " + _sql_values(_GROUNDED, "item_id, char_offset, standard, path, status, resolved_via"))
+def grounding_status(spark, d):
+    return _grounded(spark).select("item_id", "char_offset", "standard", "path", "status", "resolved_via")
 
 
-def _records(spark):
-    return extraction.parse_clauses(extraction.normalise_lines(_values(spark, _PAGES, "standard_id string, page int, text string").filter("page > 1 or text not like 'Contents%'")))
+@_query("SELECT item_id, n_references::BIGINT AS n_references, n_distinct::BIGINT AS n_distinct, passed FROM " + _sql_values([(1, 5, 5, False), (2, 3, 3, False), (3, 0, 0, True), (4, 2, 2, False)], "item_id, n_references, n_distinct, passed"))
+def grounding_audit(spark, d):
+    return audit.grounding_summary(_values(spark, _REFS, "item_id int, response string"), _grounded(spark)).select("item_id", "n_references", "n_distinct", "passed")
 
 
-_FIRST = [r for i, r in enumerate(_RECORDS) if i not in (1, 6)]
+_PAGES = [
+    ("SS9", 1, "Shari'ah Standard No. (9)\nContents\n1. Scope ..... 3\n2. Rent ..... 5"), ("SS9", 2, "Statement of the Standard\n1. Scope\n1/1 This standard covers leases of pro-\nperty [see item\n2/2 below] in full.\na) first point\n12\n(b) second point"),
+    ("SS9", 3, "2. Rent\n2/1 Rent is due; see clause\n1/1 above.\n2/1 Repeated id.\n3. Date of Issuance of the Standard\n9/9 never seen"), ("SS9", 4, " \n"), ("SS8", 1, "1. and goes on\n7 things\n2. Fees"), ("SS7", 1, "Nothing here"),
+]
+_RECORDS = [("SS9", "1", None, 0, "Scope"), ("SS9", "1/1", None, 0, "This standard covers leases of property [see item 2/2 below] in full."), ("SS9", "1/1", "a)", 1, "first point"), ("SS9", "1/1", "(b)", 2, "second point"), ("SS9", "2", None, 0, "Rent"), ("SS9", "2/1", None, 0, "Rent is due; see clause 1/1 above."), ("SS9", "2/1", None, 1, "Repeated id."), ("SS8", "2", None, 0, "Fees")]
 
 
-@_query("SELECT clause_id, sub_clause_id, occurrence_index, text FROM " + _sql_values(_FIRST, "clause_id, sub_clause_id, occurrence_index, text"))
+def _lines(spark):
+    return extraction.normalise_lines(_values(spark, _PAGES, "standard_id string, page int, text string"), nfc=True)
+
+
+def _records(spark):
+    return extraction.parse_clauses(_lines(spark))
+
+
+@_query("SELECT standard_id, clause_id, sub_clause_id, occurrence_index, text FROM " + _sql_values(_RECORDS, "standard_id, clause_id, sub_clause_id, occurrence_index, text"))
 def clause_parse(spark, d):
-    return _records(spark).select("clause_id", "sub_clause_id", "occurrence_index", "text")
+    return _records(spark).select("standard_id", "clause_id", "sub_clause_id", "occurrence_index", "text")
+
 
+@_query("SELECT standard_id, page, candidate, reason FROM " + _sql_values([("SS9", 2, "2/2", "inside_unclosed_square_bracket"), ("SS9", 3, "1/1", "preceding_line_ends_with_citation_cue"), ("SS8", 1, "1", "continuation_marker_after_identifier")], "standard_id, page, candidate, reason"))
+def wrapped_references(spark, d):
+    return extraction.wrapped_references(_lines(spark)).select("standard_id", "page", "candidate", "reason")
 
-@_query("SELECT chunk_id, bm25_text FROM " + _sql_values([(f"clause:SS9:{c}{':' + s if s else ''}:occurrence:{o}", f"Leases.\nSS9 section {c[0]} clause {c} {s or ''} {t}") for c, s, o, t in _FIRST], "chunk_id, bm25_text"))
+
+@_query("SELECT standard_id, start_page, reason, back_matter_page, n_toc_pages::BIGINT AS n_toc_pages, n_records::BIGINT AS n_records, sections, failures FROM " + _sql_values([("SS9", 2, "statement_of_standard_then_section_1", 3, 1, 7, "1,2", ""), ("SS8", 1, "section_1_fallback", None, 0, 1, "2", ""), ("SS7", None, None, None, 0, 0, None, "normative_body_start_not_detected")], "standard_id, start_page, reason, back_matter_page, n_toc_pages, n_records, sections, failures"))
+def extraction_report(spark, d):
+    out = extraction.extraction_report(_lines(spark), _records(spark))
+    return out.select("standard_id", "start_page", "reason", "back_matter_page", "n_toc_pages", "n_records", F.array_join("sections", ",").alias("sections"), F.array_join("failures", ",").alias("failures"))
+
+
+@_query("SELECT standard_id, chunk_id, bm25_text FROM " + _sql_values([(n, f"clause:{n}:{c}{':' + s if s else ''}:occurrence:{o}", f"{'Leases.' + chr(10) if n == 'SS9' else ''}{n} section {c[0]} clause {c} {s or ''} {t}") for n, c, s, o, t in _RECORDS], "standard_id, chunk_id, bm25_text"))
 def sac_enrich(spark, d):
-    return extraction.sac_enrich(extraction.clause_chunks(_records(spark)), _values(spark, [("SS9", "Leases.")], "standard_id string, summary string")).select("chunk_id", "bm25_text")
+    return extraction.sac_enrich(extraction.clause_chunks(_records(spark)), _values(spark, [("SS9", "Leases.")], "standard_id string, summary string")).select("standard_id", "chunk_id", "bm25_text")
+
+
+@_query(r"""SELECT doc_id, len(regexp_extract_all(text, '[^\s\x0B\x{85}\x{A0}\x{2000}-\x{200A}\x{3000}]+'))::INT AS n_words, length(text) - length(replace(text, chr(65533), '')) AS n_replacement, regexp_matches(text, '[\x00-\x08\x0B\x0C\x0E-\x1F]') AS has_control FROM documents""")
+def record_diagnostics(spark, d):
+    docs = _t(spark, d, "documents")
+    return extraction.record_diagnostics(docs.withColumnRenamed("doc_id", "section_id")).select(F.col("section_id").alias("doc_id"), "n_words", "n_replacement", "has_control")
+
+
+@_query("SELECT 'U+' || printf('%04X', unicode(ch)) AS codepoint, CASE WHEN ch IN ('–', '‘', '’', '“', '”', '…') THEN 'typographic' ELSE 'other' END AS kind, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[^\\x00-\\x7F]')) AS ch FROM documents) WHERE unicode(ch) <> 65533 GROUP BY ALL")
+def codepoint_histogram(spark, d):
+    return extraction.codepoint_histogram(_t(spark, d, "documents"))
+
+
+@_query(f"SELECT source, sum(len({_TOKENS.format(c='text')}))::BIGINT AS n_tokens, sum(len({_TOKENS.format(c='text')})) <= 8192 AS fits FROM documents GROUP BY source")
+def token_fit(spark, d):
+    return answering.token_fit(_t(spark, d, "documents"), by="source")
+
+
+@_query("SELECT variant, n::BIGINT AS n, n_answered::BIGINT AS n_answered, n_abstained::BIGINT AS n_abstained, answer_rate::DOUBLE AS answer_rate FROM " + _sql_values([("v1", 2, 0, 2, 0.0), ("v5", 2, 1, 0, 0.5)], "variant, n, n_answered, n_abstained, answer_rate"))
+def prompt_summary(spark, d):
+    rows = [("v1", T.ABSTENTION), ("v1", T.ABSTENTION + "."), ("v5", "[1] rent is due"), ("v5", "")]
+    return answering.prompt_summary(_values(spark, rows, "variant string, response string")).select("variant", "n", "n_answered", "n_abstained", "answer_rate")
+
+
+@_query("SELECT 1 AS doc_id, ['2', '3'] AS only_split, ['2/3'] AS only_whole")
+def tokeniser_diff(spark, d):
+    rows = _values(spark, [(1, "see 2/3 and 4"), (2, "plain words")], "doc_id int, text string")
+    return answering.tokeniser_diff(rows)
+
+
+@_query(f"""WITH {_BM25}, l AS (SELECT item_id, rank, '[' || rank || '] ' || source || chr(10) || text AS b FROM top JOIN documents USING (doc_id)),
+c AS (SELECT item_id, string_agg(b, chr(10) || chr(10) ORDER BY rank) AS context FROM l GROUP BY item_id),
+v AS (SELECT * FROM {_sql_values([(n, s.replace("{body}", "ACME").replace("{line}", T.ABSTENTION), t.split("{context}")[0], t.split("{context}")[1].split("{question}")[0], t.split("{question}")[1].replace("{line}", T.ABSTENTION)) for n, _, s, t in prompts.VARIANTS], "variant, system, a, b, c")})
+SELECT c.item_id, variant, md5(system) AS system_md5, md5(a || context || v.b || q.text || v.c) AS prompt_md5 FROM c JOIN benchmark q USING (item_id) CROSS JOIN v""")
+def prompt_variants(spark, d):
+    ranked = _top(spark, d).join(_t(spark, d, "documents").select("doc_id", F.col("source").alias("label"), "text"), "doc_id")
+    items = prompts.context_text(ranked).join(_t(spark, d, "benchmark").select("item_id", F.col("text").alias("question")), "item_id")
+    return prompts.render(items, prompts.variants(spark, "ACME")).select("item_id", "variant", F.md5("system").alias("system_md5"), F.md5("user_prompt").alias("prompt_md5"))
+
+
+_HEAD = "(trim(text) = '' OR (NOT regexp_matches(trim(text), '[.;:?!]$') AND len(regexp_extract_all(" + _NORM.format(c="text") + ", '[\\p{L}\\p{N}]+')) <= 12))"
+
+
+def _retrieved(spark, d):
+    return _top(spark, d).join(_t(spark, d, "documents").select("doc_id", F.col("source").alias("standard"), "text"), "doc_id")
+
+
+@_query(f"""WITH {_BM25}, r AS (SELECT item_id, rank, source, {_HEAD} AS head FROM top JOIN documents USING (doc_id))
+SELECT item_id, count(*) AS n_records, count(DISTINCT source)::INT AS n_standards, count(*) FILTER (head)::INT AS n_headings, bool_or(head AND rank = 1) AS heading_top_1, bool_and(head) AS all_headings FROM r GROUP BY item_id""")
+def retrieval_signals(spark, d):
+    out = answering.retrieval_signals(_t(spark, d, "benchmark"), _retrieved(spark, d))
+    return out.select("item_id", "n_records", F.size("standards").alias("n_standards"), F.size("heading_ranks").alias("n_headings"), "heading_top_1", "all_headings")
+
+
+@_query(f"""WITH {_BM25}, {_COVER},
+h AS (SELECT item_id, bool_and({_HEAD}) AS all_headings FROM top JOIN documents USING (doc_id) GROUP BY item_id),
+r AS (SELECT CASE WHEN b.item_id % 2 = 0 THEN 'even' ELSE 'odd' END AS klass, CASE WHEN all_headings OR coalesce(got / total < 0.25, false) THEN 'abstain' ELSE 'answer' END AS decision FROM benchmark b JOIN h USING (item_id) LEFT JOIN ag USING (item_id))
+SELECT klass, count(*) AS n, count(*) FILTER (decision = 'answer') AS n_answer, count(*) FILTER (decision = 'abstain') AS n_abstain, 0::BIGINT AS n_escalate FROM r GROUP BY klass""")
+def blind_spot(spark, d):
+    items, docs, ranked = _t(spark, d, "benchmark"), _t(spark, d, "documents"), _retrieved(spark, d)
+    cover = anchoring.coverage(anchoring.anchors(items, anchoring.vocabulary(docs), docs.count()), ranked)
+    labelled = items.select("item_id", F.when(F.col("item_id") % 2 == 0, "even").otherwise("odd").alias("klass"), F.lit("answer").alias("expected"))
+    return answering.blind_spot_summary(answering.blind_spot(labelled, answering.retrieval_signals(items, ranked, coverage=cover), routing.default_gates(anchoring=0.25)))
+
+
+_ITEMS = [(1, "Who maintains the asset?", None), (2, "When is rent due?", None), (3, "Nothing found?", None), (4, "Only titles?", None), (5, "Who insures it?", None), (6, "What is ended?", None)]
+_RANKED = [
+    (1, 1, "c1", "SS9", "2/3", "SS9 §2/3", "The lessor must keep the leased asset in good repair at all times during the term."), (1, 2, "c2", "SS9", "2/4", "SS9 §2/4", "The lessee pays the rent in advance for each month."),
+    (2, 1, "c2", "SS9", "2/4", "SS9 §2/4", "The lessee pays the rent in advance for each month."), (4, 1, "c3", "SS9", "5", "SS9 §5", "Termination of the contract"),
+    (5, 1, "c4", "SS9", "6/1", "SS9 §6/1", "The owner insures the asset against loss at its own cost."), (6, 1, "c5", "SS9", "7/1", "SS9 §7/1", "The contract ends when the asset is lost."),
+]
+_ANSWERS = [(1, "Repairs fall to the owner: [1] the lessor must keep the leased asset in good repair, as SS9 2/3 says."), (2, T.ABSTENTION), (5, "The owner, as SS9 9/9 has it: [1] insures the asset against loss at its own cost"), (6, "The contract, then.")]
+
+
+@_query("SELECT item_id, decision, triggering_gate, served, cited, short_circuited FROM " + _sql_values([(1, "answer", None, True, "c1", False), (2, "abstain", "model_did_not_abstain", False, "", False), (3, "abstain", "retrieval_non_empty", False, "", True), (4, "abstain", "retrieval_normative", False, "", True), (5, "escalate", "clause_grounding", False, "c4", False), (6, "escalate", "citation_integrity", False, "", False)], "item_id, decision, triggering_gate, served, cited, short_circuited"))
+def answer_run(spark, d):
+    ranked = _values(spark, _RANKED, "item_id int, rank int, chunk_id string, standard string, clause string, label string, text string")
+    stored = answering.replay(_values(spark, _ANSWERS, "item_id int, response string"))
+    out = answering.run(_values(spark, _ITEMS, "item_id int, question string, gold_answer string"), ranked, stored, routing.default_gates(), prompts.variants(spark, "ACME", "v1"), index=_values(spark, _INDEX, "standard string, path string"))
+    return out.select("item_id", "decision", "triggering_gate", F.col("served_answer").isNotNull().alias("served"), F.array_join("cited_chunk_ids", ",").alias("cited"), "short_circuited")
 
 
 @_query(f"""WITH {_BM25}, l AS (SELECT item_id, rank, '[' || rank || '] ' || source || chr(10) || text AS b FROM top JOIN documents USING (doc_id)),

@@ -16,8 +16,10 @@ class PublicationBoundaryError(ValueError):
 
 
 def read_jsonl(spark: SparkSession, path: str, schema, required: tuple[str, ...] = ()) -> DataFrame:
-    """Rows of a JSON-lines file or folder; a row without a required field raises, when it is read."""
+    """Rows of a JSON-lines file or folder; blank lines don't count, no rows raise, and a row without a required field raises when it is read."""
     rows = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    if rows.isEmpty():
+        raise ValueError(f"no rows in {path}")
     for name in required:
         rows = rows.withColumn(name, F.coalesce(name, F.raise_error(F.lit(f"missing {name}")).cast(rows.schema[name].dataType)))
     return rows
@@ -68,3 +70,65 @@ def assert_no_text(public: DataFrame, snippets: DataFrame, *, snippet: str = "te
     needles = snippets.select(F.trim(snippet).alias("needle")).filter("needle <> ''").distinct()
     if not rows.join(needles, F.col("row").contains(F.col("needle"))).isEmpty():
         raise PublicationBoundaryError("a public row holds corpus text")
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """A JSON file over several lines (ids, addresses, digests, licences) as a table; members of a top-level list `sources` become rows."""
+    told = spark.read.option("multiLine", True).json(path)
+    return told.select(F.explode("sources").alias("s")).select("s.*") if "sources" in told.columns else told
+
+
+def catalog(spark: SparkSession, pairs: list[tuple[str, str]]) -> DataFrame:
+    """standard_id, filename."""
+    return spark.createDataFrame(pairs, "standard_id string, filename string")
+
+
+def read_traces(spark: SparkSession, path: str, schema=None) -> DataFrame:
+    return spark.read.schema(schema).json(path) if schema else spark.read.json(path)
+
+
+def write_index(docs: DataFrame, path: str, *, id: str = "doc_id", text: str = "text") -> None:
+    """The inverted index as Parquet tables under path: postings sorted by term in range partitions, so that a query's terms prune row groups, stats and idf."""
+    from lexigrid.operators import retrieval
+
+    assert_unique(docs, id)
+    retrieval.postings(docs, id=id, text=text).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+    retrieval.doc_stats(docs, id=id, text=text).write.mode("overwrite").parquet(f"{path}/stats")
+    spark = docs.sparkSession
+    n = spark.read.parquet(f"{path}/stats").count()
+    retrieval.term_idf(spark.read.parquet(f"{path}/postings"), n).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/idf")
+
+
+def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """postings, stats, idf: read once for all queries."""
+    return tuple(spark.read.parquet(f"{path}/{t}") for t in ("postings", "stats", "idf"))
+
+
+def write_vectors(vectors: DataFrame, path: str, *, id: str = "vec_id", embedding: str = "embedding", metadata: tuple[str, ...] = ()) -> int:
+    """Vectors of length one as Parquet with a struct of metadata; an older table goes. A zero vector raises; returns the count, verified on the written table."""
+    assert_unique(vectors, id)
+    v = F.col(embedding)
+    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x))
+    unit = F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(F.raise_error(F.lit("vector without length")))
+    extra = [F.struct(*metadata).alias("metadata")] if metadata else []
+    vectors.select(id, unit.alias(embedding), *extra).write.mode("overwrite").parquet(path)
+    n = vectors.sparkSession.read.parquet(path).count()
+    if n != vectors.count():
+        raise ValueError(f"{n} vectors written, {vectors.count()} given")
+    return n
+
+
+def read_vectors(spark: SparkSession, path: str, expected: int) -> DataFrame:
+    out = spark.read.parquet(path)
+    if (n := out.count()) != expected:
+        raise ValueError(f"{n} vectors stored, {expected} expected")
+    return out
+
+
+def write_probes(probes: DataFrame, path: str) -> None:
+    assert_unique(probes, "probe_id")
+    write_jsonl(probes, path)
+
+
+def read_probes(spark: SparkSession, path: str, schema) -> DataFrame:
+    return read_jsonl(spark, path, schema, ("probe_id", "basis", "question_text"))
