@@ -26,8 +26,8 @@ def _or_empty(c: Column) -> Column:
 
 
 def casefold(c: Column) -> Column:
-    """Full case folding for Latin text: lower case with ß as ss. For other scripts use normalise_udf."""
-    return F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))
+    """Full case folding for Latin text, and lower case with one form of sigma: the same for a text as for its words. For other scripts use normalise_udf."""
+    return F.replace(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
 
 
 def collapse(c: Column) -> Column:
@@ -53,7 +53,8 @@ def normalise_udf():
 
 
 def bm25_tokens(c: Column) -> Column:
-    return F.transform(F.regexp_extract_all(_or_empty(c), F.lit(TOKEN), F.lit(0)), casefold)
+    """Folded tokens. Folding keeps word characters word characters, so the text is folded once, before it is split."""
+    return F.regexp_extract_all(casefold(_or_empty(c)), F.lit(TOKEN), F.lit(0))
 
 
 def anchor_tokens(c: Column) -> Column:

@@ -19,41 +19,60 @@ def doc_stats(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> Dat
     return docs.select(F.col(id), F.size(T.bm25_tokens(F.col(text))).cast("long").alias("dl"))
 
 
-def term_idf(posts: DataFrame, n_docs: int) -> DataFrame:
+def term_df(docs: DataFrame, *, text: str = "text") -> DataFrame:
+    """term, df: a document's terms are made distinct in its row, so that only partial counts are shuffled."""
+    return docs.select(F.explode(F.array_distinct(T.bm25_tokens(F.col(text)))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
+def idf_of(df: DataFrame, n_docs: int) -> DataFrame:
     """term, df, idf; a negative idf becomes EPSILON of the mean over all terms."""
-    df = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     raw = df.withColumn("raw", F.log(n_docs - F.col("df") + F.lit(0.5)) - F.log(F.col("df") + F.lit(0.5)))
     mean = raw.agg(F.avg("raw").alias("mean"))  # one row
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, F.col("mean") * EPSILON).otherwise(F.col("raw")).alias("idf"))
 
 
-def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 5, *, id: str = "doc_id", text: str = "text", query_id: str = "item_id", query: str = "text") -> DataFrame:
-    """query_id, id, score, rank: the k best of all documents for each query; ties by id; documents without a shared term score 0 and fill up.
+def term_idf(posts: DataFrame, n_docs: int) -> DataFrame:
+    """idf_of the postings' terms."""
+    return idf_of(posts.groupBy("term").agg(F.count(F.lit(1)).alias("df")), n_docs)
 
-    Cost follows the postings of the queries' terms: postings are joined on the term, never documents with queries. Only the 2k
-    first documents can be needed to fill up."""
-    stats = doc_stats(docs, id=id, text=text)
-    told = stats.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).collect()[0]
-    posts = postings(docs, id=id, text=text)
-    return _rank(posts, stats, term_idf(posts, told["n"]), told["avgdl"], queries, k, id, query_id, query)
 
+def _asked(queries: DataFrame, query_id: str, query: str) -> DataFrame:
+    return queries.select(F.col(query_id), F.explode(T.bm25_tokens(F.col(query))).alias("term")).groupBy(query_id, "term").agg(F.count(F.lit(1)).alias("qtf"))
 
-def _rank(posts, stats, idf, avgdl, queries, k, id, query_id, query):
-    asked = queries.select(F.col(query_id), F.explode(T.bm25_tokens(F.col(query))).alias("term")).groupBy(query_id, "term").agg(F.count(F.lit(1)).alias("qtf"))
-    hits = posts.join(asked, "term").join(idf, "term").join(stats, id)
-    gain = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl or 1.0)))
-    scored = hits.groupBy(query_id, id).agg(F.sum(gain).alias("score"))
-    first = F.broadcast(stats.select(id).orderBy(id).limit(2 * k))
-    filler = queries.select(query_id).crossJoin(first).join(scored, [query_id, id], "left_anti").withColumn("score", F.lit(0.0))
-    order = Window.partitionBy(query_id).orderBy(F.round("score", 9).desc(), id)
-    return scored.unionByName(filler).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 5, *, id: str = "doc_id", text: str = "text", query_id: str = "item_id", query: str = "text") -> DataFrame:
+    """query_id, id, score, rank: the k best of all documents for each query; ties by id; documents without a shared term score 0 and fill up.
+
+    Cost follows the postings of the queries' terms: other terms drop before anything is shuffled (but for counts of documents by
+    term, which idf needs), and postings are joined on the term, never documents with queries. Only the 2k first documents can be
+    needed to fill up."""
+    tokens = docs.select(F.col(id), T.bm25_tokens(F.col(text)).alias("_t"))
+    told = tokens.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("_t")).alias("avgdl")).collect()[0]
+    asked = _asked(queries, query_id, query)
+    own = tokens.select(F.col(id), F.size("_t").alias("dl"), F.explode("_t").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    posts = own.groupBy("term", id, "dl").agg(F.count(F.lit(1)).alias("tf"))
+    return _rank(docs.select(id), posts, asked.join(idf_of(term_df(docs, text=text), told["n"]), "term"), told["avgdl"], queries, k, id, query_id)
 
 
 def bm25_search(index: tuple[DataFrame, DataFrame, DataFrame], queries: DataFrame, k: int = 5, *, id: str = "doc_id", query_id: str = "item_id", query: str = "text") -> DataFrame:
     """bm25_topk over a stored index (postings, stats, idf): documents are not read again."""
     posts, stats, idf = index
     told = stats.agg(F.avg("dl").alias("avgdl")).collect()[0]
-    return _rank(posts, stats, idf, told["avgdl"], queries, k, id, query_id, query)
+    asked = _asked(queries, query_id, query)
+    own = posts.join(asked.select("term").distinct(), "term", "left_semi").join(stats, id)
+    return _rank(stats.select(id), own, asked.join(idf, "term"), told["avgdl"], queries, k, id, query_id)
+
+
+def _rank(ids, posts, asked, avgdl, queries, k, id, query_id):
+    hits = posts.join(asked, "term")
+    gain = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl or 1.0)))
+    first = F.broadcast(ids.orderBy(id).limit(2 * k))
+    filler = queries.select(query_id).crossJoin(first).withColumn("score", F.lit(0.0))
+    # the filler row of a document that scores stays 0 beside its score: the sum of both is its score, and hits are aggregated once
+    both = hits.select(query_id, id, gain.alias("score")).unionByName(filler)
+    scored = both.groupBy(query_id, id).agg(F.sum("score").alias("score"))
+    order = Window.partitionBy(query_id).orderBy(F.round("score", 9).desc(), id)
+    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def cosine(a, b):

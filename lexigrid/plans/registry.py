@@ -67,7 +67,7 @@ def bm25_topk(spark, d):
 @_query(f"WITH {_BM25} SELECT term, df, round(idf, 6) AS idf FROM idf")
 def bm25_idf(spark, d):
     docs = _t(spark, d, "documents")
-    return retrieval.term_idf(retrieval.postings(docs), docs.count()).select("term", "df", F.round("idf", 6).alias("idf"))
+    return retrieval.idf_of(retrieval.term_df(docs), docs.count()).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @_query(f"WITH {_BM25} SELECT doc_id, dl FROM dl")
