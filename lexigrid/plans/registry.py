@@ -203,6 +203,15 @@ def repeat_runs(spark, d):
     return _t(spark, d, "documents").select("doc_id", F.size(c).alias("n_runs")).filter("n_runs > 0")
 
 
+@_query("""WITH c AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?s).')) AS ch, generate_subscripts(regexp_extract_all(text, '(?s).'), 1) AS i FROM documents),
+g AS (SELECT doc_id, ch, i - row_number() OVER (PARTITION BY doc_id, ch ORDER BY i) AS run FROM c),
+r AS (SELECT doc_id, ch, count(*) AS n FROM g WHERE ch <> chr(10) GROUP BY doc_id, ch, run HAVING count(*) >= 4)
+SELECT doc_id, count(DISTINCT (ch, n))::INT AS n_runs FROM r GROUP BY doc_id""")
+def repeat_runs_all(spark, d):
+    """repeat_runs with runs of every character; its SQL finds them as islands, without references back."""
+    return _t(spark, d, "documents").select("doc_id", F.size(T.repeated_runs(F.col("text"))).alias("n_runs")).filter("n_runs > 0")
+
+
 @_query("SELECT ch, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[^\\x00-\\x7F]')) AS ch FROM documents) GROUP BY ch")
 def unicode_histogram(spark, d):
     return extraction.unicode_histogram(_t(spark, d, "documents"))

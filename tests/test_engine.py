@@ -1,5 +1,6 @@
 """The engine's own operators: pinned edge cases, and each registered query against its SQL on the smallest tables."""
 
+import itertools
 import math
 
 import pytest
@@ -131,6 +132,14 @@ def test_routing_a_stream(spark, tmp_path):
     assert [r["decision"] for r in spark.read.parquet(f"{tmp_path}/out").collect()] == ["answer"]
 
 
+def test_runs_of_every_character_are_counted(spark, tmp_path):
+    texts = ["no run", "aaaa 1111 aaaa", "éééé在在在在在 !!!!", "\n\n\n\n", "xxxxyyyyy\txxxxx", None, "😀😀😀😀"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    runs = {i: {(c, n) for c, g in itertools.groupby(t or "") if (n := len(list(g))) >= 4 and c != "\n"} for i, t in enumerate(texts)}
+    got = {r["doc_id"]: r["n_runs"] for r in registry.queries()["repeat_runs_all"](spark, str(tmp_path)).collect()}
+    assert got == {i: len(x) for i, x in runs.items() if x} == {1: 2, 2: 3, 4: 3, 6: 1}
+
+
 @pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_query_against_sql(spark, sf, name):
     rows = registry.queries()[name](spark, sf).collect()
