@@ -85,21 +85,42 @@ def gate_contributions(routed: DataFrame, gates: list[Gate]) -> DataFrame:
     return routed.agg(*changed).select(F.explode(F.map_from_arrays(F.array(*[F.lit(gates[i].name) for i in enabled]), F.array(*[F.col(gates[i].name) for i in enabled]))).alias("gate", "n_changed"))
 
 
-def sweep(items: DataFrame, value: str, decide, shipped: float, *, id: str = "item_id", low: float = 0.0, high: float = 1.0) -> DataFrame:
-    """threshold, n_answer, routing (decisions in the order of id), flips (decisions that differ from the threshold before). Candidates: the bounds, the shipped value, each observed value and a hair above it. decide(value, threshold) gives the decision."""
+def sweep(items: DataFrame, value: str, decide, shipped: float, *, low: float = 0.0, high: float = 1.0) -> DataFrame:
+    """threshold, n_answer, flips (decisions that differ from the threshold before). Candidates: the bounds, the shipped value, each observed value and a hair above it.
+
+    decide(value, threshold) gives the decision, which may depend on a value only by its being below, at or above the threshold. An
+    item then changes at its own value and at the next candidate, so items are counted by value and summed from threshold to
+    threshold: first within blocks of thresholds, then over the blocks, one row a block; no task holds all thresholds."""
     spark = items.sparkSession
-    seen = items.filter(F.col(value).isNotNull()).select(F.explode(F.array(F.col(value), F.col(value) + 1e-9)).alias("threshold"))
-    points = spark.createDataFrame([(float(x),) for x in (low, high, shipped)], "threshold double").unionByName(seen).distinct()
-    each = items.select(id, value).crossJoin(points).withColumn("decision", decide(F.col(value), F.col("threshold")))
-    at = each.groupBy("threshold").agg(F.count_if(F.col("decision") == "answer").alias("n_answer"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(id, "decision"))), lambda x: F.substring(x["decision"], 1, 2)), "").alias("routing"))
-    before = F.lag("routing").over(Window.orderBy("threshold"))
-    pieces = F.size(F.filter(F.arrays_zip(F.split("routing", "(?<=\\G..)").alias("a"), F.split(before, "(?<=\\G..)").alias("b")), lambda x: x["a"] != x["b"]))
-    return at.withColumn("flips", F.when(before.isNull(), 0).otherwise(pieces))
+    v = F.col(value).cast("double")
+    held = items.select(v.alias("threshold")).groupBy("threshold").agg(F.count(F.lit(1)).alias("n"))
+    t = F.col("threshold")
+    below, at, above = decide(t, F.lit(float("-inf"))), decide(t, t), decide(t, F.lit(float("inf")))
+    answers = lambda d: F.when(d == "answer", F.col("n")).otherwise(0)
+    changed = lambda a, b: F.when(a.eqNullSafe(b), 0).otherwise(F.col("n"))
+    sums = ("first", "reach", "leave", "reach_flips", "leave_flips")
+    none = [F.lit(0).cast("long").alias(c) for c in sums]
+    own = [answers(below), answers(at) - answers(below), answers(above) - answers(at), changed(below, at), changed(at, above)]
+    own = [c.cast("long").alias(n) for c, n in zip(own, sums)]
+    at_least = lambda x: F.coalesce(x, F.lit(float(low))).alias("threshold")  # noqa: E731  an item without a value never changes
+    seen = held.select(F.inline(F.array(F.struct(at_least(t), *own), F.struct(at_least(t + 1e-9), *none))))
+    fixed = spark.createDataFrame([(float(x),) for x in (low, high, shipped)], "threshold double").select("threshold", *none)
+    points = seen.unionByName(fixed).groupBy("threshold").agg(*[F.sum(c).alias(c) for c in sums])
+    exponent = F.when(t == 0, 0).otherwise(F.signum(t) * (F.floor(F.log2(F.least(F.abs(t), F.lit(1.7e308))) * 64) + 100_000))  # blocks in the order of thresholds, about 1.1 % wide
+    points = points.withColumn("block", exponent.cast("long"))
+    blocks = points.groupBy("block").agg(F.sum("reach").alias("b_reach"), F.sum("leave").alias("b_leave"), F.max_by("leave_flips", "threshold").alias("b_last"), F.sum("first").alias("b_first"))
+    all_before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("block", F.coalesce(F.sum(F.col("b_reach") + F.col("b_leave")).over(all_before), F.lit(0)).alias("before"), F.lag("b_last").over(Window.orderBy("block")).alias("b_last"), F.sum("b_first").over(Window.partitionBy()).alias("start"))
+    w = Window.partitionBy("block").orderBy("threshold")
+    inner = F.sum("reach").over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.coalesce(F.sum("leave").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    out = points.withColumns({"inner": inner, "left": F.lag("leave_flips").over(w)}).join(blocks, "block")
+    passed = F.coalesce("left", "b_last")
+    return out.select("threshold", (F.col("start") + F.col("before") + F.col("inner")).alias("n_answer"), F.when(passed.isNull(), 0).otherwise(passed + F.col("reach_flips")).alias("flips"))
 
 
 def stable_interval(swept: DataFrame, shipped: float) -> DataFrame:
     """lo, hi: the neighbouring thresholds around the shipped one with the same routing."""
-    w = Window.orderBy("threshold")
-    marked = swept.withColumn("new", F.when(F.lag("routing").over(w) != F.col("routing"), 1).otherwise(0)).withColumn("island", F.sum("new").over(w))
-    own = marked.filter(F.col("threshold") == F.lit(shipped)).select("island")
-    return marked.join(own, "island").agg(F.min("threshold").alias("lo"), F.max("threshold").alias("hi"))
+    t, new = F.col("threshold"), F.col("flips") > 0
+    ends = swept.agg(F.coalesce(F.max(F.when(new & (t <= F.lit(shipped)), t)), F.min(t)).alias("lo"), F.min(F.when(new & (t > F.lit(shipped)), t)).alias("end"))
+    inside = t < F.coalesce("end", F.lit(float("inf")))
+    return swept.crossJoin(F.broadcast(ends)).filter((t >= F.col("lo")) & (F.col("end").isNull() | inside)).agg(F.min("lo").alias("lo"), F.max("threshold").alias("hi"))

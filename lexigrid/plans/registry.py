@@ -197,6 +197,19 @@ def response_checks(spark, d):
     return r.select("item_id", T.classify_response(c).alias("response_class"), T.classify_response_legacy(c).alias("legacy_class"), T.heading_like(c).alias("heading_like"), F.size(T.unexpected_script(c)).alias("n_foreign"))
 
 
+@_query("""WITH r AS (SELECT conv_id, turn, text AS response FROM conversations),
+n AS (SELECT conv_id, turn, coalesce(response, '') AS raw, trim(regexp_replace(lower(coalesce(response, '')), '\\s+', ' ', 'g')) AS t FROM r),
+k AS (SELECT *, position('i cannot answer from the given context' IN t) > 0 AS there, len(regexp_extract_all(replace(t, 'i cannot answer from the given context', ' '), '\\p{L}\\p{L}+')) AS rest FROM n)
+SELECT conv_id, turn, CASE WHEN NOT there AND rest = 0 THEN 'empty' WHEN there AND rest < 2 THEN 'abstained' WHEN there THEN 'mixed' ELSE 'answered' END AS response_class,
+  CASE WHEN trim(raw) = 'I cannot answer from the given context' THEN 'abstained' ELSE 'answered' END AS legacy_class,
+  trim(raw) = '' OR (NOT regexp_matches(trim(raw), '[.;:?!]$') AND len(regexp_extract_all(t, '[\\p{L}\\p{N}]+')) <= 12) AS heading_like,
+  len(list_distinct(regexp_extract_all(raw, '[一-鿿぀-ヿ가-힯Ѐ-ӿ؀-ۿ]')))::INT AS n_foreign FROM k""")
+def response_checks_all(spark, d):
+    """response_checks over all turns of all conversations."""
+    c = F.col("text")
+    return _t(spark, d, "conversations").select("conv_id", "turn", T.classify_response(c).alias("response_class"), T.classify_response_legacy(c).alias("legacy_class"), T.heading_like(c).alias("heading_like"), F.size(T.unexpected_script(c)).alias("n_foreign"))
+
+
 @_query("SELECT doc_id, len(list_distinct(regexp_extract_all(text, '!!!!+|\\.\\.\\.\\.+|----+|====+|____+|\\*\\*\\*\\*+|####+|    +')))::INT AS n_runs FROM documents WHERE regexp_matches(text, '!!!!|\\.\\.\\.\\.|----|====|____|\\*\\*\\*\\*|####|    ')")
 def repeat_runs(spark, d):
     c = F.filter(T.repeated_runs(F.col("text")), lambda r: F.substring(r, 1, 1).isin("!", ".", "-", "=", "_", "*", "#", " "))
@@ -348,8 +361,7 @@ _ECHO = [("a", 0.2), ("b", 0.5), ("c", 0.962963), ("d", None)]
 
 
 def _swept(spark):
-    decide = lambda v, t: F.when(v.isNull(), "abstain").when(v < t, "answer").otherwise("escalate")
-    return routing.sweep(_values(spark, _ECHO, "item_id string, echo double"), "echo", decide, 0.85)
+    return routing.sweep(_values(spark, _ECHO, "item_id string, echo double"), "echo", _decide_echo, 0.85)
 
 
 @_query("SELECT threshold::DOUBLE AS threshold, n_answer::BIGINT AS n_answer, flips FROM " + _sql_values([(0.0, 0, 0), (0.2, 0, 0), (0.2 + 1e-9, 1, 1), (0.5, 1, 0), (0.5 + 1e-9, 2, 1), (0.85, 2, 0), (0.962963, 2, 0), (0.962963 + 1e-9, 3, 1), (1.0, 3, 0)], "threshold, n_answer, flips"))
@@ -362,6 +374,33 @@ def stable_interval(spark, d):
     return routing.stable_interval(_swept(spark), 0.85)
 
 
+def _decide_echo(v, t):
+    return F.when(v.isNull(), "abstain").when(v < t, "answer").otherwise("escalate")
+
+
+def _swept_all(spark, d):
+    return routing.sweep(_pairs(spark, d).select(T.overlap_ratio(F.col("response"), F.col("context")).alias("echo")), "echo", _decide_echo, 0.85)
+
+
+_SWEPT = f"""e AS (SELECT echo FROM (%s)),
+pt AS (SELECT DISTINCT unnest([echo, echo + 1e-9::DOUBLE]) AS threshold FROM e UNION SELECT unnest([0::DOUBLE, 1, 0.85])),
+bt AS (SELECT threshold, lag(threshold) OVER (ORDER BY threshold) AS before FROM pt),
+sw AS (SELECT threshold, count(*) FILTER (echo < threshold) AS n_answer, count(*) FILTER (before IS NOT NULL AND (echo < threshold) <> (echo < before)) AS flips FROM bt LEFT JOIN e ON true GROUP BY threshold)"""
+_ECHOES = _SQL["echo_ratio"].replace("round(coalesce(hit::DOUBLE / total, 0), 6) AS echo", "coalesce(hit::DOUBLE / total, 0) AS echo")
+
+
+@_query(f"WITH {_SWEPT % _ECHOES} SELECT threshold, n_answer, flips FROM sw")
+def threshold_flips_all(spark, d):
+    """threshold_flips over the echo ratios of all conversations."""
+    return _swept_all(spark, d).select("threshold", "n_answer", "flips")
+
+
+@_query(f"""WITH {_SWEPT % _ECHOES}, lo AS (SELECT coalesce(max(threshold) FILTER (flips > 0), (SELECT min(threshold) FROM sw)) AS lo FROM sw WHERE threshold <= 0.85)
+SELECT lo, (SELECT max(threshold) FROM sw WHERE threshold < coalesce((SELECT min(threshold) FROM sw WHERE threshold > 0.85 AND flips > 0), 'inf'::DOUBLE)) AS hi FROM lo""")
+def stable_interval_all(spark, d):
+    return routing.stable_interval(_swept_all(spark, d), 0.85)
+
+
 _CITED = [(1, "Intro. [1] the lessor must keep the leased asset in good repair [2] the lessor must keep the leased asset in good repair [3] short one [9] nothing like this was ever said in it [2] some other words that nobody has written there"), (2, "no markers here")]
 _CONTEXT = [(1, 1, "the lessor must keep the leased asset in good repair at all times"), (1, 2, "the lessee pays rent in advance for each month"), (1, 3, "termination of the contract"), (2, 1, "x")]
 
@@ -462,6 +501,24 @@ def tokeniser_diff(spark, d):
     return answering.tokeniser_diff(rows)
 
 
+@_query("SELECT role AS variant, count(*) AS n, count(*) FILTER (response_class = 'answered') AS n_answered, count(*) FILTER (response_class = 'abstained') AS n_abstained, avg((response_class IN ('answered', 'mixed'))::INT) AS answer_rate FROM (" + _SQL["response_checks_all"] + ") JOIN conversations USING (conv_id, turn) GROUP BY role")
+def prompt_summary_all(spark, d):
+    """prompt_summary over all turns of all conversations, a role as a variant."""
+    return answering.prompt_summary(_t(spark, d, "conversations"), variant="role", text="text").select(F.col("role").alias("variant"), "n", "n_answered", "n_abstained", "answer_rate")
+
+
+_ANCHORS, _SLASHED = _TOKENS.format(c="w"), "regexp_extract_all(w, '\\p{Nd}+(?:/\\p{Nd}+)+|[\\p{L}\\p{N}_]+(?:[''’][\\p{L}\\p{N}_]+)?')"
+
+
+@_query(f"""WITH n AS (SELECT doc_id, {_NORM.format(c='text')} AS w FROM documents),
+t AS (SELECT doc_id, list_distinct({_ANCHORS}) AS a, list_distinct({_SLASHED}) AS b FROM n),
+x AS (SELECT doc_id, list_sort(list_filter(a, lambda v: NOT list_contains(b, v))) AS only_split, list_sort(list_filter(b, lambda v: NOT list_contains(a, v))) AS only_whole FROM t)
+SELECT * FROM x WHERE len(only_split) > 0 OR len(only_whole) > 0""")
+def tokeniser_diff_all(spark, d):
+    """tokeniser_diff over all documents."""
+    return answering.tokeniser_diff(_t(spark, d, "documents"))
+
+
 @_query(f"""WITH {_BM25}, l AS (SELECT item_id, rank, '[' || rank || '] ' || source || chr(10) || text AS b FROM top JOIN documents USING (doc_id)),
 c AS (SELECT item_id, string_agg(b, chr(10) || chr(10) ORDER BY rank) AS context FROM l GROUP BY item_id),
 v AS (SELECT * FROM {_sql_values([(n, s.replace("{body}", "ACME").replace("{line}", T.ABSTENTION), t.split("{context}")[0], t.split("{context}")[1].split("{question}")[0], t.split("{question}")[1].replace("{line}", T.ABSTENTION)) for n, _, s, t in prompts.VARIANTS], "variant, system, a, b, c")})

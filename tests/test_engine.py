@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import random
 
 import pytest
 from pyspark.errors import PySparkException
@@ -140,6 +141,39 @@ def test_runs_of_every_character_are_counted(spark, tmp_path):
     assert got == {i: len(x) for i, x in runs.items() if x} == {1: 2, 2: 3, 4: 3, 6: 1}
 
 
+def test_sweep_against_all_pairs(spark):
+    decide = lambda v, t: F.when(v.isNull(), "abstain").when(v < t, "answer").when(v == t, "abstain").otherwise("escalate")
+    plain = lambda v, t: "abstain" if v is None or v == t else "answer" if v < t else "escalate"
+    random.seed(7)
+    for echoes in ([random.choice([None, 0.2, 0.85, 1.0, round(random.random(), 2), random.random()]) for _ in range(300)], [0.5, 0.5 + 4e-10, 0.5 + 1e-9, -2.0, 3.0, 3.0], [None, None], []):
+        points = sorted({0.0, 1.0, 0.85} | {t for v in echoes if v is not None for t in (v, v + 1e-9)})
+        routes = [[plain(v, t) for v in echoes] for t in points]
+        flips = [0] + [sum(x != y for x, y in zip(a, b)) for a, b in zip(routes, routes[1:])]
+        swept = routing.sweep(spark.createDataFrame([(v,) for v in echoes], "echo double"), "echo", decide, 0.85)
+        assert sorted(map(tuple, swept.select("threshold", "n_answer", "flips").collect())) == [(t, r.count("answer"), f) for t, r, f in zip(points, routes, flips)]
+        lo = hi = points.index(0.85)
+        while lo and not flips[lo]:
+            lo -= 1
+        while hi + 1 < len(points) and not flips[hi + 1]:
+            hi += 1
+        assert tuple(routing.stable_interval(swept, 0.85).collect()[0]) == (points[lo], points[hi])
+    plan = swept._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan
+
+
+def test_reports_over_tables(spark, tmp_path):
+    line = T.ABSTENTION
+    turns = [(1, 0, "user", "one two three"), (1, 1, "assistant", "one two three four"), (1, 2, "assistant", line), (2, 0, "user", "在 a"), (2, 1, "assistant", ""), (2, 2, "assistant", None)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([(1, "see 2/3 and 4"), (2, "plain"), (3, "2/3 2 3 9/9")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = lambda name: sorted(map(tuple, registry.queries()[name](spark, str(tmp_path)).collect()))
+    assert [r[2] for r in rows("response_checks_all")] == ["answered", "answered", "abstained", "empty", "empty", "empty"]
+    assert rows("prompt_summary_all") == [("assistant", 4, 1, 1, 0.25), ("user", 2, 1, 0, 0.5)]
+    assert rows("tokeniser_diff_all") == [(1, ["2", "3"], ["2/3"]), (3, ["9"], ["2/3", "9/9"])]
+    swept = {t: (n, f) for t, n, f in rows("threshold_flips_all")}
+    assert swept[0.0] == (0, 0) and swept[1.0][0] == 4 and len(rows("stable_interval_all")) == 1
+
+
 @pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_query_against_sql(spark, sf, name):
     rows = registry.queries()[name](spark, sf).collect()
