@@ -101,6 +101,13 @@ def hybrid_merge(spark, d):
     return retrieval.hybrid_merge(lexical, _dense(spark, d), query_id="query_id", id="vec_id").select("query_id", "vec_id", "sources", "position")
 
 
+@_query(_SQL["hybrid_merge"].replace(" WHERE item_id % 100 = 0", ""))
+def hybrid_merge_all(spark, d):
+    """hybrid_merge with the lexical hits of all benchmark items; items without a vector query have lexical rows only."""
+    lexical = _top(spark, d).withColumnsRenamed({"item_id": "query_id", "doc_id": "vec_id"})
+    return retrieval.hybrid_merge(lexical, _dense(spark, d), query_id="query_id", id="vec_id").select("query_id", "vec_id", "sources", "position")
+
+
 @_query(f"""WITH {_BM25}, r AS (SELECT item_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score / dl DESC, rank) AS r, score / dl AS s FROM top JOIN dl USING (doc_id))
 SELECT item_id, round(max(CASE WHEN r = 1 THEN s END), 6) AS top_1, round(max(CASE WHEN r = 2 THEN s END), 6) AS top_2, round(max(CASE WHEN r = 1 THEN s END) - max(CASE WHEN r = 2 THEN s END), 6) AS margin FROM r GROUP BY item_id""")
 def rerank_signal(spark, d):

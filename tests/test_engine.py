@@ -174,6 +174,12 @@ def test_reports_over_tables(spark, tmp_path):
     assert swept[0.0] == (0, 0) and swept[1.0][0] == 4 and len(rows("stable_interval_all")) == 1
 
 
+def test_hybrid_merge_keeps_every_item(spark, sf):
+    rows = registry.queries()["hybrid_merge_all"](spark, sf).collect()
+    lexical = {(r["query_id"], r["vec_id"]) for r in rows if "bm25" in r["sources"]}
+    assert lexical == {(r["item_id"], r["doc_id"]) for r in registry.queries()["bm25_topk"](spark, sf).collect()} and len(lexical) == 200
+
+
 @pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_query_against_sql(spark, sf, name):
     rows = registry.queries()[name](spark, sf).collect()
