@@ -333,6 +333,16 @@ def _signals(spark, d):
     return rows.select("item_id", F.lit(1).alias("n_records"), T.heading_like(F.col("context")).alias("all_headings"), c.isNotNull().alias("generated"), T.classify_response(c).alias("response_class"), F.lit(None).cast("boolean").alias("audit_passed"), F.lit(None).cast("boolean").alias("grounding_passed"), T.unexpected_script(c).alias("foreign"), T.repeated_runs(c).alias("runs"), T.overlap_ratio(c, F.col("context")).alias("echo_ratio"))
 
 
+def _measured(spark, d):
+    """Signals of all assistant turns, a first turn too, by the citation audit and grounding operators: the turn before is the one record that was retrieved."""
+    c = _t(spark, d, "conversations")
+    item = lambda turn: F.concat_ws(":", "conv_id", turn).alias("item_id")
+    responses = c.filter("role = 'assistant'").select(item("turn"), F.col("text").alias("response"))
+    null = F.lit(None).cast("string")
+    ranked = c.select(item(F.col("turn") + 1), F.lit(1).alias("rank"), null.alias("standard"), null.alias("clause"), F.col("role").alias("label"), "text").join(responses.select("item_id"), "item_id", "left_semi")
+    return answering.retrieval_signals(responses, ranked).join(answering.response_signals(responses, ranked), "item_id")
+
+
 _FOUR = "|".join(c * 4 for c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789äöüßñéèêçóíáú !,;:-_#")  # RE2 has no references back
 _ROUTE = f"""WITH {_PAIRS}, s AS (SELECT conv_id, turn, trim(context) = '' OR (NOT regexp_matches(trim(context), '[.;:?!]$') AND len(regexp_extract_all({_NORM.format(c='context')}, '[\\p{{L}}\\p{{N}}]+')) <= 12) AS head, len(regexp_extract_all(response, '\\p{{L}}\\p{{L}}+')) = 0 AS nothing, regexp_matches(response, '{_FOUR}') AS runs FROM p)"""
 
@@ -352,16 +362,27 @@ def gate_histogram(spark, d):
     return evaluation.gate_histogram(routing.evaluate_gates(_signals(spark, d), routing.default_gates()))
 
 
+@_query()
+def route_measured(spark, d):
+    """route_full with the signals that route_full leaves unmeasured."""
+    return routing.evaluate_gates(_measured(spark, d), routing.default_gates()).select("item_id", "decision", "triggering_gate")
+
+
+@_query()
+def gate_histogram_measured(spark, d):
+    return evaluation.gate_histogram(routing.evaluate_gates(_measured(spark, d), routing.default_gates()))
+
+
 @_query()
 def ablation_lattice(spark, d):
     gates = routing.default_gates()
-    return routing.ablation_lattice(routing.evaluate_gates(_signals(spark, d), gates), gates)
+    return routing.ablation_lattice(routing.evaluate_gates(_measured(spark, d), gates), gates)
 
 
 @_query()
 def gate_leave_one_out(spark, d):
     gates = routing.default_gates()
-    return routing.gate_contributions(routing.evaluate_gates(_signals(spark, d), gates), gates)
+    return routing.gate_contributions(routing.evaluate_gates(_measured(spark, d), gates), gates)
 
 
 _ECHO = [("a", 0.2), ("b", 0.5), ("c", 0.962963), ("d", None)]

@@ -180,6 +180,21 @@ def test_hybrid_merge_keeps_every_item(spark, sf):
     assert lexical == {(r["item_id"], r["doc_id"]) for r in registry.queries()["bm25_topk"](spark, sf).collect()} and len(lexical) == 200
 
 
+def test_gates_see_measured_signals(spark, tmp_path):
+    asked = "The lessor must keep the leased asset in good repair at all times, by clause 2/3 of it."
+    cited = "Repairs: [1] the lessor must keep the leased asset in good repair"
+    turns = [(1, asked, cited), (2, asked, "The lessor does."), (3, asked, cited + ", as 9/9 says"), (4, None, cited), (5, asked, cited + ", as 2/3 says")]
+    rows = [(i, 1, "assistant", a) for i, _, a in turns] + [(i, 0, "user", q) for i, q, _ in turns if q]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    run = lambda name: registry.queries()[name](spark, str(tmp_path)).collect()
+    want = {"1:1": None, "2:1": "citation_integrity", "3:1": "clause_grounding", "4:1": "retrieval_non_empty", "5:1": None}
+    got = {r["item_id"]: r["triggering_gate"] for r in run("route_measured")}
+    assert got == want
+    assert {r["triggering_gate"]: r["n"] for r in run("gate_histogram_measured")} == {"none": 2, "citation_integrity": 1, "clause_grounding": 1, "retrieval_non_empty": 1}
+    alone = {r["gate"]: r["n_changed"] for r in run("gate_leave_one_out")}
+    assert alone["citation_integrity"] == 1 and alone["clause_grounding"] == 1 and alone["retrieval_non_empty"] == 1
+
+
 @pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_query_against_sql(spark, sf, name):
     rows = registry.queries()[name](spark, sf).collect()
