@@ -137,6 +137,27 @@ def recall_macro_micro(spark, d):
     return out.withColumns({c: F.round(c, 6) for c in ("macro_recall", "micro_recall")})
 
 
+_START = "array_to_string(list_slice(string_split(b.text, ' '), 1, 8), ' ')"
+
+
+def _gold_whole(spark, d):
+    """item_id, doc_id: documents that hold an item's whole text as a substring."""
+    return _t(spark, d, "benchmark").select("item_id", F.col("text").alias("passage")).join(_t(spark, d, "documents"), F.col("text").contains(F.col("passage"))).select("item_id", "doc_id")
+
+
+@_query(_SQL["gold_recall"].replace(_START, "b.text"))
+def gold_recall_whole(spark, d):
+    """gold_recall by whole passages."""
+    return evaluation.gold_recall(_gold_whole(spark, d), _top(spark, d), ["doc_id"]).withColumn("recall", F.round("recall", 6))
+
+
+@_query(_SQL["recall_macro_micro"].replace(_START, "b.text"))
+def recall_macro_micro_whole(spark, d):
+    """recall_macro_micro by whole passages."""
+    out = evaluation.recall_summary(evaluation.gold_recall(_gold_whole(spark, d), _top(spark, d), ["doc_id"]))
+    return out.withColumns({c: F.round(c, 6) for c in ("macro_recall", "micro_recall")})
+
+
 _SUFFIX = "CASE WHEN {c} LIKE '%ies' AND length({c}) >= 7 THEN substr({c}, 1, length({c}) - 3) || 'y' WHEN {c} LIKE '%ing' AND length({c}) >= 7 THEN substr({c}, 1, length({c}) - 3) WHEN {c} LIKE '%ed' AND length({c}) >= 6 THEN substr({c}, 1, length({c}) - 2) WHEN {c} LIKE '%es' AND length({c}) >= 6 THEN substr({c}, 1, length({c}) - 2) WHEN {c} LIKE '%s' AND length({c}) >= 5 THEN substr({c}, 1, length({c}) - 1) ELSE {c} END"
 _VOCAB = f"""atk AS (SELECT doc_id, unnest({_TOKENS.format(c=_NORM.format(c='text'))}) AS tok FROM documents),
 vocab AS (SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, {_SUFFIX.format(c='tok')} AS term FROM atk) GROUP BY term)"""

@@ -195,6 +195,15 @@ def test_gates_see_measured_signals(spark, tmp_path):
     assert alone["citation_integrity"] == 1 and alone["clause_grounding"] == 1 and alone["retrieval_non_empty"] == 1
 
 
+def test_gold_is_the_whole_passage(spark, tmp_path):
+    opening = "one two three four five six seven eight"
+    spark.createDataFrame([(1, f"{opening} nine ten")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = [(1, f"x {opening} nine ten y"), (2, f"x {opening} otherwise"), (3, "nine ten")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    gold = {n: registry.queries()[n](spark, str(tmp_path)).collect()[0]["n_gold"] for n in ("gold_recall", "gold_recall_whole")}
+    assert gold == {"gold_recall": 2, "gold_recall_whole": 1}
+
+
 @pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_query_against_sql(spark, sf, name):
     rows = registry.queries()[name](spark, sf).collect()
