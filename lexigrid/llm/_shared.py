@@ -69,6 +69,14 @@ def forget(df: DataFrame) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many partitions as there are cores, where it is a scan of fewer (one row group is one task); beyond that, unchanged."""
+    if df._jdf.queryExecution().executedPlan().getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+        return df  # its shuffles would have to run first
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def ship(spark: SparkSession) -> None:
     """Give the executors this package, wherever the driver imported it from."""
     sc = spark.sparkContext

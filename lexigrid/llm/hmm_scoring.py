@@ -1,21 +1,32 @@
 r"""Language-model scoring by a hidden Markov model.
 
 Counting: words of all training texts, summed in each task before the shuffle; the whole table of
-counts stays distributed. Tasks get the counts of the `listed` most frequent words (a fixed bound);
-the first `vocabulary` of them are symbols of their own; all other words share `classes` rare symbols by a hash, and a rare word's probability is its
-symbol's times the word's smoothed share of that symbol's tokens, so the distribution over all words
-is proper. The end of a text is a symbol of its own.
-
-Training: Baum-Welch over all training texts. Each partition sums expected counts, by scaled
-forward-backward over many texts at once (in pieces of `piece` tokens for long texts, whose start
-distribution is then the transition out of a uniform state); partial sums are added in groups, and
-the driver, which holds matrices of a fixed size, smooths them into the next model.
-
-Texts are tokenised twice, to count and to write their symbols; training and scoring read the symbols.
-
-Scoring: the scaled forward recursion over the whole text gives its exact log10 likelihood. The
-tokens' own counts are looked up for the base score and for words without a symbol of their own:
-listed words in each task, all others by one join on the word, of (row, word, number) rows.
+counts stays distributed. The words from a count upwards that at most `listed` words reach are
+listed in the tasks (a fixed bound, found by a histogram of counts); the first `vocabulary` of them
+are symbols of their own while training. All other words share `classes` rare symbols by a hash. The
+end of a text is a symbol of its own.
+
+Training: Baum-Welch over all training texts. The first passes hold the transition matrix at the
+identity, where forward-backward is a sum over a text: from a random start they find states that
+whole texts stay in (such as languages). The others start from these states and a transition matrix
+that mostly stays, and learn all of start, transitions and emissions. Each kind of pass is repeated
+until the training likelihood rises by less than `settled` of itself, or to its most. Each partition
+sums expected counts, over many texts at once; partial sums are added as they come, and the driver,
+which holds matrices of a fixed size, smooths them into the next model. Texts beyond eight times `piece`
+tokens are cut so that their parts run side by side, each with the exact forward state before it and the
+backward state behind it, which come from products of the parts' transfer matrices.
+
+Emissions of all words: a last pass of forward-backward sums, for every training word outside the
+vocabulary, its expected number of occurrences in each state. This table is as long as the
+vocabulary of the corpus and stays distributed. A rare word's probability in a state is its rare
+symbol's times the word's smoothed share of that symbol's occurrences in that state, so the
+distribution over all words is proper in each state.
+
+Texts are tokenised twice, to count and to write their codes; training and scoring read the codes.
+
+Scoring: the scaled forward recursion over the whole text gives its exact log10 likelihood. Listed
+words' emissions are in the tasks; those of all other words come by one join on the word, of one row
+for each text and distinct word, and go to the text by its row number.
 
 Defined results
 * null text: empty, which is the end token alone.
@@ -23,6 +34,9 @@ Defined results
   model is uniform over its symbols.
 * a doc_id that repeats: each row is scored on its own and, if in training, counted each time. A null
   doc_id counts as the empty text for the crc32.
+* texts of any length: cut texts give the same sums as whole ones; a text's row holds its words and
+  their emissions.
+* words of equal counts are listed together or not at all, so ties need no order.
 * an empty table gives an empty result; other columns are ignored.
 """
 
@@ -33,15 +47,17 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrid.llm._shared import crc_mod, ship, table, written
+from lexigrid.llm._shared import crc_mod, forget, ship, spread, table, tidy, written
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 VOCABULARY = 20_000
 LISTED = 200_000
 CLASSES = 64
-STATES = 12
-ITERATIONS = 4
+STATES = 8
+FIRST, ITERATIONS = 6, 2
+SETTLED = 1e-3
 PIECE = 512
+STAY = 0.9
 ALPHA = 0.1
 
 
@@ -76,7 +92,7 @@ def _count_partition(batches, most: int):
 
 
 class Symbols:
-    """Symbols are the first words of the list in order, then the classes of all other words, then the end token.
+    """Symbols are the first words of the list in order, then the classes of all other words, then the end token. Codes are places in the list, then the end, then the text's own unlisted words.
 
     words, word_counts: the listed words; class_counts: (tokens, words) that each class has in training; ends: end tokens there."""
 
@@ -89,13 +105,10 @@ class Symbols:
         self.size = self.end + 1
         self.counts = np.concatenate([self.word_counts[: self.vocabulary], [c for c, _ in class_counts], [ends]])
         self.class_total = np.array([c + ALPHA * (v + 1) for c, v in class_counts])
-        self.kind = "<u2" if self.size <= 1 << 16 else "<u4"
-        own = np.arange(len(words))
         other = np.array([self.vocabulary + self.class_of(w) for w in words[self.vocabulary :]], "i8")
-        self.symbol = np.concatenate([own[: self.vocabulary], other]).astype("i4")
-        # log10 of a listed word's share of its symbol
-        self.share = np.zeros(len(words))
-        self.share[self.vocabulary :] = np.log10((self.word_counts[self.vocabulary :] + ALPHA) / self.class_total[other - self.vocabulary])
+        #: the symbol of each code up to the end's
+        self.kind = "<u2" if self.size <= 1 << 16 else "<u4"
+        self.symbol = np.concatenate([np.arange(self.vocabulary), other, [self.end]]).astype(self.kind)
         self._index = None
 
     def __getstate__(self):
@@ -110,24 +123,28 @@ class Symbols:
     def class_of(self, word: bytes) -> int:
         return zlib.crc32(word) % self.classes
 
-    def of(self, tokens: list[bytes]):
-        """(symbols with the end, places in the list, tokens that aren't listed)."""
+    def codes(self, tokens: list[bytes]):
+        """(codes with the end, distinct tokens that aren't listed)."""
         import numpy as np
 
-        get = self.index.get
+        get, own = self.index.get, {}
         found = list(map(get, tokens))
-        unlisted = []
         if None in found:
-            unlisted = [w for i, w in zip(found, tokens) if i is None]
-            found = [-1 if i is None else i for i in found]
-        at = np.array(found, "i4") if found else np.empty(0, "i4")
-        out = np.empty(len(at) + 1, "i4")
-        out[:-1] = self.symbol[at] if len(self.words) else 0
-        out[-1] = self.end
-        if unlisted:
-            out[np.flatnonzero(at < 0)] = [self.vocabulary + self.class_of(w) for w in unlisted]
-            at = at[at >= 0]
-        return out, at, unlisted
+            first = len(self.words) + 1
+            found = [own.setdefault(w, len(own)) + first if i is None else i for i, w in zip(found, tokens)]
+        found.append(len(self.words))
+        return np.array(found, "<u4"), list(own)
+
+    def of(self, codes, own):
+        """The symbols of codes; own: the text's unlisted words."""
+        import numpy as np
+
+        last = len(self.words)
+        out = self.symbol[np.minimum(codes, last)]
+        if own:
+            at = np.flatnonzero(codes > last)
+            out[at] = np.array([self.vocabulary + self.class_of(w) for w in own], self.kind)[codes[at] - last - 1]
+        return out
 
 
 class Hmm:
@@ -138,45 +155,93 @@ class Hmm:
 
     @classmethod
     def first(cls, counts, states: int):
-        """From the unigram distribution, disturbed so that states differ."""
+        """From the unigram distribution, disturbed so that states differ; each state stays."""
         import numpy as np
 
-        rng = np.random.default_rng(41)
         p = np.asarray(counts, "f8") + ALPHA
-        emit = p[:, None] * rng.uniform(0.5, 1.5, (len(p), states))
-        trans = rng.uniform(0.5, 1.5, (states, states))
-        return cls(np.full(states, 1 / states), trans / trans.sum(1, keepdims=True), emit / emit.sum(0))
+        emit = p[:, None] * np.random.default_rng(41).uniform(0.5, 1.5, (len(p), states))
+        return cls(np.full(states, 1 / states), np.eye(states), emit / emit.sum(0))
 
-    def forward(self, batch, lengths):
-        """Natural log likelihoods of padded symbol rows."""
+    def forward(self, emissions, lengths):
+        """Natural log likelihoods; emissions(t, live): those of the first `live` rows at step t. Rows are in falling order of length."""
         import numpy as np
 
-        n, most = batch.shape
+        n = len(lengths)
         alpha, total = np.repeat(self.start[None, :], n, 0), np.zeros(n)
-        for t in range(most):
-            live = int(np.searchsorted(-lengths, -t, "left"))  # rows are in falling order of length
+        for t in range(int(lengths[0])):
+            live = int(np.searchsorted(-lengths, -t, "left"))
             a = alpha[:live] if t == 0 else alpha[:live] @ self.trans
-            a = a * self.emit[batch[:live, t]]
+            a = a * emissions(t, live)
             c = a.sum(1)
             total[:live] += np.log(c)
             alpha[:live] = a / c[:, None]
         return total
 
-    def expected(self, batch, lengths, first, sums):
-        """Adds the expected counts of padded symbol rows to sums (start, trans, emit); first: rows that begin a text."""
+    def staying(self, data, sums):
+        """Expected counts of whole texts, added to sums, where the transition matrix is the identity: a text's likelihood in a state is a product. Gives the log likelihood."""
+        import numpy as np
+
+        cat, lengths = np.concatenate(data), np.array([len(s) for s in data])
+        first = np.cumsum(lengths) - lengths
+        log = np.log(self.emit).T.copy()
+        each = np.stack([np.add.reduceat(own.take(cat), first) for own in log], 1) + np.log(self.start)
+        most = each.max(1, keepdims=True)
+        each = np.exp(each - most)
+        total = each.sum(1, keepdims=True)
+        each /= total
+        sums[0] += each.sum(0)
+        sums[1] += np.diag((each * (lengths - 1)[:, None]).sum(0))
+        for j in range(len(self.start)):
+            sums[2][:, j] += np.bincount(cat, np.repeat(each[:, j], lengths), minlength=len(self.emit))
+        return float((np.log(total) + most).sum())
+
+    def transfers(self, batch, lengths, first):
+        """For each padded piece the matrix that takes the state before it to the state at its end, up to a factor; first: pieces that begin a text, whose first step has no transition. Rows are in falling order of length."""
+        import numpy as np
+
+        n, k = len(lengths), len(self.start)
+        trans, emit = self.trans.astype("f4"), self.emit.astype("f4")
+        out = np.repeat(np.eye(k, dtype="f4")[None], n, 0)
+        for t in range(int(lengths[0])):
+            live = int(np.searchsorted(-lengths, -t, "left"))
+            a = out[:live] if t == 0 else out[:live] @ trans
+            if t == 0:
+                a = np.where(first[:, None, None], a, trans)
+            a = a * emit[batch[:live, t]][:, None, :]
+            out[:live] = a / a.sum((1, 2), keepdims=True)
+        return out.astype("f8")
+
+    def ends(self, matrices):
+        """For the pieces of one text, in order: the state before each (start for the first) and the backward state behind each, scaled so that its product with the forward state there is one."""
+        import numpy as np
+
+        before = [self.start]
+        for m in matrices:
+            a = before[-1] @ m
+            before.append(a / a.sum())
+        behind = [np.ones(len(self.start))]
+        for m in matrices[:0:-1]:
+            b = m @ behind[-1]
+            behind.append(b / b.sum())
+        behind = [b / (a @ b) for a, b in zip(before[1:], behind[::-1])]
+        return before[:-1], behind
+
+    def expected(self, batch, lengths, first, sums, before=None, behind=None):
+        """Adds the expected counts of padded symbol rows to sums (start, trans, emit), gives their log likelihood and each (step, row) cell's share of states, zero in padding. first: rows that begin a text; the others have the state before them in `before`; `behind` is the backward state."""
         import numpy as np
 
         n, most = batch.shape
         k = len(self.start)
         trans, emits = self.trans.astype("f4"), self.emit.astype("f4")[batch.T]  # most, n, k
-        begin = np.where(first[:, None], self.start, np.full(k, 1 / k) @ self.trans).astype("f4")
+        before = np.repeat(self.start[None, :], n, 0) if before is None else before
+        begin = np.where(first[:, None], before, before @ self.trans).astype("f4")
         alphas, scales, lives = np.zeros((most, n, k), "f4"), np.ones((most, n, 1), "f4"), np.searchsorted(-lengths, -np.arange(most), "left").tolist()
         for t, live in enumerate(lives):
             a = alphas[t, :live]
             np.multiply(begin[:live] if t == 0 else alphas[t - 1, :live] @ trans, emits[t, :live], out=a)
             np.sum(a, axis=1, keepdims=True, out=scales[t, :live])
             a /= scales[t, :live]
-        beta, back = np.ones((n, k), "f4"), np.ascontiguousarray(trans.T)
+        beta, back = np.ones((n, k), "f4") if behind is None else behind.astype("f4"), np.ascontiguousarray(trans.T)
         moved = np.zeros((k, k))
         for t in range(most - 1, -1, -1):
             live = lives[t]
@@ -188,12 +253,15 @@ class Hmm:
                 # what was before the step: the last step's share is not yet multiplied
                 moved += alphas[t - 1, :live].T @ x
                 beta[:live] = x @ back
+            else:
+                moved += before[~first].T @ x[~first]
         sums[0] += alphas[0][first].sum(0, dtype="f8")
         sums[1] += moved * self.trans
-        mask = np.arange(most)[:, None] < lengths[None, :]
-        at, g = batch.T[mask], alphas[mask]
-        for j in range(k):
-            sums[2][:, j] += np.bincount(at, g[:, j], minlength=len(self.emit))
+        if sums[2] is not None:
+            at, g = batch.T.ravel(), alphas.reshape(-1, k).T.astype("f8", order="C")
+            for j in range(k):
+                sums[2][:, j] += np.bincount(at, g[j], minlength=len(self.emit))
+        return float(np.log(scales).sum(dtype="f8")), alphas
 
 
 def _grouped(rows, budget: int):
@@ -218,36 +286,107 @@ def _grouped(rows, budget: int):
         yield pad(part)
 
 
-def _expect_partition(batches, model: Hmm, size: int, kind: str, piece: int):
+def _passes(model: Hmm, data: list, piece: int, sums, cells: int = 500_000):
+    """Forward-backward over symbol arrays; yields (log likelihood, [(text, place of its first symbol)], lengths, shares) for each padded array."""
+    import numpy as np
+
+    long = [i for i, s in enumerate(data) if len(s) > 8 * piece]
+    before, behind = {}, {}
+    parts = [(i, at) for i in long for at in range(0, len(data[i]), piece)]
+    matrices = {}
+    for keys, batch, lengths in _grouped([(p, data[p[0]][p[1] : p[1] + piece]) for p in parts], cells):
+        matrices.update(zip(keys, model.transfers(batch, lengths, np.array([at == 0 for _, at in keys]))))
+    for i in long:
+        keys = [(i, at) for at in range(0, len(data[i]), piece)]
+        a, b = model.ends([matrices[p] for p in keys])
+        before.update(zip(keys, a)), behind.update(zip(keys, b))
+    ones, rows = np.ones(len(model.start)), [(p, data[p[0]][p[1] : p[1] + piece]) for p in parts]
+    for keys, batch, lengths in _grouped(rows + [((i, 0), s) for i, s in enumerate(data) if len(s) <= 8 * piece], cells):
+        first = np.array([at == 0 for _, at in keys])
+        told, shares = model.expected(batch, lengths, first, sums, np.stack([before.get(p, model.start) for p in keys]), np.stack([behind.get(p, ones) for p in keys]))
+        yield told, keys, lengths, shares
+
+
+def _symbol_groups(batches, kind: str, tokens: int = 2_000_000):
+    """Lists of rows of about `tokens` tokens: their symbols and, where batches have them, codes and unlisted words."""
+    import numpy as np
+
+    held, size = [], 0
+    for batch in batches:
+        kinds = (kind, "<u4")
+        for row in zip(*batch.columns):
+            held.append([np.frombuffer(x.as_buffer(), d) for x, d in zip(row, kinds)] + [x.as_py() for x in row[2:]])
+            size += len(held[-1][0])
+            if size > tokens:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+def _expect_partition(batches, model: Hmm, size: int, kind: str, piece: int, stay: bool):
     """One row for each slice of the symbols: the partition's expected counts."""
     import numpy as np
     import pyarrow as pa
 
     k = len(model.start)
-    sums = [np.zeros(k), np.zeros((k, k)), np.zeros((size, k))]
-    any_rows = False
-    held, tokens = [], 0
-
-    def work():
-        for first, batch, lengths in _grouped(held, 80_000):
-            model.expected(batch, lengths, np.array(first, bool), sums)
-
-    for batch in batches:
-        for t in batch.column(0):
-            s = np.frombuffer(t.as_buffer(), kind)
-            any_rows = True
-            held += [(i == 0, s[i : i + piece]) for i in range(0, len(s), piece)]
-            tokens += len(s)
-            if tokens > 1_000_000:
-                work()
-                held, tokens = [], 0
-    work()
-    if any_rows:
+    sums, told = [np.zeros(k), np.zeros((k, k)), np.zeros((size, k))], None
+    for held in _symbol_groups(batches, kind):
+        data = [h[0] for h in held]
+        told = (told or 0.0) + (model.staying(data, sums) if stay else sum(r[0] for r in _passes(model, data, piece, sums)))
+    if told is not None:
         step = 4096
-        rows = [(-1, np.concatenate([sums[0], sums[1].ravel()]).astype("f8").tobytes())] + [(i // step, sums[2][i : i + step].astype("f4").tobytes()) for i in range(0, size, step)]
+        rows = [(-1, np.concatenate([[told], sums[0], sums[1].ravel()]).astype("f8").tobytes())] + [(i // step, sums[2][i : i + step].astype("f4").tobytes()) for i in range(0, size, step)]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["g", "a"])
 
 
+def _word_partition(batches, model: Hmm, symbols: Symbols, piece: int, most: int):
+    """(word, n, expected number in each state) of the partition's words outside the vocabulary; `most` unlisted ones are held at once."""
+    import numpy as np
+    import pyarrow as pa
+
+    k, listed, vocabulary = len(model.start), len(symbols.words), symbols.vocabulary
+    dense, dense_n = np.zeros((listed - vocabulary, k), "f4"), np.zeros(listed - vocabulary, "i8")
+    index: dict[bytes, int] = {}
+    own, own_n = np.zeros((0, k), "f4"), np.zeros(0, "i8")
+
+    def out(words, n, g):
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(n, pa.int64()), *[pa.array(g[:, j], pa.float32()) for j in range(k)]], names=["word", "n", *[f"g{j}" for j in range(k)]])
+
+    ignored = [np.zeros(k), np.zeros((k, k)), None]
+
+    def add(at, g, to, n):
+        for j in range(k):
+            to[:, j] += np.bincount(at, g[:, j], minlength=len(to))
+        n += np.bincount(at, minlength=len(n))
+
+    for held in _symbol_groups(batches, symbols.kind):
+        places = [np.array([index.setdefault(w, len(index)) for w in rare], "i8") for _, _, rare in held]
+        if len(index) > len(own):
+            more = len(index) - len(own)
+            own, own_n = np.concatenate([own, np.zeros((more, k), "f4")]), np.concatenate([own_n, np.zeros(more, "i8")])
+        for _, keys, lengths, shares in _passes(model, [h[0] for h in held], piece, ignored):
+            cells, at = [], []
+            for row, (i, start) in enumerate(keys):
+                codes = held[i][1][start : start + lengths[row]]
+                steps = np.flatnonzero((codes >= vocabulary) & (codes != listed))
+                codes, rare = codes[steps].astype("i8"), codes[steps] > listed
+                codes[rare] = places[i][codes[rare] - listed - 1] + listed + 1
+                cells.append(steps * len(keys) + row), at.append(codes)
+            at, g = np.concatenate(at), shares.reshape(-1, k)[np.concatenate(cells)]
+            rare = at > listed
+            add(at[~rare] - vocabulary, g[~rare], dense, dense_n)
+            add(at[rare] - listed - 1, g[rare], own, own_n)
+        if len(index) >= most:
+            yield out(list(index), own_n, own)
+            index, own, own_n = {}, own[:0], own_n[:0]
+    if index:
+        yield out(list(index), own_n, own)
+    there = np.flatnonzero(dense_n)
+    if len(there):
+        yield out([symbols.words[vocabulary + i] for i in there], dense_n[there], dense[there])
+
+
 def _add_slices(batches):
     """Partial sums, sorted by slice, added as they come: one sum at a time is held."""
     import numpy as np
@@ -271,7 +410,7 @@ def _add_slices(batches):
         yield out()
 
 
-def train(rows: DataFrame, symbols: Symbols, *, states: int = STATES, iterations: int = ITERATIONS, piece: int = PIECE) -> Hmm:
+def train(rows: DataFrame, symbols: Symbols, *, states: int = STATES, first: int = FIRST, iterations: int = ITERATIONS, settled: float = SETTLED, piece: int = PIECE) -> Hmm:
     """rows: symbols. Each iteration is a pass over all of them; the sums are of a fixed size."""
     import numpy as np
 
@@ -279,51 +418,92 @@ def train(rows: DataFrame, symbols: Symbols, *, states: int = STATES, iterations
     model = Hmm.first(symbols.counts, states)
     unigram = np.asarray(symbols.counts, "f8") + ALPHA
     unigram /= unigram.sum()
-    for _ in range(iterations):
-        shared = spark.sparkContext.broadcast(model)
-        parts = rows.select("symbols").mapInArrow(lambda b, s=shared, size=symbols.size, kind=symbols.kind: _expect_partition(b, s.value, size, kind, piece), "g int, a binary")
-        added = {r["g"]: np.frombuffer(r["a"], "f8") for r in parts.repartition("g").sortWithinPartitions("g").mapInArrow(_add_slices, "g int, a binary").collect()}
-        if not added:
-            break
-        head = added.pop(-1)
-        start, trans = head[:states] + 1, head[states:].reshape(states, states) + 1
-        emit = np.concatenate([added[g] for g in sorted(added)]).reshape(-1, states)
-        emit = np.maximum(emit, 0) + 50 * unigram[:, None]
-        model = Hmm(start / start.sum(), trans / trans.sum(1, keepdims=True), emit / emit.sum(0))
-        shared.unpersist()
+    size, kind = symbols.size, symbols.kind
+    for stay, most in ((True, first), (False, iterations)):
+        before = None
+        for _ in range(most):
+            shared = spark.sparkContext.broadcast(model)
+            parts = rows.select("symbols").mapInArrow(lambda b, s=shared, stay=stay: tidy(_expect_partition(b, s.value, size, kind, piece, stay)), "g int, a binary")
+            added = {r["g"]: np.frombuffer(r["a"], "f8") for r in parts.repartition("g").sortWithinPartitions("g").mapInArrow(_add_slices, "g int, a binary").collect()}
+            shared.unpersist()
+            if not added:
+                return model
+            told, head = added[-1][0], added.pop(-1)[1:]
+            start, trans = head[:states] + 1, head[states:].reshape(states, states) + 1
+            emit = np.maximum(np.concatenate([added[g] for g in sorted(added)]).reshape(-1, states), 0) + 50 * unigram[:, None]
+            trans = np.eye(states) if stay else trans / trans.sum(1, keepdims=True)
+            model = Hmm(start / start.sum(), trans, emit / emit.sum(0))
+            if before is not None and told - before < settled * abs(told):
+                break
+            before = told
+        if stay:
+            model.trans = STAY * np.eye(states) + (1 - STAY) * model.start[None, :]
     return model
 
 
-ENCODED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, share double, symbols binary, rare_words array<binary>, rare_n array<int>"
-SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, share double, model double"
+def word_states(rows: DataFrame, symbols: Symbols, model: Hmm, *, piece: int = PIECE, distinct: int = 400_000) -> DataFrame:
+    """word, c, class, g (its expected number in each state) of all training words outside the vocabulary; a written table. rows: symbols, codes, rare."""
+    spark, k = rows.sparkSession, len(model.start)
+    known, shared = spark.sparkContext.broadcast(symbols), spark.sparkContext.broadcast(model)
+    schema = "word binary, n long, " + ", ".join(f"g{j} float" for j in range(k))
+    parts = rows.select("symbols", "codes", "rare").mapInArrow(lambda b: tidy(_word_partition(b, shared.value, known.value, piece, distinct)), schema)
+    sums = parts.groupBy("word").agg(F.sum("n").alias("c"), *[F.sum(f"g{j}").cast("float").alias(f"g{j}") for j in range(k)])
+    class_of = F.pmod(F.crc32("word"), F.lit(symbols.classes)).cast("int")
+    return written(sums.select("word", "c", class_of.alias("class"), F.array(*[f"g{j}" for j in range(k)]).alias("g")), "words")
 
 
-def _encode_partition(batches, symbols: Symbols, n: int, v: int):
-    """For each row its symbols, the scores and number of its listed tokens and the end, and its other words with their numbers."""
-    from collections import Counter
+class Emissions:
+    """Emissions of all words: of listed ones as a matrix, of others out of their rows in word_states."""
+
+    def __init__(self, symbols: Symbols, model: Hmm, class_states, listed: dict[bytes, list[float]]):
+        import numpy as np
+
+        self.symbols, self.model = symbols, model
+        total = class_states.sum(1, keepdims=True)
+        # how much more of a class's occurrences all states have than each has
+        self.lift = np.where(class_states > 0, total / np.maximum(class_states, 1e-9 * np.maximum(total, 1)), 0.0)
+        self.matrix = np.empty((len(symbols.words) + 1, len(model.start)))
+        self.matrix[: symbols.vocabulary], self.matrix[-1] = model.emit[: symbols.vocabulary], model.emit[symbols.end]
+        rest = symbols.words[symbols.vocabulary :]
+        if rest:
+            zero = [0.0] * len(model.start)
+            g = np.array([listed.get(w, zero) for w in rest], "f8")
+            self.matrix[symbols.vocabulary : -1] = self.rare(np.array([symbols.class_of(w) for w in rest]), g)
+
+    def rare(self, classes, g):
+        """P(word | state) for words outside the vocabulary with these classes and expected numbers; zeros for an unknown one."""
+        import numpy as np
+
+        m = self.model.emit[self.symbols.vocabulary + classes]
+        lift = self.lift[classes]
+        # states without any of the class have the shares of all states
+        share = np.where(lift > 0, g * lift, g.sum(1, keepdims=True)) + ALPHA
+        return m * share / self.symbols.class_total[classes][:, None]
+
+
+ENCODED = "row long, doc_id long, held_out boolean, n_tokens long, symbols binary, codes binary, rare array<binary>"
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+
 
+def _encode_partition(batches, symbols: Symbols):
+    """For each row its codes and distinct unlisted words."""
     import numpy as np
     import pyarrow as pa
 
-    below = n + ALPHA * (v + 1)
-    log = np.log10((symbols.word_counts + ALPHA) / below)
-    end, known = float(np.log10((symbols.counts[-1] + ALPHA) / below)), int(symbols.counts[-1] > 0)
-
     def out(held):
-        row, doc_id, held_out, tokens, listed, base, share, data, rare = zip(*held)
+        row, doc_id, held_out, symbols_, codes, rare = zip(*held)
         offsets = pa.array(np.cumsum([0, *map(len, rare)], dtype="i4"))
         names = pa.array([w for r in rare for w in r], pa.binary())
-        counts = pa.array([c for r in rare for c in r.values()], pa.int32())
-        cols = [pa.array(row, pa.int64()), pa.array(doc_id, pa.int64()), pa.array(held_out, pa.bool_()), pa.array(tokens, pa.int64()), pa.array(listed, pa.int64()), pa.array(base, pa.float64()), pa.array(share, pa.float64()), pa.array(data, pa.binary()), pa.ListArray.from_arrays(offsets, names), pa.ListArray.from_arrays(offsets, counts)]
+        cols = [pa.array(row, pa.int64()), pa.array(doc_id, pa.int64()), pa.array(held_out, pa.bool_()), pa.array(list(map(len, codes)), pa.int64()), pa.array([s.tobytes() for s in symbols_], pa.binary()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.ListArray.from_arrays(offsets, names)]
         return pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in ENCODED.split(", ")])
 
     held, size = [], 0
     for batch in batches:
         ids = [batch.column(i).to_pylist() for i in (0, 1, 3)]
         for row, doc_id, held_out, t in zip(*ids, batch.column(2)):
-            s, at, unlisted = symbols.of(words(t.as_py()))
-            held.append((row, doc_id, held_out, len(s), len(at) + known, float(log[at].sum()) + end, float(symbols.share[at].sum()), s.astype(symbols.kind).tobytes(), Counter(unlisted)))
-            size += len(s)
+            codes, rare = symbols.codes(words(t.as_py()))
+            held.append((row, doc_id, held_out, symbols.of(codes, rare), codes, rare))
+            size += len(codes)
             if size > 500_000:
                 yield out(held)
                 held, size = [], 0
@@ -331,57 +511,111 @@ def _encode_partition(batches, symbols: Symbols, n: int, v: int):
         yield out(held)
 
 
-def _score_partition(batches, model: Hmm, kind: str):
-    """The rows with the model's log10 likelihood of their symbols in place of these."""
+def _score_partition(batches, emissions: Emissions, n: int, v: int, cells: int = 500_000):
+    """SCORED; batches: doc_id, held_out, n_tokens, codes, rare, found (place in rare, c, g)."""
     import numpy as np
     import pyarrow as pa
 
+    symbols, model = emissions.symbols, emissions.model
+    listed, k, below = len(symbols.words), len(model.start), n + ALPHA * (v + 1)
+    counts = np.concatenate([symbols.word_counts, symbols.counts[-1:]])
+    log = np.log10((counts + ALPHA) / below)
+
     for batch in batches:
-        data = [np.frombuffer(x.as_buffer(), kind) for x in batch.column(7)]
-        scores = np.zeros(len(data))
-        for rows, padded, lengths in _grouped(list(enumerate(data)), 1_000_000):
-            scores[rows] = model.forward(padded, lengths)
-        yield pa.RecordBatch.from_arrays([*batch.columns[:7], pa.array(scores / np.log(10))], names=[x.split()[0] for x in SCORED.split(", ")])
+        rows, rare, base, known = [], [], [], []
+        column = {f: batch.column(5).flatten().field(f) for f in ("i", "c", "g")}
+        sizes = np.concatenate([[0], np.cumsum(batch.column(5).value_lengths().fill_null(0).to_numpy())])
+        places, c_of = column["i"].to_numpy(), column["c"].to_numpy()
+        g_of = column["g"].flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+        for r, (c, words_) in enumerate(zip(batch.column(3), batch.column(4))):
+            codes, own = np.frombuffer(c.as_buffer(), "<u4"), words_.as_py()
+            own_c, own_g = np.zeros(len(own)), np.zeros((len(own), k))
+            part = slice(sizes[r], sizes[r + 1])
+            own_c[places[part]], own_g[places[part]] = c_of[part], g_of[part]
+            classes = np.array([symbols.class_of(w) for w in own], "i8")
+            rare.append(emissions.rare(classes, own_g) if own else np.empty((0, k)))
+            mine = codes[codes > listed] - listed - 1
+            theirs = codes[codes <= listed]
+            base.append(float(log[theirs].sum() + np.log10((own_c + ALPHA) / below)[mine].sum()))
+            known.append(int((counts[theirs] > 0).sum() + (own_c > 0)[mine].sum()))
+            rows.append((r, codes))
+        scores = np.zeros(len(rows))
+        for keys, padded, lengths in _grouped(rows, cells):
+            first = np.cumsum([0, *(len(rare[r]) for r in keys)])
+            more = np.concatenate([rare[r] for r in keys])
+            shift = (first[:-1] - listed - 1)[:, None]
+            padded = padded.astype("i8")
+            own = padded > listed
+            padded = np.where(own, padded + shift, padded)
+
+            def at(t, live, padded=padded, own=own, more=more):
+                here, out = padded[:live, t], None
+                mine = own[:live, t]
+                if not mine.any():
+                    return emissions.matrix[here]
+                out = emissions.matrix[np.where(mine, 0, here)]
+                out[mine] = more[here[mine]]
+                return out
+
+            scores[keys] = model.forward(at, lengths)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(scores / np.log(10))], names=[x.split()[0] for x in SCORED.split(", ")])
+
+
+def _cut(counts: DataFrame, listed: int) -> int:
+    """The least count that at most `listed` words reach, out of a histogram of counts: exact up to 4096, by 64ths of an octave beyond."""
+    place = F.when(F.col("c") <= 4096, F.col("c")).otherwise(F.floor(F.log2("c") * 64) + 4096 - 12 * 64 + 1)
+    cells = counts.groupBy(place.cast("long").alias("p")).agg(F.count(F.lit(1)).alias("words"), F.min("c").alias("c")).orderBy(F.col("p").desc()).collect()  # 8,000 rows at most
+    cut, words_ = (1 << 62), 0
+    for r in cells:
+        words_ += r["words"]
+        if words_ > listed:
+            break
+        cut = r["c"]
+    return cut
 
 
-def hmm_scores(docs: DataFrame, *, vocabulary: int = VOCABULARY, listed: int = LISTED, classes: int = CLASSES, states: int = STATES, iterations: int = ITERATIONS, piece: int = PIECE, distinct: int = 400_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def hmm_scores(docs: DataFrame, *, vocabulary: int = VOCABULARY, listed: int = LISTED, classes: int = CLASSES, states: int = STATES, first: int = FIRST, iterations: int = ITERATIONS, settled: float = SETTLED, piece: int = PIECE, distinct: int = 400_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs; learns from rows whose crc32(doc_id as text) mod 10 is not 0."""
+    import numpy as np
+
     spark = docs.sparkSession
     ship(spark)
-    rows = _plain(docs, doc_id, text)
+    rows = spread(_plain(docs, doc_id, text))
     learn = rows.filter("not held_out").select("text")
-    counts = learn.mapInArrow(lambda b: _count_partition(b, distinct), "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
-    counts = written(counts.withColumn("class", F.pmod(F.crc32("word"), F.lit(classes)).cast("int")), "counts")
+    counts = learn.mapInArrow(lambda b: tidy(_count_partition(b, distinct)), "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
+    counts = written(counts, "counts")
     ends = learn.count()
     told = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).collect()[0]
     n, v = told["n"] + ends, told["v"] + (ends > 0)
-    top = counts.orderBy(F.col("c").desc(), "word").limit(max(listed, vocabulary)).select("word", "c").collect()  # a fixed bound
-
-    def after(r):
-        return (F.col("c") < r["c"]) | ((F.col("c") == r["c"]) & (F.col("word") > F.lit(r["word"]))) if r else F.lit(True)
-
-    unnamed = counts.filter(after(top[min(vocabulary, len(top)) - 1] if top else None))  # words without a symbol of their own
-    by_class = {r["class"]: (r["n"], r["v"]) for r in unnamed.groupBy("class").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
-    class_counts = [by_class.get(i, (0, 0)) for i in range(classes)]
-    symbols = Symbols([bytes(r["word"]) for r in top], [r["c"] for r in top], vocabulary, class_counts, ends)
-    shared = spark.sparkContext.broadcast(symbols)
+    cut = _cut(counts, max(listed, vocabulary))
+    top = counts.filter(F.col("c") >= cut).toArrow()  # at most `listed` words
+    top = sorted(zip(top.column("c").to_pylist(), top.column("word").to_pylist()), key=lambda r: (-r[0], r[1]))
+    class_of = F.pmod(F.crc32("word"), F.lit(classes)).cast("int")
+    by_class = [[0, 0] for _ in range(classes)]
+    for r in counts.filter(F.col("c") < cut).groupBy(class_of.alias("class")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect():
+        by_class[r["class"]] = [r["n"], r["v"]]
+    for c, w in top[vocabulary:]:
+        own = by_class[zlib.crc32(w) % classes]
+        own[0], own[1] = own[0] + c, own[1] + 1
+    symbols = Symbols([w for _, w in top], [c for c, _ in top], vocabulary, [tuple(x) for x in by_class], ends)
+    forget(counts)
+    known = spark.sparkContext.broadcast(symbols)
     numbered = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", "held_out")
-    encoded = written(numbered.mapInArrow(lambda b: _encode_partition(b, shared.value, n, v), ENCODED), "encoded")
-    model = train(encoded.filter("not held_out"), symbols, states=states, iterations=iterations, piece=piece)
-    best = spark.sparkContext.broadcast(model)
-    kind = symbols.kind
-    scored = encoded.select("row", "doc_id", "held_out", "n_tokens", "n_known", "base", "share", "symbols").mapInArrow(lambda b: _score_partition(b, best.value, kind), SCORED)
-    found = encoded.select("row", F.explode(F.arrays_zip("rare_words", "rare_n")).alias("r")).select("row", F.col("r.rare_words").alias("word"), F.col("r.rare_n").alias("n"))
-    unlisted = counts.filter(after(top[-1] if top else None)).select("word", "c")
-    found = found.join(unlisted, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    class_of = F.pmod(F.crc32("word"), F.lit(classes)).cast("int") + 1
-    class_total = F.element_at(F.array(*[F.lit(float(t)) for t in symbols.class_total]), class_of)
-    share = F.log10((F.col("c") + ALPHA) / class_total) * F.col("n")
-    base = F.log10((F.col("c") + ALPHA) / F.lit(n + ALPHA * (v + 1))) * F.col("n")
-    sums = found.groupBy("row").agg(F.sum(base).alias("rare_base"), F.sum(share).alias("rare_share"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("rare_known"))
-    out = scored.join(sums, "row", "left")
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + zero("rare_known")).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + zero("rare_base")).alias("base_score"), (F.col("model") + F.col("share") + zero("rare_share")).alias("score"))
+    encoded = written(numbered.mapInArrow(lambda b: tidy(_encode_partition(b, known.value)), ENCODED), "encoded")
+    learn = encoded.filter("not held_out")
+    model = train(learn, symbols, states=states, first=first, iterations=iterations, settled=settled, piece=piece)
+    own = word_states(learn, symbols, model, piece=piece, distinct=distinct)
+    class_states = np.zeros((classes, states))
+    for r in own.groupBy("class").agg(*[F.sum(F.col("g")[j].cast("double")).alias(f"g{j}") for j in range(states)]).collect():
+        class_states[r["class"]] = [r[f"g{j}"] for j in range(states)]
+    few = own.filter(F.col("c") >= cut).select("word", "g").toArrow()  # at most `listed` words
+    emissions = spark.sparkContext.broadcast(Emissions(symbols, model, class_states, dict(zip(few.column("word").to_pylist(), few.column("g").to_pylist()))))
+    rare = encoded.select("row", F.posexplode("rare").alias("i", "word"))
+    found = rare.join(own.filter(F.col("c") < cut).select("word", "c", "g"), "word").groupBy("row").agg(F.collect_list(F.struct("i", "c", "g")).alias("found"))  # as many as a text has distinct words
+    none = F.array().cast(f"array<struct<i:int,c:bigint,g:array<float>>>")
+    each = encoded.join(found, "row", "left").select("doc_id", "held_out", "n_tokens", "codes", "rare", F.coalesce("found", none).alias("found"))
+    scored = each.mapInArrow(lambda b: tidy(_score_partition(b, emissions.value, n, v)), SCORED)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op10_hmm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
