@@ -55,39 +55,68 @@ def test_many_and_long_matches(spark):
     assert [len(b) for _, b in held(P.find_spans(documents(spark, long)))] == [0, 0, 0, 1, 0]
 
 
-def training_rows():
-    rng, rows = random.Random(6), []
+def spans(row, text):
+    return {(P.ALL[x["k"]], text[x["s"] : x["e"]]) for x in row["spans"]}
 
-    def card(good):
-        d = [4] + [rng.randrange(10) for _ in range(14)]
-        total = sum(2 * x - 9 if i % 2 == 0 and 2 * x > 9 else 2 * x if i % 2 == 0 else x for i, x in enumerate(reversed(d)))
-        return "".join(map(str, d)) + str((-total + (0 if good else 3)) % 10)
 
-    for i in range(400):
-        good = i % 2 == 0
-        rows.append((i, f"some words {card(good)} and +1 ({rng.randrange(200, 999)}) 555-{rng.randrange(1000, 9999)} at {rng.randrange(1, 255)}.{rng.randrange(1, 255)}.{rng.randrange(1, 500)}.7 end"))
-    return rows, card
+def found(spark, texts, **options):
+    rows = dict(enumerate(texts))
+    return {i: spans(r, rows[i]) for r in P.find_spans(documents(spark, list(rows.items())), **options).collect() for i in [r["doc_id"]]}
 
 
 def test_method_adds_what_the_base_drops(spark):
-    rows, card = training_rows()
-    inside = f"call +1 (602) 555-5136 {card(True)} now"  # one run for the card and the phone pattern: both fail
-    bad = f"number 3296 {card(False)} here"
-    out = {r["doc_id"]: r for r in P.find_spans(documents(spark, [*rows, (1000, inside), (1001, bad), (1002, "no numbers at all")])).collect()}
-    spans = lambda i, t: {(P.KINDS[x["k"]], t[x["s"] : x["e"]]) for x in out[i]["spans"]}
-    assert out[1000]["base"] == []
-    assert {k for k, _ in spans(1000, inside)} == {"card", "phone"} and ("phone", "+1 (602) 555-5136") in spans(1000, inside)
-    assert out[1001]["spans"] == [] and out[1002]["spans"] == []
-    assert all(set(map(tuple, r["base"])) <= set(map(tuple, r["spans"])) for r in out.values())
+    token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    out = found(spark, [
+        "call +1 (602) 555-5136 4111 1111 1111 1111 now",  # one run for the card and the phone pattern: both fail
+        f'word token = "{token}" word', f"word commit {token} word", "no numbers at all", "order 602-555-5136 word", "phone: 602-555-5136 word",
+        "write to john.doe [at] mail.example.com word", "arrived at example.com word", "time 12:30:45 word", "host 2001:db8::8a2e:370:7334 word", "IBAN DE89 3704 0044 0532 0130 00 word",
+    ])
+    assert {("card", "4111 1111 1111 1111"), ("phone", "+1 (602) 555-5136")} <= out[0]
+    assert out[1] == {("secret", token)} and out[2] == set() and out[3] == set()
+    assert out[4] == set() and out[5] == {("phone", "602-555-5136")}
+    assert out[6] == {("email", "john.doe [at] mail.example.com")} and out[7] == set() and out[8] == set()
+    assert out[9] == {("ip6", "2001:db8::8a2e:370:7334")} and out[10] == {("account", "DE89 3704 0044 0532 0130 00")}
+
+
+def test_labelled_texts_that_the_fit_did_not_see(spark):
+    """By the labels of other examples: what is accepted is right, and most of what there is is found."""
+    rows = P.examples(1500, seed=77)
+    out = {r["doc_id"]: r for r in P.find_spans(documents(spark, [(i, t) for i, (t, _) in enumerate(rows)])).collect()}
+    right = wrong = there = 0
+    for i, (_, want) in enumerate(rows):
+        base_ = {tuple(x) for x in out[i]["base"]}
+        added = {(P.ALL[x["k"]], x["s"], x["e"]) for x in out[i]["spans"] if tuple(x) not in base_}
+        want = {w for w in want if not any(s < w[2] and w[1] < e and P.ALL[k] == w[0] for s, k, e in base_)}
+        right, wrong, there = right + len(added & want), wrong + len(added - want), there + len(want)
+    assert right > 0.95 * (right + wrong) and right > 0.8 * there
+
+
+def test_context_alone_tells_equal_formats_apart(spark):
+    """Own labelled texts: the same shape, drawn alike, is a secret behind one word and none behind another."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(600):
+        value, told = "".join(rng.choice("0123456789abcdef") for _ in range(32)), rng.random() < 0.5
+        head = "secret is " if told else "checksum is "
+        rows.append((i, f"a b {head}{value} c", [("secret", 4 + len(head), 36 + len(head))] if told else []))
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, spans array<struct<kind string, start long, end long>>".replace("kind string", "kind:string").replace("start long", "start:bigint").replace("end long", "end:bigint"))
+    value = "0123456789abcdef" * 2
+    out = found(spark, [f"x secret is {value} y", f"x checksum is {value} y"], labelled=labelled)
+    assert out == {0: {("secret", value)}, 1: set()}
+    # and nothing is added where no label says what is right
+    assert found(spark, [f"x secret is {value} y"], labelled=labelled.limit(0)) == {0: set()}
 
 
 def test_expression_and_trees_agree(spark):
-    rows, _ = training_rows()
-    found = P.candidates(documents(spark, rows))
-    model = P.fit(found)
-    each = found.select(F.explode("found").alias("c")).select("c.*", model.column(F.col("c")).alias("score")).collect()
-    assert all(abs(model.score({f: r[f] for f in P.FEATURES}) - r["score"]) < 1e-9 for r in each)
-    assert sum(model.score({f: r[f] for f in P.FEATURES}) >= model.threshold for r in each if not r["ok"]) <= 0.02 * len(each)
+    table = P.example_table(spark, 400)
+    model = P.fit(table)
+    each = P.candidates(table).select(F.explode("found").alias("c")).select("c.*", model.column(F.col("c")).alias("score")).collect()
+    assert len(each) > 200 and all(abs(model.score({f: r[f] for f in P.FEATURES}) - r["score"]) < 1e-9 for r in each)
+
+
+def test_examples_mark_what_they_hold():
+    for text, marks in P.examples(500):
+        assert all(kind in P.ALL and 0 <= s < e <= len(text) and text[s:e].strip() == text[s:e] for kind, s, e in marks)
 
 
 def test_edges(spark):
@@ -106,3 +135,4 @@ def test_query(spark, sf):
         text = ",".join(f"{P.KINDS[k]}:{s}:{e}" for s, k, e in want)
         assert r["base_sha256"] == hashlib.sha256(text.encode()).hexdigest()
         assert set(filter(None, text.split(","))) <= set(r["spans"].split(","))
+        assert r["n_spans"] == len(list(filter(None, r["spans"].split(",")))) and r["n_added"] == r["n_spans"] - len(want)
