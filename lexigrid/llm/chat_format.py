@@ -24,6 +24,7 @@ import re
 from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 from functools import lru_cache
+from operator import itemgetter
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,7 +63,7 @@ def escape(text: str, template: ChatTemplate = DEFAULT) -> str:
 
 
 def unescape(text: str) -> str:
-    return re.sub(r"\\(\\?)", r"\1", text)
+    return text if "\\" not in text else re.sub(r"\\(\\?)", r"\1", text)
 
 
 def parse(text: str, template: ChatTemplate = DEFAULT) -> list[tuple[str, str]]:
@@ -98,18 +99,28 @@ def render(turns: list[tuple[str, str]], template: ChatTemplate = DEFAULT) -> tu
 
 def token_ranges(offsets: list[tuple[int, int]], spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """For each text span the range of tokens that overlap it, by binary search."""
-    starts, ends = [a for a, _ in offsets], [b for _, b in offsets]
-    out = []
+    out, start, end = [], itemgetter(0), itemgetter(1)
     for lo, hi in spans:
-        first = bisect_right(ends, lo)
-        out.append((first, max(first, bisect_left(starts, hi))))
+        first = bisect_right(offsets, lo, key=end)
+        out.append((first, max(first, bisect_left(offsets, hi, key=start))))
     return out
 
 
+def _spans(rows: list[list[tuple[int, int]]]):
+    """A list array of structs lo, hi."""
+    import numpy as np
+    import pyarrow as pa
+
+    flat = np.array([x for r in rows for x in r], "i4").reshape(-1, 2)
+    ends = np.cumsum([0, *map(len, rows)], dtype="i4")
+    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], ["lo", "hi"]))
+
+
 def _format_partition(batches, path: str, template: ChatTemplate, block_chars: int):
+    import numpy as np
     import pyarrow as pa
 
-    tok, schema = _tokenizer(path, template), _arrow_schema()
+    tok = _tokenizer(path, template)
 
     def row(conv_id, block, turns):
         text, spans = render(turns, template)
@@ -117,8 +128,7 @@ def _format_partition(batches, path: str, template: ChatTemplate, block_chars: i
         offsets = enc.offsets
         ranges = token_ranges(offsets, spans)
         covered = [(max(s, offsets[a][0]), min(e, offsets[b - 1][1])) if b > a else (s, s) for (a, b), (s, e) in zip(ranges, spans)]
-        span = lambda xs: [{"lo": a, "hi": b} for a, b in xs]
-        return {"conv_id": conv_id, "block": block, "n_turns": len(turns), "text": text, "ids": enc.ids, "loss_tokens": span(ranges), "loss_chars": span(covered)}
+        return conv_id, block, len(turns), text, np.array(enc.ids, "i4"), ranges, covered
 
     def rows():
         now, block, turns, size = None, 0, [], 0
@@ -134,22 +144,21 @@ def _format_partition(batches, path: str, template: ChatTemplate, block_chars: i
         if turns:
             yield row(now[0], block, turns)
 
+    def out(held):
+        conv_id, block, n_turns, text, ids, ranges, covered = zip(*held)
+        ends = pa.array(np.cumsum([0, *map(len, ids)], dtype="i4"))
+        cols = [pa.array(conv_id, pa.int64()), pa.array(block, pa.int32()), pa.array(n_turns, pa.int32()), pa.array(text, pa.string()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids))), _spans(ranges), _spans(covered)]
+        return pa.RecordBatch.from_arrays(cols, names=["conv_id", "block", "n_turns", "text", "ids", "loss_tokens", "loss_chars"])
+
     held, size = [], 0
     for r in rows():
         held.append(r)
-        size += len(r["text"])
+        size += len(r[3])
         if size > 1 << 20:
-            yield pa.RecordBatch.from_pylist(held, schema=schema)
+            yield out(held)
             held, size = [], 0
     if held:
-        yield pa.RecordBatch.from_pylist(held, schema=schema)
-
-
-def _arrow_schema():
-    import pyarrow as pa
-
-    span = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
-    return pa.schema([("conv_id", pa.int64()), ("block", pa.int32()), ("n_turns", pa.int32()), ("text", pa.string()), ("ids", pa.list_(pa.int32())), ("loss_tokens", span), ("loss_chars", span)])
+        yield out(held)
 
 
 def format_conversations(
@@ -177,21 +186,26 @@ def _digest_partition(batches, template: ChatTemplate):
     now, sums, turns, loss = None, None, None, None
     for batch in batches:
         out = []
-        for r in batch.to_pylist():
-            if now is None or now[0] != r["conv_id"]:
+        n_ids = batch.column(4).value_lengths().to_pylist()  # ids are counted, never made Python objects
+        under, masked = ([(list(zip(c.field(0).to_pylist(), c.field(1).to_pylist())), o) for c, o in [(col.flatten(), col.value_lengths().to_pylist())]][0] for col in (batch.column(6), batch.column(5)))
+        at = [0, 0]
+        for i, (conv_id, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(3).to_pylist())):
+            if now is None or now[0] != conv_id:
                 if now is not None:
                     out.append(done(now, sums, turns, loss))
-                now, sums, turns, loss = (r["conv_id"],), [0] * 5, hashlib.sha256(), hashlib.sha256()
-            for role, text in parse(r["text"], template):
-                turns.update(f"{role}\n{text}\n".encode())
+                now, sums, turns, loss = (conv_id,), [0] * 5, hashlib.sha256(), hashlib.sha256()
+            for role, body in parse(text, template):
+                turns.update(f"{role}\n{body}\n".encode())
                 sums[0] += 1
-            for span in r["loss_chars"]:
-                under = unescape(r["text"][span["lo"] : span["hi"]])
-                loss.update(under.encode())
-                sums[1] += len(under)
-            sums[2] += len(r["text"])
-            sums[3] += len(r["ids"])
-            sums[4] += sum(s["hi"] - s["lo"] for s in r["loss_tokens"])
+            spans, ranges = ((flat[k : k + sizes[i]]) for (flat, sizes), k in zip((under, masked), at))
+            at = [at[0] + under[1][i], at[1] + masked[1][i]]
+            for lo, hi in spans:
+                told = unescape(text[lo:hi])
+                loss.update(told.encode())
+                sums[1] += len(told)
+            sums[2] += len(text)
+            sums[3] += n_ids[i]
+            sums[4] += sum(hi - lo for lo, hi in ranges)
         if out:
             yield pa.RecordBatch.from_pylist(out, schema=schema)
     if now is not None:
