@@ -22,12 +22,10 @@ Defined results
 
 from __future__ import annotations
 
-import zlib
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrid.llm._shared import crc_mod, ship, table, tidy, written
+from lexigrid.llm._shared import crc_mod, ship, spread, table, tidy, written
 
 WIDTH = 256
 GAMMA = 0.03
@@ -121,27 +119,34 @@ def _normal_partition(batches, features: Fourier):
             z, y = features(_matrix(batch.column(0))), batch.column(1).to_numpy()
             a, b = (z.T @ z, z.T @ y) if a is None else (a + z.T @ z, b + z.T @ y)
     if a is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([zlib.crc32(a.tobytes()) % 64], pa.int32()), pa.array([a.tobytes()]), pa.array([b.tobytes()])], names=["g", "a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([a.ravel(), b]).tobytes()])], names=["a"])
 
 
-def _add_group(tab):
+def _add_parts(batches):
+    """The sum of a partition's parts, added as they come: one sum is held."""
     import numpy as np
     import pyarrow as pa
 
-    a, b = (sum(np.frombuffer(v, "f8") for v in tab.column(c).to_pylist()) for c in ("a", "b"))
-    return pa.table({"g": pa.array([tab.column("g")[0].as_py()], pa.int32()), "a": [a.tobytes()], "b": [b.tobytes()]})
+    total = None
+    for batch in batches:
+        for v in batch.column(0):
+            part = np.frombuffer(v.as_buffer(), "f8")
+            total = part.copy() if total is None else total + part
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], names=["a"])
 
 
 def fit_ridge(rows: DataFrame, features: Fourier, ridge: float = RIDGE):
-    """Weights out of rows (x, y). Partial sums are added in at most 64 groups, one of which reaches the driver at a time."""
+    """Weights out of rows (x, y). Partial sums are added in at most 64 groups, in the order of partitions, one of which reaches the driver at a time."""
     import numpy as np
 
-    parts = rows.select("x", "y").mapInArrow(lambda b: _normal_partition(b, features), "g int, a binary, b binary")
-    parts = parts.groupBy("g").applyInArrow(_add_group, "g int, a binary, b binary")
-    a = b = 0
-    for r in sorted(parts.toLocalIterator(), key=lambda r: r["g"]):
-        a, b = a + np.frombuffer(r["a"], "f8"), b + np.frombuffer(r["b"], "f8")
-    n = len(b)
+    parts = rows.select("x", "y").mapInArrow(lambda b: _normal_partition(b, features), "a binary").withColumn("p", F.spark_partition_id())
+    parts = parts.withColumn("g", F.pmod(F.col("p"), F.lit(64))).repartition(64, "g").sortWithinPartitions("p").select("a").mapInArrow(_add_parts, "a binary")
+    total = 0
+    for r in parts.toLocalIterator():
+        total = total + np.frombuffer(r["a"], "f8")
+    n = int(round((np.sqrt(4 * len(total) + 1) - 1) / 2))  # n * n + n numbers
+    a, b = total[: n * n], total[n * n :]
     a = a.reshape(n, n)
     return np.linalg.solve(a + ridge * np.trace(a) / n * np.eye(n), b)
 
@@ -195,7 +200,7 @@ def _score_partition(batches, model: Model):
 def text_statistics(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and x, NAMES' values, for each row; a written table."""
     ship(docs.sparkSession)
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").cast("binary").alias("text"))
+    rows = spread(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").cast("binary").alias("text")))
     return written(rows.mapInArrow(lambda b: tidy(_stats_partition(b)), STATS), "stats")
 
 
@@ -227,11 +232,29 @@ def quality_scores(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id"
     return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs that the classifier doesn't reject; rows with one doc_id stay if any of them does."""
-    good = written(quality_scores(docs, labels, doc_id=doc_id, hold_out=False, **options), "scores")
-    bad = good.groupBy("doc_id").agg(F.max("predicted").alias("p")).filter("p = 0").select(F.col("doc_id").alias("_bad"))
-    return docs.join(bad, F.col(doc_id).cast("long").eqNullSafe(F.col("_bad")), "left_anti")
+def keep_good(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality", label_id: str = "doc_id") -> DataFrame:
+    """The rows of docs that the classifier, fitted to all labels, doesn't reject. Each row is decided by its own text: statistics are written beside it and scored in the row, so no text is shuffled."""
+    ship(docs.sparkSession)
+
+    @F.arrow_udf("array<double>")
+    def stats(texts):
+        import numpy as np
+        import pyarrow as pa
+
+        x = [statistics((t.as_py() or "").encode()) for t in texts]
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype="i4") * len(NAMES)), pa.array(np.concatenate(x) if x else np.empty(0)))
+
+    rows = written(spread(docs).withColumn("_x", stats(F.col(text).cast("string"))), "statistics")
+    known = labels.select(F.col(label_id).cast("long").alias("doc_id"), F.col(label).alias("y"))
+    model = fit(rows.select(F.col(doc_id).cast("long").alias("doc_id"), F.col("_x").alias("x")), known)
+
+    @F.arrow_udf("double")
+    def score(x):
+        import pyarrow as pa
+
+        return pa.array(model.score(_matrix(x)), pa.float64())
+
+    return rows.filter(score("_x") >= 0.5).select(*docs.columns)
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
