@@ -7,12 +7,12 @@ sizes pass the total budget, are the mix. All in DataFrame operations.
 
 Cumulative sizes come from two levels: sums for each source and slice of the shuffled order,
 then a running sum within a slice, so a source with a third of all rows is spread over `slices`
-tasks. The cut is found by sums over slices of the virtual time, of which only the one where
+tasks, whose number follows the number of rows. The cut is found by sums over slices of the virtual time, of which only the one where
 the budget ends is looked at row by row. Texts are read once, for their size, and not shuffled.
 
 Targets: sources by code point, null last, weigh 5, 2, 1, repeating, and share `share` of all
 sizes; a target stops at `passes` times its source's size and the excess goes to the others by
-weight until none is above (one row for each source is sorted for that).
+weight until none is above. Nothing puts all sources in one task.
 
 Defined results
 * null text, or text without words: size 0, taken 0. Null source: a source of its own, last.
@@ -37,30 +37,38 @@ def shuffle_key(doc_id: str, seed: str):
 
 
 def targets(sizes: DataFrame, *, weights=WEIGHTS, share: float = 1.5, passes: int = 2) -> DataFrame:
-    """source, source_size, target; one row for each source."""
+    """source, source_size, target, budget; one row for each source.
+
+    Places come from a range sort: within each range by a window, over the ranges by their numbers of sources. The level that
+    sources share by weight is found in rounds: those that stop below it leave their excess to the others, until none does."""
     by = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
+    order = F.col("source").asc_nulls_last()
+    by = written(by.repartitionByRange(order).withColumn("part", F.spark_partition_id()), "sources")
+    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    first = by.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(before, F.lit(0)).alias("first"))  # one row a range
+    place = F.col("first") + F.row_number().over(Window.partitionBy("part").orderBy(order)) - 1
     weight = F.element_at(F.array(*map(F.lit, weights)), (place % len(weights) + 1).cast("int"))
-    by = by.withColumn("weight", weight).withColumn("most", F.col("source_size") * passes)
-    ordered = Window.orderBy(F.col("most") / F.col("weight"), F.col("source").asc_nulls_last())
-    before = ordered.rowsBetween(Window.unboundedPreceding, -1)
-    by = by.withColumns({
-        "full": F.coalesce(F.sum("most").over(before), F.lit(0)),
-        "left": F.sum("weight").over(ordered.rowsBetween(0, Window.unboundedFollowing)),
-        "budget": F.sum("source_size").over(Window.partitionBy()) * F.lit(share),
-    })
-    level = (F.col("budget") - F.col("full")) / F.col("left")  # if all before are at their most and none from here on
-    by = by.withColumn("level", F.when(F.col("most") > level * F.col("weight"), level))
-    by = by.withColumn("level", F.first("level", ignorenulls=True).over(ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    target = F.least(F.col("level") * F.col("weight"), F.col("most").cast("double"))
-    return by.select("source", "source_size", F.coalesce(target, F.col("most").cast("double")).alias("target"), "budget")
-
-
-def mix_decisions(docs: DataFrame, *, weights=WEIGHTS, share: float = 1.5, passes: int = 2, seed: str = "mix", slices: int = 256, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    by = by.join(F.broadcast(first), "part").select("source", "source_size", weight.alias("weight"), (F.col("source_size") * passes).alias("most"))
+    budget = float(by.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("s")).collect()[0]["s"]) * share
+    level = 0.0
+    while True:
+        open_ = F.col("most") > F.lit(level) * F.col("weight")
+        told = by.agg(F.coalesce(F.sum(F.when(~open_, F.col("most"))), F.lit(0)).alias("full"), F.coalesce(F.sum(F.when(open_, F.col("weight"))), F.lit(0)).alias("left")).collect()[0]
+        after = (budget - told["full"]) / told["left"] if told["left"] else None
+        if after is None or after <= level:
+            break
+        level = after
+    target = F.col("most").cast("double") if after is None else F.least(F.lit(level) * F.col("weight"), F.col("most").cast("double"))
+    return by.select("source", "source_size", target.alias("target"), F.lit(budget).alias("budget"))
+
+
+def mix_decisions(docs: DataFrame, *, weights=WEIGHTS, share: float = 1.5, passes: int = 2, seed: str = "mix", slices: int | None = None, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """doc_id, source, size, source_size, target, taken (words, repeats counted) for each row of docs."""
     words = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), words.alias("size"), shuffle_key(doc_id, seed).alias("key"))
-    rows = written(rows.withColumn("slice", F.floor(F.col("key") / float(1 << 60) * slices).cast("int")), "sizes")
+    rows = written(rows, "sizes")
+    slices = slices or max(256, rows.count() // 200_000)  # no slice of a source grows with the data
+    rows = rows.withColumn("slice", F.floor(F.col("key") / float(1 << 60) * slices).cast("int"))
     aims = written(targets(rows, weights=weights, share=share, passes=passes), "targets")
     before = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     sums = rows.groupBy("source", "slice").agg(F.sum("size").alias("own")).withColumn("base", F.coalesce(F.sum("own").over(before), F.lit(0)))
