@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import sys
+import unicodedata
+from functools import lru_cache
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -26,7 +31,7 @@ def _or_empty(c: Column) -> Column:
 
 
 def casefold(c: Column) -> Column:
-    """Full case folding for Latin text, and lower case with one form of sigma: the same for a text as for its words. For other scripts use normalise_udf."""
+    """Full case folding for Latin text, and lower case with one form of sigma: the same for a text as for its words. For all scripts use nfkc_casefold."""
     return F.replace(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
 
 
@@ -34,16 +39,85 @@ def collapse(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
+@lru_cache(maxsize=4)
+def _forms(folds: bool) -> tuple[dict, dict, dict]:
+    """What a character becomes by NFKC, what it becomes by (typographic folds and) case folding, and composed pairs of a character and a mark; by the Unicode tables, only where something changes."""
+    table = str.maketrans(FOLDS | {"…": "..."} if folds else {})
+    every = [chr(i) for i in range(0x80, sys.maxunicode + 1) if not 0xD800 <= i <= 0xDFFF]
+    kept = {c: n for c in every if (n := unicodedata.normalize("NFKC", c)) != c}
+    # upper case of the older scripts never comes here: texts are lowered before they are folded
+    folded = {c: n for c in every if (n := c.translate(table).casefold()) != c and (ord(c) > 0x2C00 or c.lower() == c)}
+    pairs = {}
+    for c in every:
+        d = unicodedata.decomposition(c)
+        if d and "<" not in d and len(pair := "".join(chr(int(x, 16)) for x in d.split())) == 2 and unicodedata.normalize("NFC", pair) == c:
+            pairs[pair] = c
+    return kept, folded, pairs
+
+
+def _class(chars) -> str:
+    """A pattern that matches one of chars."""
+    out, at = [], sorted(map(ord, chars))
+    while at:
+        n = 1
+        while n < len(at) and at[n] == at[0] + n:
+            n += 1
+        out.append(f"\\x{{{at[0]:X}}}-\\x{{{at[n - 1]:X}}}")
+        at = at[n:]
+    return f"[{''.join(out)}]"
+
+
+def _kept(table: dict, runs: int = 24) -> str:
+    """A pattern that matches characters outside the longest runs of those that table doesn't change, and outside all such runs of Latin: texts without a match need no look at the table."""
+    at, found = 0, []
+    for c in [*sorted(map(ord, table)), sys.maxunicode + 1]:
+        if c > at:
+            found.append((at, c - 1))
+        at = c + 1
+    long = sorted(found, key=lambda x: x[0] - x[1])[:runs]
+    own = sorted({x for x in found if x[0] < 0x250} | set(long))
+    return "[^" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in own) + "]"
+
+
+def _mapped(c: Column, table: dict[str, str]) -> Column:
+    """c with each character of table replaced: one for one by translate; two common ones by themselves; other longer ones by a map, in texts that hold any."""
+    one = {k: v for k, v in table.items() if len(v) == 1}
+    more = {k: v for k, v in table.items() if len(v) != 1}
+
+    def every(t):
+        out = F.translate(t, "".join(one), "".join(one.values()))
+        for k in ("ß", "…"):
+            if k in more:
+                out = F.replace(out, F.lit(k), F.lit(more[k]))
+        rest = {k: v for k, v in more.items() if k not in ("ß", "…")}
+        if not rest:
+            return out
+        longer, some = F.from_json(F.lit(json.dumps(rest)), "map<string,string>"), _class(rest)
+        spelt = lambda t: F.array_join(F.transform(F.regexp_extract_all(t, F.lit("(?s)."), F.lit(0)), lambda x: F.when(x.rlike(some), F.element_at(longer, x)).otherwise(x)), "")
+        return let(out, lambda t: F.when(t.rlike(_kept(rest)) & t.rlike(some), spelt(t)).otherwise(t))
+
+    return let(c, lambda t: F.when(t.rlike(_kept(table)), every(t)).otherwise(t))
+
+
+def nfkc_casefold(c: Column, *, folds: bool = False) -> Column:
+    """NFKC, then (with folds, typographic folds and) full Unicode case folding, as expressions; ASCII texts are lowered only.
+
+    Marks compose with the letter before them, two a letter at most. Marks out of canonical order and conjoining jamo stay as they are: normalise_udf handles those."""
+    kept, folded, pairs = _forms(folds)
+    known = F.from_json(F.lit(json.dumps(pairs)), "map<string,string>")
+    pair = lambda x: F.when(F.length(x) > 1, F.coalesce(F.element_at(known, x), x)).otherwise(x)
+    join = lambda t: F.array_join(F.transform(F.regexp_extract_all(t, F.lit(r"(?s)\P{M}\p{M}|."), F.lit(0)), pair), "")
+    compose = lambda t: F.when(t.rlike(r"\p{M}"), join(t)).otherwise(t)
+    return F.when(c.rlike(r"[^\x00-\x7F]"), _mapped(F.lower(let(let(_mapped(c, kept), compose), compose)), folded)).otherwise(F.lower(c))
+
+
 def normalise(c: Column) -> Column:
-    """Typographic folds, case folding, white space collapsed. Compatibility forms are normalised by normalise_udf only."""
-    folded = F.replace(F.translate(_or_empty(c), "".join(FOLDS), "".join(FOLDS.values())), F.lit("…"), F.lit("..."))
-    return collapse(casefold(folded))
+    """NFKC, typographic folds, case folding, white space collapsed."""
+    return collapse(let(_or_empty(c), lambda t: nfkc_casefold(t, folds=True)))
 
 
 def normalise_udf():
-    """normalise with NFKC and full Unicode case folding, in Arrow batches."""
-    import unicodedata
-
+    """normalise for all texts, in Arrow batches."""
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
         table = str.maketrans(FOLDS | {"…": "..."})
@@ -117,7 +191,7 @@ def contains_normalised(text: Column, needle: Column) -> Column:
 
 def classify_response(c: Column) -> Column:
     """empty, abstained, mixed or answered, by the abstention line and what remains without it."""
-    text = collapse(casefold(_or_empty(c)))
+    text = collapse(let(_or_empty(c), lambda t: nfkc_casefold(t)))
     line = ABSTENTION.lower()
     rest = F.size(F.regexp_extract_all(F.replace(text, F.lit(line), F.lit(" ")), F.lit(r"\p{L}{2,}"), F.lit(0)))
     present = text.contains(line)
@@ -184,8 +258,6 @@ def slash_first_tokens(c: Column) -> Column:
 
 def nfc_udf():
     """Canonical composition, in Arrow batches."""
-    import unicodedata
-
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")

@@ -128,9 +128,10 @@ def token_fit(docs: DataFrame, limit: int = 8192, *, by: str, text: str = "text"
 
 def tokeniser_diff(rows: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFrame:
     """id, only_split, only_whole: terms that only one of the two token rules for slash numerals gives; equal rows drop."""
-    a, b = T.anchor_tokens(F.col(text)), T.slash_first_tokens(F.col(text))
-    out = rows.select(id, F.array_sort(F.array_except(a, b)).alias("only_split"), F.array_sort(F.array_except(b, a)).alias("only_whole"))
-    return out.filter((F.size("only_split") > 0) | (F.size("only_whole") > 0))
+    less = lambda a, b: F.array_sort(F.array_except(a, b))
+    both = T.let(F.struct(T.anchor_tokens(F.col(text)).alias("a"), T.slash_first_tokens(F.col(text)).alias("b")), lambda t: F.struct(less(t["a"], t["b"]).alias("only_split"), less(t["b"], t["a"]).alias("only_whole")))
+    out = rows.select(id, F.explode(F.filter(F.array(both), lambda d: (F.size(d["only_split"]) > 0) | (F.size(d["only_whole"]) > 0))).alias("d"))
+    return out.select(id, "d.only_split", "d.only_whole")
 
 
 def stage_seconds(stages: DataFrame, *, id: str = "item_id") -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -149,6 +152,51 @@ def codepoint_histogram(records: DataFrame, *, text: str = "text") -> DataFrame:
     return own.select(F.concat(F.lit("U+"), F.lpad(point, F.greatest(F.lit(4), F.length(point)), F.lit("0"))).alias("codepoint"), F.when(F.lit(TYPOGRAPHIC).contains(ch), "typographic").otherwise("other").alias("kind"), "n")
 
 
+def codepoint_names(histogram: DataFrame) -> DataFrame:
+    """codepoint_histogram with the characters' names, <unnamed> where there is none; one row a distinct character, in Arrow batches."""
+    @F.pandas_udf("string")
+    def name(points: pd.Series) -> pd.Series:
+        return points.map(lambda p: unicodedata.name(chr(int(p[2:], 16)), "<unnamed>"))
+
+    return histogram.withColumn("name", name("codepoint"))
+
+
+def record_references(records: DataFrame) -> DataFrame:
+    """The five columns that a record is known by."""
+    return records.select("standard_id", "clause_id", "occurrence_index", "sub_clause_id", "source_page")
+
+
+def dedupe_glyphs(glyphs: DataFrame, *, tolerance: float = 1.0) -> DataFrame:
+    """glyphs (page, char, font, size, x0, top, seq) without those that repeat one before them at the same place, as some documents print bold type.
+
+    Glyphs of one page, character, font and size are one copy if top, and then x0, go on within the tolerance from one to the next; of each
+    copy the first by seq stays."""
+    same = ("page", "char", "font", "size")
+
+    def runs(rows: DataFrame, by: tuple, value: str, name: str) -> DataFrame:
+        w = Window.partitionBy(*by).orderBy(value, "seq")
+        starts = F.coalesce((F.col(value) - F.lag(value).over(w) > tolerance).cast("int"), F.lit(1))
+        return rows.withColumn("_new", starts).withColumn(name, F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+
+    rows = runs(runs(glyphs, same, "top", "_line"), (*same, "_line"), "x0", "_place")
+    first = F.row_number().over(Window.partitionBy(*same, "_line", "_place").orderBy("seq"))
+    return rows.withColumn("_first", first).filter("_first = 1").drop("_line", "_place", "_first")
+
+
+def page_text(glyphs: DataFrame, *, x_tolerance: float = 2.0, y_tolerance: float = 3.0) -> DataFrame:
+    """page, text out of glyphs (page, char, x0, x1, top, seq): lines where tops go on within y_tolerance, a space where glyphs stand further apart than x_tolerance."""
+    down = Window.partitionBy("page").orderBy("top", "seq")
+    rows = glyphs.withColumn("_new", F.coalesce((F.col("top") - F.lag("top").over(down) > y_tolerance).cast("int"), F.lit(0)))
+    rows = rows.withColumn("_line", F.sum("_new").over(down.rowsBetween(Window.unboundedPreceding, 0)))
+    along = Window.partitionBy("page", "_line").orderBy("x0", "seq")
+    gap = F.col("x0") - F.lag("x1").over(along) > x_tolerance
+    rows = rows.withColumn("part", F.concat(F.when(gap & (F.col("char") != " ") & (F.lag("char").over(along) != " "), F.lit(" ")).otherwise(""), "char"))
+    line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "seq", "part"))), lambda x: x["part"]), "")
+    lines = rows.groupBy("page", "_line").agg(line.alias("line"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_line", "line"))), lambda x: x["line"]), "\n")
+    return lines.groupBy("page").agg(joined.alias("text"))
+
+
 def extraction_report(lines: DataFrame, records: DataFrame) -> DataFrame:
     """One row a standard: n_records, n_sub_clauses, sections, start and back-matter page, n_toc_pages, and failures (empty: the report passes)."""
     toc = scan_lines(lines).filter("in_toc").groupBy("standard_id").agg(F.count_distinct("page").alias("n_toc_pages"), F.collect_set("page").alias("_pages"))

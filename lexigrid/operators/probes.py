@@ -39,6 +39,16 @@ def term_occurrences(chunks: DataFrame, terms: DataFrame, *, id: str = "doc_id",
     return listed.select("term").join(found, "term", "left").select("term", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"))
 
 
+def corpus_standards(chunks: DataFrame, *, standard: str = "standard_id") -> DataFrame:
+    """The distinct standards of the chunks."""
+    return chunks.select(F.col(standard).alias("standard")).filter("standard is not null").distinct()
+
+
+def corpus_clauses(chunks: DataFrame, *, standard: str = "standard_id", clause: str = "clause_id") -> DataFrame:
+    """standard, clause: the distinct clauses of the chunks."""
+    return chunks.select(F.col(standard).alias("standard"), F.col(clause).alias("clause")).filter("clause is not null").distinct()
+
+
 def single_standard(chunks: DataFrame, *, standard: str = "standard_id") -> DataFrame:
     """The chunks; one without a standard raises when it is read."""
     blank = F.col(standard).isNull() | (F.trim(standard) == "")

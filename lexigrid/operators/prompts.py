@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from lexigrid.functions import text as T
 
+class GoldAnswerLeak(ValueError):
+    """A prompt holds its gold answer."""
+
+
 SYSTEM = "Answer only from the numbered excerpts and cite them as [n]. If they do not answer the question, reply exactly: " + T.ABSTENTION
 
 
@@ -50,3 +54,11 @@ def leak_guard(prompts: DataFrame, *, prompt: str = "user_prompt", gold: str = "
     """The prompts; one that holds its non-blank gold answer raises when a row is read, whichever columns are read."""
     leaks = (F.trim(F.coalesce(gold, F.lit(""))) != "") & F.col(prompt).contains(F.col(gold))
     return prompts.filter(F.when(leaks, F.raise_error(F.lit("gold answer in prompt")).cast("boolean")).otherwise(F.lit(True)))
+
+
+def assert_no_leak(prompts: DataFrame, *, prompt: str = "user_prompt", gold: str = "gold_answer", id: str = "item_id") -> None:
+    """Raises GoldAnswerLeak with a few of the items whose prompt holds their non-blank gold answer."""
+    leaks = (F.trim(F.coalesce(gold, F.lit(""))) != "") & F.col(prompt).contains(F.col(gold))
+    bad = prompts.filter(leaks).select(id).limit(5).collect()
+    if bad:
+        raise GoldAnswerLeak(f"gold answer in the prompts of {[r[id] for r in bad]}")

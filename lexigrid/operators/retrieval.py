@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import Protocol
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,20 +77,104 @@ def _rank(ids, posts, asked, avgdl, queries, k, id, query_id):
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def unit(v):
+    """The vector in double precision and of length one; null for a vector without length."""
+    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x))
+    return T.let(norm, lambda n: F.when(n > 0, F.transform(v, lambda x: x.cast("double") / n)))
+
+
 def cosine(a, b):
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, v: s + v)
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, *, id: str = "vec_id", embedding: str = "embedding", query_id: str = "query_id") -> DataFrame:
-    """query_id, id, similarity, rank: exact search of all vectors; queries (a stated set, held in blocks) are the side that is sent."""
-    q = queries.select(F.col(query_id), F.col(embedding).alias("_q"))
-    pairs = vectors.select(F.col(id), F.col(embedding).alias("_v")).join(q)
+def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, *, id: str = "vec_id", embedding: str = "embedding", query_id: str = "query_id", block: int = 256) -> DataFrame:
+    """query_id, id, similarity, rank: exact search of all vectors.
+
+    Queries are a stated set, cut into blocks of about `block`, one row a block; a vector meets a block at a time and its own length is
+    taken once. Each task keeps the k best of a query before anything is shuffled."""
+    n = max(1, -(-queries.count() // block))
+    held = queries.select(F.pmod(F.xxhash64(query_id), F.lit(n)).alias("_b"), F.struct(F.col(query_id).alias("q"), unit(F.col(embedding)).alias("u")).alias("_q")).filter("_q.u is not null")
+    blocks = held.groupBy("_b").agg(F.collect_list("_q").alias("_qs")).select("_qs")  # about `block` queries a row, by the hash
+    own = vectors.select(F.col(id), unit(F.col(embedding)).alias("_u")).filter("_u is not null")
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+    met = own.crossJoin(blocks).select(F.col(id), F.explode(F.transform("_qs", lambda q: F.struct(q["q"].alias(query_id), dot(F.col("_u"), q["u"]).alias("similarity")))).alias("_h"))
     order = Window.partitionBy(query_id).orderBy(F.round("similarity", 9).desc(), id)
-    found = pairs.select(query_id, id, cosine(F.col("_v"), F.col("_q")).alias("similarity")).filter("similarity is not null")
+    found = met.select(F.col(f"_h.{query_id}").alias(query_id), id, F.col("_h.similarity").alias("similarity")).filter("similarity is not null")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def contains_join(texts: DataFrame, needles: DataFrame, *, text: str, needle: str, width: int = 3) -> DataFrame:
+    """The pairs of a text and a needle that it holds as a substring, with the columns of both.
+
+    A needle's words but the first and the last stand as whole words wherever it occurs. Up to `width` of them, from the second on, are
+    its key; texts with a run of words that is the key are looked at, so pairs follow the matches. Needles of one or two words have no
+    whole word and are held against every text."""
+    words = lambda c: F.filter(F.split(F.col(c), r"(?U)\s+"), lambda w: w != "")
+    n = F.least(F.size(words(needle)) - 2, F.lit(width))
+    keyed = needles.withColumns({"_n": n, "_k": F.when(n > 0, F.array_join(F.slice(words(needle), 2, F.greatest(n, F.lit(1))), " "))})
+    runs = F.array_distinct(F.flatten(F.array(*[T.shingles(F.col("_w"), i) for i in range(1, width + 1)])))
+    rows = texts.withColumn("_w", words(text)).withColumn("_k", F.explode(runs)).drop("_w")
+    first = rows.join(keyed.filter("_n > 0"), "_k").filter(F.col(text).contains(F.col(needle))).drop("_k", "_n")
+    short = texts.join(keyed.filter("_n <= 0").drop("_k", "_n"), F.col(text).contains(F.col(needle)))
+    return first.unionByName(short.select(*first.columns))
+
+
+class Retriever(Protocol):
+    """Anything that gives the k best records for each row of queries: query_id, id, score, rank."""
+
+    def retrieve(self, queries: DataFrame, k: int) -> DataFrame: ...
+
+
+class Bm25Retriever:
+    """BM25 over documents, or over a stored index."""
+
+    def __init__(self, docs: DataFrame | None = None, index: tuple | None = None, **columns):
+        self.docs, self.index, self.columns = docs, index, columns
+
+    def retrieve(self, queries: DataFrame, k: int) -> DataFrame:
+        if self.index is not None:
+            return bm25_search(self.index, queries, k, **self.columns)
+        return bm25_topk(self.docs, queries, k, **self.columns)
+
+
+class RerankedRetriever:
+    """The k best of a first retriever's `depth` by `model`, which adds a column `model` to its hits."""
+
+    def __init__(self, first: Retriever, model, depth: int, *, query_id: str = "item_id"):
+        self.first, self.model, self.depth, self.query_id = first, model, depth, query_id
+
+    def retrieve(self, queries: DataFrame, k: int) -> DataFrame:
+        hits = self.model(self.first.retrieve(queries, self.depth).withColumnRenamed("rank", "first_rank"))
+        return rerank(hits, "model", k, query_id=self.query_id, tie="first_rank")
+
+
+class StoredRetriever:
+    """Ranked records of an earlier run; queries that it lacks get none."""
+
+    def __init__(self, ranked: DataFrame, *, query_id: str = "item_id"):
+        self.ranked, self.query_id = ranked, query_id
+
+    def retrieve(self, queries: DataFrame, k: int) -> DataFrame:
+        return self.ranked.filter(F.col("rank") <= k).join(queries.select(self.query_id).distinct(), self.query_id, "left_semi")
+
+
+def retrieve_all(retrievers: dict[str, Retriever], queries: DataFrame, k: int, *, query_id: str = "item_id", id: str = "doc_id") -> DataFrame:
+    """config, query_id, id, rank: what each named configuration gives."""
+    out = None
+    for name, r in retrievers.items():
+        own = r.retrieve(queries, k).select(F.lit(name).alias("config"), query_id, id, "rank")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def retrieval_result(ranked: DataFrame, *, query_id: str = "item_id", id: str = "doc_id", policy: dict | None = None) -> DataFrame:
+    """query_id, size, chunk_ids in the order of rank, retrieval_policy (the settings, as a map)."""
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("rank", F.col(id).alias("id")))), lambda x: x["id"])
+    told = F.create_map(*[F.lit(str(x)) for kv in (policy or {}).items() for x in kv]).cast("map<string,string>")
+    return ranked.groupBy(query_id).agg(F.count(F.lit(1)).alias("size"), ids.alias("chunk_ids")).withColumn("retrieval_policy", told)
+
+
 def hybrid_merge(lexical: DataFrame, dense: DataFrame, *, query_id: str, id: str) -> DataFrame:
     """Union of two ranked lists by id, lexical order first, with the sources of each row."""
     a = lexical.select(query_id, id, F.col("score"), F.col("rank").alias("lexical_rank"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import unicodedata
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -121,9 +125,10 @@ ev AS (SELECT g.item_id, count(*) AS n_gold, count(t.rank) AS n_hits FROM gold g
 
 
 def _gold(spark, d):
-    """item_id, doc_id: documents that hold an item's first eight words as a substring; the items are a stated query set, sent to all documents."""
+    """item_id, doc_id: documents that hold an item's first eight words as a substring."""
     start = F.array_join(F.slice(F.split("text", " "), 1, 8), " ")
-    return _t(spark, d, "benchmark").select("item_id", start.alias("start")).join(_t(spark, d, "documents"), F.col("text").contains(F.col("start"))).select("item_id", "doc_id")
+    items = _t(spark, d, "benchmark").select("item_id", start.alias("start"))
+    return retrieval.contains_join(_t(spark, d, "documents").select("doc_id", "text"), items, text="text", needle="start").select("item_id", "doc_id")
 
 
 @_query(f"WITH {_BM25}, {_GOLD} SELECT item_id, n_gold, n_hits, round(n_hits / n_gold::DOUBLE, 6) AS recall, n_hits > 0 AS any_gold, n_hits = n_gold AS all_gold FROM ev")
@@ -142,7 +147,8 @@ _START = "array_to_string(list_slice(string_split(b.text, ' '), 1, 8), ' ')"
 
 def _gold_whole(spark, d):
     """item_id, doc_id: documents that hold an item's whole text as a substring."""
-    return _t(spark, d, "benchmark").select("item_id", F.col("text").alias("passage")).join(_t(spark, d, "documents"), F.col("text").contains(F.col("passage"))).select("item_id", "doc_id")
+    items = _t(spark, d, "benchmark").select("item_id", F.col("text").alias("passage"))
+    return retrieval.contains_join(_t(spark, d, "documents").select("doc_id", "text"), items, text="text", needle="passage").select("item_id", "doc_id")
 
 
 @_query(_SQL["gold_recall"].replace(_START, "b.text"))
@@ -186,7 +192,7 @@ def anchor_coverage(spark, d):
     docs = _t(spark, d, "documents")
     found = anchoring.anchors(_t(spark, d, "benchmark"), anchoring.vocabulary(docs), docs.count())
     contexts = _top(spark, d).select("item_id", "doc_id").join(docs.select("doc_id", "text"), "doc_id")
-    out = anchoring.coverage(found, contexts)
+    out = anchoring.coverage(found, contexts).select("item_id", "n_anchors", "n_covered", "n_oov", "coverage", "idf_coverage")
     return out.withColumns({c: F.round(c, 6) for c in ("coverage", "idf_coverage")})
 
 
@@ -630,6 +636,344 @@ def prompt_render(spark, d):
     return prompts.leak_guard(prompts.render(items, variants)).select("item_id", "n_records", F.md5("user_prompt").alias("prompt_md5"))
 
 
+def _scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that all machines share; a folder of its own only where spark.checkpoint.dir is unset."""
+    return f"{(spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.mkdtemp(prefix='lexigrid-')).rstrip('/')}/lexigrid/{label}-{uuid.uuid4().hex}"
+
+
+# Signals by arithmetic on ids, under which each of the 13 gates fails for some document, and the policy that turns all of them on.
+_ALL_GATES = routing.Policy(enable_anchoring_gate=True, min_anchor_coverage=0.25, enable_reranker_top_1_gate=True, min_reranker_top_1=0.2, enable_reranker_margin_gate=True, min_reranker_margin=0.05)
+_DECISIONS = ["abstain"] * 5 + ["escalate"] * 8
+_GATE_NAMES = list(routing.BASIS)
+
+
+def _gate_signals(spark, d):
+    i = F.col("doc_id")
+    mod = lambda n: F.pmod(i, F.lit(n))
+    klass = F.when(mod(19) == 0, "empty").when(mod(19) == 1, "abstained").when(mod(19) == 2, "mixed").otherwise("answered")
+    return _t(spark, d, "documents").select(
+        i.alias("item_id"), mod(7).alias("n_records"), ((mod(11) == 0) & (mod(7) > 0)).alias("all_headings"), F.when(mod(5) != 0, mod(13) / 13.0).alias("idf_coverage"), (mod(17) != 0).alias("generated"), klass.alias("response_class"),
+        F.when(mod(3) != 0, mod(23) != 1).alias("audit_passed"), (mod(29) != 2).alias("grounding_passed"), T.unexpected_script(F.concat("lang", F.when(mod(31) == 3, "漢").otherwise(""))).alias("foreign"),
+        T.repeated_runs(F.concat(F.lit("x"), F.when(mod(37) == 4, "!!!!").otherwise(""))).alias("runs"), (mod(41) / 40.0).alias("echo_ratio"), (mod(43) / 43.0).alias("top_1"), F.when(mod(2) == 0, mod(47) / 47.0).alias("margin"),
+        F.when(mod(6) < 4, "answer").otherwise("abstain").alias("expected"),
+    )
+
+
+def _sql_decide(mask: str, values=_DECISIONS, other: str = "'answer'") -> str:
+    return "CASE " + " ".join(f"WHEN (({mask}) & {1 << i}) <> 0 THEN '{v}'" for i, v in enumerate(values)) + f" ELSE {other} END"
+
+
+_GATES = """g0 AS (SELECT doc_id AS item_id, doc_id % 7 AS n, doc_id % 11 = 0 AS heads, CASE WHEN doc_id % 5 <> 0 THEN (doc_id % 13) / 13.0::DOUBLE END AS idfc, doc_id % 17 <> 0 AS gen, doc_id % 19 AS k, doc_id % 3 <> 0 AND doc_id % 23 = 1 AS badcite, doc_id % 29 = 2 AS badground,
+  doc_id % 31 = 3 AS script, doc_id % 37 = 4 AS runs, (doc_id % 41) / 40.0::DOUBLE AS echo, (doc_id % 43) / 43.0::DOUBLE AS top, CASE WHEN doc_id % 2 = 0 THEN (doc_id % 47) / 47.0::DOUBLE END AS margin, CASE WHEN doc_id % 6 < 4 THEN 'answer' ELSE 'abstain' END AS expected FROM documents),
+g AS (SELECT *, k >= 2 AS attempt FROM g0),
+m AS (SELECT *, (n = 0)::INT * 1 + (n > 0 AND heads)::INT * 2 + coalesce(idfc < 0.25, false)::INT * 4 + (NOT gen OR k = 0)::INT * 8 + (k = 1)::INT * 16 + (k = 2)::INT * 32 + (attempt AND badcite)::INT * 64 + (attempt AND badground)::INT * 128
+  + script::INT * 256 + runs::INT * 512 + (attempt AND echo >= 0.85)::INT * 1024 + (top < 0.2)::INT * 2048 + coalesce(margin < 0.05, false)::INT * 4096 AS mask FROM g)"""
+
+
+@_query(f"WITH {_GATES} SELECT item_id, mask, {_sql_decide('mask')} AS decision, {_sql_decide('mask', _GATE_NAMES, 'NULL')} AS triggering_gate, CASE WHEN mask = 0 THEN 'all 13 enabled gates passed' ELSE {_sql_decide('mask', _GATE_NAMES, 'NULL')} || ' failed' END AS cause FROM m")
+def gates_route(spark, d):
+    out = routing.evaluate_gates(_gate_signals(spark, d), _ALL_GATES.gates())
+    return out.select("item_id", "mask", "decision", "triggering_gate", F.split(routing.rationale(_ALL_GATES.gates()), ";")[0].alias("cause"))
+
+
+@_query(f"WITH {_GATES} SELECT item_id, {_sql_decide('mask & 6151')} AS decision FROM m")
+def gates_route_pre(spark, d):
+    return routing.evaluate_gates(_gate_signals(spark, d), _ALL_GATES.gates(), stage="retrieval").select("item_id", "decision")
+
+
+@_query(f"WITH {_GATES} SELECT coalesce({_sql_decide('mask', _GATE_NAMES, 'NULL')}, 'none') AS triggering_gate, count(*) AS n FROM m GROUP BY ALL")
+def gates_histogram(spark, d):
+    return evaluation.gate_histogram(routing.evaluate_gates(_gate_signals(spark, d), _ALL_GATES.gates()))
+
+
+_LESS = {"policy_version": "less", "_comment": "two gates off", "max_echo_ratio": 0.5, "enable_citation_gate": False, "enable_heading_only_gate": False}
+
+
+@_query(f"WITH {_GATES} SELECT item_id, {_sql_decide('(mask & 952) + (n = 0)::INT + (attempt AND echo >= 0.5)::INT * 1024')} AS decision FROM m")
+def policy_route(spark, d):
+    """Routing by a policy's settings, as its file would have them."""
+    return routing.evaluate_gates(_gate_signals(spark, d), routing.Policy.from_dict(_LESS).gates()).select("item_id", "decision")
+
+
+_LATTICE = f"""{_GATES}, mm AS (SELECT mask, count(*) AS n, {_sql_decide('mask')} AS whole FROM m GROUP BY mask),
+ss AS (SELECT unnest(generate_series(0, 8191)) AS subset),
+ev AS (SELECT subset, mask, n, whole, {_sql_decide('mask & subset')} AS now FROM ss, mm),
+la AS (SELECT subset::INT AS subset, bit_count(subset)::INT AS size, sum(CASE WHEN now = 'answer' THEN n ELSE 0 END)::BIGINT AS n_answer, sum(CASE WHEN now = 'abstain' THEN n ELSE 0 END)::BIGINT AS n_abstain,
+  sum(CASE WHEN now = 'escalate' THEN n ELSE 0 END)::BIGINT AS n_escalate, bool_and(now = whole) AS same_as_full, string_agg(now, ',' ORDER BY mask) AS routing FROM ev GROUP BY subset)"""
+
+
+@_query(f"WITH {_LATTICE} SELECT subset, size, n_answer, n_abstain, n_escalate, same_as_full FROM la")
+def gates_lattice(spark, d):
+    gates = _ALL_GATES.gates()
+    return routing.ablation_lattice(routing.evaluate_gates(_gate_signals(spark, d), gates), gates).drop("routing")
+
+
+_LEFT_OUT = "SELECT gate, sum(CASE WHEN mask & bit <> 0 THEN n ELSE 0 END)::BIGINT AS n_triggering, sum(CASE WHEN " + _sql_decide("mask & (8191 - bit)") + " <> whole THEN n ELSE 0 END)::BIGINT AS n_changed FROM mm, (SELECT * FROM " + _sql_values([(g, 1 << i) for i, g in enumerate(_GATE_NAMES)], "gate, bit") + ") GROUP BY gate"
+
+
+@_query(f"WITH {_LATTICE} SELECT gate, n_triggering, n_changed, n_changed > 0 AS load_bearing FROM ({_LEFT_OUT})")
+def gates_left_out(spark, d):
+    gates = _ALL_GATES.gates()
+    return routing.gate_contributions(routing.evaluate_gates(_gate_signals(spark, d), gates), gates).select("gate", "n_triggering", "n_changed", "load_bearing")
+
+
+_SUBSET_NAMES = "concat_ws('+', " + ", ".join(f"CASE WHEN subset & {1 << i} <> 0 THEN '{g}' END" for i, g in enumerate(_GATE_NAMES)) + ")"
+
+
+@_query(f"""WITH {_LATTICE}, lo AS ({_LEFT_OUT}), mi AS (SELECT min(size) AS size FROM la WHERE same_as_full)
+SELECT (SELECT count(*) FROM la) AS n_subsets, (SELECT count(DISTINCT routing) FROM la) AS n_distinct_routings, (SELECT size FROM mi) AS minimal_sufficient_size,
+(SELECT string_agg(x, ';' ORDER BY x) FROM (SELECT {_SUBSET_NAMES} AS x FROM la WHERE same_as_full AND size = (SELECT size FROM mi))) AS minimal_sufficient_subsets,
+coalesce((SELECT string_agg(gate, ',' ORDER BY gate) FROM lo WHERE n_changed > 0), '') AS load_bearing_gates, coalesce((SELECT string_agg(gate, ',' ORDER BY gate) FROM lo WHERE n_changed = 0), '') AS unexercised_gates""")
+def gates_lattice_summary(spark, d):
+    gates = _ALL_GATES.gates()
+    routed = routing.evaluate_gates(_gate_signals(spark, d), gates)
+    out = routing.lattice_summary(routing.ablation_lattice(routed, gates), routing.gate_contributions(routed, gates), gates)
+    return out.withColumns({"minimal_sufficient_subsets": F.array_join("minimal_sufficient_subsets", ";")} | {c: F.array_join(c, ",") for c in ("load_bearing_gates", "unexercised_gates")})
+
+
+def _sql_points(value: str, bit: int, fails: str, shipped: float) -> str:
+    off, on = _sql_decide(f"mask & {8191 - bit}"), _sql_decide(f"mask | {bit}")
+    return f"""{_GATES}, it AS (SELECT item_id, {value} AS v, {off} AS passed, {on} AS failed FROM m),
+pt AS (SELECT DISTINCT unnest([v, v + 1e-9::DOUBLE]) AS t FROM it WHERE v IS NOT NULL UNION SELECT unnest([0::DOUBLE, 1::DOUBLE, {shipped}::DOUBLE])),
+lt AS (SELECT t, lag(t) OVER (ORDER BY t) AS before FROM pt),
+dc AS (SELECT t, CASE WHEN v IS NOT NULL AND {fails.format(t='t')} THEN failed ELSE passed END AS now, CASE WHEN before IS NULL THEN NULL WHEN v IS NOT NULL AND {fails.format(t='before')} THEN failed ELSE passed END AS old FROM lt, it),
+sw AS (SELECT t AS threshold, count(*) FILTER (now = 'answer') AS n_answer, count(*) FILTER (now = 'abstain') AS n_abstain, count(*) FILTER (now = 'escalate') AS n_escalate, count(*) FILTER (old IS NOT NULL AND now <> old) AS flips FROM dc GROUP BY t),
+st AS (SELECT coalesce((SELECT max(threshold) FROM sw WHERE flips > 0 AND threshold <= {shipped}), (SELECT min(threshold) FROM sw)) AS lo, (SELECT max(threshold) FROM sw WHERE threshold < coalesce((SELECT min(threshold) FROM sw WHERE flips > 0 AND threshold > {shipped}), 'inf'::DOUBLE)) AS hi)"""
+
+
+_ECHO_POINTS = _sql_points("CASE WHEN attempt THEN echo END", 1024, "v >= {t}", 0.85)
+_ANCHOR_POINTS = _sql_points("idfc", 4, "v < {t}", 0.25)
+_POINTS = "SELECT round(threshold, 10) AS threshold, n_answer, n_abstain, n_escalate, flips FROM sw"
+_SENSITIVE = "SELECT '{name}' AS field_name, {shipped}::DOUBLE AS shipped_value, (SELECT count(*) FROM it) AS n_items, (SELECT count(v) FROM it) AS n_items_evaluable, (SELECT count(*) FILTER (flips > 0) + 1 FROM sw) AS n_distinct_routings, round(lo, 9) AS lo, round(hi, 9) AS hi, round(hi - lo, 9) AS width, (SELECT count(*) FILTER (flips > 0) > 0 FROM sw) AS decision_relevant FROM st"
+
+
+def _points(spark, d, name):
+    return routing.threshold_points(_gate_signals(spark, d), name, _ALL_GATES).withColumn("threshold", F.round("threshold", 10))
+
+
+def _sensitivity(spark, d, name):
+    out = routing.threshold_sensitivity(_gate_signals(spark, d), name, _ALL_GATES)
+    return out.withColumns({c: F.round(c, 9) for c in ("lo", "hi", "width")})
+
+
+@_query(f"WITH {_ECHO_POINTS} {_POINTS}")
+def threshold_points_echo(spark, d):
+    return _points(spark, d, "max_echo_ratio")
+
+
+@_query(f"WITH {_ANCHOR_POINTS} {_POINTS}")
+def threshold_points_anchor(spark, d):
+    return _points(spark, d, "min_anchor_coverage")
+
+
+@_query(f"WITH {_ECHO_POINTS} {_SENSITIVE.format(name='max_echo_ratio', shipped=0.85)}")
+def threshold_sensitivity_echo(spark, d):
+    return _sensitivity(spark, d, "max_echo_ratio")
+
+
+@_query(f"WITH {_ANCHOR_POINTS} {_SENSITIVE.format(name='min_anchor_coverage', shipped=0.25)}")
+def threshold_sensitivity_anchor(spark, d):
+    return _sensitivity(spark, d, "min_anchor_coverage")
+
+
+@_query(f"WITH {_ANCHOR_POINTS} SELECT item_id, round(v, 10) AS threshold_below, round(v + 1e-9, 10) AS threshold_at_or_above, passed AS decision_below, failed AS decision_at_or_above FROM it WHERE v IS NOT NULL AND passed <> failed")
+def threshold_item_flips(spark, d):
+    out = routing.threshold_flips(_gate_signals(spark, d), "min_anchor_coverage", _ALL_GATES)
+    return out.withColumns({c: F.round(c, 10) for c in ("threshold_below", "threshold_at_or_above")})
+
+
+_FULL_WIDTH = str.maketrans({c: chr(ord(c) + 0xFEE0) for c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"})
+
+
+@_query(f"SELECT doc_id, md5({_NORM.format(c='text')}) AS wide_md5, md5({_NORM.format(c='text')}) AS split_md5 FROM documents")
+def match_forms(spark, d):
+    """Texts in full-width forms with ligatures, and with letters and marks apart, normalise as the texts themselves do."""
+    plain = "".join(map(chr, _FULL_WIDTH))
+    wide = F.translate(F.replace(F.replace("text", F.lit("fi"), F.lit("ﬁ")), F.lit("ffl"), F.lit("ﬄ")), plain, plain.translate(_FULL_WIDTH))
+    apart = F.col("text")
+    for c in "äöüÄÖÜéèêñÉÈÊÑçÇáíóúÁÍÓÚ":
+        apart = F.replace(apart, F.lit(c), F.lit(unicodedata.normalize("NFD", c)))
+    return _t(spark, d, "documents").select("doc_id", F.md5(T.normalise(wide)).alias("wide_md5"), F.md5(T.normalise(apart)).alias("split_md5"))
+
+
+_META = f"""{_COVER},
+mt AS (SELECT top.item_id, unnest(list_concat({_TOKENS.format(c="lower(source)")}, {_TOKENS.format(c="lower(lang)")})) AS tok FROM top JOIN documents USING (doc_id)),
+cm AS (SELECT * FROM cx UNION SELECT DISTINCT item_id, {_SUFFIX.format(c='tok')} AS anchor FROM mt),
+am AS (SELECT an.item_id, count(*) AS n_anchors, count(cm.anchor) AS n_covered, count(*) FILTER (oov) AS n_oov, max(idf) FILTER (cm.anchor IS NULL) AS worst, string_agg(an.anchor, ',' ORDER BY an.anchor) FILTER (cm.anchor IS NULL) AS missing, string_agg(an.anchor, ',' ORDER BY an.anchor) FILTER (oov) AS oovs
+       FROM an LEFT JOIN cm ON cm.item_id = an.item_id AND cm.anchor = an.anchor GROUP BY an.item_id)"""
+
+
+@_query(f"""WITH {_BM25}, {_META}
+SELECT b.item_id, coalesce(n_anchors, 0) AS n_anchors, coalesce(n_covered, 0) AS n_covered, coalesce(n_oov, 0) AS n_oov, round(n_oov::DOUBLE / n_anchors, 6) AS oov_ratio, round(worst, 6) AS max_uncovered_idf, coalesce(missing, '') AS uncovered, coalesce(oovs, '') AS oov, len({_TOKENS.format(c=_NORM.format(c='b.text'))})::INT AS n_query_tokens
+FROM benchmark b LEFT JOIN am USING (item_id)""")
+def anchor_signal(spark, d):
+    """Anchors against texts and the two provenance columns that stand above each excerpt."""
+    docs, items = _t(spark, d, "documents"), _t(spark, d, "benchmark")
+    contexts = _top(spark, d).select("item_id", "doc_id").join(docs.select("doc_id", "text", "source", "lang"), "doc_id")
+    out = anchoring.anchoring_signal(items, anchoring.vocabulary(docs), docs.count(), contexts, anchoring.AnchorSpec(context_metadata_keys=("source", "lang", "not_there")))
+    listed = lambda c: F.array_join(F.array_sort(c), ",")
+    return out.select("item_id", "n_anchors", "n_covered", "n_oov", F.round("oov_ratio", 6).alias("oov_ratio"), F.round("max_uncovered_idf", 6).alias("max_uncovered_idf"), listed("uncovered_anchors").alias("uncovered"), listed("oov_anchors").alias("oov"), "n_query_tokens")
+
+
+@_query("""SELECT doc_id, source AS standard_id, lang AS clause_id, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE (doc_id % 4)::INT END AS occurrence_index, CASE doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN NULL WHEN 2 THEN 'a)' ELSE source END AS sub_clause_id FROM documents""")
+def clause_keys(spark, d):
+    i = F.col("doc_id")
+    sub = F.when(i % 4 == 0, None).when(i % 4 == 1, " \t").when(i % 4 == 2, " a)  ").otherwise(F.col("source"))
+    key = evaluation.clause_key(F.col("source"), F.col("lang"), F.when(i % 3 != 0, i % 4), sub)
+    return _t(spark, d, "documents").select("doc_id", key.alias("k")).select("doc_id", "k.*")
+
+
+_CONFIGS = f"""{_BM25}, r20 AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS r FROM al),
+rr AS (SELECT r20.item_id, r20.doc_id, row_number() OVER (PARTITION BY r20.item_id ORDER BY score / nullif(dl, 0) DESC NULLS LAST, r) AS rank FROM r20 JOIN dl ON dl.doc_id = r20.doc_id WHERE r <= 20),
+cf AS (SELECT 'bm25' AS config, item_id, doc_id, rank FROM top UNION ALL SELECT 'bm25_rerank', item_id, doc_id, rank FROM rr WHERE rank <= 5)"""
+
+
+def _configs(spark, d):
+    docs = _t(spark, d, "documents")
+    stats, bm25 = retrieval.doc_stats(docs), retrieval.Bm25Retriever(docs)
+    model = lambda hits: hits.join(stats, "doc_id").withColumn("model", F.try_divide("score", "dl"))
+    return retrieval.retrieve_all({"bm25": bm25, "bm25_rerank": retrieval.RerankedRetriever(bm25, model, 20)}, _t(spark, d, "benchmark"), 5)
+
+
+@_query(f"""WITH {_CONFIGS}, {_GOLD.split(chr(10) + 'ev AS')[0].rstrip(',')},
+ec AS (SELECT k.config, g.item_id, count(*) AS n_gold, count(t.rank) AS n_hits FROM gold g CROSS JOIN (SELECT DISTINCT config FROM cf) k LEFT JOIN cf t ON t.config = k.config AND t.item_id = g.item_id AND t.doc_id = g.doc_id GROUP BY ALL)
+SELECT config, count(*) AS n_items, sum(n_hits)::BIGINT AS hits, sum(n_gold)::BIGINT AS gold, round(avg(n_hits / n_gold::DOUBLE), 6) AS macro_recall, round(sum(n_hits)::DOUBLE / sum(n_gold), 6) AS micro_recall FROM ec GROUP BY config""")
+def config_ablation(spark, d):
+    """Recall of two retrieval configurations of one interface, a row each."""
+    out = evaluation.ablation_table(_gold(spark, d), _configs(spark, d), ["doc_id"])
+    return out.withColumns({c: F.round(c, 6) for c in ("macro_recall", "micro_recall")})
+
+
+@_query(f"WITH {_BM25} SELECT item_id, count(*) AS size, string_agg(doc_id, ',' ORDER BY rank) AS chunk_ids FROM top GROUP BY item_id")
+def retrieval_result(spark, d):
+    out = retrieval.retrieval_result(_top(spark, d), policy={"index": "documents", "k": 5})
+    return out.select("item_id", "size", F.array_join(F.transform("chunk_ids", lambda x: x.cast("string")), ",").alias("chunk_ids"))
+
+
+@_query(f"WITH {_BM25} SELECT item_id, doc_id, round(score, 6) AS score, rank FROM top")
+def stored_index_topk(spark, d):
+    """bm25_topk over an index that is written and read back."""
+    path = _scratch(spark, "index")
+    io.write_index(_t(spark, d, "documents"), path)
+    out = retrieval.Bm25Retriever(index=io.read_index(spark, path)).retrieve(_t(spark, d, "benchmark"), 5)
+    return out.select("item_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+@_query("""WITH el AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+n AS (SELECT vec_id, sqrt(sum(x * x)) AS norm FROM el GROUP BY vec_id)
+SELECT vec_id, round(x / norm, 6) AS first_component, CASE WHEN label % 2 = 0 THEN 1 ELSE 2 END AS n_metadata, label::VARCHAR AS label, (SELECT count(*) FROM embeddings) AS stored FROM el JOIN n USING (vec_id) WHERE i = 1""")
+def vector_store(spark, d):
+    path = _scratch(spark, "vectors")
+    rows = _t(spark, d, "embeddings").withColumn("odd", F.when(F.col("label") % 2 != 0, "odd"))
+    stored = io.write_vectors(rows, path, metadata=("label", "odd"))
+    out = io.read_vectors(spark, path, stored)
+    return out.select("vec_id", F.round(F.col("embedding")[0], 6).alias("first_component"), F.size("metadata").alias("n_metadata"), F.col("metadata")["label"].alias("label"), F.lit(stored).cast("long").alias("stored"))
+
+
+@_query("SELECT doc_id, md5(text) AS text_md5, lang, source, n_chars FROM documents")
+def jsonl_round_trip(spark, d):
+    docs, path = _t(spark, d, "documents"), _scratch(spark, "jsonl")
+    io.assert_unique(docs, "doc_id")
+    io.write_jsonl(docs, path)
+    return io.read_jsonl(spark, path, docs.schema, ("doc_id", "text")).select("doc_id", F.md5("text").alias("text_md5"), "lang", "source", "n_chars")
+
+
+@_query("""SELECT item_id::VARCHAR AS item_id, md5(text) AS question_md5, 'answer' AS expected_behavior, 'answerable_hard_set' AS klass, '' AS basis FROM benchmark
+UNION ALL SELECT 'p' || doc_id, md5(lang), 'abstain', 'unanswerable_probe', 'term_absent_from_corpus' FROM documents""")
+def mixed_items(spark, d):
+    none = F.lit(None).cast("string")
+    hard = _t(spark, d, "benchmark").select("item_id", F.col("text").alias("question_text"), F.lit("answer").alias("expected_behavior"), none.alias("answerability"), none.alias("verification_basis"))
+    asked = _t(spark, d, "documents").select(F.concat(F.lit("p"), "doc_id").alias("probe_id"), F.col("lang").alias("question_text"), F.lit("abstain").alias("expected_behavior"), F.lit("term_absent_from_corpus").alias("basis"), none.alias("verification_basis"))
+    return evaluation.mixed_items(hard, asked).select("item_id", F.md5("question_text").alias("question_md5"), "expected_behavior", "klass", "basis")
+
+
+@_query("""SELECT doc_id AS item_id, CASE WHEN doc_id % 2 = 0 THEN 'answer' ELSE 'abstain' END AS expected, CASE WHEN doc_id % 3 = 0 THEN 'escalate' WHEN doc_id % 5 = 0 THEN 'abstain' ELSE 'answer' END AS decision, CASE WHEN doc_id % 7 = 0 THEN source END AS gate FROM documents""")
+def scored_results(spark, d):
+    i = F.col("doc_id")
+    stage = lambda name, detail: F.struct(F.lit(name).alias("stage"), detail.alias("detail"))
+    told = F.concat(F.lit("decision=x gate="), F.when(i % 7 == 0, F.col("source")).otherwise("None"), F.lit(" seconds=1"))
+    rows = _t(spark, d, "documents").select(
+        i.alias("item_id"), F.when(i % 3 == 0, "escalate").when(i % 3 == 1, "").alias("decision"), F.when(i % 5 == 0, "abstained").when(i % 5 == 1, "done").alias("status"),
+        F.array(stage("signals", F.lit("gate=wrong")), stage("route", told), stage("route", F.lit("no gate"))).alias("stages"), F.when(i % 2 == 0, "answer").otherwise("abstain").alias("expected_behavior"),
+    )
+    return evaluation.scored_results(rows, rows)
+
+
+_NAMES = [(f"U+{i:04X}", unicodedata.name(chr(i))) for i in (*range(0xA1, 0x250), *range(0x2010, 0x2028), *range(0x2030, 0x2050), 0x20AC, 0x2122, 0xFFFD) if unicodedata.name(chr(i), "")]
+
+
+@_query("SELECT codepoint, name, n FROM (" + _SQL["codepoint_histogram"] + ") JOIN (SELECT * FROM " + _sql_values(_NAMES, "codepoint, name") + ") USING (codepoint)")
+def codepoint_names(spark, d):
+    """Names of the characters that the test tables hold; SQL has those of Latin letters and general punctuation."""
+    return extraction.codepoint_names(extraction.codepoint_histogram(_t(spark, d, "documents"))).select("codepoint", "name", "n")
+
+
+@_query("SELECT n_nationkey::BIGINT AS page, n_name || chr(10) || n_name AS text FROM nation")
+def page_glyphs(spark, d):
+    """Names set twice in bold print, in two lines, read back from their glyphs."""
+    chars = F.regexp_extract_all("n_name", F.lit("(?s)."), F.lit(0))
+    line = lambda top, first: F.transform(chars, lambda c, i: F.struct(c.alias("char"), (i * 6.0).alias("x0"), (i * 6.0 + 5).alias("x1"), F.lit(top).alias("top"), (i + first).alias("seq")))
+    bold = lambda xs, shift: F.transform(xs, lambda g: F.struct(g["char"].alias("char"), (g["x0"] + 0.4).alias("x0"), (g["x1"] + 0.4).alias("x1"), (g["top"] + 0.3).alias("top"), (g["seq"] + shift).alias("seq")))
+    every = F.concat(line(100.0, 0), bold(line(100.0, 0), 10_000), line(112.0, 500), bold(line(112.0, 500), 20_000))
+    glyphs = _t(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("page"), F.inline(every)).withColumns({"font": F.lit("f"), "size": F.lit(10.0)})
+    return extraction.page_text(extraction.dedupe_glyphs(glyphs))
+
+
+@_query("SELECT count(*) AS n, count(*) FILTER (decision = 'answer') AS n_answer, round(avg((decision = expected)::INT), 6) AS agreement, count(*) FILTER (expected = 'answer' AND decision <> 'answer') AS over_abstention FROM (" + _CROSS + "SELECT * FROM r)")
+def trace_metrics(spark, d):
+    traces = _routed_labels(spark, d).select("decision", F.struct(F.col("expected").alias("expected_behavior")).alias("evaluation"))
+    return evaluation.metrics_from_traces(traces).select("n", "n_answer", F.round("agreement", 6).alias("agreement"), "over_abstention")
+
+
+@_query("SELECT doc_id AS item_id, decision, expected AS expected_behavior, decision = expected AS matches_expected, doc_id % 2 = 0 AS scholar_validated FROM (" + _CROSS + "SELECT * FROM r)")
+def evaluation_labels(spark, d):
+    rows = _routed_labels(spark, d).withColumnRenamed("doc_id", "item_id")
+    items = rows.select("item_id", F.col("expected").alias("expected_behavior"), F.when(F.col("item_id") % 2 == 0, "qualified_scholar_review").alias("verification_basis"))
+    return evaluation.evaluation_labels(items, rows).select("item_id", "decision", "expected_behavior", "matches_expected", "scholar_validated")
+
+
+@_query("""WITH c AS (SELECT doc_id, quality, s.spec, CASE WHEN doc_id % s.m = 0 THEN NULL ELSE (n_chars % (s.m * 10)) / (s.m * 10)::DOUBLE END AS cov FROM labels JOIN documents USING (doc_id), (VALUES ('a', 3), ('b', 7)) s(spec, m))
+SELECT spec, threshold, quality AS label, count(*) FILTER (cov < threshold) AS fired, count(cov) AS evaluable, round(count(*) FILTER (cov < threshold)::DOUBLE / nullif(count(cov), 0), 6) AS rate FROM c, (VALUES (0.1::DOUBLE), (0.5::DOUBLE)) t(threshold) GROUP BY ALL""")
+def calibration_rates(spark, d):
+    specs = _values(spark, [("a", 3), ("b", 7)], "spec string, m int")
+    rows = _routed_labels(spark, d).crossJoin(F.broadcast(specs))
+    rows = rows.select("spec", F.col("quality").alias("label"), F.when(F.col("doc_id") % F.col("m") != 0, (F.col("n_chars") % (F.col("m") * 10)) / (F.col("m") * 10).cast("double")).alias("idf_coverage"))
+    return answering.calibrate(rows, [0.1, 0.5])[0].withColumn("rate", F.round("rate", 6))
+
+
+@_query("""SELECT conv_id, turn, position('i cannot answer from the given context' IN lower(text)) > 0 AS contains_abstention, length(text)::INT AS response_length, starts_with(trim(text), '[') AS has_citations FROM conversations""")
+def abstention_triggers(spark, d):
+    rows = _t(spark, d, "conversations").withColumn("variant", F.lit("v1"))
+    return answering.abstention_triggers(rows, text="text").select("conv_id", "turn", "contains_abstention", "response_length", "has_citations")
+
+
+@_query(f"""WITH w AS (SELECT doc_id, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS n FROM documents), s AS (SELECT doc_id, n, unnest(generate_series(0, n - 1, 224)) AS a FROM w WHERE n > 0), p AS (SELECT doc_id, n, unnest(generate_series(0, n - 1, 100)) AS b FROM w WHERE n > 0)
+SELECT s.doc_id, a::INT AS token_start, string_agg(b // 100 + 1, ',' ORDER BY b) AS pages FROM s JOIN p USING (doc_id) WHERE a < least(b + 100, s.n) AND b < least(a + 256, s.n) GROUP BY ALL""")
+def page_spans(spark, d):
+    """Windows with the pages that they meet, a page being 100 words."""
+    tokens = _t(spark, d, "documents").select("doc_id", F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)).alias("tokens"))
+    n = F.size("tokens")
+    pages = tokens.filter(n > 0).select("doc_id", n.alias("n"), F.explode(F.sequence(F.lit(0), n - 1, F.lit(100))).alias("page_start"))
+    pages = pages.select("doc_id", (F.floor(F.col("page_start") / 100) + 1).cast("int").alias("page"), "page_start", F.least(F.col("page_start") + 100, F.col("n")).alias("page_end"))
+    out = extraction.page_spans(extraction.fixed_windows(tokens), pages)
+    return out.select("doc_id", "token_start", F.array_join(F.transform("pages", lambda x: x.cast("string")), ",").alias("pages"))
+
+
+@_query("SELECT source, lang, count(*) AS n_chunks FROM documents GROUP BY ALL")
+def corpus_clauses(spark, d):
+    docs = _t(spark, d, "documents")
+    own = probes.corpus_clauses(docs, standard="source", clause="lang").join(probes.corpus_standards(docs, standard="source"), "standard")
+    return own.join(probes.single_standard(docs, standard="source"), [F.col("standard") == F.col("source"), F.col("clause") == F.col("lang")]).groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n_chunks"))
+
+
+@_query(r"""WITH t AS (SELECT doc_id, source, lang, text, '**' || lang || '** ' || source AS s FROM documents)
+SELECT doc_id, source || ' §' || lang || ' occ=0 page=? id=' || doc_id AS label, lang || ' ' || source AS cleaned, length(s) >= 20 AS valid, CASE WHEN length(trim(s)) < 20 THEN 'too_short:' || length(trim(s)) || '_chars' ELSE '' END AS issues, substr(sha256(text), 1, 16) AS digest, position(lower(source) IN lower(source || lang)) > 0 AS held FROM t""")
+def text_scalars(spark, d):
+    c, none = F.concat(F.lit("**"), "lang", F.lit("** "), "source"), F.lit(None).cast("string")
+    label = T.clause_label(F.col("source"), F.col("lang"), none, none.cast("int"), none, F.col("doc_id").cast("string"))
+    return _t(spark, d, "documents").select("doc_id", label.alias("label"), T.clean_summary(c).alias("cleaned"), T.summary_valid(c).alias("valid"), F.array_join(T.summary_issues(c), ",").alias("issues"), T.text_digest(F.col("text")).alias("digest"), T.contains_normalised(F.concat("source", "lang"), F.col("source")).alias("held"))
+
+
 def queries() -> dict:
     return dict(_QUERIES)
 

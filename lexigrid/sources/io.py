@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lexigrid.functions import text as T
@@ -15,6 +15,17 @@ class PublicationBoundaryError(ValueError):
     """A full view was about to leave the private folders."""
 
 
+class MissingLicensedData(FileNotFoundError):
+    """A private file that a run needs isn't there."""
+
+
+def private_file(path: str) -> str:
+    """path, if it is there; else raises."""
+    if not os.path.exists(path):
+        raise MissingLicensedData(path)
+    return path
+
+
 def read_jsonl(spark: SparkSession, path: str, schema, required: tuple[str, ...] = ()) -> DataFrame:
     """Rows of a JSON-lines file or folder; blank lines don't count, no rows raise, and a row without a required field raises when it is read."""
     rows = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
@@ -58,20 +69,48 @@ def assert_private_destination(path: str, root: str, private: tuple[str, ...]) -
     raise PublicationBoundaryError(path)
 
 
-def write_traces(traces: DataFrame, full_path: str, public_path: str, *texts: str, root: str, private: tuple[str, ...]) -> None:
-    assert_private_destination(full_path, root, private)
-    write_jsonl(traces, full_path)
-    write_jsonl(public_view(traces, *texts), public_path)
+class TraceSink:
+    """Writes traces in full to a private folder, as a public view anywhere, or both; write() replaces what was there and gives the counts of all its calls."""
+
+    def __init__(self, full_path: str | None = None, public_path: str | None = None, *, texts: tuple[str, ...] = (), drop: tuple[str, ...] = (), root: str = ".", private: tuple[str, ...] = ()):
+        if full_path is None and public_path is None:
+            raise ValueError("a trace sink needs a destination")
+        self.full_path = None if full_path is None else assert_private_destination(full_path, root, private)
+        self.public_path, self.texts, self.drop = public_path, texts, drop
+        self.counts = {"full": 0, "public": 0}
+
+    def write(self, traces: DataFrame) -> dict[str, int]:
+        for name, path, view in (("full", self.full_path, traces), ("public", self.public_path, public_view(traces, *self.texts, drop=self.drop))):
+            if path is not None:
+                seen = Observation()
+                write_jsonl(view.observe(seen, F.count(F.lit(1)).alias("n")), path)
+                self.counts[name] += seen.get["n"]
+        return dict(self.counts)
+
+
+def write_traces(traces: DataFrame, full_path: str, public_path: str, *texts: str, root: str, private: tuple[str, ...]) -> dict[str, int]:
+    return TraceSink(full_path, public_path, texts=texts, root=root, private=private).write(traces)
 
 
 def assert_no_text(public: DataFrame, snippets: DataFrame, *, snippet: str = "text") -> None:
-    """Raises if a serialised row holds one of the snippets; blank ones don't count."""
-    rows = public.select(F.to_json(F.struct(*public.columns)).alias("row"))
+    """Raises if a string of a public row, or the row as JSON, holds one of the snippets; blank ones don't count."""
+    from lexigrid.operators.retrieval import contains_join
+
+    strings = [F.col(f.name) for f in public.schema.fields if f.dataType.simpleString() == "string"]
+    rows = public.select(F.explode(F.array(F.to_json(F.struct(*public.columns)), *strings)).alias("row"))
     needles = snippets.select(F.trim(snippet).alias("needle")).filter("needle <> ''").distinct()
-    if not rows.join(needles, F.col("row").contains(F.col("needle"))).isEmpty():
+    if not contains_join(rows, needles, text="row", needle="needle").isEmpty():
         raise PublicationBoundaryError("a public row holds corpus text")
 
 
+def provenance(spark: SparkSession, **told) -> DataFrame:
+    """One row: where a run's numbers come from, as name and JSON value, with the versions of Python and Spark."""
+    import platform
+
+    rows = sorted((told | {"python": platform.python_version(), "spark": spark.version}).items())
+    return spark.createDataFrame([({k: json.dumps(v) for k, v in rows},)], "provenance map<string,string>")
+
+
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """A JSON file over several lines (ids, addresses, digests, licences) as a table; members of a top-level list `sources` become rows."""
     told = spark.read.option("multiLine", True).json(path)
@@ -104,17 +143,24 @@ def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, Da
     return tuple(spark.read.parquet(f"{path}/{t}") for t in ("postings", "stats", "idf"))
 
 
+def vector_metadata(*fields: str):
+    """A map of the named fields as strings; null ones are left out."""
+    entries = F.array(*[F.struct(F.lit(f).alias("key"), F.col(f).cast("string").alias("value")) for f in fields])
+    return F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
+
+
 def write_vectors(vectors: DataFrame, path: str, *, id: str = "vec_id", embedding: str = "embedding", metadata: tuple[str, ...] = ()) -> int:
-    """Vectors of length one as Parquet with a struct of metadata; an older table goes. A zero vector raises; returns the count, verified on the written table."""
+    """Vectors of length one as Parquet with a map of their metadata; an older table goes. A zero vector raises; returns the count, counted while writing and verified on the written table."""
     assert_unique(vectors, id)
     v = F.col(embedding)
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x))
     unit = F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(F.raise_error(F.lit("vector without length")))
-    extra = [F.struct(*metadata).alias("metadata")] if metadata else []
-    vectors.select(id, unit.alias(embedding), *extra).write.mode("overwrite").parquet(path)
+    extra = [vector_metadata(*metadata).alias("metadata")] if metadata else []
+    seen = Observation()
+    vectors.select(id, unit.alias(embedding), *extra).observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(path)
     n = vectors.sparkSession.read.parquet(path).count()
-    if n != vectors.count():
-        raise ValueError(f"{n} vectors written, {vectors.count()} given")
+    if n != seen.get["n"]:
+        raise ValueError(f"{n} vectors written, {seen.get['n']} given")
     return n
 
 
