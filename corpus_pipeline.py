@@ -2,6 +2,10 @@
 
 run() gives the encoded documents of the mix. Each stage works on all that the one before it has
 kept; all but the last return the columns of documents.
+
+Defined results, in every stage: a null text counts as empty, an empty table gives an empty result, other columns pass
+through unchanged whatever their names, and texts are read whole whatever their length. What repeated rows and null
+ids give is said with each stage.
 """
 
 from __future__ import annotations
@@ -21,22 +25,22 @@ ORACLE_SQL = None
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted to all labels, doesn't reject."""
+    """Documents that the classifier, fitted to all labels, doesn't reject. Each row is decided by its own text, so equal texts stay or go together; without labels of both kinds all go or all stay."""
     return keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal texts the one with the largest doc_id."""
+    """Of documents with equal texts the one with the largest doc_id; of several rows with that id one."""
     return exact_dedup(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a similarity of 0.8 or more in five-word shingles the one with the least doc_id."""
+    """Of documents linked by a similarity of 0.8 or more in five-word shingles the one with the least doc_id. Documents without words are linked with nothing and stay."""
     return near_dedup(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes, as often as it takes them."""
+    """Documents that the mix takes, as often as it takes them, twice at most. Documents without words are never taken."""
     return mix_documents(docs)
 
 
