@@ -16,6 +16,8 @@ Defined results
   doc_id: their mean. Without any label of either kind every score is the share of label 1 (0.5
   if there are no labels).
 * doc_ids that repeat: one output row for each input row.
+* very long texts: statistics of the whole text, in a bounded number of copies of it.
+* ties: equal texts have equal scores; of equal raw scores in the calibrating fold the sums count.
 * an empty table gives an empty result; other columns are ignored by quality_scores and returned
   unchanged by keep_good.
 """
@@ -37,6 +39,8 @@ NAMES = (
     "mean_word", "long_word", "distinct", "repeat", "top_share", "ends", "caps_words", "symbol_words", "line_words", "repeat_lines", "marks_a_word", "letters_a_word",
 )
 STATS = "doc_id long, x array<double>"
+#: The column that keep_good writes beside a table's own.
+STATISTICS = "_lexigrid_statistics"
 
 
 def statistics(text: bytes):
@@ -244,9 +248,9 @@ def keep_good(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", tex
         x = [statistics((t.as_py() or "").encode()) for t in texts]
         return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype="i4") * len(NAMES)), pa.array(np.concatenate(x) if x else np.empty(0)))
 
-    rows = written(spread(docs).withColumn("_x", stats(F.col(text).cast("string"))), "statistics")
+    rows = written(spread(docs).withColumn(STATISTICS, stats(F.col(text).cast("string"))), "statistics")
     known = labels.select(F.col(label_id).cast("long").alias("doc_id"), F.col(label).alias("y"))
-    model = fit(rows.select(F.col(doc_id).cast("long").alias("doc_id"), F.col("_x").alias("x")), known)
+    model = fit(rows.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(STATISTICS).alias("x")), known)
 
     @F.arrow_udf("double")
     def score(x):
@@ -254,7 +258,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", tex
 
         return pa.array(model.score(_matrix(x)), pa.float64())
 
-    return rows.filter(score("_x") >= 0.5).select(*docs.columns)
+    return rows.filter(score(STATISTICS) >= 0.5).select(*docs.columns)
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

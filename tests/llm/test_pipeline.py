@@ -31,13 +31,29 @@ def test_encoding_decodes_to_the_texts(spark, sf):
 
 
 def test_edges(spark, sf):
-    df = clashing(documents(spark, edge_rows()))
+    rows = edge_rows()
+    df = clashing(documents(spark, rows))
+    there = Counter((r["doc_id"], r["text"]) for r in df.collect())
+    kept = {}
     for name, stage in P.STAGES:
         assert stage(spark, df.limit(0), sf).count() == 0, name
-        rows = stage(spark, df, sf)
-        assert rows.count() >= 0
-        if name != "encode":
-            assert rows.columns == df.columns, name
+        out = stage(spark, df, sf)
+        if name == "encode":
+            assert sorted((r["doc_id"] or 0, r["decoded_sha256"]) for r in out.collect()) == sorted((i or 0, hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows)
+            continue
+        assert out.columns == df.columns, name
+        held = out.collect()
+        assert all(r["kept"] == r["score"] == "clash" for r in held), name
+        kept[name] = Counter((r["doc_id"], r["text"]) for r in held)
+        assert set(kept[name]) <= set(there), name
+    assert all(kept["quality"][k] in (0, there[k]) for k in there)  # rows of equal texts stay or go together
+    texts = Counter(t or "" for _, t in kept["exact"].elements())
+    assert set(texts) == {t or "" for _, t in rows} and set(texts.values()) == {1}
+    assert max(i or 0 for i, t in kept["exact"] if t == rows[0][1]) == 2  # of 1 and 2 the larger
+    near = kept["near"]
+    assert near[(1, rows[0][1])] == 1 and near[(2, rows[1][1])] == 0 and near[(6, rows[5][1])] == 1 and near[(7, rows[6][1])] == 0
+    assert all(near[(i, t)] == 1 for i, t in rows if i in (3, 4, 5))  # without words: linked with nothing
+    assert all(n <= 2 * there[k] and (k[1] or "").split() for k, n in kept["mix"].items())
 
 
 def test_ranks_are_read():
