@@ -79,3 +79,18 @@ def test_recall_at_the_threshold():
 def test_query(spark, sf):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()]
     assert held(D.op8_embedding_dedup(spark, sf)) == brute(rows)
+
+
+@pytest.mark.parametrize("pivots,dim", [(2_048, 64), (16_384, 64), (65_536, 64), (16_384, 384)])
+def test_recall_at_the_threshold_with_many_pivots(pivots, dim):
+    """Random pairs at a cosine of exactly 0.95: the share that has two pivots in common."""
+    rng = np.random.default_rng(pivots + dim)
+    x = rng.standard_normal((300, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    u = rng.standard_normal((300, dim))
+    u -= (u * x).sum(1, keepdims=True) * x
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    y = 0.95 * x + np.sqrt(1 - 0.95**2) * u
+    a, b = D.describe(x, pivots, 10), D.describe(y, pivots, 10)
+    found = np.mean([len(set(p) & set(q)) >= 2 for p, q in zip(a.tolist(), b.tolist())])
+    assert found >= 0.98
