@@ -214,7 +214,7 @@ def test_query_against_sql(spark, sf, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "benchmark", "labels", "conversations"):
+    for t in ("documents", "embeddings", "benchmark", "labels", "conversations", "nation"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
     out = con.sql(sql)
     columns = sorted(out.columns)
