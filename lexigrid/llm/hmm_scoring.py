@@ -22,7 +22,7 @@ vocabulary of the corpus and stays distributed. A rare word's probability in a s
 symbol's times the word's smoothed share of that symbol's occurrences in that state, so the
 distribution over all words is proper in each state.
 
-Texts are tokenised twice, to count and to write their codes; training and scoring read the codes.
+Texts are tokenised twice, to count and to write their symbols; training and scoring read the symbols.
 
 Scoring: the scaled forward recursion over the whole text gives its exact log10 likelihood. Listed
 words' emissions are in the tasks; those of all other words come by one join on the word, of one row
@@ -47,7 +47,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrid.llm._shared import crc_mod, forget, ship, spread, table, tidy, written
+from lexigrid.llm._shared import crc_mod, forget, settings, ship, spread, table, tidy, written
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 VOCABULARY = 20_000
@@ -91,8 +91,15 @@ def _count_partition(batches, most: int):
         yield out()
 
 
+class _Index(dict):
+    """Places of listed words; other words get the next place in `own`."""
+
+    def __missing__(self, word: bytes) -> int:
+        return self.own.setdefault(word, len(self.own) + self.first)
+
+
 class Symbols:
-    """Symbols are the first words of the list in order, then the classes of all other words, then the end token. Codes are places in the list, then the end, then the text's own unlisted words.
+    """Symbols are the first words of the list in order, then the classes of all other words, then the end token. Places of words are those in the list, then, from one behind it, those among the text's own unlisted words.
 
     words, word_counts: the listed words; class_counts: (tokens, words) that each class has in training; ends: end tokens there."""
 
@@ -106,45 +113,40 @@ class Symbols:
         self.counts = np.concatenate([self.word_counts[: self.vocabulary], [c for c, _ in class_counts], [ends]])
         self.class_total = np.array([c + ALPHA * (v + 1) for c, v in class_counts])
         other = np.array([self.vocabulary + self.class_of(w) for w in words[self.vocabulary :]], "i8")
-        #: the symbol of each code up to the end's
         self.kind = "<u2" if self.size <= 1 << 16 else "<u4"
-        self.symbol = np.concatenate([np.arange(self.vocabulary), other, [self.end]]).astype(self.kind)
+        #: the symbol of each listed word
+        self.symbol = np.concatenate([np.arange(self.vocabulary), other]).astype(self.kind)
         self._index = None
 
     def __getstate__(self):
         return self.__dict__ | {"_index": None}
 
     @property
-    def index(self) -> dict[bytes, int]:
+    def index(self) -> "_Index":
         if self._index is None:
-            self._index = {w: i for i, w in enumerate(self.words)}
+            self._index = _Index((w, i) for i, w in enumerate(self.words))
+            self._index.first = len(self.words) + 1
         return self._index
 
     def class_of(self, word: bytes) -> int:
         return zlib.crc32(word) % self.classes
 
-    def codes(self, tokens: list[bytes]):
-        """(codes with the end, distinct tokens that aren't listed)."""
-        import numpy as np
-
-        get, own = self.index.get, {}
-        found = list(map(get, tokens))
-        if None in found:
-            first = len(self.words) + 1
-            found = [own.setdefault(w, len(own)) + first if i is None else i for i, w in zip(found, tokens)]
-        found.append(len(self.words))
-        return np.array(found, "<u4"), list(own)
-
-    def of(self, codes, own):
-        """The symbols of codes; own: the text's unlisted words."""
+    def of(self, tokens: list[bytes]):
+        """(symbols with the end, places of the words outside the vocabulary, distinct tokens that aren't listed)."""
         import numpy as np
 
-        last = len(self.words)
-        out = self.symbol[np.minimum(codes, last)]
-        if own:
-            at = np.flatnonzero(codes > last)
-            out[at] = np.array([self.vocabulary + self.class_of(w) for w in own], self.kind)[codes[at] - last - 1]
-        return out
+        index, listed = self.index, len(self.words)
+        index.own = own = {}
+        found = np.array(list(map(index.__getitem__, tokens)), "u4")
+        places = found[found >= self.vocabulary]
+        symbols = np.empty(len(found) + 1, self.kind)
+        own = list(own)
+        every = np.array([self.vocabulary + self.class_of(w) for w in own], self.kind)
+        mine = found > listed
+        symbols[:-1][~mine] = self.symbol[found[~mine]]
+        symbols[:-1][mine] = every[found[mine] - listed - 1]
+        symbols[-1] = self.end
+        return symbols, places, own
 
 
 class Hmm:
@@ -232,36 +234,41 @@ class Hmm:
 
         n, most = batch.shape
         k = len(self.start)
-        trans, emits = self.trans.astype("f4"), self.emit.astype("f4")[batch.T]  # most, n, k
+        top = self.emit.max(1)  # by symbol: what is left is at most one, so that a sum is due every fourth step only
+        trans, emits = self.trans.astype("f4"), (self.emit / top[:, None]).astype("f4")[batch.T]  # most, n, k
+        lives, last = np.searchsorted(-lengths, -np.arange(most), "left").tolist(), (lengths - 1, np.arange(n))
+        emits[np.arange(most)[:, None] >= lengths[None, :]] = 0
         before = np.repeat(self.start[None, :], n, 0) if before is None else before
         begin = np.where(first[:, None], before, before @ self.trans).astype("f4")
-        alphas, scales, lives = np.zeros((most, n, k), "f4"), np.ones((most, n, 1), "f4"), np.searchsorted(-lengths, -np.arange(most), "left").tolist()
-        for t, live in enumerate(lives):
-            a = alphas[t, :live]
-            np.multiply(begin[:live] if t == 0 else alphas[t - 1, :live] @ trans, emits[t, :live], out=a)
-            np.sum(a, axis=1, keepdims=True, out=scales[t, :live])
-            a /= scales[t, :live]
-        beta, back = np.ones((n, k), "f4") if behind is None else behind.astype("f4"), np.ascontiguousarray(trans.T)
-        moved = np.zeros((k, k))
-        for t in range(most - 1, -1, -1):
-            live = lives[t]
-            x = emits[t, :live]
-            x *= beta[:live]
-            x /= scales[t, :live]
-            alphas[t, :live] *= beta[:live]  # now the share of each state
-            if t:
-                # what was before the step: the last step's share is not yet multiplied
-                moved += alphas[t - 1, :live].T @ x
-                beta[:live] = x @ back
-            else:
-                moved += before[~first].T @ x[~first]
+        alphas, sums_at = np.zeros((most, n, k), "f4"), {}
+        np.multiply(begin, emits[0], out=alphas[0])
+        for t in range(1, most):
+            a = alphas[t, : lives[t]]
+            np.matmul(alphas[t - 1, : lives[t]], trans, out=a)
+            a *= emits[t, : lives[t]]
+            if t % 4 == 3:
+                sums_at[t] = a.sum(1, keepdims=True)
+                a /= sums_at[t]
+        whole = alphas[last].sum(1, dtype="f8")
+        end = np.ones((n, k)) / whole[:, None] if behind is None else behind / (alphas[last] * behind).sum(1, keepdims=True)
+        betas, back = np.repeat(end.astype("f4")[None], most, 0), np.ascontiguousarray(trans.T)
+        for t in range(most - 1, 0, -1):
+            x = emits[t, : lives[t]]
+            x *= betas[t, : lives[t]]
+            if t in sums_at:
+                x /= sums_at[t]
+            np.matmul(x, back, out=betas[t - 1, : lives[t]])
+        emits[0] *= betas[0]
+        moved = alphas[:-1].reshape(-1, k).T @ emits[1:].reshape(-1, k) + before[~first].T @ emits[0][~first]
+        alphas *= betas  # now the share of each state
         sums[0] += alphas[0][first].sum(0, dtype="f8")
         sums[1] += moved * self.trans
         if sums[2] is not None:
             at, g = batch.T.ravel(), alphas.reshape(-1, k).T.astype("f8", order="C")
             for j in range(k):
                 sums[2][:, j] += np.bincount(at, g[j], minlength=len(self.emit))
-        return float(np.log(scales).sum(dtype="f8")), alphas
+        told = np.log(top)[batch].sum(where=np.arange(most)[None, :] < lengths[:, None]) + np.log(whole).sum() + sum(float(np.log(c).sum(dtype="f8")) for c in sums_at.values())
+        return float(told), alphas
 
 
 def _grouped(rows, budget: int):
@@ -308,7 +315,7 @@ def _passes(model: Hmm, data: list, piece: int, sums, cells: int = 500_000):
 
 
 def _symbol_groups(batches, kind: str, tokens: int = 2_000_000):
-    """Lists of rows of about `tokens` tokens: their symbols and, where batches have them, codes and unlisted words."""
+    """Lists of rows of about `tokens` tokens: their symbols and, where batches have them, places and unlisted words."""
     import numpy as np
 
     held, size = [], 0
@@ -351,10 +358,16 @@ def _word_partition(batches, model: Hmm, symbols: Symbols, piece: int, most: int
     own, own_n = np.zeros((0, k), "f4"), np.zeros(0, "i8")
 
     def out(words, n, g):
-        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(n, pa.int64()), *[pa.array(g[:, j], pa.float32()) for j in range(k)]], names=["word", "n", *[f"g{j}" for j in range(k)]])
+        # in 256ths that sum to the word's number: all but one or two are zero, which is little to shuffle
+        g = np.floor(g * 256 + 0.5) / 256
+        g[np.arange(len(g)), g.argmax(1)] += n - g.sum(1)
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), *[pa.array(g[:, j].astype("f4"), pa.float32()) for j in range(k)]], names=["word", *[f"g{j}" for j in range(k)]])
 
     ignored = [np.zeros(k), np.zeros((k, k)), None]
 
+    def outside(own_symbols):
+        return int(((own_symbols >= vocabulary) & (own_symbols < symbols.end)).sum())
+
     def add(at, g, to, n):
         for j in range(k):
             to[:, j] += np.bincount(at, g[:, j], minlength=len(to))
@@ -368,9 +381,11 @@ def _word_partition(batches, model: Hmm, symbols: Symbols, piece: int, most: int
         for _, keys, lengths, shares in _passes(model, [h[0] for h in held], piece, ignored):
             cells, at = [], []
             for row, (i, start) in enumerate(keys):
-                codes = held[i][1][start : start + lengths[row]]
-                steps = np.flatnonzero((codes >= vocabulary) & (codes != listed))
-                codes, rare = codes[steps].astype("i8"), codes[steps] > listed
+                own_symbols = held[i][0][start : start + lengths[row]]
+                steps = np.flatnonzero((own_symbols >= vocabulary) & (own_symbols < symbols.end))
+                skipped = outside(held[i][0][:start]) if start else 0
+                codes = held[i][1][skipped : skipped + len(steps)].astype("i8")
+                rare = codes > listed
                 codes[rare] = places[i][codes[rare] - listed - 1] + listed + 1
                 cells.append(steps * len(keys) + row), at.append(codes)
             at, g = np.concatenate(at), shares.reshape(-1, k)[np.concatenate(cells)]
@@ -442,14 +457,15 @@ def train(rows: DataFrame, symbols: Symbols, *, states: int = STATES, first: int
 
 
 def word_states(rows: DataFrame, symbols: Symbols, model: Hmm, *, piece: int = PIECE, distinct: int = 400_000) -> DataFrame:
-    """word, c, class, g (its expected number in each state) of all training words outside the vocabulary; a written table. rows: symbols, codes, rare."""
+    """word, c, class, g (its expected number in each state) of all training words outside the vocabulary; a written table. rows: symbols, places, rare."""
     spark, k = rows.sparkSession, len(model.start)
     known, shared = spark.sparkContext.broadcast(symbols), spark.sparkContext.broadcast(model)
-    schema = "word binary, n long, " + ", ".join(f"g{j} float" for j in range(k))
-    parts = rows.select("symbols", "codes", "rare").mapInArrow(lambda b: tidy(_word_partition(b, shared.value, known.value, piece, distinct)), schema)
-    sums = parts.groupBy("word").agg(F.sum("n").alias("c"), *[F.sum(f"g{j}").cast("float").alias(f"g{j}") for j in range(k)])
+    schema = "word binary, " + ", ".join(f"g{j} float" for j in range(k))
+    parts = rows.select("symbols", "places", "rare").mapInArrow(lambda b: tidy(_word_partition(b, shared.value, known.value, piece, distinct)), schema)
+    sums = parts.groupBy("word").agg(*[F.sum(f"g{j}").alias(f"g{j}") for j in range(k)])
+    sums = sums.withColumn("c", F.round(sum((F.col(f"g{j}") for j in range(k)), F.lit(0.0))).cast("long"))
     class_of = F.pmod(F.crc32("word"), F.lit(symbols.classes)).cast("int")
-    return written(sums.select("word", "c", class_of.alias("class"), F.array(*[f"g{j}" for j in range(k)]).alias("g")), "words")
+    return written(sums.select("word", "c", class_of.alias("class"), F.array(*[F.col(f"g{j}").cast("float") for j in range(k)]).alias("g")), "words")
 
 
 class Emissions:
@@ -481,29 +497,28 @@ class Emissions:
         return m * share / self.symbols.class_total[classes][:, None]
 
 
-ENCODED = "row long, doc_id long, held_out boolean, n_tokens long, symbols binary, codes binary, rare array<binary>"
+ENCODED = "row long, doc_id long, held_out boolean, n_tokens long, symbols binary, places binary, rare array<binary>"
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
 def _encode_partition(batches, symbols: Symbols):
-    """For each row its codes and distinct unlisted words."""
+    """For each row its symbols, places and distinct unlisted words."""
     import numpy as np
     import pyarrow as pa
 
     def out(held):
-        row, doc_id, held_out, symbols_, codes, rare = zip(*held)
+        row, doc_id, held_out, codes, places, rare = zip(*held)
         offsets = pa.array(np.cumsum([0, *map(len, rare)], dtype="i4"))
         names = pa.array([w for r in rare for w in r], pa.binary())
-        cols = [pa.array(row, pa.int64()), pa.array(doc_id, pa.int64()), pa.array(held_out, pa.bool_()), pa.array(list(map(len, codes)), pa.int64()), pa.array([s.tobytes() for s in symbols_], pa.binary()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.ListArray.from_arrays(offsets, names)]
+        cols = [pa.array(row, pa.int64()), pa.array(doc_id, pa.int64()), pa.array(held_out, pa.bool_()), pa.array(list(map(len, codes)), pa.int64()), pa.array([s.tobytes() for s in codes], pa.binary()), pa.array([p.tobytes() for p in places], pa.binary()), pa.ListArray.from_arrays(offsets, names)]
         return pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in ENCODED.split(", ")])
 
     held, size = [], 0
     for batch in batches:
         ids = [batch.column(i).to_pylist() for i in (0, 1, 3)]
         for row, doc_id, held_out, t in zip(*ids, batch.column(2)):
-            codes, rare = symbols.codes(words(t.as_py()))
-            held.append((row, doc_id, held_out, symbols.of(codes, rare), codes, rare))
-            size += len(codes)
+            held.append((row, doc_id, held_out, *symbols.of(words(t.as_py()))))
+            size += len(held[-1][3])
             if size > 500_000:
                 yield out(held)
                 held, size = [], 0
@@ -512,7 +527,7 @@ def _encode_partition(batches, symbols: Symbols):
 
 
 def _score_partition(batches, emissions: Emissions, n: int, v: int, cells: int = 500_000):
-    """SCORED; batches: doc_id, held_out, n_tokens, codes, rare, found (place in rare, c, g)."""
+    """SCORED; batches: doc_id, held_out, n_tokens, symbols, places, n_rare, found (place in rare, c, g)."""
     import numpy as np
     import pyarrow as pa
 
@@ -521,44 +536,55 @@ def _score_partition(batches, emissions: Emissions, n: int, v: int, cells: int =
     counts = np.concatenate([symbols.word_counts, symbols.counts[-1:]])
     log = np.log10((counts + ALPHA) / below)
 
-    for batch in batches:
-        rows, rare, base, known = [], [], [], []
-        column = {f: batch.column(5).flatten().field(f) for f in ("i", "c", "g")}
-        sizes = np.concatenate([[0], np.cumsum(batch.column(5).value_lengths().fill_null(0).to_numpy())])
-        places, c_of = column["i"].to_numpy(), column["c"].to_numpy()
-        g_of = column["g"].flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
-        for r, (c, words_) in enumerate(zip(batch.column(3), batch.column(4))):
-            codes, own = np.frombuffer(c.as_buffer(), "<u4"), words_.as_py()
-            own_c, own_g = np.zeros(len(own)), np.zeros((len(own), k))
-            part = slice(sizes[r], sizes[r + 1])
-            own_c[places[part]], own_g[places[part]] = c_of[part], g_of[part]
-            classes = np.array([symbols.class_of(w) for w in own], "i8")
-            rare.append(emissions.rare(classes, own_g) if own else np.empty((0, k)))
-            mine = codes[codes > listed] - listed - 1
-            theirs = codes[codes <= listed]
-            base.append(float(log[theirs].sum() + np.log10((own_c + ALPHA) / below)[mine].sum()))
-            known.append(int((counts[theirs] > 0).sum() + (own_c > 0)[mine].sum()))
-            rows.append((r, codes))
-        scores = np.zeros(len(rows))
-        for keys, padded, lengths in _grouped(rows, cells):
+    def out(held):
+        meta, codes, rare, base, known = zip(*held)
+        scores = np.zeros(len(held))
+        for keys, padded, lengths in _grouped(list(enumerate(codes)), cells):
             first = np.cumsum([0, *(len(rare[r]) for r in keys)])
             more = np.concatenate([rare[r] for r in keys])
-            shift = (first[:-1] - listed - 1)[:, None]
             padded = padded.astype("i8")
             own = padded > listed
-            padded = np.where(own, padded + shift, padded)
+            padded = np.where(own, padded + (first[:-1] - listed - 1)[:, None], padded)
 
             def at(t, live, padded=padded, own=own, more=more):
-                here, out = padded[:live, t], None
-                mine = own[:live, t]
+                here, mine = padded[:live, t], own[:live, t]
                 if not mine.any():
                     return emissions.matrix[here]
-                out = emissions.matrix[np.where(mine, 0, here)]
-                out[mine] = more[here[mine]]
-                return out
+                found = emissions.matrix[np.where(mine, 0, here)]
+                found[mine] = more[here[mine]]
+                return found
 
             scores[keys] = model.forward(at, lengths)
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(scores / np.log(10))], names=[x.split()[0] for x in SCORED.split(", ")])
+        ids, held_out, n_tokens = zip(*meta)
+        cols = [pa.array(ids, pa.int64()), pa.array(held_out, pa.bool_()), pa.array(n_tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(scores / np.log(10))]
+        return pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in SCORED.split(", ")])
+
+    held, size = [], 0  # batches are small, as their nested lists take much room; texts are scored many at once
+    for batch in batches:
+        column = {f: batch.column(6).flatten().field(f) for f in ("i", "c", "g")}
+        sizes = np.concatenate([[0], np.cumsum(batch.column(6).value_lengths().to_numpy())])
+        at_of, c_of = column["i"].to_numpy(), column["c"].to_numpy()
+        g_of = column["g"].flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+        meta = list(zip(*(batch.column(i).to_pylist() for i in range(3))))
+        for r, (s, p, n_rare) in enumerate(zip(batch.column(3), batch.column(4), batch.column(5).to_pylist())):
+            codes, places = np.frombuffer(s.as_buffer(), symbols.kind).astype("u4"), np.frombuffer(p.as_buffer(), "<u4")
+            outside = np.flatnonzero((codes >= symbols.vocabulary) & (codes < symbols.end))
+            classes, mine = np.zeros(n_rare, "i8"), places > listed
+            classes[places[mine] - listed - 1] = codes[outside[mine]] - symbols.vocabulary
+            codes[outside], codes[-1] = places, listed
+            own_c, own_g = np.zeros(n_rare), np.zeros((n_rare, k))
+            part = slice(sizes[r], sizes[r + 1])
+            own_c[at_of[part]], own_g[at_of[part]] = c_of[part], g_of[part]
+            mine, theirs = codes[codes > listed] - listed - 1, codes[codes <= listed]
+            base = float(log[theirs].sum() + np.log10((own_c + ALPHA) / below)[mine].sum())
+            known = int((counts[theirs] > 0).sum() + (own_c > 0)[mine].sum())
+            held.append((meta[r], codes, emissions.rare(classes, own_g) if n_rare else np.empty((0, k)), base, known))
+            size += len(codes)
+        if size > 1_500_000:
+            yield out(held)
+            held, size = [], 0
+    if held:
+        yield out(held)
 
 
 def _cut(counts: DataFrame, listed: int) -> int:
@@ -612,9 +638,12 @@ def hmm_scores(docs: DataFrame, *, vocabulary: int = VOCABULARY, listed: int = L
     emissions = spark.sparkContext.broadcast(Emissions(symbols, model, class_states, dict(zip(few.column("word").to_pylist(), few.column("g").to_pylist()))))
     rare = encoded.select("row", F.posexplode("rare").alias("i", "word"))
     found = rare.join(own.filter(F.col("c") < cut).select("word", "c", "g"), "word").groupBy("row").agg(F.collect_list(F.struct("i", "c", "g")).alias("found"))  # as many as a text has distinct words
-    none = F.array().cast(f"array<struct<i:int,c:bigint,g:array<float>>>")
-    each = encoded.join(found, "row", "left").select("doc_id", "held_out", "n_tokens", "codes", "rare", F.coalesce("found", none).alias("found"))
-    scored = each.mapInArrow(lambda b: tidy(_score_partition(b, emissions.value, n, v)), SCORED)
+    none = F.array().cast("array<struct<i:int,c:bigint,g:array<float>>>")
+    plain = encoded.select("row", "doc_id", "held_out", "n_tokens", "symbols", "places", F.size("rare").alias("n_rare"))
+    each = plain.join(found, "row", "left").select("doc_id", "held_out", "n_tokens", "symbols", "places", "n_rare", F.coalesce("found", none).alias("found"))
+    with settings(spark, **{"spark.sql.execution.arrow.maxRecordsPerBatch": "500"}):  # nested lists take much room in a batch
+        scored = written(each.mapInArrow(lambda b: tidy(_score_partition(b, emissions.value, n, v)), SCORED), "scored")
+    forget(encoded), forget(own)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 

@@ -137,11 +137,11 @@ def test_expected_numbers_are_of_every_word(spark, monkeypatch):
     """The table of emissions holds each training word outside the vocabulary, with its count as the sum over states."""
     rows = [(i, f"a b c{i % 5} d{i} e{i % 30} f{i // 2}") for i in range(80)]
     kept, states = {}, H.word_states
-    monkeypatch.setattr(H, "word_states", lambda *a, **k: kept.setdefault("t", states(*a, **k)))
+    monkeypatch.setattr(H, "word_states", lambda *a, **k: (out := states(*a, **k), kept.update(t=out.collect()))[0])
     H.hmm_scores(documents(spark, rows), vocabulary=2, listed=3, classes=3, states=3, first=2, iterations=1)
     count = Counter(w for i, t in rows if zlib.crc32(str(i).encode()) % 10 for w in t.split())
     top = sorted(count, key=lambda w: (-count[w], w))[:2]
-    got = {r["word"].decode(): r for r in kept["t"].collect()}
+    got = {r["word"].decode(): r for r in kept["t"]}
     assert {w: r["c"] for w, r in got.items()} == {w: c for w, c in count.items() if w not in top}
     assert all(abs(sum(r["g"]) - r["c"]) < 1e-3 * r["c"] and min(r["g"]) >= 0 for r in got.values())
 
@@ -167,9 +167,9 @@ def test_scores_are_the_sum_over_all_paths(spark, monkeypatch):
     rows = [(i, f"a b c{i % 5} d{i}") for i in range(60)]
     kept, made, states = {}, H.Emissions.__init__, H.word_states
     monkeypatch.setattr(H.Emissions, "__init__", lambda self, *a: (kept.update(e=self), made(self, *a))[1])
-    monkeypatch.setattr(H, "word_states", lambda *a, **k: kept.setdefault("t", states(*a, **k)))
+    monkeypatch.setattr(H, "word_states", lambda *a, **k: (out := states(*a, **k), kept.update(t=out.collect()))[0])
     out = H.hmm_scores(documents(spark, rows), vocabulary=3, listed=6, classes=2, states=2, first=2, iterations=1).collect()
-    e, table = kept["e"], {bytes(r["word"]): r["g"] for r in kept["t"].collect()}
+    e, table = kept["e"], {bytes(r["word"]): r["g"] for r in kept["t"]}
     text = dict(rows)
 
     def emission(w):
