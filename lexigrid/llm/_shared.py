@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -29,7 +30,35 @@ def shared_dir(spark: SparkSession) -> str:
                 raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             base = "file://" + tempfile.mkdtemp(prefix="lexigrid-")
             spark.sparkContext._lexigrid_shared = base
-    return base.rstrip("/")
+    return qualified(spark, base.rstrip("/"))
+
+
+def hadoop_path(spark: SparkSession, path: str):
+    """The JVM's path object and its file system."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """path with its scheme. Without one Spark means the default file system, and workers must not take it for their own disk."""
+    p, fs = hadoop_path(spark, path)
+    return fs.makeQualified(p).toString()
+
+
+def file_system(uri: str):
+    """A pyarrow file system and the path in it, for a qualified path; `file:` is the local one."""
+    from pyarrow import fs
+
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
+    if "://" not in uri:
+        return fs.LocalFileSystem(), uri
+    return fs.FileSystem.from_uri(uri)
+
+
+def local_path(uri: str) -> str | None:
+    """The path that open() takes, None where the file isn't on a mounted file system."""
+    return "/" + uri[5:].lstrip("/") if uri.startswith("file:") else uri if "://" not in uri else None
 
 
 def new_path(spark: SparkSession, label: str) -> str:
@@ -63,10 +92,24 @@ def forget(df: DataFrame) -> None:
     """Delete a table that written() made and nothing reads any more."""
     path = getattr(df, "_lexigrid_path", None)
     if path:
-        spark = df.sparkSession
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        p, fs = hadoop_path(df.sparkSession, path)
+        fs.delete(p, True)
+
+
+def numbered(df: DataFrame, order: list, label: str, *, name: str = "pos") -> DataFrame:
+    """df written sorted by `order`, with each row's position in it from 0. Range partitions are sorted by themselves; their files' sizes, one
+    row a partition, are summed up on the driver, and a row's position is its file's sum and its place in the file, so no task sees all rows."""
+    out = written(df.repartitionByRange(*order).sortWithinPartitions(*order), label)
+    at = out.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    counts = sorted((int(re.match(r"part-(\d+)", r["_file"])[1]), r["_file"], r["n"]) for r in at.groupBy("_file").agg(F.count(F.lit(1)).alias("n")).collect())
+    bases, total = [], 0
+    for _, file, n in counts:
+        bases.append((file, total))
+        total += n
+    base = df.sparkSession.createDataFrame(bases, "_file string, _base long")
+    rows = at.join(F.broadcast(base), "_file").withColumn(name, F.col("_base") + F.col("_at")).drop("_file", "_base", "_at")
+    rows._lexigrid_path, rows._lexigrid_rows = out._lexigrid_path, total
+    return rows
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ _WHERE = {
     "op8_embedding_dedup": ("embedding_dedup", None),
     "op9_source_mixing": ("source_mixing", "OP9_SQL"),
     "op10_hmm_scoring": ("hmm_scoring", None),
+    "op11_erasure_rewrite": ("erasure_rewrite", None),
 }
 
 
