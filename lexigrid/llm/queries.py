@@ -17,6 +17,8 @@ _WHERE = {
     "op9_source_mixing": ("source_mixing", "OP9_SQL"),
     "op10_hmm_scoring": ("hmm_scoring", None),
     "op11_erasure_rewrite": ("erasure_rewrite", None),
+    "op12_decontamination": ("decontamination", "OP12_SQL"),
+    "op13_importance_resampling": ("importance_resampling", None),
 }
 
 
