@@ -1,4 +1,4 @@
-"""From lines to clause records, chunks and windows: a line grammar as running windows over (standard, page, line)."""
+"""From lines to clause records, chunks and windows: a line grammar as running values over (standard, page, line), in blocks."""
 
 from __future__ import annotations
 
@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexigrid.functions import text as T
+from lexigrid.operators.ordered import BLOCK, before, running, running_low
+from lexigrid.sources.scratch import positions, stored
 
 #: The line grammar.
 SECTION = r"^(\d+)\.\s+(.+)$"
@@ -52,16 +54,22 @@ def contents_pages(lines: DataFrame) -> DataFrame:
 
 
 def scan_lines(lines: DataFrame) -> DataFrame:
-    """Every line with where it stands: in_toc (a contents page before the start), starts (lines of section 1 seen so far), over (back matter reached), ignored, stated (the statement heading was seen before)."""
+    """Every line with where it stands: in_toc (a contents page before the start), started (section 1 seen), over (back matter reached), ignored, stated (the statement heading was seen before).
+
+    Where a standard starts, states and ends are least places, so aggregates of one row a standard find them and no window runs over a standard."""
     toc = contents_pages(lines).select("standard_id", "page", F.lit(True).alias("_toc"))
-    w = Window.partitionBy("standard_id").orderBy("page", "line_no").rowsBetween(Window.unboundedPreceding, 0)
-    line = F.col("line")
+    line, at = F.col("line"), F.struct("page", "line_no")
     rows = lines.join(toc, ["standard_id", "page"], "left").withColumn("_toc", F.coalesce("_toc", F.lit(False)))
     begins = ~F.col("_toc") & (F.regexp_extract(line, SECTION, 1) == "1") & ~line.rlike(CLAUSE)
-    rows = rows.withColumns({"started": F.coalesce(F.max(begins).over(w), F.lit(False)), "stated": F.coalesce(F.max(~F.col("_toc") & line.rlike(STATEMENT)).over(w), F.lit(False))})
-    rows = rows.withColumns({"in_toc": F.col("_toc") & ~F.col("started"), "over": F.coalesce(F.max(F.col("started") & line.rlike(BACK_MATTER)).over(w), F.lit(False))})
+    ends = line.rlike(BACK_MATTER)
+    first = rows.groupBy("standard_id").agg(F.min(F.when(begins, at)).alias("_start"), F.min(F.when(~F.col("_toc") & line.rlike(STATEMENT), at)).alias("_stated"))
+    rows = rows.join(first, "standard_id")
+    last = rows.filter(ends & (at >= F.col("_start"))).groupBy("standard_id").agg(F.min(at).alias("_end"))
+    rows = rows.join(last, "standard_id", "left")
+    there = lambda c: F.coalesce(at >= F.col(c), F.lit(False))
+    rows = rows.withColumns({"started": there("_start"), "stated": there("_stated"), "over": there("_end")})
     ignored = line.rlike(HEADER) | line.rlike(PAGE_NUMBER) | line.isin("Statement of the Standard", "Contents")
-    return rows.withColumn("ignored", ignored).drop("_toc")
+    return rows.withColumns({"in_toc": F.col("_toc") & ~F.col("started"), "ignored": ignored}).drop("_toc", "_start", "_stated", "_end")
 
 
 def normative_lines(lines: DataFrame) -> DataFrame:
@@ -84,51 +92,57 @@ def page_texts(lines: DataFrame) -> DataFrame:
     return normative_lines(lines).groupBy("standard_id", "page").agg(F.array_join(ordered, "\n").alias("text"))
 
 
-def _opened(lines: DataFrame) -> DataFrame:
-    """Normative lines with the candidate's text and id, why a numbered line goes on instead of opening a record, and whether it opens one. Depth and the line before run across pages."""
-    rows = normative_lines(lines)
-    w = Window.partitionBy("standard_id").orderBy("page", "line_no")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+def opened_lines(lines: DataFrame, *, block: int = BLOCK) -> DataFrame:
+    """The normative lines, stored, with what the grammar says of each: candidate (a number that could open a record), reason (why it goes on a citation instead), clause_id, sub, body, opens, record_no.
+
+    Bracket depth, the line before and the ids run across pages and over blocks of `block` lines, so one standard may lie in many tasks. pos: the line's place."""
+    rows, n = positions(normative_lines(lines), ["standard_id", "page", "line_no"], "lines")
+    rows = rows.withColumn("block", F.floor(F.col("pos") / block))
+    run = {"order": "pos", "block": "block", "blocks": -(-n // block)}
     line = F.col("line")
     count = lambda c: F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))
-    rows = rows.withColumn("sum", F.sum(count("[") - count("]")).over(upto)).withColumn("depth", F.col("sum") - F.least(F.lit(0), F.min("sum").over(upto)))
+    rows = running_low(rows, ["standard_id"], (count("[") - count("]")).cast("long"), "depth", **run)
+    rows = before(rows, ["standard_id"], line, "prev", **run)
     own = F.when(line.rlike(CLAUSE), F.regexp_extract(line, CLAUSE, 1)).when(line.rlike(SECTION), F.regexp_extract(line, SECTION, 1))
     body = F.when(line.rlike(CLAUSE), F.regexp_extract(line, CLAUSE, 2)).when(line.rlike(SECTION), F.regexp_extract(line, SECTION, 2))
     reason = (
-        F.when(own.isNull(), None).when(F.coalesce(F.lag("depth").over(w), F.lit(0)) > 0, "inside_unclosed_square_bracket")
-        .when(F.coalesce(F.lag("line").over(w), F.lit("")).rlike(CUE), "preceding_line_ends_with_citation_cue").when(body.rlike(CONTINUATION), "continuation_marker_after_identifier")
+        F.when(own.isNull(), None).when(F.col("depth") > 0, "inside_unclosed_square_bracket")
+        .when(F.coalesce("prev", F.lit("")).rlike(CUE), "preceding_line_ends_with_citation_cue").when(body.rlike(CONTINUATION), "continuation_marker_after_identifier")
     )
-    rows = rows.withColumns({"candidate": own, "reason": reason}).withColumn("own", F.when(F.col("reason").isNull(), F.col("candidate")))
-    rows = rows.withColumn("clause_id", F.last("own", ignorenulls=True).over(upto))
-    bullet = F.col("own").isNull() & F.col("clause_id").isNotNull() & line.rlike(BULLET)
+    rows = rows.withColumns({"candidate": own, "reason": reason}).withColumn("own", F.when(F.col("reason").isNull(), F.col("candidate"))).drop("depth", "prev")
+    rows = stored(rows, "candidates")
+    first = rows.groupBy("standard_id").agg(F.min(F.when(F.col("own").isNotNull(), F.col("pos"))).alias("_first"))
+    rows = rows.join(first, "standard_id")
+    bullet = F.coalesce(F.col("own").isNull() & (F.col("pos") > F.col("_first")) & line.rlike(BULLET), F.lit(False))
     rows = rows.withColumns({"sub": F.when(bullet, F.regexp_extract(line, BULLET, 1)), "body": F.when(F.col("own").isNotNull(), body).when(bullet, F.regexp_extract(line, BULLET, 2))})
-    return rows.withColumn("opens", F.col("body").isNotNull())
+    rows = rows.withColumn("opens", F.col("body").isNotNull()).drop("_first")
+    return running(rows, ["standard_id"], {"clause_id": ("last", F.col("own")), "record_no": ("sum", F.col("opens").cast("long"))}, **run).drop("block")
 
 
-def wrapped_references(lines: DataFrame) -> DataFrame:
+def wrapped_references(lines: DataFrame, *, block: int = BLOCK) -> DataFrame:
     """standard_id, page, line_no, candidate, reason of numbered lines that go on a citation."""
-    return _opened(lines).filter("reason is not null").select("standard_id", "page", "line_no", "candidate", "reason")
+    return opened_lines(lines, block=block).filter("reason is not null").select("standard_id", "page", "line_no", "candidate", "reason")
 
 
-def unparsed_numeric(lines: DataFrame) -> DataFrame:
+def unparsed_numeric(lines: DataFrame, *, block: int = BLOCK) -> DataFrame:
     """standard_id, page, line_no of lines that begin with a digit while no record is open."""
-    return _opened(lines).filter(F.col("clause_id").isNull() & F.col("line").rlike(r"^\d")).select("standard_id", "page", "line_no")
+    return opened_lines(lines, block=block).filter(F.col("clause_id").isNull() & F.col("line").rlike(r"^\d")).select("standard_id", "page", "line_no")
 
 
-def parse_clauses(lines: DataFrame) -> DataFrame:
+def parse_clauses(lines: DataFrame, *, block: int = BLOCK) -> DataFrame:
     """standard_id, record_no, section_id, clause_id, sub_clause_id, occurrence_index, source_page, text.
 
     A numbered line opens a record unless an open bracket, a reference cue at the end of the line before, or a continuation marker
     says that it goes on; bullets take the ids of the record they stand in. Text starts at section 1 and ends at the back matter;
     records without text drop."""
-    upto = Window.partitionBy("standard_id").orderBy("page", "line_no").rowsBetween(Window.unboundedPreceding, 0)
-    rows = _opened(lines).filter("clause_id is not null")
-    rows = rows.withColumns({"record_no": F.sum(F.col("opens").cast("int")).over(upto), "part": F.coalesce("body", "line")})
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "line_no", "part"))), lambda x: x["part"]), "\x01")
+    rows = opened_lines(lines, block=block).filter("clause_id is not null").withColumn("part", F.coalesce("body", "line"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "part"))), lambda x: x["part"]), "\x01")
     text = F.replace(F.regexp_replace(joined, r"-\x01(?=\p{Ll})", ""), F.lit("\x01"), F.lit(" "))
-    out = rows.groupBy("standard_id", "record_no").agg(F.max("clause_id").alias("clause_id"), F.max("sub").alias("sub_clause_id"), F.min("page").alias("source_page"), F.trim(text).alias("text")).filter("text <> ''")
-    order = Window.partitionBy("standard_id", "clause_id").orderBy("record_no")
-    return out.select("standard_id", "record_no", F.split("clause_id", "/")[0].alias("section_id"), "clause_id", "sub_clause_id", (F.row_number().over(order) - 1).alias("occurrence_index"), "source_page", "text")
+    out = rows.groupBy("standard_id", "record_no").agg(F.max("clause_id").alias("clause_id"), F.max("sub").alias("sub_clause_id"), F.min("page").alias("source_page"), F.trim(text).alias("text"), F.min("pos").alias("pos"))
+    out = stored(out.filter("text <> ''").withColumn("block", F.floor(F.col("pos") / block)), "records")
+    blocks = out.agg(F.coalesce(F.max("block"), F.lit(0))).first()[0] + 1
+    out = running(out, ["standard_id", "clause_id"], {"nth": ("sum", F.lit(1).cast("long"))}, order="pos", block="block", blocks=blocks)
+    return out.select("standard_id", "record_no", F.split("clause_id", "/")[0].alias("section_id"), "clause_id", "sub_clause_id", (F.col("nth") - 1).cast("int").alias("occurrence_index"), "source_page", "text")
 
 
 def duplicate_clauses(records: DataFrame) -> DataFrame:

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
 import unicodedata
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +10,7 @@ from pyspark.sql import functions as F
 from lexigrid.functions import text as T
 from lexigrid.operators import anchoring, answering, audit, evaluation, extraction, probes, prompts, retrieval, routing
 from lexigrid.sources import io
+from lexigrid.sources.scratch import scratch, stored
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
@@ -492,40 +491,107 @@ def grounding_audit(spark, d):
     return audit.grounding_summary(_values(spark, _REFS, "item_id int, response string"), _grounded(spark)).select("item_id", "n_references", "n_distinct", "passed")
 
 
-_PAGES = [
-    ("SS9", 1, "Shari'ah Standard No. (9)\nContents\n1. Scope ..... 3\n2. Rent ..... 5"), ("SS9", 2, "Statement of the Standard\n1. Scope\n1/1 This standard covers leases of pro-\nperty [see item\n2/2 below] in full.\na) first point\n12\n(b) second point"),
-    ("SS9", 3, "2. Rent\n2/1 Rent is due; see clause\n1/1 above.\n2/1 Repeated id.\n3. Date of Issuance of the Standard\n9/9 never seen"), ("SS9", 4, " \n"), ("SS8", 1, "1. and goes on\n7 things\n2. Fees"), ("SS7", 1, "Nothing here"),
+# Pages made from all documents: a document is a page, its sentences are the lines, and marks by line number lead through every branch of the line grammar. Seven tenths of the pages are one standard's.
+_FORMS = [  # before and after the sentence, by (line + doc_id) % 16; {a}, {b} count clauses
+    ("{a}. ", ""), ("{a}/{b} ", ""), ("", ""), ("a) ", ""), ("(iv) ", " x-"), ("", " see clause"), ("{a}/{b} ", ""), ("", " [note"),
+    ("{a}/{b}/2 ", ""), ("", " end] as said"), ("{a}/{b} , and ", ""), ("", " pro-"), ("b) ", ""), ("{a}/{b} ", ""), ("Shari'ah Standard No. (9) ", ""), ("7 ", ""),
 ]
-_RECORDS = [("SS9", "1", None, 0, "Scope"), ("SS9", "1/1", None, 0, "This standard covers leases of property [see item 2/2 below] in full."), ("SS9", "1/1", "a)", 1, "first point"), ("SS9", "1/1", "(b)", 2, "second point"), ("SS9", "2", None, 0, "Rent"), ("SS9", "2/1", None, 0, "Rent is due; see clause 1/1 above."), ("SS9", "2/1", None, 1, "Repeated id."), ("SS8", "2", None, 0, "Fees")]
+_SENTENCE = r"[^A-Za-z0-9 ,;:()]+"
 
 
-def _lines(spark):
-    return extraction.normalise_lines(_values(spark, _PAGES, "standard_id string, page int, text string"), nfc=True)
+def _sql_form(side: int) -> str:
+    spelt = lambda x: "'" + x.replace("'", "''").replace("{a}", "' || a || '").replace("{b}", "' || b || '") + "'"
+    return "CASE (k + doc_id) % 16 " + " ".join(f"WHEN {i} THEN {spelt(f[side])}" for i, f in enumerate(_FORMS)) + " END"
 
 
-def _records(spark):
-    return extraction.parse_clauses(_lines(spark))
+_LINES_SQL = f"""sn AS (SELECT doc_id, generate_subscripts(s, 1) - 1 AS k, unnest(s) AS t FROM (SELECT doc_id, string_split(text, '. ') AS s FROM documents)),
+nb AS (SELECT doc_id, k, regexp_replace(t, '{_SENTENCE}', ' ', 'g') AS t, (1 + doc_id % 9)::VARCHAR AS a, (1 + k % 7)::VARCHAR AS b, CASE WHEN doc_id % 10 < 7 THEN 1 ELSE doc_id % 10 END AS s FROM sn),
+rl AS (SELECT 'SS' || s AS standard_id, doc_id AS page, k AS line_no, trim(regexp_replace(CASE
+  WHEN doc_id < 10 AND k = 0 THEN 'Contents' WHEN doc_id < 10 THEN a || '. ' || t || ' .... 3' WHEN doc_id < 20 AND k = 0 THEN 'Statement of the Standard' WHEN doc_id < 20 AND k = 1 THEN a || '. And' WHEN doc_id % 40 = 29 AND k = 2 THEN '12'
+  WHEN doc_id % 40 = 35 AND k = 1 THEN '1. Scope' WHEN s = 9 AND doc_id % 500 = 499 AND k = 3 THEN '3. Date of Issuance of the Standard' ELSE {_sql_form(0)} || t || {_sql_form(1)} END, '\\s+', ' ', 'g')) AS line FROM nb),
+li AS (SELECT * FROM rl WHERE line <> '')"""
 
 
-@_query("SELECT standard_id, clause_id, sub_clause_id, occurrence_index, text FROM " + _sql_values(_RECORDS, "standard_id, clause_id, sub_clause_id, occurrence_index, text"))
+def _pages(spark, d):
+    docs = _t(spark, d, "documents").select("doc_id", F.split("text", r"\. ").alias("s"))
+    i, k = F.col("doc_id"), F.col("k")
+    rows = docs.select("doc_id", F.posexplode("s").alias("k", "t")).withColumn("t", F.regexp_replace("t", _SENTENCE, " "))
+    a, b, s = (1 + i % 9).cast("string"), (1 + k % 7).cast("string"), F.when(i % 10 < 7, 1).otherwise((i % 10).cast("int"))
+
+    def form(side):
+        spelt = lambda x: F.replace(F.replace(F.lit(x), F.lit("{a}"), a), F.lit("{b}"), b)
+        out = F.lit("")
+        for n, f in enumerate(_FORMS):
+            out = F.when((k + i) % 16 == n, spelt(f[side])).otherwise(out) if f[side] else out
+        return out
+
+    line = (
+        F.when((i < 10) & (k == 0), "Contents").when(i < 10, F.concat(a, F.lit(". "), "t", F.lit(" .... 3"))).when((i < 20) & (k == 0), "Statement of the Standard").when((i < 20) & (k == 1), F.concat(a, F.lit(". And")))
+        .when((i % 40 == 29) & (k == 2), "12").when((i % 40 == 35) & (k == 1), "1. Scope").when((s == 9) & (i % 500 == 499) & (k == 3), "3. Date of Issuance of the Standard").otherwise(F.concat(form(0), "t", form(1)))
+    )
+    lines = rows.select(F.concat(F.lit("SS"), s.cast("string")).alias("standard_id"), i.alias("page"), k, line.alias("line"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "line"))), lambda x: x["line"]), "\n")
+    return lines.groupBy("standard_id", "page").agg(text.alias("text"))
+
+
+_CLAUSE_SQL = {n: p.replace("'", "''") for n, p in {"section": extraction.SECTION, "clause": extraction.CLAUSE, "bullet": extraction.BULLET, "cue": extraction.CUE, "more": extraction.CONTINUATION, "back": extraction.BACK_MATTER, "header": extraction.HEADER}.items()}
+_PARSE_SQL = f"""{_LINES_SQL},
+tp AS (SELECT standard_id, page, count(*) FILTER (regexp_matches(line, '{_CLAUSE_SQL['section']}') AND NOT regexp_matches(line, '{_CLAUSE_SQL['clause']}')) AS n_entries FROM li GROUP BY ALL
+  HAVING bool_or(lower(line) = 'contents') AND (bool_or(starts_with(lower(line), 'subject page')) OR count(*) FILTER (regexp_matches(line, '\\.{{3,}}\\s*\\d+\\s*$')) >= 2 OR n_entries >= 4)),
+fl AS (SELECT li.*, tp.page IS NOT NULL AS toc, tp.page IS NULL AND regexp_extract(line, '{_CLAUSE_SQL['section']}', 1) = '1' AND NOT regexp_matches(line, '{_CLAUSE_SQL['clause']}') AS begins FROM li LEFT JOIN tp USING (standard_id, page)),
+st AS (SELECT *, bool_or(begins) OVER w AS started, bool_or(NOT toc AND regexp_matches(line, '(?i)^Statement of the Standard$')) OVER w AS stated FROM fl WINDOW w AS (PARTITION BY standard_id ORDER BY page, line_no)),
+ov AS (SELECT *, bool_or(started AND regexp_matches(line, '{_CLAUSE_SQL['back']}')) OVER (PARTITION BY standard_id ORDER BY page, line_no) AS over FROM st),
+nl AS (SELECT standard_id, page, line_no, line FROM ov WHERE started AND NOT over AND NOT (regexp_matches(line, '{_CLAUSE_SQL['header']}') OR regexp_matches(line, '^\\d{{1,4}}$') OR line IN ('Statement of the Standard', 'Contents'))),
+sm AS (SELECT *, sum(len(line) - len(replace(line, '[', '')) - len(line) + len(replace(line, ']', ''))) OVER (PARTITION BY standard_id ORDER BY page, line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS s, lag(line) OVER (PARTITION BY standard_id ORDER BY page, line_no) AS prev FROM nl),
+dp AS (SELECT *, coalesce(s, 0) - min(coalesce(s, 0)) OVER (PARTITION BY standard_id ORDER BY page, line_no) AS depth, CASE WHEN regexp_matches(line, '{_CLAUSE_SQL['clause']}') THEN '{_CLAUSE_SQL['clause']}' WHEN regexp_matches(line, '{_CLAUSE_SQL['section']}') THEN '{_CLAUSE_SQL['section']}' END AS pat FROM sm),
+cd AS (SELECT *, CASE WHEN pat = '{_CLAUSE_SQL['clause']}' THEN regexp_extract(line, '{_CLAUSE_SQL['clause']}', 1) WHEN pat IS NOT NULL THEN regexp_extract(line, '{_CLAUSE_SQL['section']}', 1) END AS candidate,
+  CASE WHEN pat = '{_CLAUSE_SQL['clause']}' THEN regexp_extract(line, '{_CLAUSE_SQL['clause']}', 2) WHEN pat IS NOT NULL THEN regexp_extract(line, '{_CLAUSE_SQL['section']}', 2) END AS rest FROM dp),
+rs AS (SELECT *, CASE WHEN candidate IS NULL THEN NULL WHEN depth > 0 THEN 'inside_unclosed_square_bracket' WHEN regexp_matches(coalesce(prev, ''), '{_CLAUSE_SQL['cue']}') THEN 'preceding_line_ends_with_citation_cue' WHEN regexp_matches(rest, '{_CLAUSE_SQL['more']}') THEN 'continuation_marker_after_identifier' END AS reason FROM cd),
+cl AS (SELECT *, CASE WHEN reason IS NULL THEN candidate END AS own, last_value(CASE WHEN reason IS NULL THEN candidate END IGNORE NULLS) OVER (PARTITION BY standard_id ORDER BY page, line_no) AS clause_id FROM rs),
+op AS (SELECT *, own IS NULL AND clause_id IS NOT NULL AND regexp_matches(line, '{_CLAUSE_SQL['bullet']}') AS bul FROM cl),
+rn AS (SELECT *, sum((own IS NOT NULL OR bul)::INT) OVER (PARTITION BY standard_id ORDER BY page, line_no) AS record_no, CASE WHEN own IS NOT NULL THEN rest WHEN bul THEN regexp_extract(line, '{_CLAUSE_SQL['bullet']}', 2) ELSE line END AS part, CASE WHEN bul THEN regexp_extract(line, '{_CLAUSE_SQL['bullet']}', 1) END AS sub FROM op WHERE clause_id IS NOT NULL),
+rc AS (SELECT standard_id, record_no, max(clause_id) AS clause_id, max(sub) AS sub_clause_id, min(page) AS source_page, trim(replace(regexp_replace(string_agg(part, chr(1) ORDER BY page, line_no), '-\\x01(\\p{{Ll}})', '\\1', 'g'), chr(1), ' ')) AS text FROM rn GROUP BY ALL),
+re AS (SELECT standard_id, string_split(clause_id, '/')[1] AS section_id, clause_id, sub_clause_id, row_number() OVER (PARTITION BY standard_id, clause_id ORDER BY record_no) - 1 AS occurrence_index, source_page, text FROM rc WHERE text <> '')"""
+
+
+def _lines(spark, d):
+    return extraction.normalise_lines(_pages(spark, d))
+
+
+@_query(f"WITH {_PARSE_SQL} SELECT standard_id, section_id, clause_id, sub_clause_id, occurrence_index, source_page, md5(text) AS text_md5 FROM re")
 def clause_parse(spark, d):
-    return _records(spark).select("standard_id", "clause_id", "sub_clause_id", "occurrence_index", "text")
+    """Clause records of pages made from all documents."""
+    return extraction.parse_clauses(_lines(spark, d)).select("standard_id", "section_id", "clause_id", "sub_clause_id", "occurrence_index", "source_page", F.md5("text").alias("text_md5"))
 
 
-@_query("SELECT standard_id, page, candidate, reason FROM " + _sql_values([("SS9", 2, "2/2", "inside_unclosed_square_bracket"), ("SS9", 3, "1/1", "preceding_line_ends_with_citation_cue"), ("SS8", 1, "1", "continuation_marker_after_identifier")], "standard_id, page, candidate, reason"))
+@_query(f"WITH {_PARSE_SQL} SELECT standard_id, page, line_no, candidate, reason FROM rs WHERE reason IS NOT NULL")
 def wrapped_references(spark, d):
-    return extraction.wrapped_references(_lines(spark)).select("standard_id", "page", "candidate", "reason")
+    return extraction.wrapped_references(_lines(spark, d))
+
 
+@_query(f"WITH {_PARSE_SQL} SELECT standard_id, page, md5(string_agg(line, chr(10) ORDER BY line_no)) AS text_md5 FROM nl GROUP BY ALL")
+def page_texts(spark, d):
+    """Normative lines by page."""
+    return extraction.page_texts(_lines(spark, d)).select("standard_id", "page", F.md5("text").alias("text_md5"))
 
-@_query("SELECT standard_id, start_page, reason, back_matter_page, n_toc_pages::BIGINT AS n_toc_pages, n_records::BIGINT AS n_records, sections, failures FROM " + _sql_values([("SS9", 2, "statement_of_standard_then_section_1", 3, 1, 7, "1,2", ""), ("SS8", 1, "section_1_fallback", None, 0, 1, "2", ""), ("SS7", None, None, None, 0, 0, None, "normative_body_start_not_detected")], "standard_id, start_page, reason, back_matter_page, n_toc_pages, n_records, sections, failures"))
+
+@_query(f"""WITH {_PARSE_SQL}, gs AS (SELECT standard_id, arg_min(page, (page, line_no)) FILTER (started) AS start_page, arg_min(stated, (page, line_no)) FILTER (started) AS stated, min(page) FILTER (over) AS back_matter_page, count(DISTINCT page) FILTER (toc AND NOT started) AS n_toc_pages FROM ov GROUP BY standard_id),
+gr AS (SELECT standard_id, count(*) AS n_records, count(sub_clause_id) AS n_sub_clauses, string_agg(DISTINCT section_id, ',' ORDER BY section_id) AS sections, bool_or(regexp_matches(text, '\\.{{3,}}\\s*\\d+\\s*$')) AS leaders, bool_or(regexp_matches(text, '{_CLAUSE_SQL['back']}')) AS back FROM re GROUP BY standard_id)
+SELECT standard_id, start_page, CASE WHEN start_page IS NULL THEN NULL WHEN stated THEN 'statement_of_standard_then_section_1' ELSE 'section_1_fallback' END AS reason, back_matter_page, n_toc_pages, coalesce(n_records, 0) AS n_records, coalesce(n_sub_clauses, 0) AS n_sub_clauses, sections,
+concat_ws(',', CASE WHEN start_page IS NULL THEN 'normative_body_start_not_detected' END, CASE WHEN leaders THEN 'toc_like_record_emitted' END, CASE WHEN back THEN 'back_matter_record_emitted' END) AS failures FROM gs LEFT JOIN gr USING (standard_id)""")
 def extraction_report(spark, d):
-    out = extraction.extraction_report(_lines(spark), _records(spark))
-    return out.select("standard_id", "start_page", "reason", "back_matter_page", "n_toc_pages", "n_records", F.array_join("sections", ",").alias("sections"), F.array_join("failures", ",").alias("failures"))
+    lines = stored(_lines(spark, d), "lines")
+    out = extraction.extraction_report(lines, stored(extraction.parse_clauses(lines), "records"))
+    return out.withColumns({"sections": F.array_join("sections", ","), "failures": F.array_join("failures", ",")})
 
 
-@_query("SELECT standard_id, chunk_id, bm25_text FROM " + _sql_values([(n, f"clause:{n}:{c}{':' + s if s else ''}:occurrence:{o}", f"{'Leases.' + chr(10) if n == 'SS9' else ''}{n} section {c[0]} clause {c} {s or ''} {t}") for n, c, s, o, t in _RECORDS], "standard_id, chunk_id, bm25_text"))
+@_query(f"""WITH {_PARSE_SQL}, su AS (SELECT 'SS' || nation.n_nationkey AS standard_id, n_name AS summary FROM nation WHERE n_nationkey < 9)
+SELECT standard_id, 'clause:' || standard_id || ':' || clause_id || CASE WHEN coalesce(sub_clause_id, '') <> '' THEN ':' || sub_clause_id ELSE '' END || ':occurrence:' || occurrence_index AS chunk_id,
+md5(coalesce(summary || chr(10), '') || trim(standard_id || ' section ' || section_id || ' clause ' || clause_id || ' ' || coalesce(sub_clause_id, '') || ' ' || text)) AS bm25_md5 FROM re LEFT JOIN su USING (standard_id)""")
 def sac_enrich(spark, d):
-    return extraction.sac_enrich(extraction.clause_chunks(_records(spark)), _values(spark, [("SS9", "Leases.")], "standard_id string, summary string")).select("standard_id", "chunk_id", "bm25_text")
+    """Clause chunks with a summary in front, by standard; one standard has none."""
+    names = _t(spark, d, "nation").filter("n_nationkey < 9").select(F.concat(F.lit("SS"), F.col("n_nationkey").cast("string")).alias("standard_id"), F.col("n_name").alias("summary"))
+    return extraction.sac_enrich(extraction.clause_chunks(extraction.parse_clauses(_lines(spark, d))), names).select("standard_id", "chunk_id", F.md5("bm25_text").alias("bm25_md5"))
 
 
 @_query(r"""SELECT doc_id, len(regexp_extract_all(text, '[^\s\x0B\x{85}\x{A0}\x{2000}-\x{200A}\x{3000}]+'))::INT AS n_words, length(text) - length(replace(text, chr(65533), '')) AS n_replacement, regexp_matches(text, '[\x00-\x08\x0B\x0C\x0E-\x1F]') AS has_control FROM documents""")
@@ -636,11 +702,6 @@ def prompt_render(spark, d):
     return prompts.leak_guard(prompts.render(items, variants)).select("item_id", "n_records", F.md5("user_prompt").alias("prompt_md5"))
 
 
-def _scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that all machines share; a folder of its own only where spark.checkpoint.dir is unset."""
-    return f"{(spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.mkdtemp(prefix='lexigrid-')).rstrip('/')}/lexigrid/{label}-{uuid.uuid4().hex}"
-
-
 # Signals by arithmetic on ids, under which each of the 13 gates fails for some document, and the policy that turns all of them on.
 _ALL_GATES = routing.Policy(enable_anchoring_gate=True, min_anchor_coverage=0.25, enable_reranker_top_1_gate=True, min_reranker_top_1=0.2, enable_reranker_margin_gate=True, min_reranker_margin=0.05)
 _DECISIONS = ["abstain"] * 5 + ["escalate"] * 8
@@ -853,7 +914,7 @@ def retrieval_result(spark, d):
 @_query(f"WITH {_BM25} SELECT item_id, doc_id, round(score, 6) AS score, rank FROM top")
 def stored_index_topk(spark, d):
     """bm25_topk over an index that is written and read back."""
-    path = _scratch(spark, "index")
+    path = scratch(spark, "index")
     io.write_index(_t(spark, d, "documents"), path)
     out = retrieval.Bm25Retriever(index=io.read_index(spark, path)).retrieve(_t(spark, d, "benchmark"), 5)
     return out.select("item_id", "doc_id", F.round("score", 6).alias("score"), "rank")
@@ -863,7 +924,7 @@ def stored_index_topk(spark, d):
 n AS (SELECT vec_id, sqrt(sum(x * x)) AS norm FROM el GROUP BY vec_id)
 SELECT vec_id, round(x / norm, 6) AS first_component, CASE WHEN label % 2 = 0 THEN 1 ELSE 2 END AS n_metadata, label::VARCHAR AS label, (SELECT count(*) FROM embeddings) AS stored FROM el JOIN n USING (vec_id) WHERE i = 1""")
 def vector_store(spark, d):
-    path = _scratch(spark, "vectors")
+    path = scratch(spark, "vectors")
     rows = _t(spark, d, "embeddings").withColumn("odd", F.when(F.col("label") % 2 != 0, "odd"))
     stored = io.write_vectors(rows, path, metadata=("label", "odd"))
     out = io.read_vectors(spark, path, stored)
@@ -872,7 +933,7 @@ def vector_store(spark, d):
 
 @_query("SELECT doc_id, md5(text) AS text_md5, lang, source, n_chars FROM documents")
 def jsonl_round_trip(spark, d):
-    docs, path = _t(spark, d, "documents"), _scratch(spark, "jsonl")
+    docs, path = _t(spark, d, "documents"), scratch(spark, "jsonl")
     io.assert_unique(docs, "doc_id")
     io.write_jsonl(docs, path)
     return io.read_jsonl(spark, path, docs.schema, ("doc_id", "text")).select("doc_id", F.md5("text").alias("text_md5"), "lang", "source", "n_chars")
