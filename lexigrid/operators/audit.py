@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexigrid.functions import text as T
@@ -18,33 +18,79 @@ STATUSES = ("grounded_in_context", "outside_context", "unknown_standard", "unres
 MIN_WORDS, SUPPORT = 6, 0.5
 
 
-def citation_segments(responses: DataFrame, *, id: str = "item_id", text: str = "response") -> DataFrame:
-    """id, segment_no, cited_rank, segment: a marker owns the text up to the next marker; what stands before the first is nobody's."""
+def matches(rows: DataFrame, pattern: str, groups: dict[str, int], *, id: str, text: str, reach: int = 0) -> DataFrame:
+    """id, _row, no, start, before, whole, each named group, and after (the text to the next match) of all matches in a text.
+
+    The text is split once; starts are running sums over its pieces, so time follows the text's length. reach: with behind and ahead, so
+    many characters on both sides of the match, put together from the ends of at most reach pieces, as a match has a character at least."""
     c = F.coalesce(F.col(text), F.lit(""))
-    pairs = F.arrays_zip(F.regexp_extract_all(c, F.lit(MARKER), F.lit(1)).alias("rank"), F.slice(F.split(c, MARKER, -1), 2, 1_000_000).alias("segment"))
-    rows = responses.select(F.col(id), F.posexplode(pairs).alias("segment_no", "p"))
-    return rows.select(id, "segment_no", F.col("p.rank").cast("int").alias("cited_rank"), F.trim("p.segment").alias("segment"))
+    pieces = F.arrays_zip(F.split(c, pattern, -1).alias("before"), *[F.regexp_extract_all(c, F.lit(pattern), F.lit(g)).alias(n) for n, g in {"whole": 0, **groups}.items()])
+    numbered = rows.select(F.col(id), pieces.alias("_pieces"), F.monotonically_increasing_id().alias("_row"))
+    out = numbered.select(id, "_row", F.posexplode("_pieces").alias("no", "p"))
+    w = Window.partitionBy("_row").orderBy("no")
+    size = F.length("p.before") + F.coalesce(F.length("p.whole"), F.lit(0))
+    out = out.withColumns({"start": F.coalesce(F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.length("p.before"), "after": F.lead("p.before").over(w)})
+    more = []
+    if reach:
+        piece = F.concat("p.before", F.coalesce("p.whole", F.lit("")))
+        joined = lambda c, a, b: F.array_join(F.collect_list(c).over(w.rowsBetween(a, b)), "")
+        out = out.withColumns({"_tail": F.right(piece, F.lit(reach)), "_head": F.left(piece, F.lit(reach))})
+        out = out.withColumns({"behind": F.right(F.concat(joined("_tail", -reach // 3, -1), "p.before"), F.lit(reach)), "ahead": F.left(joined("_head", 1, reach // 3), F.lit(reach))})
+        more = ["behind", "ahead"]
+    return out.filter("p.whole is not null").select(id, "_row", "no", "start", F.col("p.before").alias("before"), F.col("p.whole").alias("whole"), *[F.col("p")[n].alias(n) for n in groups], "after", *more)
+
+
+def citation_segments(responses: DataFrame, *, id: str = "item_id", text: str = "response") -> DataFrame:
+    """id, segment_no, cited_rank, marker_start, segment: a marker owns the text up to the next marker; what stands before the first is nobody's."""
+    rows = matches(responses, MARKER, {"rank": 1}, id=id, text=text)
+    return rows.select(id, F.col("no").alias("segment_no"), F.col("rank").cast("int").alias("cited_rank"), F.col("start").alias("marker_start"), F.trim("after").alias("segment"))
+
+
+def bulk_overlap(texts: DataFrame, contexts: DataFrame, *, id: str, key: list[str], rank: str = "rank") -> DataFrame:
+    """id, key, rank, overlap of texts (id, key, text) and the ranks of their item (id, rank, text) that share a shingle with them.
+
+    Distinct shingles of both sides meet by an equi-join on item, width and digest, so a long item's texts spread over tasks by
+    shingle and a shingle that many texts have is a skewed key of a plain join, which adaptive execution splits. Contexts
+    are cut into the widths that their item's texts have only."""
+    width = lambda t: F.least(F.lit(T.WIDTH), F.greatest(F.size(t), F.lit(1)))
+    cut = T.let(T.words(F.col("text")), lambda t: F.struct(width(t).alias("width"), T.shingles(t, width(t)).alias("grams")))
+    own = texts.select(id, *key, F.explode(F.array(cut)).alias("_cut"))  # exploded, so that it is computed once and not wherever it is used
+    own = own.select(id, *key, F.col("_cut.width").alias("_width"), F.col("_cut.grams").alias("_grams")).filter(F.size("_grams") > 0)
+    digest = F.unhex(F.md5(F.col("_gram")))
+    grams = own.select(id, *key, "_width", F.size("_grams").alias("_n"), F.explode("_grams").alias("_gram")).withColumn("_gram", digest)
+    asked = own.select(id, "_width").distinct()
+    there = contexts.select(id, rank, T.words(F.col("text")).alias("_words")).join(asked, id)
+    there = there.select(id, rank, "_width", F.explode(T.shingles(F.col("_words"), F.col("_width"))).alias("_gram")).withColumn("_gram", digest)
+    met = grams.join(there, [id, "_width", "_gram"])
+    return met.groupBy(id, *key, rank, "_n").agg(F.count(F.lit(1)).alias("_shared")).select(id, *key, rank, (F.col("_shared") / F.col("_n")).alias("overlap"))
 
 
 def audit_citations(responses: DataFrame, context: DataFrame, *, id: str = "item_id", text: str = "response") -> DataFrame:
     """One row a segment with its attribution, the first that applies of: unknown_rank, too_short, supported, misattributed, corrupted, unverified.
 
-    context: id, rank, text (label and text of each rank). A segment meets the ranks of its own item only."""
-    segments = citation_segments(responses, id=id, text=text).withColumn("n_words", F.size(T.words(F.col("segment"))))
-    ranks = context.select(id, "rank", F.col("text").alias("_context"))
-    met = segments.join(ranks, id, "left")
-    met = met.withColumn("overlap", T.overlap_ratio(F.col("segment"), F.col("_context"))).withColumn("clean", T.overlap_ratio(T.strip_unexpected_script(F.col("segment")), F.col("_context")))
-    own = F.col("rank") == F.col("cited_rank")
-    out = met.groupBy(id, "segment_no", "cited_rank", "segment", "n_words").agg(
-        F.max(F.when(own, F.col("overlap"))).alias("cited_overlap"), F.max("overlap").alias("best_overlap"), F.max_by("rank", F.struct("overlap", (-F.col("rank")).alias("r"))).alias("best_rank"),
-        F.max(F.when(own, F.col("clean"))).alias("clean_overlap"),
+    context: id, rank (from 1, without gaps), text (label and text of each rank). cited_overlap: with the cited rank; best_overlap and best_rank: with
+    the first of the ranks that it overlaps most, null where it overlaps none. Overlaps are computed in bulk, those without characters of
+    other scripts for the segments that hold any."""
+    segments = citation_segments(responses, id=id, text=text).withColumn("n_words", F.size(T.words(F.col("segment")))).withColumn("unexpected_script", T.unexpected_script(F.col("segment")))
+    dirty = F.size("unexpected_script") > 0
+    key = ["segment_no", "_clean"]
+    texts = segments.select(id, "segment_no", F.explode(F.when(dirty, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))).alias("_clean"), F.col("segment").alias("text"))
+    texts = texts.withColumn("text", F.when(F.col("_clean"), T.strip_unexpected_script(F.col("text"))).otherwise(F.col("text")))
+    found = bulk_overlap(texts, context, id=id, key=key)
+    raw = lambda c: F.when(~F.col("_clean"), c)
+    by = found.join(segments.select(id, "segment_no", "cited_rank"), [id, "segment_no"]).groupBy(id, "segment_no").agg(
+        F.max(raw(F.when(F.col("rank") == F.col("cited_rank"), F.col("overlap")))).alias("cited_overlap"), F.max(raw(F.col("overlap"))).alias("best_overlap"),
+        F.max_by("rank", raw(F.struct("overlap", (-F.col("rank")).alias("r")))).alias("best_rank"), F.max(F.when(F.col("_clean"), F.col("overlap"))).alias("clean_overlap"),
     )
-    dirty = F.size(T.unexpected_script(F.col("segment"))) > 0
+    sizes = context.groupBy(id).agg(F.max("rank").alias("_ranks"))
+    out = segments.join(by, [id, "segment_no"], "left").join(sizes, id, "left")
+    out = out.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("cited_overlap", "best_overlap", "clean_overlap")})
+    known = F.coalesce((F.col("cited_rank") >= 1) & (F.col("cited_rank") <= F.col("_ranks")), F.lit(False))
     attribution = (
-        F.when(F.col("cited_overlap").isNull(), "unknown_rank").when(F.col("n_words") < MIN_WORDS, "too_short").when(F.col("cited_overlap") >= SUPPORT, "supported")
+        F.when(~known, "unknown_rank").when(F.col("n_words") < MIN_WORDS, "too_short").when(F.col("cited_overlap") >= SUPPORT, "supported")
         .when((F.col("best_overlap") >= SUPPORT) & (F.col("best_rank") != F.col("cited_rank")), "misattributed").when(dirty & (F.col("clean_overlap") >= SUPPORT), "corrupted").otherwise("unverified")
     )
-    return out.withColumn("attribution", attribution)
+    return out.withColumn("attribution", attribution).drop("_ranks")
 
 
 def audit_summary(responses: DataFrame, segments: DataFrame, *, id: str = "item_id", text: str = "response") -> DataFrame:
@@ -65,20 +111,11 @@ def clause_references(responses: DataFrame, *, id: str = "item_id", text: str =
 
     A path belongs to the standard right before it, else to one named in prose within LOOKAHEAD characters after it, else to the last
     one within LOOKBACK characters before it, else to none."""
-    c = F.coalesce(F.col(text), F.lit(""))
-    found = F.arrays_zip(F.split(c, REFERENCE, -1).alias("before"), *[F.regexp_extract_all(c, F.lit(REFERENCE), F.lit(g)).alias(n) for g, n in enumerate(("whole", "own", "path"))])
-
-    def with_neighbours(z):  # a match has three characters at least, so 20 of them hold what is looked at
-        piece = lambda x: F.concat(x["before"], F.coalesce(x["whole"], F.lit("")))
-        joined = lambda start, n: F.array_join(F.transform(F.slice(z, start, n), piece), "")
-        behind = lambda x, i: F.concat(joined(F.greatest(i - 19, F.lit(1)), F.least(i, F.lit(20))), x["before"])
-        offset = lambda x, i: F.aggregate(F.slice(z, F.lit(1), i), F.lit(0), lambda s, y: s + F.length(piece(y))) + F.length(x["before"]) + F.length(x["whole"]) - F.length(x["path"])
-        return F.transform(z, lambda x, i: F.struct(F.right(behind(x, i), F.lit(LOOKBACK)).alias("near"), F.left(joined(i + 2, F.lit(20)), F.lit(LOOKAHEAD)).alias("ahead"), x["own"].alias("own"), x["path"].alias("path"), offset(x, i).alias("offset")))
-
-    rows = responses.select(F.col(id), F.posexplode(T.let(found, with_neighbours)).alias("ref_no", "p")).filter("p.path is not null")
-    named = [F.col("p.own"), F.regexp_extract("p.ahead", STANDARD_PROSE, 1), F.regexp_extract("p.near", r"(?is)^.*\bSS\s?(\d{1,2})\b", 1)]
+    rows = matches(responses, REFERENCE, {"own": 1, "path": 2}, id=id, text=text, reach=max(LOOKBACK, LOOKAHEAD))
+    rows = rows.withColumns({"behind": F.right("behind", F.lit(LOOKBACK)), "ahead": F.left("ahead", F.lit(LOOKAHEAD))})
+    named = [F.col("own"), F.regexp_extract("ahead", STANDARD_PROSE, 1), F.regexp_extract("behind", r"(?is)^.*\bSS\s?(\d{1,2})\b", 1)]
     standard = F.coalesce(*[F.when(n != "", T.normalise_standard(n)) for n in named])
-    return rows.select(id, "ref_no", F.col("p.offset").alias("char_offset"), standard.alias("standard"), standard.isNotNull().alias("qualified"), F.col("p.path").alias("path"))
+    return rows.select(id, F.col("no").alias("ref_no"), (F.col("start") + F.length("whole") - F.length("path")).cast("int").alias("char_offset"), standard.alias("standard"), standard.isNotNull().alias("qualified"), "path")
 
 
 def clause_index(records: DataFrame, *, standard: str = "standard_id", clause: str = "clause_id") -> DataFrame:
@@ -86,27 +123,42 @@ def clause_index(records: DataFrame, *, standard: str = "standard_id", clause: s
     return records.select(F.col(standard).alias("standard"), F.explode(T.ancestors(F.col(clause))).alias("path")).filter("standard <> ''").distinct()
 
 
-def ground(references: DataFrame, context: DataFrame, index: DataFrame | None = None, *, id: str = "item_id") -> DataFrame:
+def _lookup(index: DataFrame, *, standard: str = "standard", clause: str = "path") -> DataFrame:
+    """A clause index with every path a second time under the empty standard, where references without one look."""
+    full = clause_index(index, standard=standard, clause=clause)
+    return full.unionByName(full.select(F.lit("").alias("standard"), "path").distinct())
+
+
+def write_clause_index(records: DataFrame, name: str, *, buckets: int = 64, standard: str = "standard_id", clause: str = "clause_id") -> None:
+    """Store the index of records as a table in buckets of standard and path, so that audits look references up without shuffling it."""
+    _lookup(records, standard=standard, clause=clause).write.bucketBy(buckets, "standard", "path").sortBy("standard", "path").format("parquet").saveAsTable(name)
+
+
+def ground(references: DataFrame, context: DataFrame, index: DataFrame | None = None, *, stored: bool = False, id: str = "item_id") -> DataFrame:
     """status and resolved_via of each reference: grounded_in_context (exact, ancestor or verbatim_in_context), else by the corpus index (standard, path) outside_context, unknown_standard or unresolvable.
 
-    context: id, standard, clause, text. Texts count for verbatim whatever their standard; paths without a standard don't count."""
-    paths = context.select(id, F.when(F.col("standard") != "", F.col("standard")).alias("cs"), "clause", "text", T.ancestors(F.col("clause")).alias("cps"))
-    same = F.col("cs").isNotNull() & (F.col("standard").isNull() | (F.col("standard") == F.col("cs")))
-    met = references.join(paths, [id], "left")
+    context: id, standard, clause, text. Texts count for verbatim whatever their standard; paths without a standard don't count. Paths meet by an
+    equi-join with the context's clauses and their ancestors; only references that no clause shows are looked for in the texts. stored: index is a
+    table that write_clause_index made."""
+    shown = context.filter("standard <> ''").select(id, F.col("standard").alias("cs"), "clause", F.explode(T.ancestors(F.col("clause"))).alias("path"))
+    shown = shown.groupBy(id, "path", "cs").agg(F.max(F.col("clause") == F.col("path")).alias("exact"))
+    anyone = shown.groupBy(id, "path").agg(F.max("exact").alias("exact")).select(id, "path", F.lit("").alias("cs"), "exact")
     keys = [id, "ref_no", "standard", "path"]
-    any_of = lambda c: F.coalesce(F.max(c), F.lit(False))
-    flags = met.groupBy(*keys).agg(any_of(same & (F.col("clause") == F.col("path"))).alias("exact"), any_of(same & F.array_contains("cps", F.col("path"))).alias("ancestor"), any_of(F.col("text").contains(F.col("path"))).alias("verbatim"))
-    shown = F.when(F.col("exact"), "exact").when(F.col("ancestor"), "ancestor").when(F.col("verbatim"), "verbatim_in_context")
+    asked = references.select(*keys).withColumn("cs", F.coalesce("standard", F.lit("")))
+    flags = asked.join(shown.select(id, "path", "cs", "exact").unionByName(anyone), [id, "path", "cs"], "left")
+    open_ = flags.filter("exact is null").select(id, "path").distinct()
+    texts = context.filter("text is not null").select(id, "text")
+    verbatim = open_.join(texts, id).filter(F.col("text").contains(F.col("path"))).select(id, "path").distinct().withColumn("verbatim", F.lit(True))
+    flags = flags.join(verbatim, [id, "path"], "left")
+    via = F.when(F.col("exact"), "exact").when(F.col("exact").isNotNull(), "ancestor").when(F.col("verbatim"), "verbatim_in_context")
     if index is None:
-        return flags.select(*keys, F.when(shown.isNotNull(), "grounded_in_context").otherwise("outside_context").alias("status"), F.coalesce(shown, F.lit("no_corpus_index")).alias("resolved_via"))
-    full = clause_index(index, standard="standard", clause="path").select(F.col("standard").alias("fs"), F.col("path").alias("fp"))
-    known = full.select(F.col("fs").alias("ks")).distinct()
-    full = full.unionByName(full.select(F.lit(None).cast("string").alias("fs"), "fp").distinct())  # a reference without a standard meets any
-    out = flags.join(known, F.col("standard") == F.col("ks"), "left").join(full, F.col("standard").eqNullSafe(F.col("fs")) & (F.col("path") == F.col("fp")), "left")
-    unknown, listed = F.col("standard").isNotNull() & F.col("ks").isNull(), F.col("fp").isNotNull()
-    status = F.when(shown.isNotNull(), "grounded_in_context").when(unknown, "unknown_standard").when(listed, "outside_context").otherwise("unresolvable")
-    via = F.coalesce(shown, F.when(unknown, "standard_not_in_corpus").when(listed, "corpus_exact").otherwise("no_match"))
-    return out.select(*keys, status.alias("status"), via.alias("resolved_via"))
+        return flags.select(*keys, F.when(via.isNotNull(), "grounded_in_context").otherwise("outside_context").alias("status"), F.coalesce(via, F.lit("no_corpus_index")).alias("resolved_via"))
+    full = (index if stored else _lookup(index)).select(F.col("standard").alias("cs"), "path", F.lit(True).alias("listed"))
+    known = full.filter("cs <> ''").select("cs").distinct().withColumn("known", F.lit(True))
+    out = flags.join(known, "cs", "left").join(full, ["cs", "path"], "left")
+    unknown, listed = (F.col("cs") != "") & F.col("known").isNull(), F.coalesce("listed", F.lit(False))
+    status = F.when(via.isNotNull(), "grounded_in_context").when(unknown, "unknown_standard").when(listed, "outside_context").otherwise("unresolvable")
+    return out.select(*keys, status.alias("status"), F.coalesce(via, F.when(unknown, "standard_not_in_corpus").when(listed, "corpus_exact").otherwise("no_match")).alias("resolved_via"))
 
 
 def grounding_summary(responses: DataFrame, grounded: DataFrame, *, id: str = "item_id") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lexigrid.functions import text as T
 from lexigrid.operators.ordered import BLOCK, before, running, running_low
-from lexigrid.sources.scratch import positions, stored
+from lexigrid.sources.scratch import forget, positions, stored
 
 #: The line grammar.
 SECTION = r"^(\d+)\.\s+(.+)$"
@@ -96,8 +96,8 @@ def opened_lines(lines: DataFrame, *, block: int = BLOCK) -> DataFrame:
     """The normative lines, stored, with what the grammar says of each: candidate (a number that could open a record), reason (why it goes on a citation instead), clause_id, sub, body, opens, record_no.
 
     Bracket depth, the line before and the ids run across pages and over blocks of `block` lines, so one standard may lie in many tasks. pos: the line's place."""
-    rows, n = positions(normative_lines(lines), ["standard_id", "page", "line_no"], "lines")
-    rows = rows.withColumn("block", F.floor(F.col("pos") / block))
+    placed, n = positions(normative_lines(lines), ["standard_id", "page", "line_no"], "lines")
+    rows = placed.withColumn("block", F.floor(F.col("pos") / block))
     run = {"order": "pos", "block": "block", "blocks": -(-n // block)}
     line = F.col("line")
     count = lambda c: F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))
@@ -110,13 +110,16 @@ def opened_lines(lines: DataFrame, *, block: int = BLOCK) -> DataFrame:
         .when(F.coalesce("prev", F.lit("")).rlike(CUE), "preceding_line_ends_with_citation_cue").when(body.rlike(CONTINUATION), "continuation_marker_after_identifier")
     )
     rows = rows.withColumns({"candidate": own, "reason": reason}).withColumn("own", F.when(F.col("reason").isNull(), F.col("candidate"))).drop("depth", "prev")
-    rows = stored(rows, "candidates")
+    rows = candidates = stored(rows, "candidates")
+    forget(placed)
     first = rows.groupBy("standard_id").agg(F.min(F.when(F.col("own").isNotNull(), F.col("pos"))).alias("_first"))
     rows = rows.join(first, "standard_id")
     bullet = F.coalesce(F.col("own").isNull() & (F.col("pos") > F.col("_first")) & line.rlike(BULLET), F.lit(False))
     rows = rows.withColumns({"sub": F.when(bullet, F.regexp_extract(line, BULLET, 1)), "body": F.when(F.col("own").isNotNull(), body).when(bullet, F.regexp_extract(line, BULLET, 2))})
     rows = rows.withColumn("opens", F.col("body").isNotNull()).drop("_first")
-    return running(rows, ["standard_id"], {"clause_id": ("last", F.col("own")), "record_no": ("sum", F.col("opens").cast("long"))}, **run).drop("block")
+    out = running(rows, ["standard_id"], {"clause_id": ("last", F.col("own")), "record_no": ("sum", F.col("opens").cast("long"))}, **run).drop("block")
+    out._lexigrid_path = candidates._lexigrid_path
+    return out
 
 
 def wrapped_references(lines: DataFrame, *, block: int = BLOCK) -> DataFrame:
@@ -135,11 +138,13 @@ def parse_clauses(lines: DataFrame, *, block: int = BLOCK) -> DataFrame:
     A numbered line opens a record unless an open bracket, a reference cue at the end of the line before, or a continuation marker
     says that it goes on; bullets take the ids of the record they stand in. Text starts at section 1 and ends at the back matter;
     records without text drop."""
-    rows = opened_lines(lines, block=block).filter("clause_id is not null").withColumn("part", F.coalesce("body", "line"))
+    opened = opened_lines(lines, block=block)
+    rows = opened.filter("clause_id is not null").withColumn("part", F.coalesce("body", "line"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "part"))), lambda x: x["part"]), "\x01")
     text = F.replace(F.regexp_replace(joined, r"-\x01(?=\p{Ll})", ""), F.lit("\x01"), F.lit(" "))
     out = rows.groupBy("standard_id", "record_no").agg(F.max("clause_id").alias("clause_id"), F.max("sub").alias("sub_clause_id"), F.min("page").alias("source_page"), F.trim(text).alias("text"), F.min("pos").alias("pos"))
     out = stored(out.filter("text <> ''").withColumn("block", F.floor(F.col("pos") / block)), "records")
+    forget(opened)
     blocks = out.agg(F.coalesce(F.max("block"), F.lit(0))).first()[0] + 1
     out = running(out, ["standard_id", "clause_id"], {"nth": ("sum", F.lit(1).cast("long"))}, order="pos", block="block", blocks=blocks)
     return out.select("standard_id", "record_no", F.split("clause_id", "/")[0].alias("section_id"), "clause_id", "sub_clause_id", (F.col("nth") - 1).cast("int").alias("occurrence_index"), "source_page", "text")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -455,40 +456,120 @@ def stable_interval_all(spark, d):
     return routing.stable_interval(_swept_all(spark, d), 0.85)
 
 
-_CITED = [(1, "Intro. [1] the lessor must keep the leased asset in good repair [2] the lessor must keep the leased asset in good repair [3] short one [9] nothing like this was ever said in it [2] some other words that nobody has written there"), (2, "no markers here")]
-_CONTEXT = [(1, 1, "the lessor must keep the leased asset in good repair at all times"), (1, 2, "the lessee pays rent in advance for each month"), (1, 3, "termination of the contract"), (2, 1, "x")]
+# Responses made from all documents, whole texts in them: a document's context is its own text and that of the document before it. Marks by id lead to every attribution.
+def _cited(spark, d):
+    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
+    i, one, two = F.col("item_id"), F.substring("text", 1, 120), F.substring("text", 121, 120)
+    some = lambda n, k, *parts: F.when(i % n == k, F.concat(*parts)).otherwise("")
+    response = F.concat(
+        F.lit("Intro. [1] "), one, some(3, 0, F.lit(" [2] "), two), some(5, 1, F.lit(" [1] short one")), some(4, 0, F.lit(" [9] "), one), F.lit(" [2] "), F.replace(two, F.lit(" "), F.lit(" qq ")),
+        some(7, 2, F.lit(" [1] "), F.replace(one, F.lit(" "), F.lit(" 漢 "))), some(7, 3, F.lit(" [2] "), F.replace(one, F.lit(" "), F.lit(" 漢 "))), F.lit(" [1] "), F.col("text"),
+    )
+    context = docs.select("item_id", F.lit(1).alias("rank"), "text").unionByName(docs.select((i + 1).alias("item_id"), F.lit(2).alias("rank"), "text").join(docs.select("item_id"), "item_id", "left_semi"))
+    return docs.select("item_id", response.alias("response")), context
+
+
+_SQL_WORDS = "regexp_extract_all(" + _NORM.format(c="{c}") + ", '[\\p{{L}}\\p{{N}}]+')"
+_SQL_GRAMS = "CASE WHEN len(w) > 0 THEN list_distinct(list_transform(range(1, greatest(len(w) - {n} + 1, 1) + 1), lambda i: array_to_string(w[i:i + {n} - 1], ' '))) ELSE [] END"
+_CITED_SQL = f"""rp AS (SELECT doc_id AS item_id, 'Intro. [1] ' || substr(text, 1, 120) || CASE WHEN doc_id % 3 = 0 THEN ' [2] ' || substr(text, 121, 120) ELSE '' END || CASE WHEN doc_id % 5 = 1 THEN ' [1] short one' ELSE '' END
+  || CASE WHEN doc_id % 4 = 0 THEN ' [9] ' || substr(text, 1, 120) ELSE '' END || ' [2] ' || replace(substr(text, 121, 120), ' ', ' qq ') || CASE WHEN doc_id % 7 = 2 THEN ' [1] ' || replace(substr(text, 1, 120), ' ', ' 漢 ') ELSE '' END
+  || CASE WHEN doc_id % 7 = 3 THEN ' [2] ' || replace(substr(text, 1, 120), ' ', ' 漢 ') ELSE '' END || ' [1] ' || text AS c FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
+cx AS (SELECT doc_id AS item_id, 1 AS rank, text FROM documents UNION ALL SELECT doc_id + 1, 2, text FROM documents WHERE doc_id + 1 IN (SELECT doc_id FROM documents)),
+mk AS (SELECT item_id, regexp_extract_all(c, '\\[(\\d{{1,2}})\\]', 1) AS r, regexp_extract_all(c, '\\[(\\d{{1,2}})\\]') AS m, string_split_regex(c, '\\[\\d{{1,2}}\\]') AS p FROM rp),
+sg AS (SELECT item_id, k - 1 AS segment_no, r[k]::INT AS cited_rank, list_sum(list_transform(p[1:k], lambda x: len(x))) + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: len(x))), 0) AS marker_start, trim(p[k + 1]) AS segment FROM (SELECT *, unnest(range(1, len(r) + 1)) AS k FROM mk)),
+vr AS (SELECT *, false AS clean, segment AS t FROM sg UNION ALL SELECT *, true, regexp_replace(segment, '[一-鿿぀-ヿ가-힯Ѐ-ӿ؀-ۿ]', ' ', 'g') FROM sg WHERE regexp_matches(segment, '[一-鿿぀-ヿ가-힯Ѐ-ӿ؀-ۿ]')),
+vw AS (SELECT *, {_SQL_WORDS.format(c='t')} AS w FROM vr),
+vg AS (SELECT *, least(8, greatest(len(w), 1)) AS n, {_SQL_GRAMS.format(n='least(8, greatest(len(w), 1))')} AS g FROM vw),
+cw AS (SELECT *, {_SQL_WORDS.format(c='text')} AS w FROM cx),
+cg AS (SELECT item_id, rank, n, unnest({_SQL_GRAMS.format(n='n')}) AS gram FROM cw JOIN (SELECT DISTINCT item_id, n FROM vg) USING (item_id)),
+ol AS (SELECT vu.item_id, segment_no, clean, rank, count(*) / any_value(size) AS o FROM (SELECT item_id, segment_no, clean, n, len(g) AS size, unnest(g) AS gram FROM vg) vu JOIN cg ON cg.item_id = vu.item_id AND cg.n = vu.n AND cg.gram = vu.gram GROUP BY ALL),
+ag2 AS (SELECT item_id, segment_no, max(o) FILTER (NOT clean AND rank = cited_rank) AS cited_overlap, max(o) FILTER (NOT clean) AS best_overlap, arg_max(rank, (o, -rank)) FILTER (NOT clean) AS best_rank, max(o) FILTER (clean) AS clean_overlap FROM ol JOIN sg USING (item_id, segment_no) GROUP BY ALL),
+au AS (SELECT sg.*, len({_SQL_WORDS.format(c='segment')}) AS n_words, coalesce(cited_overlap, 0) AS cited_overlap, coalesce(best_overlap, 0) AS best_overlap, best_rank, coalesce(clean_overlap, 0) AS clean_overlap, cited_rank BETWEEN 1 AND nr AS known
+  FROM sg LEFT JOIN ag2 USING (item_id, segment_no) JOIN (SELECT item_id, count(*) AS nr FROM cx GROUP BY item_id) USING (item_id)),
+att AS (SELECT *, CASE WHEN NOT known THEN 'unknown_rank' WHEN n_words < 6 THEN 'too_short' WHEN cited_overlap >= 0.5 THEN 'supported' WHEN best_overlap >= 0.5 AND best_rank <> cited_rank THEN 'misattributed' WHEN clean_overlap >= 0.5 THEN 'corrupted' ELSE 'unverified' END AS attribution FROM au)"""
+
+
+@_query(f"WITH {_CITED_SQL} SELECT item_id, segment_no, cited_rank, marker_start::BIGINT AS marker_start, n_words, round(cited_overlap, 4) AS cited_overlap, best_rank, round(best_overlap, 4) AS best_overlap, attribution FROM att")
+def citation_attribution(spark, d):
+    """Attribution of every segment of responses made from all documents."""
+    out = audit.audit_citations(*_cited(spark, d))
+    return out.select("item_id", "segment_no", "cited_rank", "marker_start", "n_words", F.round("cited_overlap", 4).alias("cited_overlap"), "best_rank", F.round("best_overlap", 4).alias("best_overlap"), "attribution")
 
 
-@_query("SELECT item_id, segment_no, cited_rank, attribution FROM " + _sql_values([(1, 0, 1, "supported"), (1, 1, 2, "misattributed"), (1, 2, 3, "too_short"), (1, 3, 9, "unknown_rank"), (1, 4, 2, "unverified")], "item_id, segment_no, cited_rank, attribution"))
-def citation_attribution(spark, d):
-    out = audit.audit_citations(_values(spark, _CITED, "item_id int, response string"), _values(spark, _CONTEXT, "item_id int, rank int, text string"))
-    return out.select("item_id", "segment_no", "cited_rank", "attribution")
+_FAILS = "attribution IN ('unknown_rank', 'misattributed', 'corrupted')"
 
 
-_REFS = [(1, "As SS 9 2/3 says, and 4/1/2 too. See 7/7 of SS8 and 8/8. SS44 1/1"), (2, "Under item no. 6/4 of Shari'ah Standard No. (05), SS08 1/2/3/4/5/6"), (3, None), (4, "2/3 and 8/8")]
-_CLAUSES = [(1, "SS9", "2/3", "lease"), (1, "SS9", "4/1/2/5", "cites 12/45"), (2, "SS8", None, "quotes 6/4 whole"), (4, None, "2/3", None), (4, "SS9", "2/3/1", "x")]
-_INDEX = [("SS9", "2/3"), ("SS9", "4/1/2/5"), ("SS8", "8/8"), ("SS9", "7/7")]
-_GROUNDED = [
-    (1, 8, "SS9", "2/3", "grounded_in_context", "exact"), (1, 22, "SS9", "4/1/2", "grounded_in_context", "ancestor"), (1, 37, "SS9", "7/7", "outside_context", "corpus_exact"), (1, 52, "SS8", "8/8", "outside_context", "corpus_exact"),
-    (1, 62, "SS44", "1/1", "unknown_standard", "standard_not_in_corpus"), (2, 15, "SS5", "6/4", "grounded_in_context", "verbatim_in_context"), (2, 55, "SS8", "1/2/3/4", "unresolvable", "no_match"), (2, 63, "SS8", "5/6", "unresolvable", "no_match"),
-    (4, 0, None, "2/3", "grounded_in_context", "ancestor"), (4, 8, None, "8/8", "outside_context", "corpus_exact"),
-]
+@_query(f"""WITH {_CITED_SQL}, fs AS (SELECT item_id, cited_rank, min(segment_no) AS f, min(segment_no) FILTER (attribution = 'unknown_rank') AS u FROM att GROUP BY ALL)
+SELECT item_id, string_agg(cited_rank, ',' ORDER BY f) AS cited_ranks, coalesce(string_agg(cited_rank, ',' ORDER BY u) FILTER (u IS NOT NULL), '') AS out_of_range, a.n_segments, a.n_failing, a.n_supported, a.n_misattributed, a.n_corrupted, a.n_unverified, a.passed FROM fs JOIN
+(SELECT item_id, count(*) AS n_segments, count(*) FILTER ({_FAILS}) AS n_failing, count(*) FILTER (attribution = 'supported') AS n_supported, count(*) FILTER (attribution = 'misattributed') AS n_misattributed, count(*) FILTER (attribution = 'corrupted') AS n_corrupted, count(*) FILTER (attribution = 'unverified') AS n_unverified, NOT bool_or({_FAILS}) AS passed FROM att GROUP BY item_id) a USING (item_id) GROUP BY ALL""")
+def citation_audit(spark, d):
+    """The audits' rollups, a row a response."""
+    responses, context = _cited(spark, d)
+    out = audit.audit_summary(responses, audit.audit_citations(responses, context))
+    return out.select("item_id", F.array_join("cited_ranks", ",").alias("cited_ranks"), F.array_join("out_of_range", ",").alias("out_of_range"), *[F.col(c).cast("long").alias(c) for c in ("n_segments", "n_failing", "n_supported", "n_misattributed", "n_corrupted", "n_unverified")], "passed")
 
 
-def _grounded(spark):
-    refs = audit.clause_references(_values(spark, _REFS, "item_id int, response string"))
-    own = audit.ground(refs, _values(spark, _CLAUSES, "item_id int, standard string, clause string, text string"), _values(spark, _INDEX, "standard string, path string"))
-    return own.join(refs.select("item_id", "ref_no", "char_offset"), ["item_id", "ref_no"])
+# Responses made from all documents with references in front of and behind the whole texts; contexts and the corpus index go by ids, so that every way of resolving occurs.
+_REFER = ("As SS {a} 2/{b} says, and 4/{c} too. See item no. 7/{d} of Shari'ah Standard No. (0{e}) and 8/8. ", " Then SS44 1/1, and para. 3/1/2/4/5 of 7/{b}")
 
 
-@_query("SELECT item_id, char_offset, standard, path, status, resolved_via FROM " + _sql_values(_GROUNDED, "item_id, char_offset, standard, path, status, resolved_via"))
+def _referred(spark, d):
+    i = F.col("doc_id")
+    nth = {"a": 1 + i % 9, "b": 1 + i % 5, "c": 1 + i % 3, "d": 1 + i % 6, "e": i % 9}
+
+    def spelt(t):
+        out = F.lit(t)
+        for k, v in nth.items():
+            out = F.replace(out, F.lit("{" + k + "}"), v.cast("string"))
+        return out
+
+    docs = _t(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    responses = docs.select(i.alias("item_id"), F.concat(spelt(_REFER[0]), "text", spelt(_REFER[1])).alias("response"))
+    first = docs.select(i.alias("item_id"), spelt("SS{a}").alias("standard"), F.when(i % 2 == 0, spelt("2/{b}")).otherwise(spelt("2/{b}/1")).alias("clause"), "text")
+    second = docs.filter(i % 3 == 0).select(i.alias("item_id"), F.lit(None).cast("string").alias("standard"), F.lit(None).cast("string").alias("clause"), spelt("quotes 4/{c} whole").alias("text"))
+    index = docs.select(F.concat(F.lit("SS"), (1 + i % 7).cast("string")).alias("standard"), spelt("7/{d}/2").alias("path"))
+    return responses, first.unionByName(second), index
+
+
+_REF_RE, _PROSE_RE = (p.replace("'", "''") for p in (audit.REFERENCE, audit.STANDARD_PROSE))
+_sql_refer = lambda t: "'" + t.replace("'", "''").replace("{a}", "' || 1 + doc_id % 9 || '").replace("{b}", "' || 1 + doc_id % 5 || '").replace("{c}", "' || 1 + doc_id % 3 || '").replace("{d}", "' || 1 + doc_id % 6 || '").replace("{e}", "' || doc_id % 9 || '") + "'"
+_sql_refer = lambda t, f=_sql_refer: f(t).replace("|| 1 + doc_id", "|| (1 + doc_id").replace("|| doc_id", "|| (doc_id").replace(" % 9 ||", " % 9) ||").replace(" % 5 ||", " % 5) ||").replace(" % 3 ||", " % 3) ||").replace(" % 6 ||", " % 6) ||")
+_REF_SQL = f"""dt AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+rs0 AS (SELECT doc_id AS item_id, {_sql_refer(_REFER[0])} || text || {_sql_refer(_REFER[1])} AS c FROM dt),
+cx0 AS (SELECT doc_id AS item_id, {_sql_refer("SS{a}")} AS standard, CASE WHEN doc_id % 2 = 0 THEN {_sql_refer("2/{b}")} ELSE {_sql_refer("2/{b}/1")} END AS clause, text FROM dt UNION ALL SELECT doc_id, NULL, NULL, {_sql_refer("quotes 4/{c} whole")} FROM dt WHERE doc_id % 3 = 0),
+ix AS (SELECT DISTINCT 'SS' || (1 + doc_id % 7) AS standard, unnest(['7', {_sql_refer("7/{d}")}, {_sql_refer("7/{d}/2")}]) AS path FROM dt),
+mt AS (SELECT item_id, c, regexp_extract_all(c, '{_REF_RE}') AS m, regexp_extract_all(c, '{_REF_RE}', 1) AS own, regexp_extract_all(c, '{_REF_RE}', 2) AS path, string_split_regex(c, '{_REF_RE}') AS p FROM rs0),
+rf AS (SELECT item_id, c, k - 1 AS ref_no, m[k] AS m, coalesce(own[k], '') AS own, path[k] AS path, (list_sum(list_transform(p[1:k], lambda x: len(x))) + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: len(x))), 0))::BIGINT AS st FROM (SELECT *, unnest(range(1, len(m) + 1)) AS k FROM mt)),
+bd AS (SELECT *, regexp_extract(substr(c, st + len(m) + 1, 48), '{_PROSE_RE}', 1) AS prose, regexp_extract(substr(c, greatest(st - 60, 0) + 1, least(st, 60)), '(?is)^.*\\bSS\\s?(\\d{{1,2}})\\b', 1) AS near FROM rf),
+rb AS (SELECT item_id, ref_no, st + len(m) - len(path) AS char_offset, CASE WHEN own <> '' THEN 'SS' || regexp_replace(own, '\\D', '', 'g')::INT WHEN prose <> '' THEN 'SS' || prose::INT WHEN near <> '' THEN 'SS' || near::INT END AS standard, path FROM bd),
+cl0 AS (SELECT item_id, standard AS cs, clause, text FROM cx0),
+fg AS (SELECT item_id, ref_no, any_value(char_offset) AS char_offset, any_value(standard) AS standard, any_value(path) AS path,
+  coalesce(bool_or(cs <> '' AND coalesce(rb.standard = cs, true) AND clause = path), false) AS exact, coalesce(bool_or(cs <> '' AND coalesce(rb.standard = cs, true) AND (clause = path OR starts_with(clause, path || '/'))), false) AS ancestor, coalesce(bool_or(contains(text, path)), false) AS verbatim
+  FROM rb JOIN cl0 USING (item_id) GROUP BY item_id, ref_no),
+gd AS (SELECT *, CASE WHEN exact THEN 'exact' WHEN ancestor THEN 'ancestor' WHEN verbatim THEN 'verbatim_in_context' END AS shown FROM fg),
+gr0 AS (SELECT *, CASE WHEN shown IS NOT NULL THEN shown WHEN standard IS NOT NULL AND standard NOT IN (SELECT standard FROM ix) THEN 'standard_not_in_corpus' WHEN EXISTS (SELECT 1 FROM ix WHERE ix.path = gd.path AND coalesce(ix.standard = gd.standard, true)) THEN 'corpus_exact' ELSE 'no_match' END AS via FROM gd),
+gs0 AS (SELECT item_id, char_offset, standard, path, true AS indexed, CASE WHEN shown IS NOT NULL THEN 'grounded_in_context' WHEN via = 'standard_not_in_corpus' THEN 'unknown_standard' WHEN via = 'corpus_exact' THEN 'outside_context' ELSE 'unresolvable' END AS status, via AS resolved_via FROM gr0
+  UNION ALL SELECT item_id, char_offset, standard, path, false, CASE WHEN shown IS NOT NULL THEN 'grounded_in_context' ELSE 'outside_context' END, coalesce(shown, 'no_corpus_index') FROM gr0)"""
+
+
+@_query(f"WITH {_REF_SQL} SELECT item_id, char_offset, standard, path, indexed, status, resolved_via FROM gs0")
 def grounding_status(spark, d):
-    return _grounded(spark).select("item_id", "char_offset", "standard", "path", "status", "resolved_via")
+    """How every reference in responses made from all documents resolves, with the corpus index and without."""
+    responses, context, index = _referred(spark, d)
+    refs = stored(audit.clause_references(responses), "references")
+    out = audit.ground(refs, context, index).withColumn("indexed", F.lit(True)).unionByName(audit.ground(refs, context).withColumn("indexed", F.lit(False)))
+    return out.join(refs.select("item_id", "ref_no", F.col("char_offset").cast("long").alias("char_offset")), ["item_id", "ref_no"]).select("item_id", "char_offset", "standard", "path", "indexed", "status", "resolved_via")
 
 
-@_query("SELECT item_id, n_references::BIGINT AS n_references, n_distinct::BIGINT AS n_distinct, passed FROM " + _sql_values([(1, 5, 5, False), (2, 3, 3, False), (3, 0, 0, True), (4, 2, 2, False)], "item_id, n_references, n_distinct, passed"))
+@_query(f"""WITH {_REF_SQL} SELECT item_id, count(*) AS n_references, count(DISTINCT (coalesce(standard, ''), path)) AS n_distinct, count(*) FILTER (status = 'grounded_in_context') AS n_grounded_in_context, count(*) FILTER (status = 'outside_context') AS n_outside_context,
+count(*) FILTER (status = 'unknown_standard') AS n_unknown_standard, count(*) FILTER (status = 'unresolvable') AS n_unresolvable, bool_and(status = 'grounded_in_context') AS passed FROM gs0 WHERE indexed GROUP BY item_id""")
 def grounding_audit(spark, d):
-    return audit.grounding_summary(_values(spark, _REFS, "item_id int, response string"), _grounded(spark)).select("item_id", "n_references", "n_distinct", "passed")
+    """The groundings' rollups, a row a response; the corpus index is a stored table in buckets."""
+    responses, context, index = _referred(spark, d)
+    name = f"clause_index_{uuid.uuid4().hex}"
+    audit.write_clause_index(index, name, buckets=8, standard="standard", clause="path")
+    grounded = audit.ground(audit.clause_references(responses), context, spark.table(name), stored=True)
+    return audit.grounding_summary(responses, grounded)
 
 
 # Pages made from all documents: a document is a page, its sentences are the lines, and marks by line number lead through every branch of the line grammar. Seven tenths of the pages are one standard's.

@@ -21,11 +21,32 @@ def scratch(spark: SparkSession, label: str) -> str:
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
+def _write(df: DataFrame, path: str) -> None:
+    """Write df; its shuffle files go when it is written, as nothing reads them again."""
+    name, conf = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", df.sparkSession.conf
+    old = conf.get(name, None)
+    conf.set(name, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(name, old) if old is not None else conf.unset(name)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """df as a table in the shared folder: cuts the lineage, is computed once and survives lost executors."""
     path = scratch(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _write(df, path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._lexigrid_path = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Delete a table that stored() or positions() made and nothing reads any more."""
+    at = getattr(df, "_lexigrid_path", None)
+    if at:
+        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def positions(df: DataFrame, order: list[str], label: str, *, name: str = "pos") -> tuple[DataFrame, int]:
@@ -33,7 +54,7 @@ def positions(df: DataFrame, order: list[str], label: str, *, name: str = "pos")
 
     Ranges are sorted each by itself; the driver sums up one number a file, so no task sees all rows."""
     spark, path = df.sparkSession, scratch(df.sparkSession, label)
-    df.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(path)
+    _write(df.repartitionByRange(*order).sortWithinPartitions(*order), path)
     at = spark.read.schema(df.schema).parquet(path).select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_at"))
     counts = sorted((int(re.match(r"part-(\d+)", r["_file"])[1]), r["_file"], r["n"]) for r in at.groupBy("_file").agg(F.count(F.lit(1)).alias("n")).collect())
     bases, total = [], 0
@@ -41,4 +62,6 @@ def positions(df: DataFrame, order: list[str], label: str, *, name: str = "pos")
         bases.append((file, total))
         total += n
     base = spark.createDataFrame(bases, "_file string, _base long")
-    return at.join(F.broadcast(base), "_file").withColumn(name, F.col("_base") + F.col("_at")).drop("_file", "_base", "_at"), total
+    out = at.join(F.broadcast(base), "_file").withColumn(name, F.col("_base") + F.col("_at")).drop("_file", "_base", "_at")
+    out._lexigrid_path = path
+    return out, total
