@@ -83,6 +83,7 @@ FEATURES = (*SHAPES, *CONTEXT)
 TREES, DEPTH, RATE = 60, 4, 0.3
 EXAMPLES = 4000
 CHUNK = 256
+PIECE = 256
 
 
 def _prepared(text: Column, kind: str) -> Column:
@@ -161,19 +162,25 @@ def _how_many(t: Column, others: str, most: int) -> Column:
     return F.least(F.length(F.regexp_replace(t, others, "")), F.lit(most))
 
 
-def _candidate(text: Column, x: Column) -> Column:
+def _stretch(pieces: Column, at: Column, n: int) -> Column:
+    """n code points from offset `at` of a text that is cut into pieces of PIECE: two pieces are looked at, wherever that is in the text."""
+    no = F.floor(at / PIECE).cast("int")
+    two = F.concat(F.coalesce(F.try_element_at(pieces, no + 1), F.lit("")), F.coalesce(F.try_element_at(pieces, no + 2), F.lit("")))
+    return F.substr(two, at - no * PIECE + 1, F.lit(n))
+
+
+def _candidate(pieces: Column, x: Column) -> Column:
     """A match (k, g, s, e, t) as struct: place, validity and features."""
     t, s, e = x["t"], x["s"].cast("int"), x["e"].cast("int")
-    char = lambda at: F.substr(text, at, F.lit(1))
     ok = valid(x["k"], t)
-    before = F.substr(text, F.greatest(s - 31, F.lit(1)), F.least(s, F.lit(32)))
+    before = F.right(F.left(_stretch(pieces, F.greatest(s - 32, F.lit(0)), 32), F.least(s, F.lit(32))), F.lit(32))
     values = {
         "kind": x["k"], "generator": x["g"], "check": ok.cast("int"), "length": F.floor(F.least(F.length(t), F.lit(64)) / 2),
         "digits": _how_many(t, "[^0-9]", 40), "letters": _how_many(t, "[^A-Za-z]", 40), "upper": _how_many(t, "[^A-Z]", 8), "plus": t.startswith("+").cast("int"),
         "seps": _how_many(t, "[^\\x20.()-]", 5), "colons": _how_many(t, "[^:]", 8), "hex": t.rlike("^[0-9a-fA-F]+$").cast("int"),
         "known": t.rlike("^(?:AKIA|ASIA|gh[pousr]_|sk[-_]|pk[-_]|xox[abp]-|AIza|eyJ|glpat-)").cast("int"),
         "inside": before.rlike(r"[A-Z]{2}[0-9]{2}(?:[\x20]?[A-Z0-9]{4})*[\x20]?$").cast("int"),
-        "before": F.when(s > 0, _class(char(s))).otherwise(0), "after": _class(char(e + 1)),
+        "before": F.when(s > 0, _class(F.right(before, F.lit(1)))).otherwise(0), "after": _class(_stretch(pieces, e, 1)),
         "lead": F.coalesce(F.substr(_digits(t), F.lit(1), F.lit(1)).try_cast("int"), F.lit(0)),
         "written": F.when(t.rlike(r"(?i)[\[({][\x20]?at[\x20]?[\])}]"), 3).when(t.rlike(r"(?i)[\x20]dot[\x20]"), 2).when(t.contains(" @") | t.contains("@ "), 1).otherwise(0),
     }
@@ -194,8 +201,11 @@ def candidates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", a
     enough = lambda x: F.length(_digits(x["t"])) >= 12
     named = lambda k, g: lambda x: F.struct(F.lit(k).alias("k"), F.lit(g).alias("g"), x["s"].alias("s"), x["e"].alias("e"), x["t"].alias("t"))
     every = F.concat(*[F.transform(F.filter(c, enough) if k == KINDS.index("card") else F.col(c), named(k, g)) for k, g, c in sources])
-    found = F.transform(every, partial(_candidate, t))
-    rows = rows.select("doc_id", found.alias("found"), *also)
+    # a text is walked once, into pieces; a substring of the text for each match would walk it from its start each time
+    pieces = F.regexp_extract_all(t, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    found = F.when(F.size(every) > 0, _let(pieces, lambda p: F.transform(every, partial(_candidate, p))))
+    rows = rows.withColumn("found", found)
+    rows = rows.select("doc_id", F.coalesce("found", F.array().cast(rows.schema["found"].dataType)).alias("found"), *also)
     base = F.transform(F.filter("found", lambda c: (c["generator"] == 0) & c["ok"]), lambda c: F.struct(c["k"], c["s"], c["e"]))
     return rows.select("doc_id", F.array_sort(F.transform(base, lambda c: F.struct(c["s"].alias("s"), c["k"].alias("k"), c["e"].alias("e")))).alias("base"), "found", *also)
 
@@ -326,8 +336,8 @@ class Trees:
             out = out + at(tree)
         return out
 
-    def accepts(self, c: Column) -> Column:
-        return self.column(c) >= F.element_at(F.array(*map(F.lit, self.thresholds)), c["k"] + 1)
+    def accepts(self, kind: Column, score: Column) -> Column:
+        return score >= F.element_at(F.array(*map(F.lit, self.thresholds)), kind + 1)
 
 
 def boost(cells: list[tuple[dict, float, float]], *, trees: int = TREES, depth: int = DEPTH, rate: float = RATE) -> Trees:
@@ -400,22 +410,55 @@ def find_spans(docs: DataFrame, *, labelled: DataFrame | None = None, precision:
     found = written(candidates(docs, doc_id=doc_id, text=text), "candidates")  # the texts are read once, here
     if model is None:
         return found.select("doc_id", "base", F.col("base").alias("spans"))
-    free = lambda c, xs: ~F.exists(xs, lambda b: ((b["k"] == c["k"]) | (c["k"] >= len(KINDS))) & (b["s"] < c["e"]) & (c["s"] < b["e"]))
-    accepted = F.filter("found", lambda c: model.accepts(c) & free(c, F.col("base")))
-    # along the text, the best of overlapping ones of a kind waits until one comes that it doesn't overlap
-    ordered = F.array_sort(F.transform(accepted, lambda c: F.struct(c["k"].alias("k"), c["s"].alias("s"), c["e"].alias("e"), model.column(c).alias("v"))))
+    scored = F.transform("found", lambda c: F.struct(c["k"].alias("k"), c["s"].alias("s"), c["e"].alias("e"), model.column(c).alias("v")))
+    out = found.select("doc_id", "base", F.filter(scored, lambda c: model.accepts(c["k"], c["v"])).alias("accepted"))
+    more = _best(_apart(F.col("base"), F.col("accepted")))
+    return out.select("doc_id", "base", F.array_sort(F.concat("base", F.when(F.size("accepted") > 0, more).otherwise(F.slice("base", 1, 0)))).alias("spans"))
+
+
+def _pushed(st: Column, x: Column, when: Column) -> list[Column]:
+    """A fold's `cur` and `done` with x behind them, if so: full stretches of CHUNK go to `done`, as appending to one long array copies all of it each time."""
+    full = when & (F.size(st["cur"]) >= CHUNK)
+    done = F.when(full, F.concat(st["done"], F.array(st["cur"]))).otherwise(st["done"])
+    return [F.when(full, F.array(x)).when(when, F.concat(st["cur"], F.array(x))).otherwise(st["cur"]).alias("cur"), done.alias("done")]
+
+
+_ALL_OF = lambda st: F.flatten(F.concat(st["done"], F.array(st["cur"])))
+
+
+def _apart(base: Column, accepted: Column) -> Column:
+    """The accepted spans (k, s, e, v) that overlap no base span of their kind, or of any kind where they are of a kind without a base.
+
+    Base spans come in the order of their starts, a candidate before the base spans that start at its end or later: it overlaps
+    one of those before it if the furthest of their ends lies beyond its start."""
     waits = "struct<k:int,s:bigint,e:bigint,v:double>"
-    state = F.struct(F.lit(None).cast(waits).alias("w"), F.array().cast("array<struct<s:bigint,k:int,e:bigint>>").alias("out"))
-    span = lambda w: F.array(F.struct(w["s"].alias("s"), w["k"].alias("k"), w["e"].alias("e")))
+    event = lambda at, t, k, s, e, v: F.struct(at.alias("at"), F.lit(t).alias("t"), F.struct(k.cast("int").alias("k"), s.alias("s"), e.alias("e"), v.cast("double").alias("v")).alias("c"))
+    events = F.array_sort(F.concat(F.transform(base, lambda b: event(b["s"], 1, b["k"], b["s"], b["e"], F.lit(0.0))), F.transform(accepted, lambda c: event(c["e"], 0, c["k"], c["s"], c["e"], c["v"]))))
+    n = len(KINDS)
+    start = F.struct(F.array_repeat(F.lit(0).cast("bigint"), n + 1).alias("ends"), F.array().cast(f"array<{waits}>").alias("cur"), F.array().cast(f"array<array<{waits}>>").alias("done"))
+
+    def step(st, x):
+        c, is_base = x["c"], x["t"] == 1
+        ends = F.transform(st["ends"], lambda y, i: F.when(is_base & ((i == c["k"]) | (i == n)), F.greatest(y, c["e"])).otherwise(y))
+        free = F.element_at(st["ends"], F.least(c["k"], F.lit(n)) + 1) <= c["s"]
+        return F.struct(ends.alias("ends"), *_pushed(st, c, ~is_base & free))
+
+    return F.aggregate(events, start, step, _ALL_OF)
+
+
+def _best(spans: Column) -> Column:
+    """Along the text, the best by v of overlapping spans of a kind waits until one comes that it doesn't overlap: array of (s, k, e)."""
+    waits, out = "struct<k:int,s:bigint,e:bigint,v:double>", "struct<s:bigint,k:int,e:bigint>"
+    start = F.struct(F.lit(None).cast(waits).alias("w"), F.array().cast(f"array<{out}>").alias("cur"), F.array().cast(f"array<array<{out}>>").alias("done"))
+    span = lambda w: F.struct(w["s"].alias("s"), w["k"].alias("k"), w["e"].alias("e"))
 
     def take(st, c):
         w = st["w"]
         apart = F.coalesce((c["k"] != w["k"]) | (c["s"] >= w["e"]), F.lit(True))
         best = F.when(apart | (c["v"] > w["v"]), c).otherwise(w).cast(waits)
-        return F.struct(best.alias("w"), F.when(apart & w.isNotNull(), F.concat(st["out"], span(w))).otherwise(st["out"]).alias("out"))
+        return F.struct(best.alias("w"), *_pushed(st, span(w), apart & w.isNotNull()))
 
-    more = F.aggregate(ordered, state, take, lambda st: F.when(st["w"].isNotNull(), F.concat(st["out"], span(st["w"]))).otherwise(st["out"]))
-    return found.select("doc_id", "base", F.array_sort(F.concat("base", F.when(F.size(accepted) > 0, more).otherwise(F.slice("base", 1, 0)))).alias("spans"))
+    return F.aggregate(F.array_sort(spans), start, take, lambda st: F.concat(_ALL_OF(st), F.when(st["w"].isNotNull(), F.array(span(st["w"]))).otherwise(F.array().cast(f"array<{out}>"))))
 
 
 def as_text(spans: Column) -> Column:

@@ -1,3 +1,4 @@
+import time
 import hashlib
 import random
 import re
@@ -125,6 +126,22 @@ def test_edges(spark):
     assert P.find_spans(df.limit(0)).count() == 0
 
 
+def test_many_candidates_in_a_long_text_take_time_in_proportion(spark):
+    """The offsets, contexts and choices of a long text's candidates; doubled, it takes less than three times as long."""
+    took = {}
+    for n in (200, 4000, 8000):
+        text = "".join(f"tel 602-555-{i % 10000:04d} or +1 602 555 {i % 10000:04d}, a{i}@b.cd\n" for i in range(n))
+        df = documents(spark, [(1, text)], 1)
+        began = time.time()
+        (r,) = P.find_spans(df).collect()
+        took[n] = time.time() - began
+        want = base(text)
+        assert [tuple(x) for x in r["base"]] == [tuple(x) for x in want]
+        added = {P.ALL[x["k"]] + ":" + text[x["s"] : x["e"]] for x in r["spans"]} - {P.ALL[k] + ":" + text[s:e] for s, k, e in want}
+        assert added == {f"phone:602-555-{i % 10000:04d}" for i in range(n)}
+    assert took[8000] < 3 * took[4000]
+
+
 def test_query(spark, sf):
     rows = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
     out = P.op7_pii_spans(spark, sf).collect()
