@@ -49,14 +49,14 @@ def citation_segments(responses: DataFrame, *, id: str = "item_id", text: str =
 def bulk_overlap(texts: DataFrame, contexts: DataFrame, *, id: str, key: list[str], rank: str = "rank") -> DataFrame:
     """id, key, rank, overlap of texts (id, key, text) and the ranks of their item (id, rank, text) that share a shingle with them.
 
-    Distinct shingles of both sides meet by an equi-join on item, width and digest, so a long item's texts spread over tasks by
+    Distinct shingles of both sides meet by an equi-join on item, width and a 64-bit hash (two different shingles of an item that share one are not told apart), so a long item's texts spread over tasks by
     shingle and a shingle that many texts have is a skewed key of a plain join, which adaptive execution splits. Contexts
     are cut into the widths that their item's texts have only."""
     width = lambda t: F.least(F.lit(T.WIDTH), F.greatest(F.size(t), F.lit(1)))
     cut = T.let(T.words(F.col("text")), lambda t: F.struct(width(t).alias("width"), T.shingles(t, width(t)).alias("grams")))
     own = texts.select(id, *key, F.explode(F.array(cut)).alias("_cut"))  # exploded, so that it is computed once and not wherever it is used
     own = own.select(id, *key, F.col("_cut.width").alias("_width"), F.col("_cut.grams").alias("_grams")).filter(F.size("_grams") > 0)
-    digest = F.unhex(F.md5(F.col("_gram")))
+    digest = F.xxhash64("_width", "_gram")
     grams = own.select(id, *key, "_width", F.size("_grams").alias("_n"), F.explode("_grams").alias("_gram")).withColumn("_gram", digest)
     asked = own.select(id, "_width").distinct()
     there = contexts.select(id, rank, T.words(F.col("text")).alias("_words")).join(asked, id)

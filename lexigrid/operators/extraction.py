@@ -93,10 +93,12 @@ def page_texts(lines: DataFrame) -> DataFrame:
 
 
 def opened_lines(lines: DataFrame, *, block: int = BLOCK) -> DataFrame:
-    """The normative lines, stored, with what the grammar says of each: candidate (a number that could open a record), reason (why it goes on a citation instead), clause_id, sub, body, opens, record_no.
+    """The normative lines, stored, with what the grammar says of each: candidate (a number that could open a record), reason (why it goes on a citation instead), clause_id, sub, part (the line, or what follows its number), opens, record_no.
 
     Bracket depth, the line before and the ids run across pages and over blocks of `block` lines, so one standard may lie in many tasks. pos: the line's place."""
-    placed, n = positions(normative_lines(lines), ["standard_id", "page", "line_no"], "lines")
+    lines = stored(lines, "lines")
+    placed, n = positions(normative_lines(lines), ["standard_id", "page", "line_no"], "placed")
+    forget(lines)
     rows = placed.withColumn("block", F.floor(F.col("pos") / block))
     run = {"order": "pos", "block": "block", "blocks": -(-n // block)}
     line = F.col("line")
@@ -116,7 +118,7 @@ def opened_lines(lines: DataFrame, *, block: int = BLOCK) -> DataFrame:
     rows = rows.join(first, "standard_id")
     bullet = F.coalesce(F.col("own").isNull() & (F.col("pos") > F.col("_first")) & line.rlike(BULLET), F.lit(False))
     rows = rows.withColumns({"sub": F.when(bullet, F.regexp_extract(line, BULLET, 1)), "body": F.when(F.col("own").isNotNull(), body).when(bullet, F.regexp_extract(line, BULLET, 2))})
-    rows = rows.withColumn("opens", F.col("body").isNotNull()).drop("_first")
+    rows = rows.withColumns({"opens": F.col("body").isNotNull(), "part": F.coalesce("body", "line")}).drop("_first", "body")
     out = running(rows, ["standard_id"], {"clause_id": ("last", F.col("own")), "record_no": ("sum", F.col("opens").cast("long"))}, **run).drop("block")
     out._lexigrid_path = candidates._lexigrid_path
     return out
@@ -139,7 +141,7 @@ def parse_clauses(lines: DataFrame, *, block: int = BLOCK) -> DataFrame:
     says that it goes on; bullets take the ids of the record they stand in. Text starts at section 1 and ends at the back matter;
     records without text drop."""
     opened = opened_lines(lines, block=block)
-    rows = opened.filter("clause_id is not null").withColumn("part", F.coalesce("body", "line"))
+    rows = opened.filter("clause_id is not null")
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "part"))), lambda x: x["part"]), "\x01")
     text = F.replace(F.regexp_replace(joined, r"-\x01(?=\p{Ll})", ""), F.lit("\x01"), F.lit(" "))
     out = rows.groupBy("standard_id", "record_no").agg(F.max("clause_id").alias("clause_id"), F.max("sub").alias("sub_clause_id"), F.min("page").alias("source_page"), F.trim(text).alias("text"), F.min("pos").alias("pos"))
