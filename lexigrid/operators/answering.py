@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lexigrid.functions import text as T
 from lexigrid.operators import audit, evaluation, prompts
 from lexigrid.operators.routing import Gate, evaluate_gates
+from lexigrid.sources.scratch import stored
 
 #: Columns of a response's signals, as types, for items that never reach generation.
 RESPONSE_SIGNALS = "generated boolean, response string, response_class string, n_words int, audit_passed boolean, cited_ranks array<int>, grounding_passed boolean, foreign array<string>, runs array<string>, echo_ratio double"
@@ -57,7 +58,7 @@ def run(items: DataFrame, ranked: DataFrame, generate: Callable[[DataFrame], Dat
     asked = items.join(going.select(id), id, "left_semi")
     prompted = prompts.render(asked.join(prompts.context_text(ranked, id=id), id, "left").withColumn("context", F.coalesce("context", F.lit(""))), variant)
     answers = generate(prompts.leak_guard(prompted).select(id, "variant", F.col("system").alias("system_prompt"), "user_prompt"))
-    answers = asked.select(id).join(answers.select(id, "response"), id, "left")
+    answers = stored(asked.select(id).join(answers.select(id, "response"), id, "left"), "answers")  # a model is asked once, whatever reads its answers
     signals = going.join(response_signals(answers, ranked, index, id=id), id)
     routed = evaluate_gates(signals, gates).drop("results", "mask").withColumn("short_circuited", F.lit(False))
     stopped = first.filter("decision <> 'answer'").withColumns(_nothing()).withColumn("short_circuited", F.lit(True))
@@ -73,9 +74,9 @@ def _nothing() -> dict:
     return {n: F.lit(None).cast(t) for n, t in (x.strip().split(" ", 1) for x in RESPONSE_SIGNALS.split(", "))}
 
 
-def replay(stored: DataFrame, *, id: str = "item_id", response: str = "response") -> Callable[[DataFrame], DataFrame]:
+def replay(answers: DataFrame, *, id: str = "item_id", response: str = "response") -> Callable[[DataFrame], DataFrame]:
     """A generator that gives stored answers."""
-    return lambda asked: asked.join(stored.select(id, F.col(response).alias("response")), id, "left").select(id, "response")
+    return lambda asked: asked.join(answers.select(id, F.col(response).alias("response")), id, "left").select(id, "response")
 
 
 def stored_context(top: DataFrame, chunks: DataFrame, *, id: str = "item_id", chunk: str = "chunk_id") -> DataFrame:

@@ -756,21 +756,38 @@ def blind_spot(spark, d):
     return answering.blind_spot_summary(answering.blind_spot(labelled, answering.retrieval_signals(items, ranked, coverage=cover), routing.default_gates(anchoring=0.25)))
 
 
-_ITEMS = [(1, "Who maintains the asset?", None), (2, "When is rent due?", None), (3, "Nothing found?", None), (4, "Only titles?", None), (5, "Who insures it?", None), (6, "What is ended?", None)]
-_RANKED = [
-    (1, 1, "c1", "SS9", "2/3", "SS9 §2/3", "The lessor must keep the leased asset in good repair at all times during the term."), (1, 2, "c2", "SS9", "2/4", "SS9 §2/4", "The lessee pays the rent in advance for each month."),
-    (2, 1, "c2", "SS9", "2/4", "SS9 §2/4", "The lessee pays the rent in advance for each month."), (4, 1, "c3", "SS9", "5", "SS9 §5", "Termination of the contract"),
-    (5, 1, "c4", "SS9", "6/1", "SS9 §6/1", "The owner insures the asset against loss at its own cost."), (6, 1, "c5", "SS9", "7/1", "SS9 §7/1", "The contract ends when the asset is lost."),
-]
-_ANSWERS = [(1, "Repairs fall to the owner: [1] the lessor must keep the leased asset in good repair, as SS9 2/3 says."), (2, T.ABSTENTION), (5, "The owner, as SS9 9/9 has it: [1] insures the asset against loss at its own cost"), (6, "The contract, then.")]
-
-
-@_query("SELECT item_id, decision, triggering_gate, served, cited, short_circuited FROM " + _sql_values([(1, "answer", None, True, "c1", False), (2, "abstain", "model_did_not_abstain", False, "", False), (3, "abstain", "retrieval_non_empty", False, "", True), (4, "abstain", "retrieval_normative", False, "", True), (5, "escalate", "clause_grounding", False, "c4", False), (6, "escalate", "citation_integrity", False, "", False)], "item_id, decision, triggering_gate, served, cited, short_circuited"))
+# Items made from all documents, with a stored answer each: by id an answer fails one gate after the other, and one in twenty is the whole record.
+_NORMATIVE = "The parties agree on all the terms before the contract begins."
+_STORED = {3: T.ABSTENTION, 4: T.ABSTENTION + " then more words", 6: "[1] As SS44 1/1 says", 7: "[1] short 漢", 8: "[1] odd words !!!! here", 9: "[1] the answer says so in other words than the record"}
+_RUN_SQL = f"""it0 AS (SELECT doc_id AS item_id, doc_id % 10 AS m, doc_id % 20 = 9 AS whole, coalesce(text, '') AS text FROM documents),
+an AS (SELECT *, CASE WHEN whole THEN '[1]: ' || text WHEN m = 5 THEN '[9] ' || substr(text, 1, 60) {' '.join(f"WHEN m = {m} THEN '{t}'" for m, t in _STORED.items())} END AS c,
+  '[1] SS' || (1 + item_id % 9) || ' §2/1' || chr(10) || text || chr(10) || chr(10) || '[2] SS1 §1' || chr(10) || '{_NORMATIVE}' AS cx FROM it0),
+wd AS (SELECT item_id, {_SQL_WORDS.format(c='c')} AS w, {_SQL_WORDS.format(c='cx')} AS w2 FROM an WHERE whole),
+ec AS (SELECT item_id, len(list_intersect(g, g2)) / len(g) AS echo FROM (SELECT item_id, {_SQL_GRAMS.format(n='least(8, len(w))')} AS g, {_SQL_GRAMS.format(n='least(8, n1)').replace('(w)', '(w2)').replace('w[', 'w2[')} AS g2 FROM (SELECT *, len(w) AS n1 FROM wd)) WHERE len(g) > 0),
+ru AS (SELECT doc_id FROM ({_SQL['repeat_runs_all']})),
+tg AS (SELECT item_id, c, CASE WHEN m = 0 THEN 'retrieval_non_empty' WHEN m = 1 THEN 'retrieval_normative' WHEN c IS NULL THEN 'response_present' WHEN m = 3 THEN 'model_did_not_abstain' WHEN m = 4 THEN 'no_self_contradiction' WHEN NOT regexp_matches(c, '\\p{{L}}{{2}}') THEN 'response_present'
+  WHEN m = 5 THEN 'citation_integrity' WHEN m = 6 AND NOT contains(text, '1/1') THEN 'clause_grounding' WHEN m = 7 OR whole AND regexp_matches(c, '{T.FOREIGN}') THEN 'script_integrity' WHEN m = 8 OR whole AND item_id IN (FROM ru) THEN 'no_degenerate_decoding' WHEN whole AND echo >= 0.85 THEN 'substantive_answer' END AS gate, m
+  FROM an LEFT JOIN ec USING (item_id))"""
+
+
+@_query(f"""WITH {_RUN_SQL} SELECT item_id, CASE WHEN gate IS NULL THEN 'answer' WHEN gate IN ('retrieval_non_empty', 'retrieval_normative', 'response_present', 'model_did_not_abstain') THEN 'abstain' ELSE 'escalate' END AS decision, gate AS triggering_gate,
+CASE WHEN gate IS NULL THEN md5(c) END AS served_md5, CASE WHEN m > 5 THEN 'c' || item_id ELSE '' END AS cited, m < 2 AS short_circuited, CASE WHEN m < 2 THEN 2 ELSE 6 END AS n_stages FROM tg""")
 def answer_run(spark, d):
-    ranked = _values(spark, _RANKED, "item_id int, rank int, chunk_id string, standard string, clause string, label string, text string")
-    stored = answering.replay(_values(spark, _ANSWERS, "item_id int, response string"))
-    out = answering.run(_values(spark, _ITEMS, "item_id int, question string, gold_answer string"), ranked, stored, routing.default_gates(), prompts.variants(spark, "ACME", "v1"), index=_values(spark, _INDEX, "standard string, path string"))
-    return out.select("item_id", "decision", "triggering_gate", F.col("served_answer").isNotNull().alias("served"), F.array_join("cited_chunk_ids", ",").alias("cited"), "short_circuited")
+    """The whole run over items made from all documents: gates, prompts, stored answers, audits of whole texts, routing."""
+    i = F.col("item_id")
+    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
+    records = docs.filter(i % 10 > 0).select(
+        "item_id", F.lit(1).alias("rank"), F.concat(F.lit("c"), i.cast("string")).alias("chunk_id"), F.concat(F.lit("SS"), (1 + i % 9).cast("string")).alias("standard"), F.lit("2/1").alias("clause"),
+        F.concat(F.lit("SS"), (1 + i % 9).cast("string"), F.lit(" §2/1")).alias("label"), F.when(i % 10 == 1, "Scope of the standard").otherwise(F.col("text")).alias("text"),
+    )
+    second = docs.filter(i % 10 > 1).select("item_id", F.lit(2).alias("rank"), F.lit("n").alias("chunk_id"), F.lit("SS1").alias("standard"), F.lit("1").alias("clause"), F.lit("SS1 §1").alias("label"), F.lit(_NORMATIVE).alias("text"))
+    answer = F.when(i % 20 == 9, F.concat(F.lit("[1]: "), "text")).when(i % 10 == 5, F.concat(F.lit("[9] "), F.substring("text", 1, 60)))
+    for m, t in _STORED.items():
+        answer = answer.when(i % 10 == m, t)
+    index = docs.select((F.concat(F.lit("SS"), (1 + i % 9).cast("string"))).alias("standard"), F.lit("2/1").alias("path")).distinct()
+    items = docs.select("item_id", F.concat(F.lit("What does record "), i.cast("string"), F.lit(" say?")).alias("question"), F.lit(None).cast("string").alias("gold_answer"))
+    out = answering.run(items, records.unionByName(second), answering.replay(docs.select("item_id", answer.alias("response"))), routing.default_gates(), prompts.variants(spark, "ACME", "v1"), index=index)
+    return out.select("item_id", "decision", "triggering_gate", F.md5("served_answer").alias("served_md5"), F.array_join("cited_chunk_ids", ",").alias("cited"), "short_circuited", F.size("entered").alias("n_stages"))
 
 
 @_query(f"""WITH {_BM25}, l AS (SELECT item_id, rank, '[' || rank || '] ' || source || chr(10) || text AS b FROM top JOIN documents USING (doc_id)),
