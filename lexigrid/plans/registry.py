@@ -215,20 +215,31 @@ def echo_ratio(spark, d):
     return _pairs(spark, d).select("conv_id", "turn", F.round(T.overlap_ratio(F.col("response"), F.col("context")), 6).alias("echo"))
 
 
-_RESPONSES = [(1, "I cannot answer from the given context"), (2, "**i cannot  ANSWER from the given context.**"), (3, "I cannot answer from the given context. Sorry"), (4, "The rent is due [1]. I cannot answer from the given context. But the lessor"), (5, ""), (6, "12 34"), (7, "The lessor pays 在 the rent."), (8, "no!!!! aaaa"), (9, None), (10, "Short heading"), (11, "A line that ends, so it is a sentence.")]
+# Responses made from all documents: by id the abstention line alone, dressed up, with a word, between texts, a short text, and a text with a foreign character.
+_SAID_SQL = f"""SELECT doc_id AS item_id, lang, CASE doc_id % 7 WHEN 0 THEN '{T.ABSTENTION}' WHEN 1 THEN '**' || upper('{T.ABSTENTION}') || '.**' WHEN 2 THEN '{T.ABSTENTION}. Sorry' WHEN 3 THEN text || ' {T.ABSTENTION}. ' || text WHEN 4 THEN substr(text, 1, 40) WHEN 5 THEN text || ' 在' ELSE '12 ' || doc_id END AS response FROM documents"""
 
 
-@_query("WITH r AS (SELECT * FROM " + _sql_values(_RESPONSES, "item_id, response") + r"""),
-n AS (SELECT item_id, coalesce(response, '') AS raw, trim(regexp_replace(lower(coalesce(response, '')), '\s+', ' ', 'g')) AS t FROM r),
-k AS (SELECT *, position('i cannot answer from the given context' IN t) > 0 AS there, len(regexp_extract_all(replace(t, 'i cannot answer from the given context', ' '), '\p{L}\p{L}+')) AS rest FROM n)
-SELECT item_id, CASE WHEN NOT there AND rest = 0 THEN 'empty' WHEN there AND rest < 2 THEN 'abstained' WHEN there THEN 'mixed' ELSE 'answered' END AS response_class,
-  CASE WHEN trim(raw) = 'I cannot answer from the given context' THEN 'abstained' ELSE 'answered' END AS legacy_class,
+def _said(spark, d):
+    i, t = F.col("doc_id"), F.col("text")
+    forms = [F.lit(T.ABSTENTION), F.lit(f"**{T.ABSTENTION.upper()}.**"), F.lit(f"{T.ABSTENTION}. Sorry"), F.concat(t, F.lit(f" {T.ABSTENTION}. "), t), F.substring(t, 1, 40), F.concat(t, F.lit(" 在")), F.concat(F.lit("12 "), i.cast("string"))]
+    out = F.when(i % 7 == 0, forms[0])
+    for n, f in enumerate(forms[1:], 1):
+        out = out.when(i % 7 == n, f)
+    return _t(spark, d, "documents").select(i.alias("item_id"), "lang", out.alias("response"))
+
+
+_CLASSES_SQL = r"""n AS (SELECT *, coalesce(response, '') AS raw, trim(regexp_replace(lower(coalesce(response, '')), '\s+', ' ', 'g')) AS t FROM r),
+k AS (SELECT *, position('i cannot answer from the given context' IN t) > 0 AS there, len(regexp_extract_all(replace(t, 'i cannot answer from the given context', ' '), '\p{L}\p{L}+')) AS rest FROM n),
+rc0 AS (SELECT *, CASE WHEN NOT there AND rest = 0 THEN 'empty' WHEN there AND rest < 2 THEN 'abstained' WHEN there THEN 'mixed' ELSE 'answered' END AS response_class FROM k)"""
+
+
+@_query(f"WITH r AS ({_SAID_SQL}), {_CLASSES_SQL} " + r"""SELECT item_id, response_class, CASE WHEN trim(raw) = 'I cannot answer from the given context' THEN 'abstained' ELSE 'answered' END AS legacy_class,
   trim(raw) = '' OR (NOT regexp_matches(trim(raw), '[.;:?!]$') AND len(regexp_extract_all(t, '[\p{L}\p{N}]+')) <= 12) AS heading_like,
-  len(regexp_extract_all(raw, '[一-鿿぀-ヿ가-힯Ѐ-ӿ؀-ۿ]'))::INT AS n_foreign FROM k""")
+  len(list_distinct(regexp_extract_all(raw, '[一-鿿぀-ヿ가-힯Ѐ-ӿ؀-ۿ]')))::INT AS n_foreign FROM rc0""")
 def response_checks(spark, d):
-    r = _values(spark, _RESPONSES, "item_id int, response string")
+    """Classes of responses made from all documents."""
     c = F.col("response")
-    return r.select("item_id", T.classify_response(c).alias("response_class"), T.classify_response_legacy(c).alias("legacy_class"), T.heading_like(c).alias("heading_like"), F.size(T.unexpected_script(c)).alias("n_foreign"))
+    return _said(spark, d).select("item_id", T.classify_response(c).alias("response_class"), T.classify_response_legacy(c).alias("legacy_class"), T.heading_like(c).alias("heading_like"), F.size(T.unexpected_script(c)).alias("n_foreign"))
 
 
 @_query("""WITH r AS (SELECT conv_id, turn, text AS response FROM conversations),
@@ -340,7 +351,9 @@ def wilson(spark, d):
 
 @_query()
 def clopper_pearson(spark, d):
-    return _values(spark, [(k, n, *evaluation.clopper_pearson(k, n)) for k, n in ((0, 7), (1, 7), (7, 7), (19, 19), (9, 17))], "hits int, n int, lo double, hi double")
+    """Exact intervals of the share of long turns, by role; their bounds are tested against the binomial distribution."""
+    by = _t(spark, d, "conversations").groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.length("text") > 100).alias("hits"))
+    return evaluation.exact_intervals(by)
 
 
 @_query()
@@ -412,23 +425,6 @@ def gate_leave_one_out(spark, d):
     return routing.gate_contributions(routing.evaluate_gates(_measured(spark, d), gates), gates)
 
 
-_ECHO = [("a", 0.2), ("b", 0.5), ("c", 0.962963), ("d", None)]
-
-
-def _swept(spark):
-    return routing.sweep(_values(spark, _ECHO, "item_id string, echo double"), "echo", _decide_echo, 0.85)
-
-
-@_query("SELECT threshold::DOUBLE AS threshold, n_answer::BIGINT AS n_answer, flips FROM " + _sql_values([(0.0, 0, 0), (0.2, 0, 0), (0.2 + 1e-9, 1, 1), (0.5, 1, 0), (0.5 + 1e-9, 2, 1), (0.85, 2, 0), (0.962963, 2, 0), (0.962963 + 1e-9, 3, 1), (1.0, 3, 0)], "threshold, n_answer, flips"))
-def threshold_flips(spark, d):
-    return _swept(spark).select("threshold", "n_answer", "flips")
-
-
-@_query("SELECT (0.5 + 1e-9)::DOUBLE AS lo, 0.962963::DOUBLE AS hi")
-def stable_interval(spark, d):
-    return routing.stable_interval(_swept(spark), 0.85)
-
-
 def _decide_echo(v, t):
     return F.when(v.isNull(), "abstain").when(v < t, "answer").otherwise("escalate")
 
@@ -444,6 +440,31 @@ sw AS (SELECT threshold, count(*) FILTER (echo < threshold) AS n_answer, count(*
 _ECHOES = _SQL["echo_ratio"].replace("round(coalesce(hit::DOUBLE / total, 0), 6) AS echo", "coalesce(hit::DOUBLE / total, 0) AS echo")
 
 
+# Echo ratios of openings of documents with other words behind them, so that ratios of all sizes occur.
+_OPENED = " and some more words that nobody has written there"
+_GRAMS_A = "CASE WHEN len(wa) > 0 THEN list_distinct(list_transform(range(1, greatest(len(wa) - nn + 1, 1) + 1), lambda i: array_to_string(wa[i:i + nn - 1], ' '))) ELSE [] END"
+_OPENED_SQL = f"""SELECT coalesce(len(list_intersect(ga, gc)) / nullif(len(ga), 0), 0) AS echo FROM (SELECT {_GRAMS_A} AS ga, {_GRAMS_A.replace('wa', 'wc')} AS gc FROM
+(SELECT *, least(8, greatest(len(wa), 1)) AS nn FROM (SELECT regexp_extract_all({_NORM.format(c="(substr(text, 1, (60 + doc_id % 200)::INT) || '" + _OPENED + "')")}, '[\\p{{L}}\\p{{N}}]+') AS wa, regexp_extract_all({_NORM.format(c='text')}, '[\\p{{L}}\\p{{N}}]+') AS wc FROM documents)))"""
+
+
+def _opened(spark, d):
+    t = F.col("text")
+    return routing.sweep(_t(spark, d, "documents").select(T.overlap_ratio(F.concat(F.substr(t, F.lit(1), (60 + F.col("doc_id") % 200).cast("int")), F.lit(_OPENED)), t).alias("echo")), "echo", _decide_echo, 0.85)
+
+
+@_query(f"WITH {_SWEPT % _OPENED_SQL} SELECT threshold, n_answer, flips FROM sw")
+def threshold_flips(spark, d):
+    """Routing at every point where a decision turns, over echo ratios of openings of all documents."""
+    return _opened(spark, d).select("threshold", "n_answer", "flips")
+
+
+@_query(f"""WITH {_SWEPT % _OPENED_SQL}, lo AS (SELECT coalesce(max(threshold) FILTER (flips > 0), (SELECT min(threshold) FROM sw)) AS lo FROM sw WHERE threshold <= 0.85)
+SELECT lo, (SELECT max(threshold) FROM sw WHERE threshold < coalesce((SELECT min(threshold) FROM sw WHERE threshold > 0.85 AND flips > 0), 'inf'::DOUBLE)) AS hi FROM lo""")
+def stable_interval(spark, d):
+    """The interval around the shipped threshold within which no decision turns, over the same ratios."""
+    return routing.stable_interval(_opened(spark, d), 0.85)
+
+
 @_query(f"WITH {_SWEPT % _ECHOES} SELECT threshold, n_answer, flips FROM sw")
 def threshold_flips_all(spark, d):
     """threshold_flips over the echo ratios of all conversations."""
@@ -691,16 +712,10 @@ def token_fit(spark, d):
     return answering.token_fit(_t(spark, d, "documents"), by="source")
 
 
-@_query("SELECT variant, n::BIGINT AS n, n_answered::BIGINT AS n_answered, n_abstained::BIGINT AS n_abstained, answer_rate::DOUBLE AS answer_rate FROM " + _sql_values([("v1", 2, 0, 2, 0.0), ("v5", 2, 1, 0, 0.5)], "variant, n, n_answered, n_abstained, answer_rate"))
+@_query(f"WITH r AS ({_SAID_SQL}), {_CLASSES_SQL} SELECT lang AS variant, count(*) AS n, count(*) FILTER (response_class = 'answered') AS n_answered, count(*) FILTER (response_class = 'abstained') AS n_abstained, avg((response_class IN ('answered', 'mixed'))::INT) AS answer_rate FROM rc0 GROUP BY lang")
 def prompt_summary(spark, d):
-    rows = [("v1", T.ABSTENTION), ("v1", T.ABSTENTION + "."), ("v5", "[1] rent is due"), ("v5", "")]
-    return answering.prompt_summary(_values(spark, rows, "variant string, response string")).select("variant", "n", "n_answered", "n_abstained", "answer_rate")
-
-
-@_query("SELECT 1 AS doc_id, ['2', '3'] AS only_split, ['2/3'] AS only_whole")
-def tokeniser_diff(spark, d):
-    rows = _values(spark, [(1, "see 2/3 and 4"), (2, "plain words")], "doc_id int, text string")
-    return answering.tokeniser_diff(rows)
+    """Classes of the responses made from all documents, a language as a variant."""
+    return answering.prompt_summary(_said(spark, d).withColumnRenamed("lang", "variant")).select("variant", "n", "n_answered", "n_abstained", "answer_rate")
 
 
 @_query("SELECT role AS variant, count(*) AS n, count(*) FILTER (response_class = 'answered') AS n_answered, count(*) FILTER (response_class = 'abstained') AS n_abstained, avg((response_class IN ('answered', 'mixed'))::INT) AS answer_rate FROM (" + _SQL["response_checks_all"] + ") JOIN conversations USING (conv_id, turn) GROUP BY role")
@@ -712,6 +727,16 @@ def prompt_summary_all(spark, d):
 _ANCHORS, _SLASHED = _TOKENS.format(c="w"), "regexp_extract_all(w, '\\p{Nd}+(?:/\\p{Nd}+)+|[\\p{L}\\p{N}_]+(?:[''’][\\p{L}\\p{N}_]+)?')"
 
 
+@_query(f"""WITH n AS (SELECT doc_id, {_NORM.format(c='text')} AS w FROM (SELECT doc_id, text || ' see ' || doc_id % 7 || '/' || doc_id % 5 || '.' AS text FROM documents)),
+t AS (SELECT doc_id, list_distinct({_ANCHORS}) AS a, list_distinct({_SLASHED}) AS b FROM n),
+x AS (SELECT doc_id, list_sort(list_filter(a, lambda v: NOT list_contains(b, v))) AS only_split, list_sort(list_filter(b, lambda v: NOT list_contains(a, v))) AS only_whole FROM t)
+SELECT * FROM x WHERE len(only_split) > 0 OR len(only_whole) > 0""")
+def tokeniser_diff(spark, d):
+    """What the two token rules make of all documents with a reference behind each."""
+    i = F.col("doc_id")
+    return answering.tokeniser_diff(_t(spark, d, "documents").select("doc_id", F.concat("text", F.lit(" see "), (i % 7).cast("string"), F.lit("/"), (i % 5).cast("string"), F.lit(".")).alias("text")))
+
+
 @_query(f"""WITH n AS (SELECT doc_id, {_NORM.format(c='text')} AS w FROM documents),
 t AS (SELECT doc_id, list_distinct({_ANCHORS}) AS a, list_distinct({_SLASHED}) AS b FROM n),
 x AS (SELECT doc_id, list_sort(list_filter(a, lambda v: NOT list_contains(b, v))) AS only_split, list_sort(list_filter(b, lambda v: NOT list_contains(a, v))) AS only_whole FROM t)
