@@ -140,6 +140,28 @@ def test_calibration(spark):
     assert {r["spec"]: r["auc"] for r in auc.collect()} == {"a": 0.0, "b": None}
 
 
+ITEMS = [(1, "Who maintains the asset?", None), (2, "When is rent due?", None), (3, "Nothing found?", None), (4, "Only titles?", None), (5, "Who insures it?", None), (6, "What is ended?", None)]
+RANKED = [
+    (1, 1, "c1", "SS9", "2/3", "SS9 §2/3", "The lessor must keep the leased asset in good repair at all times during the term."), (1, 2, "c2", "SS9", "2/4", "SS9 §2/4", "The lessee pays the rent in advance for each month."),
+    (2, 1, "c2", "SS9", "2/4", "SS9 §2/4", "The lessee pays the rent in advance for each month."), (4, 1, "c3", "SS9", "5", "SS9 §5", "Termination of the contract"),
+    (5, 1, "c4", "SS9", "6/1", "SS9 §6/1", "The owner insures the asset against loss at its own cost."), (6, 1, "c5", "SS9", "7/1", "SS9 §7/1", "The contract ends when the asset is lost."),
+]
+ANSWERS = [(1, "Repairs fall to the owner: [1] the lessor must keep the leased asset in good repair, as SS9 2/3 says."), (2, T.ABSTENTION), (5, "The owner, as SS9 9/9 has it: [1] insures the asset against loss at its own cost"), (6, "The contract, then.")]
+
+
+def test_run_by_hand(spark):
+    ranked = spark.createDataFrame(RANKED, "item_id int, rank int, chunk_id string, standard string, clause string, label string, text string")
+    items = spark.createDataFrame(ITEMS, "item_id int, question string, gold_answer string")
+    answers = answering.replay(spark.createDataFrame(ANSWERS, "item_id int, response string"))
+    index = spark.createDataFrame([("SS9", "2/3"), ("SS9", "7/7")], "standard string, path string")
+    out = answering.run(items, ranked, answers, registry.routing.default_gates(), prompts.variants(spark, "ACME", "v1"), index=index)
+    got = sorted((r["item_id"], r["decision"], r["triggering_gate"], r["served_answer"] is not None, r["cited_chunk_ids"], r["short_circuited"]) for r in out.collect())
+    assert got == [
+        (1, "answer", None, True, ["c1"], False), (2, "abstain", "model_did_not_abstain", False, [], False), (3, "abstain", "retrieval_non_empty", False, [], True),
+        (4, "abstain", "retrieval_normative", False, [], True), (5, "escalate", "clause_grounding", False, ["c4"], False), (6, "escalate", "citation_integrity", False, [], False),
+    ]
+
+
 def test_run_stops_leaks_and_asks_only_survivors(spark):
     asked = []
 
@@ -148,11 +170,11 @@ def test_run_stops_leaks_and_asks_only_survivors(spark):
         return rows.select("item_id", F.lit("[1] The lessor must keep the asset in repair.").alias("response"))
 
     schema = "item_id int, rank int, chunk_id string, standard string, clause string, label string, text string"
-    ranked = spark.createDataFrame([tuple(r) for r in registry._RANKED], schema)
-    items = spark.createDataFrame([tuple(r) for r in registry._ITEMS], "item_id int, question string, gold_answer string")
+    ranked = spark.createDataFrame(RANKED, schema)
+    items = spark.createDataFrame(ITEMS, "item_id int, question string, gold_answer string")
     gates = registry.routing.default_gates()
     out = answering.run(items, ranked, generate, gates, prompts.variants(spark, "ACME", "v5")).collect()
-    assert sorted(asked) == [1, 2, 5, 6] and len(out) == 6
+    assert sorted(asked) == [1, 2, 5, 6] and len(out) == 6  # each once, however many audits read the answers
     leaking = items.withColumn("gold_answer", F.lit("good repair"))
     with pytest.raises(PySparkException):
         answering.run(leaking, ranked, answering.replay(spark.createDataFrame([(1, "x")], "item_id int, response string")), gates, prompts.variants(spark, "ACME", "v1")).collect()
