@@ -108,16 +108,22 @@ def contains_join(texts: DataFrame, needles: DataFrame, *, text: str, needle: st
     """The pairs of a text and a needle that it holds as a substring, with the columns of both.
 
     A needle's words but the first and the last stand as whole words wherever it occurs. Up to `width` of them, from the second on, are
-    its key; texts with a run of words that is the key are looked at, so pairs follow the matches. Needles of one or two words have no
-    whole word and are held against every text."""
+    its key, which a text has among its runs of words. Needles of one or two words have no whole word: their key is their first three
+    characters, which a text has among its runs of characters. What is exploded and shuffled are hashes of runs and of texts; whole texts meet
+    those pairs only whose keys have met, and the needle is looked for in them, so equal hashes don't matter. An empty needle is in no text."""
     words = lambda c: F.filter(F.split(F.col(c), r"(?U)\s+"), lambda w: w != "")
-    n = F.least(F.size(words(needle)) - 2, F.lit(width))
-    keyed = needles.withColumns({"_n": n, "_k": F.when(n > 0, F.array_join(F.slice(words(needle), 2, F.greatest(n, F.lit(1))), " "))})
+    asked = needles.select(F.col(needle).alias("_needle")).filter("_needle <> ''").distinct().withColumn("_n", F.least(F.size(words("_needle")) - 2, F.lit(width)))
+    long = asked.filter("_n > 0").withColumn("_k", F.array_join(F.slice(words("_needle"), 2, F.greatest("_n", F.lit(1))), " "))
+    short = asked.filter("_n <= 0").withColumn("_k", F.left("_needle", F.lit(3)))
+    own = texts.select(F.col(text).alias("_text")).filter("_text is not null").withColumn("_h", F.xxhash64("_text"))
     runs = F.array_distinct(F.flatten(F.array(*[T.shingles(F.col("_w"), i) for i in range(1, width + 1)])))
-    rows = texts.withColumn("_w", words(text)).withColumn("_k", F.explode(runs)).drop("_w")
-    first = rows.join(keyed.filter("_n > 0"), "_k").filter(F.col(text).contains(F.col(needle))).drop("_k", "_n")
-    short = texts.join(keyed.filter("_n <= 0").drop("_k", "_n"), F.col(text).contains(F.col(needle)))
-    return first.unionByName(short.select(*first.columns))
+    parts = F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all("_text", F.lit(f"(?s)(?=(.{{{i}}}))"), F.lit(1)) for i in (1, 2, 3)])))
+    met = []
+    for keys, of in ((long, own.withColumn("_w", words("_text")).select("_h", F.explode(runs).alias("_k"))), (short, own.select("_h", F.explode(parts).alias("_k")))):
+        met.append(of.select("_h", F.xxhash64("_k").alias("_k")).join(keys.select(F.xxhash64("_k").alias("_k"), F.xxhash64("_needle").alias("_j")), "_k").select("_h", "_j"))
+    pairs = met[0].unionByName(met[1]).distinct()
+    out = texts.withColumn("_h", F.xxhash64(text)).join(pairs, "_h").join(needles.withColumn("_j", F.xxhash64(needle)), "_j")
+    return out.filter(F.col(text).contains(F.col(needle))).drop("_h", "_j")
 
 
 class Retriever(Protocol):
