@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigrid.functions import text as T
-from lexigrid.operators import anchoring, answering, audit, evaluation, extraction, probes, prompts, retrieval, routing
+from lexigrid.operators import anchoring, answering, audit, dense_index, evaluation, extraction, probes, prompts, retrieval, routing
 from lexigrid.sources import io
 from lexigrid.sources.scratch import scratch, stored
 
@@ -95,6 +95,15 @@ def dense_topk(spark, d):
     return _dense(spark, d).select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
+@_query()
+def dense_index_topk(spark, d):
+    """The five nearest vectors of those with an id divisible by 100, by the stored approximate index; tested against dense_topk."""
+    v, path = _t(spark, d, "embeddings"), scratch(spark, "dense-index")
+    dense_index.write_dense_index(v, path)
+    best = dense_index.dense_index_topk(spark, path, v.filter("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"))
+    return best.select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), "rank")
+
+
 @_query(f"""WITH {_BM25}, {_COS},
 l AS (SELECT item_id AS query_id, doc_id AS vec_id, score, rank AS lexical_rank FROM top WHERE item_id % 100 = 0),
 b AS (SELECT query_id, vec_id, score, lexical_rank, similarity, rank AS dense_rank FROM l FULL OUTER JOIN dtop USING (query_id, vec_id))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,3 +67,20 @@ def positions(df: DataFrame, order: list[str], label: str, *, name: str = "pos")
     out = at.join(F.broadcast(base), "_file").withColumn(name, F.col("_base") + F.col("_at")).drop("_file", "_base", "_at")
     out._lexigrid_path = path
     return out, total
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, wherever the driver imported it from; once a context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_lexigrid_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    target = os.path.join(tempfile.mkdtemp(prefix="lexigrid-zip-"), "lexigrid.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(root):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.join("lexigrid", os.path.relpath(full, root)))
+    sc.addPyFile(target)  # Spark serves it to the executors; none of them reads the driver's folder
+    sc._lexigrid_shipped = True
