@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -69,8 +70,35 @@ def assert_private_destination(path: str, root: str, private: tuple[str, ...]) -
     raise PublicationBoundaryError(path)
 
 
+def _fs(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p, fs = _fs(spark, path)
+    fs.delete(p, True)
+
+
+def _move(spark: SparkSession, old: str, new: str) -> None:
+    """old in the place of new, whose former files go. Where old is no longer there it has been moved before."""
+    source, fs = _fs(spark, old)
+    if not fs.exists(source):
+        return
+    target, _ = _fs(spark, new)
+    fs.delete(target, True)
+    fs.mkdirs(target.getParent())
+    if not fs.rename(source, target):
+        raise OSError(f"could not move {old} to {new}")
+
+
 class TraceSink:
-    """Writes traces in full to a private folder, as a public view anywhere, or both; write() replaces what was there and gives the counts of all its calls."""
+    """Writes traces in full to a private folder, as a public view anywhere, or both; write() replaces what was there and gives the counts of all its calls.
+
+    Where both are written, traces are computed once, into a table beside the full view's folder, and both views are made from it in
+    staging folders. Only when both are complete and hold equally many rows is a commit file written; that decides it, and the views are then moved to their
+    places. A failure before leaves both destinations as they were; a driver lost after it leaves the commit file, which recover() or
+    the next write carries through. Nothing private is staged outside the private folder."""
 
     def __init__(self, full_path: str | None = None, public_path: str | None = None, *, texts: tuple[str, ...] = (), drop: tuple[str, ...] = (), root: str = ".", private: tuple[str, ...] = ()):
         if full_path is None and public_path is None:
@@ -79,12 +107,55 @@ class TraceSink:
         self.public_path, self.texts, self.drop = public_path, texts, drop
         self.counts = {"full": 0, "public": 0}
 
+    def _targets(self) -> dict[str, str]:
+        both = {"full": self.full_path, "public": self.public_path}
+        return {name: path.rstrip("/") for name, path in both.items() if path is not None}
+
+    def _commit_file(self) -> str:
+        return f"{next(iter(self._targets().values()))}._commit"
+
+    def recover(self, spark: SparkSession) -> bool:
+        """Carries a decided commit through; whether there was one."""
+        at, fs = _fs(spark, self._commit_file())
+        if not fs.exists(at):
+            return False
+        staged = json.loads(spark.read.text(self._commit_file(), wholetext=True).first()[0])
+        for name, path in self._targets().items():
+            _move(spark, staged[name], path)
+        fs.delete(at, False)
+        return True
+
     def write(self, traces: DataFrame) -> dict[str, int]:
-        for name, path, view in (("full", self.full_path, traces), ("public", self.public_path, public_view(traces, *self.texts, drop=self.drop))):
-            if path is not None:
-                seen = Observation()
-                write_jsonl(view.observe(seen, F.count(F.lit(1)).alias("n")), path)
-                self.counts[name] += seen.get["n"]
+        spark, targets, run = traces.sparkSession, self._targets(), uuid.uuid4().hex
+        self.recover(spark)
+        staged = {name: f"{path}._staging-{run}" for name, path in targets.items()}
+        rows, counts = f"{self.full_path}._rows-{run}", {}
+        try:
+            if len(targets) > 1:
+                traces.write.parquet(rows)
+                traces = spark.read.schema(traces.schema).parquet(rows)
+            for name in targets:
+                view, seen = traces if name == "full" else public_view(traces, *self.texts, drop=self.drop), Observation()
+                write_jsonl(view.observe(seen, F.count(F.lit(1)).alias("n")), staged[name])
+                counts[name] = seen.get["n"]
+            if len(set(counts.values())) > 1:
+                raise ValueError(f"the views differ: {counts}")
+        except BaseException:
+            for path in staged.values():
+                _delete(spark, path)
+            raise
+        finally:
+            if len(targets) > 1:
+                _delete(spark, rows)
+        at, fs = _fs(spark, f"{self._commit_file()}-{run}")
+        out = fs.create(at)
+        out.write(bytearray(json.dumps(staged), "utf-8"))
+        out.close()
+        if not fs.rename(at, _fs(spark, self._commit_file())[0]):  # whole or not at all
+            raise OSError("could not commit")
+        self.recover(spark)
+        for name, n in counts.items():
+            self.counts[name] += n
         return dict(self.counts)
 
 
