@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lexigrid.functions import text as T
+from lexigrid.functions.rounding import rounded
 
 
 class PublicationBoundaryError(ValueError):
@@ -98,7 +99,7 @@ class TraceSink:
     Where both are written, traces are computed once, into a table beside the full view's folder, and both views are made from it in
     staging folders. Only when both are complete and hold equally many rows is a commit file written; that decides it, and the views are then moved to their
     places. A failure before leaves both destinations as they were; a driver lost after it leaves the commit file, which recover() or
-    the next write carries through. Nothing private is staged outside the private folder."""
+    the next write carries through. Fields are rounded by name (functions.rounding). Nothing private is staged outside the private folder."""
 
     def __init__(self, full_path: str | None = None, public_path: str | None = None, *, texts: tuple[str, ...] = (), drop: tuple[str, ...] = (), root: str = ".", private: tuple[str, ...] = ()):
         if full_path is None and public_path is None:
@@ -130,6 +131,7 @@ class TraceSink:
         self.recover(spark)
         staged = {name: f"{path}._staging-{run}" for name, path in targets.items()}
         rows, counts = f"{self.full_path}._rows-{run}", {}
+        traces = rounded(traces)
         try:
             if len(targets) > 1:
                 traces.write.parquet(rows)
