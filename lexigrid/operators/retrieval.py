@@ -4,12 +4,19 @@ from __future__ import annotations
 
 from typing import Protocol
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lexigrid.functions import text as T
+from lexigrid.sources.scratch import ship, stored
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Rows that are broadcast at most; more are cut into blocks or joined by a shuffle.
+BROADCAST = 1_000_000
 
 
 def postings(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -17,8 +24,9 @@ def postings(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> Data
     return docs.select(F.col(id), F.explode(T.bm25_tokens(F.col(text))).alias("term")).groupBy("term", id).agg(F.count(F.lit(1)).alias("tf"))
 
 
-def doc_stats(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFrame:
-    return docs.select(F.col(id), F.size(T.bm25_tokens(F.col(text))).cast("long").alias("dl"))
+def doc_stats(docs: DataFrame, *, id: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """id (or the columns of keep) and dl, the number of tokens."""
+    return docs.select(*(keep or [id]), F.size(T.bm25_tokens(F.col(text))).cast("long").alias("dl"))
 
 
 def term_df(docs: DataFrame, *, text: str = "text") -> DataFrame:
@@ -45,36 +53,68 @@ def _asked(queries: DataFrame, query_id: str, query: str) -> DataFrame:
 def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 5, *, id: str = "doc_id", text: str = "text", query_id: str = "item_id", query: str = "text") -> DataFrame:
     """query_id, id, score, rank: the k best of all documents for each query; ties by id; documents without a shared term score 0 and fill up.
 
-    Cost follows the postings of the queries' terms: other terms drop before anything is shuffled (but for counts of documents by
-    term, which idf needs), and postings are joined on the term, never documents with queries. Only the 2k first documents can be
-    needed to fill up."""
-    tokens = docs.select(F.col(id), T.bm25_tokens(F.col(text)).alias("_t"))
-    told = tokens.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("_t")).alias("avgdl")).collect()[0]
-    asked = _asked(queries, query_id, query)
-    own = tokens.select(F.col(id), F.size("_t").alias("dl"), F.explode("_t").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    posts = own.groupBy("term", id, "dl").agg(F.count(F.lit(1)).alias("tf"))
-    return _rank(docs.select(id), posts, asked.join(idf_of(term_df(docs, text=text), told["n"]), "term"), told["avgdl"], queries, k, id, query_id)
+    One pass counts terms and lengths. Another deals texts by id, so that a document is cut, meets the queries' terms and is scored in one
+    task: neither postings nor hits are shuffled, a frequent term is no key, and a task leaves its k best of each query. Only the 2k first
+    documents can be needed to fill up."""
+    # a document gives its distinct terms and, under the empty term that no text has, its length
+    counted = T.let(T.bm25_tokens(F.col(text)), lambda t: F.array_append(F.transform(F.array_distinct(t), lambda x: F.struct(x.alias("term"), F.lit(0).alias("dl"))), F.struct(F.lit("").alias("term"), F.size(t).alias("dl"))))
+    terms = docs.select(F.explode(counted).alias("c")).groupBy("c.term").agg(F.count(F.lit(1)).alias("df"), F.sum("c.dl").alias("dl"))
+    terms = stored(terms, "terms")
+    told = terms.filter("term = ''").select("df", "dl").first()
+    n, length = told or (0, 0)
+    idf = idf_of(terms.filter("term <> ''").select("term", "df"), n)
+    first = _first(docs, k, id)
+    dealt = docs.select(F.col(id), F.col(text)).repartition(_parts(docs, n), id).select(F.col(id), T.bm25_tokens(F.col(text)).alias("_t"))
+    own = dealt.select(F.col(id), F.size("_t").alias("dl"), F.explode(F.concat("_t", F.when(first, F.array(F.lit(""))).otherwise(F.array().cast("array<string>")))).alias("term"))
+
+    def posts(asked):
+        return own.join(asked, "term", "left_semi").groupBy(id, "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
+
+    return _rank(posts, _asked(queries, query_id, query).join(idf, "term"), length / n if n else None, queries, k, id, query_id)
 
 
 def bm25_search(index: tuple[DataFrame, DataFrame, DataFrame], queries: DataFrame, k: int = 5, *, id: str = "doc_id", query_id: str = "item_id", query: str = "text") -> DataFrame:
-    """bm25_topk over a stored index (postings, stats, idf): documents are not read again."""
+    """bm25_topk over a stored index (postings, stats, idf): documents are not read again. The postings of the queries' terms are dealt by id."""
     posts, stats, idf = index
-    told = stats.agg(F.avg("dl").alias("avgdl")).collect()[0]
-    asked = _asked(queries, query_id, query)
-    own = posts.join(asked.select("term").distinct(), "term", "left_semi").join(stats, id)
-    return _rank(stats.select(id), own, asked.join(idf, "term"), told["avgdl"], queries, k, id, query_id)
-
-
-def _rank(ids, posts, asked, avgdl, queries, k, id, query_id):
-    hits = posts.join(asked, "term")
-    gain = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl or 1.0)))
-    first = F.broadcast(ids.orderBy(id).limit(2 * k))
-    filler = queries.select(query_id).crossJoin(first).withColumn("score", F.lit(0.0))
-    # the filler row of a document that scores stays 0 beside its score: the sum of both is its score, and hits are aggregated once
-    both = hits.select(query_id, id, gain.alias("score")).unionByName(filler)
-    scored = both.groupBy(query_id, id).agg(F.sum("score").alias("score"))
+    told = stats.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
+    first, parts = _first(stats, k, id), _parts(stats, told["n"])
+    fill = stats.filter(first).select(F.lit("").alias("term"), id, F.lit(1).cast("long").alias("tf"))
+    sizes = stats.select(id, "dl").repartition(parts, id)
+
+    def own(asked):
+        met = posts.select("term", id, F.col("tf").cast("long").alias("tf")).join(asked, "term", "left_semi").unionByName(fill)
+        return met.repartition(parts, id).join(sizes, id)
+
+    return _rank(own, _asked(queries, query_id, query).join(idf, "term"), told["avgdl"], queries, k, id, query_id)
+
+
+def _parts(docs: DataFrame, n: int, rows: int = 2048) -> int:
+    """Into how many parts n documents are dealt: few enough in one for a score with each query."""
+    return max(docs.sparkSession.sparkContext.defaultParallelism, -(-n // rows))
+
+
+def _first(docs: DataFrame, k: int, id: str) -> Column:
+    """Whether a row is one of the 2k first documents."""
+    ids = [r[0] for r in docs.select(id).orderBy(id).limit(2 * k).collect()]
+    there = F.coalesce(F.col(id).isin([x for x in ids if x is not None]), F.lit(False))
+    return there | F.col(id).isNull() if None in ids else there
+
+
+def _rank(posts, asked, avgdl, queries, k, id, query_id):
+    """posts(terms): id, term, tf, dl of those terms, dealt by id, with the empty term in the documents that fill up. The queries' terms are broadcast, in blocks of queries where there are many."""
+    weights = asked.select(query_id, "term", (F.col("qtf") * F.col("idf")).alias("_w"))
+    weights = stored(weights.unionByName(queries.select(F.col(query_id), F.lit("").alias("term"), F.lit(0.0).alias("_w")).distinct()), "asked")
+    blocks = max(1, -(-weights.count() // BROADCAST))
+    gain = F.col("_w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl or 1.0)))
     order = Window.partitionBy(query_id).orderBy(F.round("score", 9).desc(), id)
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    out = None
+    for b in range(blocks):
+        own = weights.filter(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == b) if blocks > 1 else weights
+        hits = posts(F.broadcast(own.select("term").distinct())).join(F.broadcast(own), "term")
+        scored = hits.groupBy(query_id, id).agg(F.sum(gain).alias("score"))
+        best = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        out = best if out is None else out.unionByName(best)
+    return out
 
 
 def unit(v):
@@ -88,20 +128,49 @@ def cosine(a, b):
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, *, id: str = "vec_id", embedding: str = "embedding", query_id: str = "query_id", block: int = 256) -> DataFrame:
+def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, *, id: str = "vec_id", embedding: str = "embedding", query_id: str = "query_id", block: int = 1024, chunk: int = 4096) -> DataFrame:
     """query_id, id, similarity, rank: exact search of all vectors.
 
-    Queries are a stated set, cut into blocks of about `block`, one row a block; a vector meets a block at a time and its own length is
-    taken once. Each task keeps the k best of a query before anything is shuffled."""
-    n = max(1, -(-queries.count() // block))
-    held = queries.select(F.pmod(F.xxhash64(query_id), F.lit(n)).alias("_b"), F.struct(F.col(query_id).alias("q"), unit(F.col(embedding)).alias("u")).alias("_q")).filter("_q.u is not null")
-    blocks = held.groupBy("_b").agg(F.collect_list("_q").alias("_qs")).select("_qs")  # about `block` queries a row, by the hash
-    own = vectors.select(F.col(id), unit(F.col(embedding)).alias("_u")).filter("_u is not null")
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    met = own.crossJoin(blocks).select(F.col(id), F.explode(F.transform("_qs", lambda q: F.struct(q["q"].alias(query_id), dot(F.col("_u"), q["u"]).alias("similarity")))).alias("_h"))
-    order = Window.partitionBy(query_id).orderBy(F.round("similarity", 9).desc(), id)
-    found = met.select(F.col(f"_h.{query_id}").alias(query_id), id, F.col("_h.similarity").alias("similarity")).filter("similarity is not null")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    Each pair of a chunk of vectors and a block of queries is one group, multiplied as matrices in double precision, so a task holds that
+    much however large the tables are; it leaves its k best of each query, by the similarity at nine places and then by id."""
+    spark = vectors.sparkSession
+    chunks, blocks = max(1, -(-vectors.count() // chunk)), max(1, -(-queries.count() // block))
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = queries.select(F.col(query_id).alias("_q"), unit(F.col(embedding)).alias("_u"), part(query_id, blocks).alias("_b")).filter("_u is not null").withColumn("_c", every(chunks))
+    own = vectors.select(F.col(id).alias("_id"), unit(F.col(embedding)).alias("_u"), part(id, chunks).alias("_c")).filter("_u is not null").withColumn("_b", every(blocks))
+    types = {"_q": queries.schema[query_id].dataType, "_id": vectors.schema[id].dataType}
+    schema = StructType([StructField("_q", types["_q"]), StructField("_id", types["_id"]), StructField("similarity", DoubleType()), StructField("_r", DoubleType())])
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        out, step = [], 256
+        left = left.take(pc.sort_indices(left["_id"], null_placement="at_start"))
+        sizes = [pc.list_value_length(t["_u"]).to_numpy() for t in (left, right)]
+        for n in np.intersect1d(*sizes):
+            a, b = (t.filter(pa.array(s == n)) for t, s in zip((left, right), sizes))
+            u, v = (pc.list_flatten(t["_u"]).to_numpy().reshape(-1, n) for t in (a, b))
+            for at in range(0, len(v), step):
+                some = u @ v[at : at + step].T
+                key = np.where(np.isnan(some), np.inf, np.round(some, 9) + 0.0)  # NaN is first, as in a sort of Spark's
+                m = min(k, len(u))
+                least = -np.partition(-key, m - 1, axis=0)[m - 1]
+                rows, columns = [], []
+                for j in range(key.shape[1]):
+                    there = np.flatnonzero(key[:, j] >= least[j])
+                    there = there[np.argsort(-key[there, j], kind="stable")][:m]
+                    rows.append(there)
+                    columns.append(np.full(len(there), j))
+                r, c = np.concatenate(rows), np.concatenate(columns)
+                out.append(pa.table({"_q": b["_q"].take(pa.array(at + c)), "_id": a["_id"].take(pa.array(r)), "similarity": some[r, c], "_r": key[r, c]}))
+        if out:
+            return pa.concat_tables(out)
+        return pa.table({"_q": right["_q"].slice(0, 0), "_id": left["_id"].slice(0, 0), "similarity": pa.array([], pa.float64()), "_r": pa.array([], pa.float64())})
+
+    ship(spark)
+    found = own.groupBy("_c", "_b").cogroup(asked.groupBy("_c", "_b")).applyInArrow(best, schema)
+    order = Window.partitionBy("_q").orderBy(F.col("_r").desc(), "_id")
+    found = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return found.select(F.col("_q").alias(query_id), F.col("_id").alias(id), "similarity", "rank")
 
 
 def contains_join(texts: DataFrame, needles: DataFrame, *, text: str, needle: str, width: int = 3) -> DataFrame:
@@ -109,23 +178,43 @@ def contains_join(texts: DataFrame, needles: DataFrame, *, text: str, needle: st
 
     A needle's words but the first and the last stand as whole words wherever it occurs. Up to `width` of them, from the second on, are
     its key, which a text has among its runs of words. Needles of one or two words have no whole word: their key is their first three
-    characters, which a text has among its runs of characters. What is exploded and shuffled are hashes of runs and of texts; whole texts meet
-    those pairs only whose keys have met, and the needle is looked for in them, so equal hashes don't matter. An empty needle is in no text."""
+    characters, which a text has among its runs of characters. Keys of up to BROADCAST needles are broadcast, so that a text's runs are
+    dropped where they are made; more are joined by a shuffle of hashes. Whole texts meet those pairs only whose keys have met, and the
+    needle is looked for in them, so equal hashes don't matter. An empty needle is in no text."""
     words = lambda c: F.filter(F.split(F.col(c), r"(?U)\s+"), lambda w: w != "")
-    asked = needles.select(F.col(needle).alias("_needle")).filter("_needle <> ''").distinct().withColumn("_n", F.least(F.size(words("_needle")) - 2, F.lit(width)))
-    long = asked.filter("_n > 0").withColumn("_k", F.array_join(F.slice(words("_needle"), 2, F.greatest("_n", F.lit(1))), " "))
-    short = asked.filter("_n <= 0").withColumn("_k", F.left("_needle", F.lit(3)))
+    asked = needles.select(F.col(needle).alias("_needle")).filter("_needle <> ''").groupBy("_needle").agg(F.count(F.lit(1)).alias("_m")).withColumn("_n", F.least(F.size(words("_needle")) - 2, F.lit(width)))
+    sizes = {r["n"]: r for r in asked.groupBy(F.greatest("_n", F.lit(0)).alias("n")).agg(F.sum("_m").alias("rows"), F.sum(F.col("_m") * F.length("_needle")).alias("chars")).collect()}
+    rows, chars = (sum(r[c] for r in sizes.values()) for c in ("rows", "chars"))
+    small = lambda df, n: F.broadcast(df) if n <= BROADCAST else df
+    key = F.when(F.col("_n") > 0, F.array_join(F.slice(words("_needle"), 2, F.greatest("_n", F.lit(1))), " ")).otherwise(F.left("_needle", F.lit(3)))
+    keys = asked.select("_n", F.xxhash64(key).alias("_k"), F.xxhash64("_needle").alias("_j"))
     own = texts.select(F.col(text).alias("_text")).filter("_text is not null").withColumn("_h", F.xxhash64("_text"))
-    runs = F.array_distinct(F.flatten(F.array(*[T.shingles(F.col("_w"), i) for i in range(1, width + 1)])))
-    parts = F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all("_text", F.lit(f"(?s)(?=(.{{{i}}}))"), F.lit(1)) for i in (1, 2, 3)])))
+    hashed = lambda runs: F.array_distinct(F.transform(runs, lambda r: F.xxhash64(r)))
+    runs = F.flatten(F.array(*[_runs(F.col("_w"), i) for i in range(1, width + 1) if i in sizes]))
+    parts = F.flatten(F.array(*[F.regexp_extract_all("_text", F.lit(f"(?s)(?=(.{{{i}}}))"), F.lit(1)) for i in (1, 2, 3)]))
     met = []
-    for keys, of in ((long, own.withColumn("_w", words("_text")).select("_h", F.explode(runs).alias("_k"))), (short, own.select("_h", F.explode(parts).alias("_k")))):
-        met.append(of.select("_h", F.xxhash64("_k").alias("_k")).join(keys.select(F.xxhash64("_k").alias("_k"), F.xxhash64("_needle").alias("_j")), "_k").select("_h", "_j"))
-    pairs = met[0].unionByName(met[1]).distinct()
-    out = texts.withColumn("_h", F.xxhash64(text)).join(pairs, "_h").join(needles.withColumn("_j", F.xxhash64(needle)), "_j")
+    if any(n > 0 for n in sizes):
+        met.append((own.withColumn("_w", words("_text")).select("_h", F.explode(hashed(runs)).alias("_k")), keys.filter("_n > 0")))
+    if 0 in sizes:
+        met.append((own.select("_h", F.explode(hashed(parts)).alias("_k")), keys.filter("_n <= 0")))
+    pairs = None
+    for of, k in met:
+        found = of.join(small(k.drop("_n"), rows), "_k").select("_h", "_j")
+        pairs = found if pairs is None else pairs.unionByName(found)
+    if pairs is None:
+        return texts.crossJoin(needles).limit(0)
+    pairs = stored(pairs.distinct(), "pairs")
+    passages = needles.withColumn("_j", F.xxhash64(needle))
+    out = texts.withColumn("_h", F.xxhash64(text)).join(small(pairs, pairs.count()), "_h").join(small(passages, max(rows, chars // 32)), "_j")
     return out.filter(F.col(text).contains(F.col(needle))).drop("_h", "_j")
 
 
+def _runs(words: Column, n: int) -> Column:
+    """All runs of n words, joined by a space."""
+    at = lambda i: F.array_join(F.slice(words, i, n), " ")
+    return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), at)).otherwise(F.array().cast("array<string>"))
+
+
 class Retriever(Protocol):
     """Anything that gives the k best records for each row of queries: query_id, id, score, rank."""
 
