@@ -43,31 +43,41 @@ def _numbered(line):
     return line.rlike(SECTION) & ~line.rlike(CLAUSE)
 
 
+def _contents() -> dict:
+    """Aggregates of a page's lines by which it is told whether it is built like a table of contents."""
+    line = F.col("line")
+    return {"headed": F.bool_or(F.lower(line) == "contents"), "subject": F.bool_or(F.lower(line).startswith("subject page")), "leaders": F.count_if(line.rlike(DOT_LEADER)), "n_entries": F.count_if(_numbered(line))}
+
+
+_IS_CONTENTS = "headed and (subject or leaders >= 2 or n_entries >= 4)"
+
+
 def contents_pages(lines: DataFrame) -> DataFrame:
     """standard_id, page, n_entries of pages built like a table of contents: its heading, and a subject line, two dot leaders or four numbered entries."""
-    line = F.col("line")
-    by = lines.groupBy("standard_id", "page").agg(
-        F.bool_or(F.lower(line) == "contents").alias("headed"), F.bool_or(F.lower(line).startswith("subject page")).alias("subject"),
-        F.count_if(line.rlike(DOT_LEADER)).alias("leaders"), F.count_if(_numbered(line)).alias("n_entries"),
-    )
-    return by.filter(F.col("headed") & (F.col("subject") | (F.col("leaders") >= 2) | (F.col("n_entries") >= 4))).select("standard_id", "page", "n_entries")
+    by = lines.groupBy("standard_id", "page").agg(*[c.alias(n) for n, c in _contents().items()])
+    return by.filter(_IS_CONTENTS).select("standard_id", "page", "n_entries")
 
 
 def scan_lines(lines: DataFrame) -> DataFrame:
     """Every line with where it stands: in_toc (a contents page before the start), started (section 1 seen), over (back matter reached), ignored, stated (the statement heading was seen before).
 
-    Where a standard starts, states and ends are least places, so aggregates of one row a standard find them and no window runs over a standard."""
-    toc = contents_pages(lines).select("standard_id", "page", F.lit(True).alias("_toc"))
-    line, at = F.col("line"), F.struct("page", "line_no")
-    rows = lines.join(toc, ["standard_id", "page"], "left").withColumn("_toc", F.coalesce("_toc", F.lit(False)))
-    begins = ~F.col("_toc") & (F.regexp_extract(line, SECTION, 1) == "1") & ~line.rlike(CLAUSE)
-    ends = line.rlike(BACK_MATTER)
-    first = rows.groupBy("standard_id").agg(F.min(F.when(begins, at)).alias("_start"), F.min(F.when(~F.col("_toc") & line.rlike(STATEMENT), at)).alias("_stated"))
-    rows = rows.join(first, "standard_id")
-    last = rows.filter(ends & (at >= F.col("_start"))).groupBy("standard_id").agg(F.min(at).alias("_end"))
-    rows = rows.join(last, "standard_id", "left")
+    Where a standard starts, states and ends are least places. They are found from one narrow row a page and come back to the lines by
+    standard and page, so no task reads the lines of a whole standard."""
+    line, no = F.col("line"), F.col("line_no")
+    begins = (F.regexp_extract(line, SECTION, 1) == "1") & ~line.rlike(CLAUSE)
+    by = lines.groupBy("standard_id", "page").agg(
+        *[c.alias(n) for n, c in _contents().items()], F.min(F.when(begins, no)).alias("_b"), F.min(F.when(line.rlike(STATEMENT), no)).alias("_s"), F.collect_list(F.when(line.rlike(BACK_MATTER), no)).alias("_e"),
+    )
+    pages = stored(by.withColumn("_toc", F.expr(_IS_CONTENTS)).select("standard_id", "page", "_toc", "_b", "_s", "_e"), "pages")
+    place = lambda c: F.when(c.isNotNull(), F.struct("page", c.alias("line_no")))
+    own = lambda c: F.min(F.when(~F.col("_toc"), place(F.col(c))))
+    pages = pages.join(pages.groupBy("standard_id").agg(own("_b").alias("_start"), own("_s").alias("_stated")), "standard_id")
+    ends = F.array_min(F.filter("_e", lambda e: F.struct("page", e.alias("line_no")) >= F.col("_start")))
+    last = pages.withColumn("_e", ends).groupBy("standard_id").agg(F.min(place(F.col("_e"))).alias("_end"))
+    pages = pages.join(last, "standard_id").select("standard_id", "page", "_toc", "_start", "_stated", "_end")
+    at = F.struct("page", "line_no")
     there = lambda c: F.coalesce(at >= F.col(c), F.lit(False))
-    rows = rows.withColumns({"started": there("_start"), "stated": there("_stated"), "over": there("_end")})
+    rows = lines.join(pages, ["standard_id", "page"]).withColumns({"started": there("_start"), "stated": there("_stated"), "over": there("_end")})
     ignored = line.rlike(HEADER) | line.rlike(PAGE_NUMBER) | line.isin("Statement of the Standard", "Contents")
     return rows.withColumns({"in_toc": F.col("_toc") & ~F.col("started"), "ignored": ignored}).drop("_toc", "_start", "_stated", "_end")
 
@@ -114,8 +124,9 @@ def opened_lines(lines: DataFrame, *, block: int = BLOCK) -> DataFrame:
     rows = rows.withColumns({"candidate": own, "reason": reason}).withColumn("own", F.when(F.col("reason").isNull(), F.col("candidate"))).drop("depth", "prev")
     rows = candidates = stored(rows, "candidates")
     forget(placed)
-    first = rows.groupBy("standard_id").agg(F.min(F.when(F.col("own").isNotNull(), F.col("pos"))).alias("_first"))
-    rows = rows.join(first, "standard_id")
+    heads = rows.groupBy("standard_id", "block").agg(F.min(F.when(F.col("own").isNotNull(), F.col("pos"))).alias("_own"))  # one row a block
+    first = heads.groupBy("standard_id").agg(F.min("_own").alias("_first"))
+    rows = rows.join(heads.select("standard_id", "block").join(first, "standard_id"), ["standard_id", "block"])
     bullet = F.coalesce(F.col("own").isNull() & (F.col("pos") > F.col("_first")) & line.rlike(BULLET), F.lit(False))
     rows = rows.withColumns({"sub": F.when(bullet, F.regexp_extract(line, BULLET, 1)), "body": F.when(F.col("own").isNotNull(), body).when(bullet, F.regexp_extract(line, BULLET, 2))})
     rows = rows.withColumns({"opens": F.col("body").isNotNull(), "part": F.coalesce("body", "line")}).drop("_first", "body")
@@ -220,12 +231,13 @@ def page_text(glyphs: DataFrame, *, x_tolerance: float = 2.0, y_tolerance: float
 
 def extraction_report(lines: DataFrame, records: DataFrame) -> DataFrame:
     """One row a standard: n_records, n_sub_clauses, sections, start and back-matter page, n_toc_pages, and failures (empty: the report passes)."""
-    toc = scan_lines(lines).filter("in_toc").groupBy("standard_id").agg(F.count_distinct("page").alias("n_toc_pages"), F.collect_set("page").alias("_pages"))
+    pages = scan_lines(lines).filter("in_toc").select("standard_id", "page").distinct()
+    toc = pages.groupBy("standard_id").agg(F.count(F.lit(1)).alias("n_toc_pages"))
     sections = F.transform(F.sort_array(F.transform(F.collect_set("section_id"), lambda x: x.cast("int"))), lambda x: x.cast("string"))
-    seen = records.join(toc.select("standard_id", "_pages"), "standard_id", "left")
-    listed = F.coalesce(F.array_contains("_pages", F.col("source_page")), F.lit(False)) | F.col("text").rlike(DOT_LEADER)
+    seen = records.join(pages.select("standard_id", F.col("page").alias("source_page"), F.lit(True).alias("_listed")), ["standard_id", "source_page"], "left")
+    listed = F.coalesce("_listed", F.lit(False)) | F.col("text").rlike(DOT_LEADER)
     by = seen.groupBy("standard_id").agg(F.count(F.lit(1)).alias("n_records"), F.count("sub_clause_id").alias("n_sub_clauses"), sections.alias("sections"), F.bool_or(listed).alias("_toc"), F.bool_or(F.col("text").rlike(BACK_MATTER)).alias("_back"))
-    out = normative_start(lines).join(toc.drop("_pages"), "standard_id", "left").join(by, "standard_id", "left")
+    out = normative_start(lines).join(toc, "standard_id", "left").join(by, "standard_id", "left")
     failures = F.array_compact(F.array(F.when(F.col("start_page").isNull(), "normative_body_start_not_detected"), F.when(F.col("_toc"), "toc_like_record_emitted"), F.when(F.col("_back"), "back_matter_record_emitted")))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return out.select("standard_id", "start_page", "reason", "back_matter_page", zero("n_toc_pages"), zero("n_records"), zero("n_sub_clauses"), "sections", failures.alias("failures"))
