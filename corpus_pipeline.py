@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrid.llm._shared import table, written
+from lexigrid.llm._shared import forget, table, written
 from lexigrid.llm.byte_bpe import bpe_encode
 from lexigrid.llm.exact_dedup import exact_dedup
 from lexigrid.llm.minhash_dedup import near_dedup
@@ -56,5 +56,6 @@ STAGES = [("quality", quality), ("exact", exact), ("near", near), ("mix", mix),
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, written(stage(spark, docs, sf_dir), f"stage-{name}")
+        forget(before)  # nothing reads a stage's table once the next one is written; the input isn't ours and stays
     return STAGES[-1][1](spark, docs, sf_dir)

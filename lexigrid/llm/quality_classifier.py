@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrid.llm._shared import crc_mod, ship, spread, table, tidy, written
+from lexigrid.llm._shared import crc_mod, forget, ship, spread, table, tidy, written
 
 WIDTH = 256
 GAMMA = 0.03
@@ -39,8 +39,6 @@ NAMES = (
     "mean_word", "long_word", "distinct", "repeat", "top_share", "ends", "caps_words", "symbol_words", "line_words", "repeat_lines", "marks_a_word", "letters_a_word",
 )
 STATS = "doc_id long, x array<double>"
-#: The column that keep_good writes beside a table's own.
-STATISTICS = "_lexigrid_statistics"
 
 
 def statistics(text: bytes):
@@ -237,28 +235,20 @@ def quality_scores(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id"
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality", label_id: str = "doc_id") -> DataFrame:
-    """The rows of docs that the classifier, fitted to all labels, doesn't reject. Each row is decided by its own text: statistics are written beside it and scored in the row, so no text is shuffled."""
-    ship(docs.sparkSession)
-
-    @F.arrow_udf("array<double>")
-    def stats(texts):
-        import numpy as np
-        import pyarrow as pa
-
-        x = [statistics((t.as_py() or "").encode()) for t in texts]
-        return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype="i4") * len(NAMES)), pa.array(np.concatenate(x) if x else np.empty(0)))
-
-    rows = written(spread(docs).withColumn(STATISTICS, stats(F.col(text).cast("string"))), "statistics")
-    known = labels.select(F.col(label_id).cast("long").alias("doc_id"), F.col(label).alias("y"))
-    model = fit(rows.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(STATISTICS).alias("x")), known)
+    """The rows of docs that the classifier, fitted to all labels, doesn't reject. Each row is decided by its own text, whose statistics are computed a second time where it is read: no text is shuffled or written, and the statistics to learn from go once the model is there."""
+    stats = text_statistics(docs, doc_id=doc_id, text=text)
+    model = fit(stats, labels.select(F.col(label_id).cast("long").alias("doc_id"), F.col(label).alias("y")))
+    forget(stats)
 
     @F.arrow_udf("double")
-    def score(x):
+    def score(texts):
+        import numpy as np
         import pyarrow as pa
 
-        return pa.array(model.score(_matrix(x)), pa.float64())
+        x = [statistics(t.as_py() or b"") for t in texts]
+        return pa.array(model.score(np.stack(x)) if x else [], pa.float64())
 
-    return rows.filter(score(STATISTICS) >= 0.5).select(*docs.columns)
+    return spread(docs).filter(score(F.col(text).cast("string").cast("binary")) >= 0.5).select(*docs.columns)
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

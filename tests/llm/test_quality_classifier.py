@@ -86,3 +86,19 @@ def test_query(spark):
     sf = "/root/testdata/sf0.01"
     out = Q.op5_quality_classifier(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("held_out").collect()
     assert auc([(r["score"], r["quality"]) for r in out]) > 0.97
+
+
+def test_keep_good_writes_no_texts(spark, sf):
+    """The pipeline's disk: neither texts nor statistics are left beside the rows that stay."""
+    from lexigrid.llm._shared import hadoop_path, shared_dir
+
+    docs, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
+    p, fs = hadoop_path(spark, f"{shared_dir(spark)}/lexigrid")
+    there = lambda: {s.getPath().getName() for s in fs.listStatus(p)} if fs.exists(p) else set()
+    before = there()
+    out = Q.keep_good(docs, labels)
+    kept = {r["doc_id"] for r in out.collect()}
+    assert {n.split("-")[0] for n in there() - before} <= {"learn"}
+    assert 0 < len(kept) < docs.count()
+    scores = Q.quality_scores(docs, labels, hold_out=False)
+    assert kept == {r["doc_id"] for r in scores.filter("predicted = 1").collect()}
