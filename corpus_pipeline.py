@@ -13,13 +13,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrid.llm._shared import forget, table, written
+from lexigrid.llm._shared import forget, settings, table, written
 from lexigrid.llm.byte_bpe import bpe_encode
 from lexigrid.llm.exact_dedup import exact_dedup
 from lexigrid.llm.minhash_dedup import near_dedup
 from lexigrid.llm.quality_classifier import keep_good
 from lexigrid.llm.source_mixing import mix_documents
 
+#: Rows of a batch and entries of a worker's memo while encoding.
+BATCH, MEMO = 512, 150_000
 #: Stages change rows by a model's and a hash family's decisions, which SQL can't express.
 ORACLE_SQL = None
 
@@ -45,9 +47,13 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and ids_sha256 (of the ids as little-endian unsigned 32-bit integers), and whether decoding gives the text's bytes back."""
-    out = bpe_encode(docs, decoded=True)
-    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    """doc_id, n_tokens and ids_sha256 (of the ids as little-endian unsigned 32-bit integers), and whether decoding gives the text's bytes back.
+
+    Written here, without texts, so that texts reach the workers BATCH rows at a time: executors whose heaps the stages before have filled hold them in the JVM and in Python."""
+    out = bpe_encode(docs, decoded=True, limit=MEMO)
+    out = out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    with settings(spark, **{"spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH)}):
+        return written(out, "encoded")
 
 
 STAGES = [("quality", quality), ("exact", exact), ("near", near), ("mix", mix), ("encode", encode)]

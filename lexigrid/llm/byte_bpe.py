@@ -24,7 +24,7 @@ from lexigrid.llm._pieces import PIECES, PieceMemo, splitter
 from lexigrid.llm._shared import ship, table, tidy, tokenizer_path
 
 ENCODED = "doc_id long, n_tokens long, ids binary, decoded binary"
-#: Entries of a worker's memo of pairs.
+#: Entries of a worker's memo of pairs, half of those of its memo of pieces at most.
 PAIRS = 200_000
 _MIX = 0x9E3779B97F4A7C15
 _LOW = (1 << 64) - 1
@@ -102,12 +102,12 @@ def _digest(piece: bytes) -> int:
 
 
 class _Pairs(dict):
-    def __init__(self, get):
+    def __init__(self, get, limit: int):
         super().__init__()
-        self.look = get
+        self.look, self.limit = get, limit
 
     def __missing__(self, key: bytes) -> int:
-        if len(self) >= PAIRS:
+        if len(self) >= min(PAIRS, self.limit):
             self.clear()
         self[key] = r = self.look(key)
         return r
@@ -116,7 +116,7 @@ class _Pairs(dict):
 class Codec:
     def __init__(self, table: PerfectHash, pattern: str, limit: int = PIECES):
         self.table, self.split = table, splitter(pattern)
-        self.of = _Pairs(table.get)
+        self.of = _Pairs(table.get, limit // 2)
         self.pieces = PieceMemo(lambda piece: self.piece(piece.encode("utf-8", "replace")), limit)
         self.tokens = dict(zip(table.ids, table.keys))
 
@@ -164,17 +164,17 @@ class Codec:
 _held: list = [None, None, None]
 
 
-def _codec(shared, pattern: str) -> Codec:
-    """One for each worker process, table and pattern."""
-    if _held[0] is not shared.value or _held[1] != pattern:
-        _held[:] = [shared.value, pattern, Codec(shared.value, pattern)]
+def _codec(shared, pattern: str, limit: int) -> Codec:
+    """One for each worker process, table, pattern and limit."""
+    if _held[0] is not shared.value or _held[1] != (pattern, limit):
+        _held[:] = [shared.value, (pattern, limit), Codec(shared.value, pattern, limit)]
     return _held[2]
 
 
-def _encode_partition(batches, shared, pattern: str, decoded: bool):
+def _encode_partition(batches, shared, pattern: str, decoded: bool, limit: int = PIECES):
     import pyarrow as pa
 
-    codec = _codec(shared, pattern)
+    codec = _codec(shared, pattern, limit)
 
     def out(ids, n, data, back):
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(data, pa.binary()), pa.array(back, pa.binary())], names=["doc_id", "n_tokens", "ids", "decoded"])
@@ -192,8 +192,8 @@ def _encode_partition(batches, shared, pattern: str, decoded: bool):
         yield out(names, n, data, back)
 
 
-def bpe_encode(docs: DataFrame, *, ranks: str | None = None, pattern: str | None = None, decoded: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """ENCODED for each row: ids as little-endian unsigned 32-bit integers; decoded: the bytes they stand for, null unless asked for."""
+def bpe_encode(docs: DataFrame, *, ranks: str | None = None, pattern: str | None = None, decoded: bool = False, limit: int = PIECES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """ENCODED for each row: ids as little-endian unsigned 32-bit integers; decoded: the bytes they stand for, null unless asked for. limit: entries of a worker's memo of pieces."""
     import public_tokenizers
 
     spark = docs.sparkSession
@@ -201,7 +201,7 @@ def bpe_encode(docs: DataFrame, *, ranks: str | None = None, pattern: str | None
     shared = spark.sparkContext.broadcast(PerfectHash(read_ranks(ranks or tokenizer_path("byte_bpe_multi_50k.tiktoken"))))
     pattern = pattern or public_tokenizers.PATTERN
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").cast("binary").alias("text"))
-    return rows.mapInArrow(lambda b: tidy(_encode_partition(b, shared, pattern, decoded)), ENCODED)
+    return rows.mapInArrow(lambda b: tidy(_encode_partition(b, shared, pattern, decoded, limit)), ENCODED)
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

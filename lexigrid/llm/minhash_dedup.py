@@ -169,6 +169,7 @@ def _sign_partition(batches, width: int, bands: int, rows: int, least: int):
             held = []
     if held:
         yield out(held)
+    _words.clear()  # the worker lives on beside the stages that follow
 
 
 def _set_partition(batches, width: int):
@@ -183,6 +184,7 @@ def _set_partition(batches, width: int):
             ids, sets, size = [], [], 0
     if ids:
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
+    _words.clear()
 
 
 def _confirm_partition(batches, percent: int):

@@ -60,3 +60,29 @@ def test_ranks_are_read():
     from lexigrid.llm._shared import tokenizer_path
 
     assert len(byte_bpe.read_ranks(tokenizer_path("byte_bpe_multi_50k.tiktoken"))) > 50_000
+
+
+def test_encoding_holds_few_texts_and_memos(spark, monkeypatch):
+    """Texts reach the encoder in batches of BATCH rows, its memos are bounded by MEMO, and the sets and signatures of the near stage leave no memo behind."""
+    import pyarrow as pa
+
+    from lexigrid.llm import minhash_dedup
+
+    docs = documents(spark, [(i, f"some words and w{i}") for i in range(40)]).coalesce(1)
+
+    def sizes(batches, shared, pattern, decoded, limit):
+        for b in batches:
+            n = [b.num_rows] * b.num_rows
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array([str(limit).encode()] * b.num_rows), b.column(1)], names=["doc_id", "n_tokens", "ids", "decoded"])
+
+    monkeypatch.setattr(byte_bpe, "_encode_partition", sizes)
+    monkeypatch.setattr(P, "BATCH", 7)
+    out = P.encode(spark, docs, "").collect()
+    assert len(out) == 40 and max(r["n_tokens"] for r in out) == 7
+    assert {r["ids_sha256"] for r in out} == {hashlib.sha256(str(P.MEMO).encode()).hexdigest()}
+    codec = byte_bpe.Codec(byte_bpe.PerfectHash({bytes([i]): i for i in range(256)} | {b"ab": 256}), r"\S+", 4)
+    codec.encode("ab ba cab abc bca acb bac cb bc aab")
+    assert len(codec.of) <= 2 and len(codec.pieces) <= 4 and len(codec.pieces.older) <= 4
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([b"a b c d e f g"])], names=["doc_id", "text"])
+    for made in (minhash_dedup._sign_partition([batch], 5, 4, 10, 4), minhash_dedup._set_partition([batch], 5)):
+        assert list(made) and not minhash_dedup._words
